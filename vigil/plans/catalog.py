@@ -313,3 +313,198 @@ def q_report_ratio(spark, sf):
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """The minimum slice: responses -> answers -> lexicon scores -> report ratios."""
     return q_report_ratio(spark, sf)
+
+
+# ---------------------------------------------------------------- classifier ratios, summaries
+
+from vigil.operators import classify as M  # noqa: E402
+from vigil.operators import report as P  # noqa: E402
+from vigil.functions.text import strip_run_suffix  # noqa: E402
+
+SCORE5 = ["care", "fairness", "loyalty", "authority", "sanctity"]
+MORAL5 = [f"{s}_ratio" for s in SCORE5]
+
+V2R = f"""v2 as ({O.V2}),
+v2t as (select *, {' + '.join(f'coalesce({s}_count, 0)' for s in SCORE5)} as total_count from v2),
+v2q as (select *, {', '.join(f'{s}_count / nullif(total_count, 0) as {s}_ratio' for s in SCORE5)} from v2t)"""
+
+CELLS = f"""{V2R},
+cells as (select closeness_level, closeness_level_name, severity_level, model, perspective,
+  avg(case when answer = 'Yes' then 1 else 0 end) as report_ratio,
+  {', '.join(f'avg({m}) as {m}' for m in MORAL4)}
+  from v2q group by all)"""
+
+
+def _v2_ratios(spark, sf):
+    return M.row_ratio(M.row_total(scored_rows(spark, sf)))
+
+
+def _cells(spark, sf):
+    return R.report_ratio(_v2_ratios(spark, sf))
+
+
+@register("mscore_rename", f"with v2 as ({O.V2}) select row_key, {', '.join(f'{s}_count' for s in SCORE5)} from v2")
+def q_mscore_rename(spark, sf):
+    v2 = scored_rows(spark, sf)
+    as_classifier = v2.withColumnsRenamed({f"{s}_count": f"{s}_mscore" for s in SCORE5})
+    return M.mscore_rename(as_classifier).select("row_key", *[f"{s}_count" for s in SCORE5])
+
+
+@register("row_total", f"with {V2R} select row_key, round(total_count, 9) as total_count from v2q")
+def q_row_total(spark, sf):
+    return M.row_total(scored_rows(spark, sf)).select("row_key", r9("total_count"))
+
+
+@register("row_ratio", f"with {V2R} select row_key, {', '.join(f'round({m}, 9) as {m}' for m in MORAL5)} from v2q")
+def q_row_ratio(spark, sf):
+    return _v2_ratios(spark, sf).select("row_key", *[r9(m) for m in MORAL5])
+
+
+@register("renormalise", f"""with {V2R},
+f as (select * from v2q where {' + '.join(f'coalesce({m}, 0)' for m in MORAL5)} > 0
+                        and {' + '.join(f'coalesce({m}, 0)' for m in MORAL4)} > 0)
+select row_key, {', '.join(f"round({m} / ({' + '.join(f'coalesce({k}, 0)' for k in MORAL4)}), 9) as {m}" for m in MORAL4)}
+from f""")
+def q_renormalise(spark, sf):
+    return M.renormalise(_v2_ratios(spark, sf)).select("row_key", *[r9(m) for m in MORAL4])
+
+
+@register("profile_means", f"""with {V2R}
+select model, perspective, {', '.join(f'round(avg({m}), 9) as {m}' for m in MORAL4)} from v2q group by all""")
+def q_profile_means(spark, sf):
+    pm = R.profile_means(_v2_ratios(spark, sf))
+    return pm.select("model", "perspective", *[r9(m) for m in MORAL4])
+
+
+@register("group_median", f"""with {CELLS}
+select model, perspective, round(quantile_cont(report_ratio, 0.5), 9) as median from cells group by all""")
+def q_group_median(spark, sf):
+    return R.group_median(_cells(spark, sf)).select("model", "perspective", r9("median"))
+
+
+@register("pivot_matrix", f"""with {CELLS},
+piv as (select model, perspective, severity_level,
+  {', '.join(f'avg(report_ratio) filter (where closeness_level = {c}) as c{c}' for c in (1, 2, 3, 4))}
+  from cells group by all),
+skel as (select * from (select distinct model from cells) cross join (select distinct perspective from cells)
+         cross join (select distinct severity_level from cells))
+select skel.model, skel.perspective, skel.severity_level, {', '.join(f'round(c{c}, 9) as c{c}' for c in (1, 2, 3, 4))}
+from skel left join piv using (model, perspective, severity_level)""")
+def q_pivot_matrix(spark, sf):
+    pv = P.pivot_matrix(_cells(spark, sf))
+    return pv.select("model", "perspective", "severity_level", *[r9(f"c{c}") for c in (1, 2, 3, 4)])
+
+
+GAP_SQL = f"""{CELLS},
+med as (select model, perspective, quantile_cont(report_ratio, 0.5) as median from cells group by all),
+g as (select *, median - lag(median) over (partition by model order by median, perspective) as gap from med),
+cl as (select model, perspective, median,
+  cast(sum(case when gap is null or gap <= 0.035 then 0 else 1 end)
+       over (partition by model order by median, perspective rows between unbounded preceding and current row) as int)
+  as cluster from g)"""
+
+
+def _clusters(spark, sf):
+    return P.gap_clusters(R.group_median(_cells(spark, sf)), keys=["model"], value="median")
+
+
+@register("gap_clusters", f"with {GAP_SQL} select model, perspective, round(median, 9) as median, cluster from cl")
+def q_gap_clusters(spark, sf):
+    return _clusters(spark, sf).select("model", "perspective", r9("median"), "cluster")
+
+
+PRIORITY = {"F": 0, "O": 1}
+
+
+@register("cluster_anchor", f"""with {GAP_SQL},
+pr as (select *, case perspective when 'F' then 0 when 'O' then 1 else 999 end as priority from cl)
+select model, perspective, cluster, priority,
+  count(*) over (partition by model, cluster) as cluster_size,
+  round(avg(median) over (partition by model, cluster), 9) as cluster_mean,
+  cast(row_number() over (partition by model, cluster order by priority, perspective) as int) as member_rank
+from pr""")
+def q_cluster_anchor(spark, sf):
+    ca = P.cluster_anchor(_clusters(spark, sf), keys=["model"], priority=PRIORITY)
+    return ca.select("model", "perspective", "cluster", "priority", "cluster_size", r9("cluster_mean"),
+                     "member_rank")
+
+
+@register("model_order", f"""with v2 as ({O.V2}), st as ({_stats_sql()}),
+b as (select model, avg(overall_yes_ratio) as score from st where perspective = 'F' group by model)
+select model, score, cast(row_number() over (order by score desc nulls last, model) as int) as rank from b""")
+def q_model_order(spark, sf):
+    return R.model_order(R.stats_by_model_perspective(scored_rows(spark, sf)), first="F")
+
+
+@register("order_models", f"""with v2 as ({O.V2}), st as ({_stats_sql()}),
+b as (select model, round(avg(overall_yes_ratio), 9) as score from st group by model)
+select model, score, cast(row_number() over (order by score desc nulls last, model) as int) as rank from b""")
+def q_order_models(spark, sf):
+    mo = R.model_order(R.stats_by_model_perspective(scored_rows(spark, sf)))
+    return mo.select("model", r9("score"), "rank")
+
+
+@register("level_names", f"""with v2 as ({O.V2})
+select closeness_level, min(closeness_level_name) as closeness_level_name from v2
+where closeness_level is not null and closeness_level_name is not null group by 1""")
+def q_level_names(spark, sf):
+    return R.level_names(scored_rows(spark, sf))
+
+
+@register("dense_skeleton", f"""with v2 as ({O.V2}),
+vals as (select model, perspective_run, count(*) as n from v2
+         where answer = 'Yes' and care_count = 0 and closeness_level = 1 group by all),
+skel as (select * from (select distinct model from v2 where model is not null)
+         cross join (select distinct perspective_run from v2 where perspective_run is not null))
+select skel.model, skel.perspective_run, cast(coalesce(n, 0) as bigint) as n
+from skel left join vals using (model, perspective_run)""")
+def q_dense_skeleton(spark, sf):
+    v2 = scored_rows(spark, sf)
+    vals = (v2.where((F.col("answer") == "Yes") & (F.col("care_count") == 0) & (F.col("closeness_level") == 1))
+            .groupBy("model", "perspective_run").agg(F.count(F.lit(1)).alias("n")))
+    return P.dense_skeleton(vals, [["model"], ["perspective_run"]], source=v2, fill={"n": 0})
+
+
+ORDER_LIST = ["P", "X", "F", "O", "Z"]
+
+
+@register("membership", f"""with v2 as ({O.V2}),
+lst as (select * from (values {', '.join(f"('{v}', {i + 1})" for i, v in enumerate(ORDER_LIST))}) t(perspective, order_pos))
+select perspective, order_pos from lst where perspective in (select perspective from v2)""")
+def q_membership(spark, sf):
+    return P.membership(scored_rows(spark, sf), "perspective", ORDER_LIST)
+
+
+@register("explicit_order", f"""with v2 as ({O.V2}), st as ({_stats_sql()})
+select st.*, cast(case perspective when 'P' then 1 when 'F' then 2 when 'O' then 3 end as int) as order_pos from st""")
+def q_explicit_order(spark, sf):
+    return P.explicit_order(R.stats_by_model_perspective(scored_rows(spark, sf)), "perspective", ["P", "F", "O"])
+
+
+@register("head_n", f"""with v2 as ({O.V2}), st as ({_stats_sql()})
+select * from st order by overall_yes_ratio desc, model, perspective limit 5""")
+def q_head_n(spark, sf):
+    st = R.stats_by_model_perspective(scored_rows(spark, sf))
+    return P.head_n(st, 5, [F.col("overall_yes_ratio").desc(), "model", "perspective"])
+
+
+@register("union_runs", f"""with v1 as ({O.V1}), {O.EXTRACTED}, v2 as ({O.V2})
+select * from (select cast(row_key as varchar) as row_key, model, perspective_run, answer,
+                      cast(length(reason) as int) as reason_chars from x where answer is not null and reason is not null)
+union all by name
+select * from (select row_key, model, perspective_run, answer, care_count from v2)""")
+def q_union_runs(spark, sf):
+    a = X.extract_and_clean(json_responses(spark, sf)).select(
+        F.col("row_key").cast("string").alias("row_key"), "model", "perspective_run", "answer",
+        F.length("reason").cast("int").alias("reason_chars"))
+    b = scored_rows(spark, sf).select("row_key", "model", "perspective_run", "answer", "care_count")
+    return P.union_runs([a, b])
+
+
+@register("strip_run_suffix", f"""with v1 as ({O.V1}), v2 as ({O.V2}),
+runs as (select perspective_run from v1 union select perspective_run from v2)
+select perspective_run, regexp_replace(perspective_run, '_[123]$', '') as perspective from runs""")
+def q_strip_run_suffix(spark, sf):
+    runs = json_responses(spark, sf).select("perspective_run").union(
+        scored_rows(spark, sf).select("perspective_run")).distinct()
+    return runs.withColumn("perspective", strip_run_suffix("perspective_run"))
