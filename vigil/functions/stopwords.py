@@ -17,7 +17,13 @@ import zipfile
 def english_stopwords() -> tuple[str, ...]:
     import pyspark
 
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
+    homes = [os.environ.get("SPARK_HOME", ""), os.path.dirname(pyspark.__file__)]
+    try:
+        from pyspark.find_spark_home import _find_spark_home
+        homes.append(_find_spark_home())
+    except Exception:  # noqa: BLE001
+        pass
+    jars = [j for h in homes if h for j in glob.glob(os.path.join(h, "jars", "spark-mllib_*.jar"))]
     for jar in jars:
         with zipfile.ZipFile(jar) as z:
             name = "org/apache/spark/ml/feature/stopwords/english.txt"

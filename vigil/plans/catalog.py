@@ -508,3 +508,142 @@ def q_strip_run_suffix(spark, sf):
     runs = json_responses(spark, sf).select("perspective_run").union(
         scored_rows(spark, sf).select("perspective_run")).distinct()
     return runs.withColumn("perspective", strip_run_suffix("perspective_run"))
+
+
+# ---------------------------------------------------------------- grid and inference fan-out
+
+from pyspark.sql import Window  # noqa: E402
+
+from vigil.functions.text import short_model_name  # noqa: E402
+from vigil.operators import grid as G  # noqa: E402
+from vigil.operators.responder import map_responder  # noqa: E402
+from vigil.plans.stubs import stub_responder  # noqa: E402
+
+GRID_SQL = r"""
+t as (select distinct o_orderstatus as template from orders),
+cl as (select r_regionkey + 1 as closeness_level, r_name as closeness_level_name from region),
+ex as (select n_regionkey + 1 as closeness_level, n_nationkey as closeness_level_example_n,
+              n_name as closeness_level_example_name from nation),
+vc as (select p_type as violation_category_name,
+              cast(row_number() over (order by p_type) as int) as violation_category
+       from (select distinct p_type from part)),
+vg as (select distinct p_type as violation_category_name, p_brand as vignette_name,
+              cast(regexp_extract(p_brand, '\d+') as int) as vignette from part),
+sv as (select distinct l_linenumber as severity_level from lineitem),
+grid as (select * from t cross join cl join ex using (closeness_level)
+         cross join vc join vg using (violation_category_name) cross join sv)"""
+
+GRID_COLS = ["template", "closeness_level", "closeness_level_name", "closeness_level_example_n",
+             "closeness_level_example_name", "violation_category", "violation_category_name", "vignette",
+             "vignette_name", "severity_level"]
+
+# Fixed value: the template pattern the grid queries render ({{ }} are literal braces).
+TEMPLATE_TEXT = ('] Someone close to you, {closeness}, is involved in {violation}. '
+                 'Do you report it? Reply as {{"answer": "Yes or No", "reasoning": "why"}}')
+
+
+def _grid(spark, sf):
+    t = read_table(spark, sf, "orders", ["o_orderstatus"]).distinct().withColumnRenamed("o_orderstatus", "template")
+    cl = read_table(spark, sf, "region").select((F.col("r_regionkey") + 1).alias("closeness_level"),
+                                                F.col("r_name").alias("closeness_level_name"))
+    ex = read_table(spark, sf, "nation").select((F.col("n_regionkey") + 1).alias("closeness_level"),
+                                                F.col("n_nationkey").alias("closeness_level_example_n"),
+                                                F.col("n_name").alias("closeness_level_example_name"))
+    types = read_table(spark, sf, "part", ["p_type"]).distinct()
+    vc = types.select(F.col("p_type").alias("violation_category_name"),
+                      F.row_number().over(Window.orderBy("p_type")).cast("int").alias("violation_category"))
+    vg = read_table(spark, sf, "part", ["p_type", "p_brand"]).distinct().select(
+        F.col("p_type").alias("violation_category_name"), F.col("p_brand").alias("vignette_name"),
+        F.regexp_extract("p_brand", r"\d+", 0).cast("int").alias("vignette"))
+    sv = read_table(spark, sf, "lineitem", ["l_linenumber"]).distinct() \
+        .withColumnRenamed("l_linenumber", "severity_level")
+    g = G.factor_grid([t, cl, vc, sv], nested=[(ex, ["closeness_level"]), (vg, ["violation_category_name"])])
+    return g.select(*GRID_COLS)
+
+
+def _rendered(spark, sf):
+    g = _grid(spark, sf).withColumn("template_text", F.concat(F.lit("["), F.col("template"), F.lit(TEMPLATE_TEXT)))
+    return G.render_prompts(g, "template_text", {"closeness": "closeness_level_example_name",
+                                                 "violation": "vignette_name"}).drop("template_text")
+
+
+RENDER_SQL = f"""{GRID_SQL},
+r as (select *, replace(replace(replace(replace(replace(replace(
+        concat('[', template, '{TEMPLATE_TEXT}'), '{{{{', chr(1)), '}}}}', chr(2)),
+        '{{closeness}}', closeness_level_example_name), '{{violation}}', vignette_name), chr(1), '{{'), chr(2), '}}')
+      as prompt from grid)"""
+
+
+@register("factor_grid", f"with {GRID_SQL} select {', '.join(GRID_COLS)} from grid")
+def q_factor_grid(spark, sf):
+    return _grid(spark, sf)
+
+
+@register("cross_dims", f"""with {GRID_SQL}
+select template, closeness_level, cast(count(*) as bigint) as n_rows,
+       cast(count(distinct closeness_level_example_n) as bigint) as n_examples from grid group by all""")
+def q_cross_dims(spark, sf):
+    return _grid(spark, sf).groupBy("template", "closeness_level").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.countDistinct("closeness_level_example_n").alias("n_examples"))
+
+
+@register("render_template", f"with {RENDER_SQL} select {', '.join(GRID_COLS)}, prompt from r")
+def q_render_template(spark, sf):
+    return _rendered(spark, sf)
+
+
+@register("validate_template", f"""with v1 as ({O.V1})
+select distinct regexp_replace(perspective_run, '_[123]$', '') as perspective from v1
+where regexp_replace(perspective_run, '_[123]$', '') not in ('p', 'd')""")
+def q_validate_template(spark, sf):
+    runs = json_responses(spark, sf).select(strip_run_suffix("perspective_run").alias("perspective"))
+    return G.unknown_keys(runs, ["p", "d"], "perspective")
+
+
+@register("sample_n", f"""with v2 as ({O.V2})
+select row_key, model, answer from v2
+order by ('0x' || substr(md5(concat_ws('|', '42', row_key)), 1, 8))::UBIGINT / 4294967296.0, row_key limit 100""")
+def q_sample_n(spark, sf):
+    return G.sample_n(scored_rows(spark, sf), 100, seed=42, key="row_key", method="md5") \
+        .select("row_key", "model", "answer")
+
+
+@register("job_grid", f"""with {GRID_SQL}, v2 as ({O.V2}),
+n as (select count(*) as n from grid)
+select model, perspective_run, cast(n as bigint) as n_prompts
+from (select distinct model from v2) cross join (select distinct perspective_run from v2) cross join n""")
+def q_job_grid(spark, sf):
+    v2 = scored_rows(spark, sf)
+    jobs = G.job_grid(_grid(spark, sf), v2.select("model").distinct(), v2.select("perspective_run").distinct())
+    return jobs.groupBy("model", "perspective_run").agg(F.count(F.lit(1)).alias("n_prompts"))
+
+
+@register("map_responder")
+def q_map_responder(spark, sf):
+    prompts = _rendered(spark, sf).withColumn("model", F.lit("stub/model-a"))
+    out = map_responder(prompts, stub_responder, concurrency=8)
+    return out.select(*GRID_COLS, "model", "response")
+
+
+ROUTES = {"m0": "router", "m1": "router", "m2": "direct", "m3": "direct"}
+
+
+@register("route_models", f"""with v2 as ({O.V2}),
+r as (select * from (values {', '.join(f"('{k}', '{v}')" for k, v in ROUTES.items())}) t(model, provider))
+select m.model, r.provider, case when r.provider is null then 'Unknown model_name=' || m.model end as route_error
+from (select distinct model from v2) m left join r using (model)""")
+def q_route_models(spark, sf):
+    return G.route_models(scored_rows(spark, sf).select("model").distinct(), ROUTES)
+
+
+@register("short_model_name", f"""with v2 as ({O.V2}),
+m as (select distinct 'org/' || model as model_id, case when model in ('m0', 'm1') then 'high' else '' end as reasoning
+      from v2)
+select model_id, reasoning,
+  case when reasoning = '' then split_part(model_id, '/', -1) else split_part(model_id, '/', -1) || '_' || reasoning end
+  as short_name from m""")
+def q_short_model_name(spark, sf):
+    m = scored_rows(spark, sf).select(
+        F.concat(F.lit("org/"), F.col("model")).alias("model_id"),
+        F.when(F.col("model").isin("m0", "m1"), F.lit("high")).otherwise(F.lit("")).alias("reasoning")).distinct()
+    return m.withColumn("short_name", short_model_name("model_id", "reasoning"))
