@@ -52,5 +52,5 @@ def poisson1_weight(u: Column, kmax: int = 12) -> Column:
 
 def poisson1_weight_sql(u_sql: str, kmax: int = 12) -> str:
     """The same draw as SQL text (for oracle queries)."""
-    parts = [f"when {u_sql} < {p!r} then {k}" for k, p in enumerate(poisson1_thresholds(kmax))]
+    parts = [f"when {u_sql} < cast({p!r} as double) then {k}" for k, p in enumerate(poisson1_thresholds(kmax))]
     return "(case " + " ".join(parts) + f" else {kmax} end)"

@@ -39,7 +39,10 @@ def dense_skeleton(values: DataFrame, level_sets: Sequence[DataFrame | Sequence[
             raise ValueError("level set too large for a dense skeleton")
         keys += lv.columns
         skel = F.broadcast(lv) if skel is None else skel.crossJoin(F.broadcast(lv))
-    out = skel.join(values, on=keys, how="left")
+    # Level tables may carry attributes (labels, positions); join on the
+    # columns the values share with the skeleton.
+    on = [c for c in keys if c in values.columns]
+    out = skel.join(values, on=on, how="left")
     return out.fillna(dict(fill)) if fill else out
 
 

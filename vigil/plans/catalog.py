@@ -647,3 +647,123 @@ def q_short_model_name(spark, sf):
         F.concat(F.lit("org/"), F.col("model")).alias("model_id"),
         F.when(F.col("model").isin("m0", "m1"), F.lit("high")).otherwise(F.lit("")).alias("reasoning")).distinct()
     return m.withColumn("short_name", short_model_name("model_id", "reasoning"))
+
+
+# ---------------------------------------------------------------- regression, bootstrap, density
+
+from vigil.functions.hashing import poisson1_weight_sql  # noqa: E402
+from vigil.operators import bootstrap as B  # noqa: E402
+from vigil.operators.density import grouped_kde  # noqa: E402
+from vigil.operators.regression import ols_hc3  # noqa: E402
+
+N_BOOT = 800
+
+
+@register("ols_hc3")
+def q_ols_hc3(spark, sf):
+    return ols_hc3(M.renormalise(_v2_ratios(spark, sf)))
+
+
+def _boot_sql(src: str, keys: list[str], cols: list[str], seed: int = 0, n_boot: int = N_BOOT) -> str:
+    """Long bootstrap result (keys, metric, mean, ci95_low, ci95_high, n) as CTEs ending in 'boot'."""
+    ks = ", ".join(keys)
+    u = (f"(('0x' || substr(md5(concat_ws('|', '{seed}', row_key, cast(b as varchar))), 1, 8))::UBIGINT"
+         f" / 4294967296.0)")
+    pts = ", ".join(f"avg({c}) as p{i}, count({c}) as n{i}" for i, c in enumerate(cols))
+    reps = ", ".join(f"sum(w * {c}) / nullif(sum(case when {c} is not null then w end), 0) as r{i}"
+                     for i, c in enumerate(cols))
+    cis = ", ".join(f"quantile_cont(r{i}, [0.025, 0.975]) as c{i}" for i in range(len(cols)))
+    longs = " union all ".join(
+        f"select {ks}, '{c}' as metric, case when n{i} > 0 then p{i} end as mean, "
+        f"case when n{i} > 0 then c{i}[1] end as ci95_low, case when n{i} > 0 then c{i}[2] end as ci95_high, "
+        f"cast(n{i} as bigint) as n from pt left join ci using ({ks})" for i, c in enumerate(cols))
+    return f"""
+pt as (select {ks}, {pts} from {src} group by {ks}),
+wt as (select s.*, b, {poisson1_weight_sql(u)} as w from {src} s, generate_series(0, {n_boot - 1}) g(b)),
+reps as (select {ks}, b, {reps} from wt group by {ks}, b),
+ci as (select {ks}, {cis} from reps group by {ks}),
+boot as ({longs})"""
+
+
+def _round_boot(df):
+    return df.withColumns({c: F.round(c, 9) for c in ("mean", "ci95_low", "ci95_high")})
+
+
+@register("bootstrap_ci", f"""with {V2R}, {_boot_sql('v2q', ['perspective'], MORAL4)}
+select perspective, metric, round(mean, 9) as mean, round(ci95_low, 9) as ci95_low,
+       round(ci95_high, 9) as ci95_high, n from boot""")
+def q_bootstrap_ci(spark, sf):
+    res = B.bootstrap_ci(_v2_ratios(spark, sf), ["perspective"], MORAL4, "row_key", n_boot=N_BOOT, seed=0,
+                         method="md5")
+    return _round_boot(res)
+
+
+YESNO_PERSPECTIVES = ["F", "O", "P", "X"]
+
+YESNO_SQL = f"""{V2R},
+yn as (select * from v2q where answer in ('Yes', 'No') and perspective in ('F', 'O', 'P', 'X')),
+{_boot_sql('yn', ['perspective', 'answer'], MORAL4)},
+pers as (select distinct perspective,
+           cast(case perspective when 'F' then 0 when 'O' then 1 when 'P' then 2 when 'X' then 3 end as int)
+           as perspective_pos from yn),
+ans as (select * from (values ('Yes', 0), ('No', 1)) t(answer, answer_pos)),
+met as (select * from (values {', '.join(f"('{m}', '{B.default_metric_names([m])[m]}', {i})" for i, m in enumerate(MORAL4))})
+        t(metric, metric_name, metric_pos)),
+summary as (select pers.perspective, ans.answer, met.metric, met.metric_name, boot.mean, boot.ci95_low,
+                   boot.ci95_high, coalesce(boot.n, 0) as n, perspective_pos, answer_pos, metric_pos
+            from pers cross join ans cross join met
+            left join boot on boot.perspective = pers.perspective and boot.answer = ans.answer
+                          and boot.metric = met.metric)"""
+
+
+def _summary(spark, sf):
+    return B.yesno_summary(_v2_ratios(spark, sf), perspectives=YESNO_PERSPECTIVES, n_boot=N_BOOT, seed=0,
+                           method="md5")
+
+
+@register("yesno_summary", f"""with {YESNO_SQL}
+select perspective, answer, metric, metric_name, round(mean, 9) as mean, round(ci95_low, 9) as ci95_low,
+       round(ci95_high, 9) as ci95_high, n, perspective_pos, answer_pos, metric_pos from summary""")
+def q_yesno_summary(spark, sf):
+    return _round_boot(_summary(spark, sf))
+
+
+@register("axis_limits", f"""with {YESNO_SQL}
+select round(greatest(0.0, min(ci95_low) - 0.03), 9) as y_min, round(least(1.0, max(ci95_high) + 0.03), 9) as y_max
+from summary""")
+def q_axis_limits(spark, sf):
+    lim = P.axis_limits(_summary(spark, sf))
+    return lim.select(r9("y_min"), r9("y_max"))
+
+
+@register("error_bars", f"""with {YESNO_SQL}
+select perspective, metric,
+  round(max(case when answer = 'Yes' then mean end), 9) as yes_mean,
+  round(max(case when answer = 'Yes' then mean - ci95_low end), 9) as yes_err_low,
+  round(max(case when answer = 'Yes' then ci95_high - mean end), 9) as yes_err_high,
+  round(max(case when answer = 'No' then mean end), 9) as no_mean,
+  round(max(case when answer = 'No' then mean - ci95_low end), 9) as no_err_low,
+  round(max(case when answer = 'No' then ci95_high - mean end), 9) as no_err_high
+from summary group by all""")
+def q_error_bars(spark, sf):
+    eb = P.error_bars(_summary(spark, sf))
+    return eb.select("perspective", "metric", *[r9(c) for c in eb.columns if c not in ("perspective", "metric")])
+
+
+@register("grouped_kde", f"""with {CELLS},
+st as (select model, perspective, count(report_ratio) as n, stddev_samp(report_ratio) as sd,
+              min(report_ratio) as vmin, max(report_ratio) as vmax
+       from cells where report_ratio is not null group by all),
+st2 as (select *, sd * pow(cast(n as double), -0.2) as bw from st where n >= 2 and sd > 0),
+st3 as (select *, vmin - 2.0 * bw as lo, ((vmax + 2.0 * bw) - (vmin - 2.0 * bw)) / 199.0 as step from st2),
+vals as (select model, perspective, report_ratio as v, count(*) as c from cells
+         where report_ratio is not null group by all),
+g as (select st3.*, v, c, cast(point as int) as point
+      from vals join st3 using (model, perspective) cross join generate_series(0, 199) t(point))
+select model, perspective, point, round(lo + point * step, 9) as x,
+       round(sum(c * exp(-0.5 * ((lo + point * step - v) / bw) * ((lo + point * step - v) / bw)))
+             * (1.0 / sqrt(2.0 * pi())) / (n * bw), 9) as density
+from g group by model, perspective, point, lo, step, n, bw""")
+def q_grouped_kde(spark, sf):
+    k = grouped_kde(_cells(spark, sf))
+    return k.select("model", "perspective", "point", r9("x"), r9("density"))
