@@ -54,3 +54,57 @@ def poisson1_weight_sql(u_sql: str, kmax: int = 12) -> str:
     """The same draw as SQL text (for oracle queries)."""
     parts = [f"when {u_sql} < cast({p!r} as double) then {k}" for k, p in enumerate(poisson1_thresholds(kmax))]
     return "(case " + " ".join(parts) + f" else {kmax} end)"
+
+
+# ---------------------------------------------------------------- replicate weights (mix32)
+#
+# Row seed: the first 32 bits of md5("<seed>|<key...>"), computed once per row
+# in Spark.  Replicate b of that row draws u = mix32(mix32((h + (b + 1) * G)
+# mod 2^32)) / 2^32, where mix32 is a 32-bit xor-shift-multiply finaliser.
+# The draw is vectorised with numpy inside tasks and reproducible in any SQL
+# engine with 64-bit unsigned integers (no product exceeds 2^64).
+
+# Golden-ratio increment and the two multipliers of mix32.
+MIX_GOLDEN = 0x9E3779B9
+MIX_C1 = 0x7FEB352D
+MIX_C2 = 0x846CA68B
+_M32 = 0xFFFFFFFF
+
+
+def row_seed(seed: int, *cols) -> Column:
+    """32-bit per-row seed from md5 of ``seed|key...`` (BIGINT)."""
+    cs = [F.col(c) if isinstance(c, str) else c for c in cols]
+    s = F.concat_ws("|", F.lit(str(seed)), *[c.cast("string") for c in cs])
+    return F.conv(F.substring(F.md5(s), 1, 8), 16, 10).cast("long")
+
+
+def mix32_uniforms(h, b):
+    """numpy: uniforms for row seeds ``h`` and replicate ids ``b`` (broadcasting)."""
+    import numpy as np
+
+    m = np.uint64(_M32)
+    x = (np.asarray(h, dtype=np.uint64) + (np.asarray(b, dtype=np.uint64) + np.uint64(1))
+         * np.uint64(MIX_GOLDEN)) & m
+    for _ in range(2):
+        x = x ^ (x >> np.uint64(16))
+        x = (x * np.uint64(MIX_C1)) & m
+        x = x ^ (x >> np.uint64(15))
+        x = (x * np.uint64(MIX_C2)) & m
+        x = x ^ (x >> np.uint64(16))
+    return x.astype(np.float64) / 4294967296.0
+
+
+def mix32_sql_ctes(src: str, name: str, h_col: str = "h", b_col: str = "b") -> tuple[str, str]:
+    """CTE chain over ``src`` (UBIGINT ``h_col``, integer ``b_col``) adding the
+    uniform ``u``; returns (ctes text, name of the last CTE)."""
+    steps = [f"(({h_col} + ({b_col} + 1) * {MIX_GOLDEN}) & {_M32})"]
+    ops = []
+    for _ in range(2):
+        ops += ["xor(__x, __x >> 16)", f"((__x * {MIX_C1}) & {_M32})", "xor(__x, __x >> 15)",
+                f"((__x * {MIX_C2}) & {_M32})", "xor(__x, __x >> 16)"]
+    ctes = [f"{name}0 as (select *, {steps[0]} as __x from {src})"]
+    for k, op in enumerate(ops, start=1):
+        ctes.append(f"{name}{k} as (select * replace ({op} as __x) from {name}{k - 1})")
+    last = len(ops) + 1
+    ctes.append(f"{name}{last} as (select * exclude (__x), __x::DOUBLE / 4294967296.0 as u from {name}{last - 1})")
+    return ",\n".join(ctes), f"{name}{last}"

@@ -1,35 +1,117 @@
 """Grouped percentile bootstrap intervals.
 
-Poisson(1) bootstrap: replicate ``b`` gives each row a weight drawn from a
-hash of (seed, row key, b), so results do not depend on partitioning or
-task retries.  Rows are fanned out to replicates inside the pipeline and
-immediately folded by map-side partial aggregation into one partial row per
-(group, replicate) per task; the shuffle carries groups x replicates rows,
-whatever the group sizes.  Weights are shared by all metrics of a row.
-
-Point estimates are the plain statistic; intervals are the linear-
-interpolation percentiles of the replicate statistics (``np.percentile``).
+Poisson(1) bootstrap: replicate ``b`` gives each row a weight drawn from
+(seed, row key, b) only, so results do not depend on partitioning, batch
+boundaries or task retries.
+
+Default engine (``mix32``): a 32-bit row seed is computed in Spark (md5 of
+seed and key); inside each Arrow batch numpy draws the (rows x replicates)
+weight matrix chunk by chunk and folds it into per-(group, replicate) partial
+sums with one matrix product.  Only groups x replicates partial rows per
+batch are shuffled; Spark sums them per (group, replicate), and the interval
+is the linear-interpolation percentile of the replicate statistics
+(``np.percentile``).  The median needs every weighted value of a replicate,
+so it ships (group, replicate, value, weight) rows for an exact weighted
+``percentile`` per (group, replicate).
+
+The JVM-only engines (``xxhash64``, ``md5``) fan rows out to replicates with
+``explode`` and rely on map-side partial aggregation; slower, no Python.
+
+Point estimates are the plain statistic on the non-null values.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
-from vigil.functions.hashing import poisson1_weight, unit_hash
+from vigil.functions.hashing import (mix32_uniforms, poisson1_thresholds, poisson1_weight, row_seed,
+                                     unit_hash)
 from vigil.functions.numeric import nan_to_null
 from vigil.operators.report import dense_skeleton
 
+CHUNK_ROWS = 2048
+
 
 def _names(ci: int) -> tuple[str, str]:
     return f"ci{ci}_low", f"ci{ci}_high"
 
 
+def _poisson_from_uniform(u: np.ndarray, kmax: int = 12) -> np.ndarray:
+    return np.searchsorted(np.asarray(poisson1_thresholds(kmax)), u, side="right").astype(np.float64)
+
+
+def _mean_partials(d: DataFrame, keys: list[str], cols: list[str], n_boot: int) -> DataFrame:
+    """(keys, __b, __s_i, __w_i) partial sums per batch and group."""
+    key_fields = [d.schema[k] for k in keys]
+    schema = StructType(key_fields + [StructField("__b", IntegerType(), False)]
+                        + [StructField(f"__s_{i}", DoubleType(), False) for i in range(len(cols))]
+                        + [StructField(f"__w_{i}", DoubleType(), False) for i in range(len(cols))])
+    bs = np.arange(n_boot, dtype=np.uint64)
+
+    def run(batches):
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            groups = pdf.groupby(keys, dropna=False, sort=False) if keys else [((), pdf)]
+            for kv, g in groups:
+                kv = kv if isinstance(kv, tuple) else (kv,)
+                h = g["__h"].to_numpy(dtype=np.int64).astype(np.uint64)
+                x = g[cols].to_numpy(dtype=np.float64)
+                ok = ~np.isnan(x)
+                x0 = np.where(ok, x, 0.0)
+                s = np.zeros((n_boot, len(cols)))
+                wn = np.zeros((n_boot, len(cols)))
+                for a in range(0, len(g), CHUNK_ROWS):
+                    w = _poisson_from_uniform(mix32_uniforms(h[a:a + CHUNK_ROWS, None], bs[None, :]))
+                    s += w.T @ x0[a:a + CHUNK_ROWS]
+                    wn += w.T @ ok[a:a + CHUNK_ROWS].astype(np.float64)
+                out = {k: [v] * n_boot for k, v in zip(keys, kv)}
+                out["__b"] = np.arange(n_boot, dtype=np.int32)
+                for i in range(len(cols)):
+                    out[f"__s_{i}"] = s[:, i]
+                    out[f"__w_{i}"] = wn[:, i]
+                yield pd.DataFrame(out)
+
+    return d.mapInPandas(run, schema)
+
+
+def _median_weights(d: DataFrame, keys: list[str], cols: list[str], n_boot: int) -> DataFrame:
+    """(keys, __b, __m, __v, __w) for every positive weight (exact weighted median)."""
+    key_fields = [d.schema[k] for k in keys]
+    schema = StructType(key_fields + [StructField("__b", IntegerType(), False),
+                                      StructField("__m", IntegerType(), False),
+                                      StructField("__v", DoubleType(), False),
+                                      StructField("__w", LongType(), False)])
+    bs = np.arange(n_boot, dtype=np.uint64)
+
+    def run(batches):
+        for pdf in batches:
+            for a in range(0, len(pdf), CHUNK_ROWS):
+                part = pdf.iloc[a:a + CHUNK_ROWS]
+                h = part["__h"].to_numpy(dtype=np.int64).astype(np.uint64)
+                w = _poisson_from_uniform(mix32_uniforms(h[:, None], bs[None, :])).astype(np.int64)
+                rows, reps = np.nonzero(w)
+                for i, c in enumerate(cols):
+                    x = part[c].to_numpy(dtype=np.float64)
+                    sel = ~np.isnan(x[rows])
+                    r, b = rows[sel], reps[sel]
+                    out = {k: part[k].to_numpy()[r] for k in keys}
+                    out.update({"__b": b.astype(np.int32), "__m": np.full(len(r), i, dtype=np.int32),
+                                "__v": x[r], "__w": w[r, b]})
+                    yield pd.DataFrame(out)
+
+    return d.mapInPandas(run, schema)
+
+
 def bootstrap_ci(df: DataFrame, keys: Sequence[str], cols: Sequence[str], row_key: Sequence[str] | str,
                  n_boot: int = 800, ci: int = 95, seed: int = 0, stat: str = "mean",
-                 method: str = "xxhash64", metric: str = "metric") -> DataFrame:
+                 method: str = "mix32", metric: str = "metric") -> DataFrame:
     """Long result: keys, ``metric``, ``<stat>``, ``ci<ci>_low``, ``ci<ci>_high``, n.
     NULL/NaN values are removed per metric; an empty group gives NULLs, n = 0."""
     if stat not in ("mean", "median"):
@@ -40,27 +122,39 @@ def bootstrap_ci(df: DataFrame, keys: Sequence[str], cols: Sequence[str], row_ke
     q = [(100 - ci) / 200.0, 1 - (100 - ci) / 200.0]
     d = df.select(*keys, *rk, *[nan_to_null(c).alias(c) for c in cols])
 
-    if stat == "mean":
-        point = d.groupBy(*keys).agg(*[F.avg(c).alias(f"__p_{i}") for i, c in enumerate(cols)],
-                                     *[F.count(c).alias(f"__n_{i}") for i, c in enumerate(cols)])
-    else:
-        point = d.groupBy(*keys).agg(*[F.percentile(c, F.lit(0.5)).alias(f"__p_{i}") for i, c in enumerate(cols)],
-                                     *[F.count(c).alias(f"__n_{i}") for i, c in enumerate(cols)])
-
-    rep = d.select(*keys, *rk, *cols, F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("__b"))
-    rep = rep.withColumn("__w", poisson1_weight(unit_hash(seed, *rk, F.col("__b"), method=method)))
-    if stat == "mean":
-        aggs = [F.try_divide(F.sum(F.col("__w") * F.col(c)),
-                             F.nullif(F.sum(F.when(F.col(c).isNotNull(), F.col("__w"))), F.lit(0)).cast("double"))
-                .alias(f"__r_{i}") for i, c in enumerate(cols)]
+    stat_fn = (lambda c: F.avg(c)) if stat == "mean" else (lambda c: F.percentile(c, F.lit(0.5)))
+    point = d.groupBy(*keys).agg(*[stat_fn(c).alias(f"__p_{i}") for i, c in enumerate(cols)],
+                                 *[F.count(c).alias(f"__n_{i}") for i, c in enumerate(cols)])
+
+    if method == "mix32":
+        dh = d.select(*keys, *cols, row_seed(seed, *rk).alias("__h"))
+        if stat == "mean":
+            part = _mean_partials(dh, keys, cols, n_boot)
+            reps = part.groupBy(*keys, "__b").agg(
+                *[F.try_divide(F.sum(f"__s_{i}"), F.nullif(F.sum(f"__w_{i}"), F.lit(0.0))).alias(f"__r_{i}")
+                  for i in range(len(cols))])
+        else:
+            wv = _median_weights(dh, keys, cols, n_boot)
+            med = wv.groupBy(*keys, "__b", "__m").agg(F.percentile("__v", F.lit(0.5), F.col("__w")).alias("__r"))
+            reps = med.groupBy(*keys, "__b").agg(
+                *[F.max(F.when(F.col("__m") == i, F.col("__r"))).alias(f"__r_{i}") for i in range(len(cols))])
+    elif method in ("xxhash64", "md5"):
+        rep = d.select(*keys, *rk, *cols, F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("__b"))
+        rep = rep.withColumn("__w", poisson1_weight(unit_hash(seed, *rk, F.col("__b"), method=method)))
+        if stat == "mean":
+            aggs = [F.try_divide(F.sum(F.col("__w") * F.col(c)),
+                                 F.nullif(F.sum(F.when(F.col(c).isNotNull(), F.col("__w"))), F.lit(0))
+                                 .cast("double")).alias(f"__r_{i}") for i, c in enumerate(cols)]
+        else:
+            rep = rep.where(F.col("__w") > 0)
+            aggs = [F.percentile(F.col(c), F.lit(0.5), F.col("__w")).alias(f"__r_{i}") for i, c in enumerate(cols)]
         reps = rep.groupBy(*keys, "__b").agg(*aggs)
     else:
-        rep = rep.where(F.col("__w") > 0)
-        aggs = [F.percentile(F.col(c), F.lit(0.5), F.col("__w")).alias(f"__r_{i}") for i, c in enumerate(cols)]
-        reps = rep.groupBy(*keys, "__b").agg(*aggs)
+        raise ValueError(f"unknown method {method!r}")
+
     cis = reps.groupBy(*keys).agg(*[F.percentile(f"__r_{i}", F.array(*[F.lit(x) for x in q])).alias(f"__c_{i}")
                                     for i in range(len(cols))])
-    wide = point.join(cis, keys, "left")
+    wide = point.join(cis, keys, "left") if keys else point.crossJoin(cis)
     parts = [F.struct(F.lit(c).alias(metric), F.col(f"__p_{i}").cast("double").alias(stat),
                       F.col(f"__c_{i}")[0].alias(lo), F.col(f"__c_{i}")[1].alias(hi),
                       F.col(f"__n_{i}").cast("long").alias("n"))
@@ -84,7 +178,7 @@ def yesno_summary(df: DataFrame, perspectives: Sequence[str] | None = None,
                   metrics: Sequence[str] = ("care_ratio", "fairness_ratio", "loyalty_ratio", "authority_ratio"),
                   metric_names: Mapping[str, str] | None = None, answers: Sequence[str] = ("Yes", "No"),
                   row_key: Sequence[str] | str = "row_key", stat: str = "mean", ci: int = 95,
-                  n_boot: int = 800, seed: int = 0, method: str = "xxhash64",
+                  n_boot: int = 800, seed: int = 0, method: str = "mix32",
                   perspective: str = "perspective", answer: str = "answer") -> DataFrame:
     """Bootstrap per perspective x answer x metric, dense over the present
     perspectives (in ``perspectives`` order when given), all answers, all metrics."""

@@ -651,7 +651,7 @@ def q_short_model_name(spark, sf):
 
 # ---------------------------------------------------------------- regression, bootstrap, density
 
-from vigil.functions.hashing import poisson1_weight_sql  # noqa: E402
+from vigil.functions.hashing import mix32_sql_ctes, poisson1_weight_sql  # noqa: E402
 from vigil.operators import bootstrap as B  # noqa: E402
 from vigil.operators.density import grouped_kde  # noqa: E402
 from vigil.operators.regression import ols_hc3  # noqa: E402
@@ -667,8 +667,8 @@ def q_ols_hc3(spark, sf):
 def _boot_sql(src: str, keys: list[str], cols: list[str], seed: int = 0, n_boot: int = N_BOOT) -> str:
     """Long bootstrap result (keys, metric, mean, ci95_low, ci95_high, n) as CTEs ending in 'boot'."""
     ks = ", ".join(keys)
-    u = (f"(('0x' || substr(md5(concat_ws('|', '{seed}', row_key, cast(b as varchar))), 1, 8))::UBIGINT"
-         f" / 4294967296.0)")
+    hseed = f"('0x' || substr(md5(concat_ws('|', '{seed}', row_key)), 1, 8))::UBIGINT"
+    mix_ctes, mixed = mix32_sql_ctes("fan", "mx")
     pts = ", ".join(f"avg({c}) as p{i}, count({c}) as n{i}" for i, c in enumerate(cols))
     reps = ", ".join(f"sum(w * {c}) / nullif(sum(case when {c} is not null then w end), 0) as r{i}"
                      for i, c in enumerate(cols))
@@ -679,7 +679,9 @@ def _boot_sql(src: str, keys: list[str], cols: list[str], seed: int = 0, n_boot:
         f"cast(n{i} as bigint) as n from pt left join ci using ({ks})" for i, c in enumerate(cols))
     return f"""
 pt as (select {ks}, {pts} from {src} group by {ks}),
-wt as (select s.*, b, {poisson1_weight_sql(u)} as w from {src} s, generate_series(0, {n_boot - 1}) g(b)),
+fan as (select {ks}, {', '.join(cols)}, {hseed} as h, b from {src} s, generate_series(0, {n_boot - 1}) g(b)),
+{mix_ctes},
+wt as (select *, {poisson1_weight_sql('u')} as w from {mixed}),
 reps as (select {ks}, b, {reps} from wt group by {ks}, b),
 ci as (select {ks}, {cis} from reps group by {ks}),
 boot as ({longs})"""
@@ -693,8 +695,7 @@ def _round_boot(df):
 select perspective, metric, round(mean, 9) as mean, round(ci95_low, 9) as ci95_low,
        round(ci95_high, 9) as ci95_high, n from boot""")
 def q_bootstrap_ci(spark, sf):
-    res = B.bootstrap_ci(_v2_ratios(spark, sf), ["perspective"], MORAL4, "row_key", n_boot=N_BOOT, seed=0,
-                         method="md5")
+    res = B.bootstrap_ci(_v2_ratios(spark, sf), ["perspective"], MORAL4, "row_key", n_boot=N_BOOT, seed=0)
     return _round_boot(res)
 
 
@@ -717,8 +718,7 @@ summary as (select pers.perspective, ans.answer, met.metric, met.metric_name, bo
 
 
 def _summary(spark, sf):
-    return B.yesno_summary(_v2_ratios(spark, sf), perspectives=YESNO_PERSPECTIVES, n_boot=N_BOOT, seed=0,
-                           method="md5")
+    return B.yesno_summary(_v2_ratios(spark, sf), perspectives=YESNO_PERSPECTIVES, n_boot=N_BOOT, seed=0)
 
 
 @register("yesno_summary", f"""with {YESNO_SQL}
