@@ -104,7 +104,7 @@ def train_text_classifiers(train: DataFrame, text_col: str, label_cols: Sequence
     models = {}
     for lab in label_cols:
         pipe = Pipeline(stages=[
-            RegexTokenizer(inputCol=text_col, outputCol="__tok", pattern="[a-zA-Z]+", gaps=False,
+            RegexTokenizer(inputCol="__text", outputCol="__tok", pattern="[a-zA-Z]+", gaps=False,
                            toLowercase=True),
             HashingTF(inputCol="__tok", outputCol="__tf", numFeatures=num_features),
             IDF(inputCol="__tf", outputCol="__feat"),
@@ -112,7 +112,8 @@ def train_text_classifiers(train: DataFrame, text_col: str, label_cols: Sequence
                                rawPredictionCol="__raw", predictionCol="__pred",
                                regParam=reg, maxIter=max_iter),
         ])
-        models[lab] = pipe.fit(train.select(text_col, F.col(lab).cast("double").alias("__label")))
+        models[lab] = pipe.fit(train.select(F.coalesce(F.col(text_col), F.lit("")).alias("__text"),
+                                            F.col(lab).cast("double").alias("__label")))
     return models
 
 
@@ -121,9 +122,9 @@ def apply_text_classifiers(df: DataFrame, models: Mapping, text_col: str = "reas
     """M1 Spark-native: add ``<name>_mscore`` = P(class 1) for every model."""
     from pyspark.ml.functions import vector_to_array
 
-    out = df
+    out = df.withColumn("__text", F.coalesce(F.col(text_col), F.lit("")))
     for name, model in models.items():
         scored = model.transform(out)
         out = scored.withColumn(f"{name}{suffix}", vector_to_array(F.col("__prob"))[1]) \
             .drop("__tok", "__tf", "__feat", "__prob", "__raw", "__pred")
-    return out
+    return out.drop("__text")

@@ -767,3 +767,95 @@ from g group by model, perspective, point, lo, step, n, bw""")
 def q_grouped_kde(spark, sf):
     k = grouped_kde(_cells(spark, sf))
     return k.select("model", "perspective", "point", r9("x"), r9("density"))
+
+
+# ---------------------------------------------------------------- sources and sinks, classifier
+
+import uuid  # noqa: E402
+
+from vigil.operators.classify import apply_text_classifiers, train_text_classifiers  # noqa: E402
+from vigil.session import scratch_path  # noqa: E402
+from vigil.sources import responses as S  # noqa: E402
+from vigil.sources.lexicon import read_dic_lexicon, write_dic_lexicon  # noqa: E402
+
+V1_SCHEMA = ("row_key long, model string, perspective_run string, closeness_level int, "
+             "closeness_level_name string, severity_level int, response string")
+V1_COLS = ["row_key", "model", "perspective_run", "closeness_level", "closeness_level_name",
+           "severity_level", "response"]
+
+
+def _fresh(spark, name):
+    return scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+
+
+@register("scan_responses", f"with v1 as ({O.V1}) select * from v1")
+def q_scan_responses(spark, sf):
+    path = _fresh(spark, "responses-csv")
+    json_responses(spark, sf).write.options(header="true", quote='"', escape='"').csv(path)
+    return S.scan_responses(spark, path, schema=V1_SCHEMA, fmt="csv").select(*V1_COLS)
+
+
+@register("scan_all_runs", f"""with v1 as ({O.V1})
+select *, regexp_replace(perspective_run, '_[123]$', '') as perspective from v1""")
+def q_scan_all_runs(spark, sf):
+    root = _fresh(spark, "runs")
+    S.write_responses(json_responses(spark, sf), root, fmt="csv")
+    schema = "row_key long, closeness_level int, closeness_level_name string, severity_level int, response string"
+    df = S.scan_all_runs(spark, root, fmt="csv", layout="hive", schema=schema, combine_runs=True)
+    return df.select(*V1_COLS, "perspective")
+
+
+@register("sink_responses", f"""with v1 as ({O.V1}), {O.EXTRACTED}
+select row_key, model, perspective_run, answer, reason from x where answer is not null and reason is not null""")
+def q_sink_responses(spark, sf):
+    root = _fresh(spark, "extracted")
+    kept = X.extract_and_clean(json_responses(spark, sf)).select("row_key", "model", "perspective_run",
+                                                                 "answer", "reason")
+    S.write_responses(kept, root)
+    return spark.read.parquet(root).select("row_key", "model", "perspective_run", "answer", "reason")
+
+
+@register("grid_cached", f"with {GRID_SQL} select {', '.join(GRID_COLS)} from grid")
+def q_grid_cached(spark, sf):
+    path = _fresh(spark, "grid")
+    S.grid_cached(spark, path, lambda: _grid(spark, sf))            # builds and writes
+    return S.grid_cached(spark, path, lambda: _grid(spark, sf)).select(*GRID_COLS)  # reads the cache
+
+
+@register("lexicon_scan", f"""
+select lower(token) as token, arg_max(category, ordinal) as category from {_part_lexicon_sql()} group by 1""")
+def q_lexicon_scan(spark, sf):
+    path = _fresh(spark, "lexicon-dic")
+    write_dic_lexicon(_part_lexicon(spark, sf), path)
+    return L.lexicon_map(read_dic_lexicon(spark, path))
+
+
+MSCORE_SQL = ", ".join(f"(length(response) % {p}) / {float(p)} as {s}_mscore"
+                       for s, p in zip(SCORE5, (97, 89, 83, 79, 73)))
+
+
+def _v1_with_mscores(spark, sf):
+    v1 = json_responses(spark, sf)
+    return v1.withColumns({f"{s}_mscore": (F.length("response") % p) / float(p)
+                           for s, p in zip(SCORE5, (97, 89, 83, 79, 73))})
+
+
+@register("measurement_source", f"""with v1 as (select *, {MSCORE_SQL} from ({O.V1})), {O.EXTRACTED},
+kept as (select * from x where answer is not null and reason is not null),
+t as (select *, {' + '.join(f'coalesce({s}_mscore, 0)' for s in SCORE5)} as total_count from kept)
+select row_key, answer, round(total_count, 9) as total_count,
+  {', '.join(f'round({s}_mscore / nullif(total_count, 0), 9) as {s}_ratio' for s in SCORE5)} from t""")
+def q_measurement_source(spark, sf):
+    out = S.score(_v1_with_mscores(spark, sf), "mformer")
+    return out.select("row_key", "answer", r9("total_count"), *[r9(m) for m in MORAL5])
+
+
+@register("classifier_scores")
+def q_classifier_scores(spark, sf):
+    docs = read_table(spark, sf, "documents", ["doc_id", "text"])
+    labels = read_table(spark, sf, "labels", ["doc_id", "quality", "toxic"])
+    train = docs.join(labels, "doc_id", "inner")
+    models = train_text_classifiers(train, "text", ["quality", "toxic"], num_features=1 << 16, max_iter=20)
+    kept = X.extract_and_clean(json_responses(spark, sf)).select("row_key", "reason")
+    scored = apply_text_classifiers(kept, models, text_col="reason")
+    return scored.select("row_key", "quality_mscore", "toxic_mscore")

@@ -6,7 +6,7 @@ A lexicon is a small dimension table; it is read by one task per file.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -28,7 +28,7 @@ def read_dic_lexicon(spark: SparkSession, path: str) -> DataFrame:
     Layout: a ``%`` line, ``id<TAB>category`` lines, a ``%`` line, then
     ``token<TAB>id[<TAB>id...]`` lines.  Line ends may be CR, LF or CRLF.
     """
-    whole = spark.read.option("wholetext", "true").text(path)
+    whole = spark.read.text(path, wholetext=True)
     lines = F.split(F.col("value"), "\r\n|\r|\n")
     first = F.array_position(lines, "%")
     second = first + F.array_position(F.slice(lines, (first + 1).cast("int"), F.size(lines)), "%")
@@ -47,3 +47,25 @@ def read_dic_lexicon(spark: SparkSession, path: str) -> DataFrame:
                .select("pos", "k", "token", F.trim("cat_id").alias("cat_id")))
     return (entries.join(F.broadcast(header), "cat_id", "inner")
             .select("token", "category", (F.col("pos") * 64 + F.col("k")).cast("long").alias("ordinal")))
+
+
+def write_dic_lexicon(lexicon: DataFrame, path: str, max_rows: int = 5_000_000) -> None:
+    """Write (token, category, ordinal) in the ``.dic`` layout as one text file.
+
+    A lexicon is a dimension table; its size is checked before it is funnelled
+    into the single task that writes the ordered file.
+    """
+    from vigil.plans.sizing import row_count_at_most
+
+    if row_count_at_most(lexicon, max_rows) is None:
+        raise ValueError(f"lexicon larger than {max_rows} rows")
+    cats = lexicon.select("category").distinct()
+    ids = cats.select("category", F.dense_rank().over(Window.orderBy("category")).alias("cat_id"))
+    head = ids.select(F.lit(1).alias("sec"), F.col("cat_id").cast("long").alias("pos"),
+                      F.concat_ws("\t", F.col("cat_id").cast("string"), "category").alias("value"))
+    body = lexicon.join(F.broadcast(ids), "category").select(
+        F.lit(3).alias("sec"), F.col("ordinal").cast("long").alias("pos"),
+        F.concat_ws("\t", "token", F.col("cat_id").cast("string")).alias("value"))
+    marks = lexicon.sparkSession.createDataFrame([(0, 0, "%"), (2, 0, "%")], "sec int, pos long, value string")
+    lines = marks.unionByName(head).unionByName(body)
+    lines.coalesce(1).sortWithinPartitions("sec", "pos").select("value").write.mode("overwrite").text(path)
