@@ -490,13 +490,13 @@ def q_head_n(spark, sf):
 
 @register("union_runs", f"""with v1 as ({O.V1}), {O.EXTRACTED}, v2 as ({O.V2})
 select * from (select cast(row_key as varchar) as row_key, model, perspective_run, answer,
-                      cast(length(reason) as int) as reason_chars from x where answer is not null and reason is not null)
+                      cast(length(reason) as double) as reason_chars from x where answer is not null and reason is not null)
 union all by name
 select * from (select row_key, model, perspective_run, answer, care_count from v2)""")
 def q_union_runs(spark, sf):
     a = X.extract_and_clean(json_responses(spark, sf)).select(
         F.col("row_key").cast("string").alias("row_key"), "model", "perspective_run", "answer",
-        F.length("reason").cast("int").alias("reason_chars"))
+        F.length("reason").cast("double").alias("reason_chars"))
     b = scored_rows(spark, sf).select("row_key", "model", "perspective_run", "answer", "care_count")
     return P.union_runs([a, b])
 
