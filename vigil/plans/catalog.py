@@ -859,3 +859,28 @@ def q_classifier_scores(spark, sf):
     kept = X.extract_and_clean(json_responses(spark, sf)).select("row_key", "reason")
     scored = apply_text_classifiers(kept, models, text_col="reason")
     return scored.select("row_key", "quality_mscore", "toxic_mscore")
+
+
+# ---------------------------------------------------------------- join-shaped operators
+
+PERSPECTIVE_LABELS = {"F": "Finished", "O": "Open"}
+
+
+@register("label_lookup", f"""with v2 as ({O.V2}),
+p as (select distinct perspective from v2),
+l as (select * from (values {', '.join(f"('{k}', '{v}')" for k, v in PERSPECTIVE_LABELS.items())}) t(key, label))
+select p.perspective, coalesce(l.label, p.perspective) as perspective_label from p left join l on p.perspective = l.key""")
+def q_label_lookup(spark, sf):
+    p = scored_rows(spark, sf).select("perspective").distinct()
+    return X.display_name(p, "perspective", PERSPECTIVE_LABELS, out="perspective_label")
+
+
+@register("positional_attach", f"""with v1 as ({O.V1}), {O.EXTRACTED},
+{O.lex_map_sql(False)}, {O.per_row_counts_sql('x', 'row_key', 'response', False)},
+scored as (select x.row_key, x.answer, {O.score_select_sql('cnt.')} from x left join cnt using (row_key))
+select row_key, answer, {', '.join(f'{f}_count' for f in O.FOUNDATIONS)} from scored""")
+def q_positional_attach(spark, sf):
+    """Answers and scores are attached to their own rows in one projection; no row is dropped."""
+    x = X.extract_answer_reason(json_responses(spark, sf))
+    s = L.lexicon_scores(x, small_lexicon(spark), col="response", stopwords=None)
+    return s.select("row_key", "answer", *[f"{f}_count" for f in O.FOUNDATIONS])
