@@ -16,14 +16,20 @@ def is_yes(answer="answer", positive: str = "Yes") -> Column:
 
 
 def nan_to_null(col) -> Column:
-    """pandas skips NaN in means; Spark does not, so NaN becomes NULL."""
-    c = _c(col).cast("double")
-    return F.when(F.isnan(c), F.lit(None).cast("double")).otherwise(c)
+    """pandas skips NaN in means; Spark does not, so NaN becomes NULL.
+
+    ``nanvl`` references its input once, so nested uses (ratios of sums of
+    ratios) stay linear in size when Catalyst inlines them into filters.
+    """
+    return F.nanvl(_c(col).cast("double"), F.lit(None).cast("double"))
 
 
 def safe_ratio(num, den, zero_as=None) -> Column:
-    """num / den with den = 0 giving ``zero_as`` (NULL by default)."""
-    q = F.try_divide(_c(num).cast("double"), F.nullif(_c(den).cast("double"), F.lit(0.0)))
+    """num / den with den = 0 giving ``zero_as`` (NULL by default).
+
+    ``try_divide`` yields NULL for a zero divisor and references ``den`` once.
+    """
+    q = F.try_divide(_c(num).cast("double"), _c(den).cast("double"))
     return q if zero_as is None else F.coalesce(q, F.lit(float(zero_as)))
 
 

@@ -24,13 +24,18 @@ def _bounded_levels(df: DataFrame, cols: Sequence[str], max_levels: int) -> Data
 
 def dense_skeleton(values: DataFrame, level_sets: Sequence[DataFrame | Sequence[str]],
                    source: DataFrame | None = None, fill: Mapping | None = None,
-                   max_levels: int = MAX_SKELETON_LEVELS) -> DataFrame:
+                   max_levels: int = MAX_SKELETON_LEVELS, materialize: bool = False) -> DataFrame:
     """Left-join ``values`` onto the product of key level sets (``reindex``).
 
     Each level set is a small DataFrame of keys, or column names whose distinct
-    values are taken from ``source``.  Level sets are size-checked before they
-    are broadcast; the product is the dense output itself.
+    values are taken from ``source`` (default: ``values``).  Level sets are
+    size-checked before they are broadcast; the product is the dense output
+    itself.  ``materialize`` checkpoints a small ``values`` table first, so that
+    deriving level sets from it does not re-run the plan that produced it.
     """
+    if materialize:
+        values = values.checkpoint(eager=True)
+    source = values if source is None else source
     skel = None
     keys: list[str] = []
     for ls in level_sets:
@@ -56,7 +61,10 @@ def pivot_matrix(df: DataFrame, page_keys: Sequence[str] = ("model", "perspectiv
     piv = (df.where(F.col(row).isNotNull())
            .groupBy(*page_keys, row).pivot(col, list(col_values)).agg(F.avg(value)))
     piv = piv.withColumnsRenamed({str(v): f"{prefix}{v}" for v in col_values})
-    return dense_skeleton(piv, [[k] for k in page_keys] + [[row]], source=df)
+    # Every observed (page, row level) is a group of ``piv``: the level sets
+    # come from that small table, checkpointed once, so the source is scanned
+    # a single time.
+    return dense_skeleton(piv, [[k] for k in page_keys] + [[row]], materialize=True)
 
 
 def gap_clusters(df: DataFrame, keys: Sequence[str] = ("model",), value: str = "median",

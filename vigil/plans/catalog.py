@@ -460,9 +460,11 @@ select skel.model, skel.perspective_run, cast(coalesce(n, 0) as bigint) as n
 from skel left join vals using (model, perspective_run)""")
 def q_dense_skeleton(spark, sf):
     v2 = scored_rows(spark, sf)
-    vals = (v2.where((F.col("answer") == "Yes") & (F.col("care_count") == 0) & (F.col("closeness_level") == 1))
-            .groupBy("model", "perspective_run").agg(F.count(F.lit(1)).alias("n")))
-    return P.dense_skeleton(vals, [["model"], ["perspective_run"]], source=v2, fill={"n": 0})
+    # One pass: conditional counts over every observed (model, run) pair; the
+    # skeleton then adds the pairs that never occur together.
+    cond = (F.col("answer") == "Yes") & (F.col("care_count") == 0) & (F.col("closeness_level") == 1)
+    vals = v2.groupBy("model", "perspective_run").agg(F.count_if(cond).alias("n"))
+    return P.dense_skeleton(vals, [["model"], ["perspective_run"]], fill={"n": 0}, materialize=True)
 
 
 ORDER_LIST = ["P", "X", "F", "O", "Z"]

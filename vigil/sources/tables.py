@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
-    """Read ``<sf_dir>/<name>.parquet``; selecting ``columns`` prunes the scan."""
+def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None,
+               spread: bool = True) -> DataFrame:
+    """Read ``<sf_dir>/<name>.parquet``; selecting ``columns`` prunes the scan.
+
+    A parquet row group is never split, so a table stored as fewer files than
+    the cluster has cores would be scanned (and all per-row work after it run)
+    by a few tasks.  With ``spread`` such a small input is dealt round-robin to
+    ``defaultParallelism`` partitions; an input of many files, as at scale, is
+    left alone and costs no shuffle.
+    """
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return df.select(*columns) if columns else df
+    if columns:
+        df = df.select(*columns)
+    if spread:
+        target = spark.sparkContext.defaultParallelism
+        if target > 1 and len(df.inputFiles()) < target:
+            df = df.repartition(target)
+    return df
