@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigil.functions.numeric import nan_to_null, safe_ratio
+from vigil.plans.fused import filter_project
 
 MORAL5 = ("care_ratio", "fairness_ratio", "loyalty_ratio", "authority_ratio", "sanctity_ratio")
 MORAL4 = MORAL5[:4]
@@ -56,10 +57,9 @@ def renormalise(df: DataFrame, keep: Sequence[str] = MORAL4, all_parts: Sequence
         parts = [F.coalesce(nan_to_null(c), F.lit(0.0)) for c in cols]
         return sum(parts[1:], parts[0])
 
-    d = df.where(rsum(all_parts) > 0).where(rsum(keep) > 0)
-    s = "__vigil_sum4"
-    d = d.withColumn(s, rsum(keep))
-    return d.withColumns({c: nan_to_null(c) / F.col(s) for c in keep}).drop(s)
+    s4 = rsum(keep)
+    # Fused so the sums are evaluated once per row (see vigil.plans.fused).
+    return filter_project(df, (rsum(all_parts) > 0) & (s4 > 0), {c: nan_to_null(c) / s4 for c in keep})
 
 
 # ---------------------------------------------------------------- M1
