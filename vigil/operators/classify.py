@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -95,36 +96,43 @@ def classifier_scores(df: DataFrame, scorers: Mapping[str, Callable[[], Scorer]]
 
 def train_text_classifiers(train: DataFrame, text_col: str, label_cols: Sequence[str],
                            num_features: int = 1 << 18, reg: float = 0.01, max_iter: int = 50) -> dict:
-    """Fit one ``pyspark.ml`` pipeline per label column (tokenise, hash,
-    logistic regression).  Training is distributed; models are small."""
+    """Fit one shared feature pipeline (tokenise, hash, IDF) and one logistic
+    regression per label column.  Training is distributed; models are small."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer
 
-    models = {}
-    for lab in label_cols:
-        pipe = Pipeline(stages=[
-            RegexTokenizer(inputCol="__text", outputCol="__tok", pattern="[a-zA-Z]+", gaps=False,
-                           toLowercase=True),
-            HashingTF(inputCol="__tok", outputCol="__tf", numFeatures=num_features),
-            IDF(inputCol="__tf", outputCol="__feat"),
-            LogisticRegression(featuresCol="__feat", labelCol="__label", probabilityCol="__prob",
-                               rawPredictionCol="__raw", predictionCol="__pred",
-                               regParam=reg, maxIter=max_iter),
-        ])
-        models[lab] = pipe.fit(train.select(F.coalesce(F.col(text_col), F.lit("")).alias("__text"),
-                                            F.col(lab).cast("double").alias("__label")))
-    return models
-
-
-def apply_text_classifiers(df: DataFrame, models: Mapping, text_col: str = "reason",
+    feats = Pipeline(stages=[
+        RegexTokenizer(inputCol="__text", outputCol="__tok", pattern="[a-zA-Z]+", gaps=False, toLowercase=True),
+        HashingTF(inputCol="__tok", outputCol="__tf", numFeatures=num_features),
+        IDF(inputCol="__tf", outputCol="__feat"),
+    ])
+    base = train.select(F.coalesce(F.col(text_col), F.lit("")).alias("__text"),
+                        *[F.col(lab).cast("double").alias(lab) for lab in label_cols])
+    fmodel = feats.fit(base)
+    # Iterative training passes over the features many times: keep the
+    # (sparse) training vectors instead of re-tokenising the text per pass.
+    featured = fmodel.transform(base).select("__feat", *label_cols).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        models = {}
+        for lab in label_cols:
+            lr = LogisticRegression(featuresCol="__feat", labelCol=lab, probabilityCol="__prob",
+                                    rawPredictionCol="__raw", predictionCol="__pred", regParam=reg,
+                                    maxIter=max_iter)
+            models[lab] = lr.fit(featured.where(F.col(lab).isNotNull()))
+    finally:
+        featured.unpersist()
+    return {"features": fmodel, "models": models}
+
+
+def apply_text_classifiers(df: DataFrame, trained: Mapping, text_col: str = "reason",
                            suffix: str = "_mscore") -> DataFrame:
-    """M1 Spark-native: add ``<name>_mscore`` = P(class 1) for every model."""
+    """M1 Spark-native: add ``<name>_mscore`` = P(class 1) for every model;
+    features are computed once per row and shared by all models."""
     from pyspark.ml.functions import vector_to_array
 
-    out = df.withColumn("__text", F.coalesce(F.col(text_col), F.lit("")))
-    for name, model in models.items():
-        scored = model.transform(out)
-        out = scored.withColumn(f"{name}{suffix}", vector_to_array(F.col("__prob"))[1]) \
-            .drop("__tok", "__tf", "__feat", "__prob", "__raw", "__pred")
-    return out.drop("__text")
+    out = trained["features"].transform(df.withColumn("__text", F.coalesce(F.col(text_col), F.lit(""))))
+    for name, model in trained["models"].items():
+        out = model.transform(out)
+        out = out.withColumn(f"{name}{suffix}", vector_to_array(F.col("__prob"))[1]).drop("__prob", "__raw", "__pred")
+    return out.drop("__text", "__tok", "__tf", "__feat")

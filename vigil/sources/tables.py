@@ -11,15 +11,31 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] |
 
     A parquet row group is never split, so a table stored as fewer files than
     the cluster has cores would be scanned (and all per-row work after it run)
-    by a few tasks.  With ``spread`` such a small input is dealt round-robin to
-    ``defaultParallelism`` partitions; an input of many files, as at scale, is
-    left alone and costs no shuffle.
+    by a few tasks.  With ``spread`` such an input, when it holds at least
+    ``SPREAD_BYTES_PER_TASK`` per core, is dealt round-robin to
+    ``defaultParallelism`` partitions; tiny dimension tables stay one task, and
+    an input of many files, as at scale, is left alone and costs no shuffle.
     """
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     if columns:
         df = df.select(*columns)
     if spread:
         target = spark.sparkContext.defaultParallelism
-        if target > 1 and len(df.inputFiles()) < target:
+        files = df.inputFiles()
+        if target > 1 and len(files) < target and _total_bytes(spark, files) >= target * SPREAD_BYTES_PER_TASK:
             df = df.repartition(target)
     return df
+
+
+# Below this many input bytes per core a single scan task is cheaper than a shuffle.
+SPREAD_BYTES_PER_TASK = 512 * 1024
+
+
+def _total_bytes(spark: SparkSession, files: list[str]) -> int:
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    total = 0
+    for f in files:
+        p = jvm.org.apache.hadoop.fs.Path(f)
+        total += p.getFileSystem(conf).getFileStatus(p).getLen()
+    return total
