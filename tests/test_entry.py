@@ -19,7 +19,7 @@ def test_oracles_pair_with_queries():
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
     assert {"ols_hc3", "map_responder", "classifier_scores"} == set(q) - set(o)
-    assert len(q) >= 66
+    assert len(q) >= 63
 
 
 @pytest.mark.parametrize("key", sorted(E.queries()))
