@@ -78,20 +78,40 @@ def row_seed(seed: int, *cols) -> Column:
     return F.conv(F.substring(F.md5(s), 1, 8), 16, 10).cast("long")
 
 
-def mix32_uniforms(h, b):
-    """numpy: uniforms for row seeds ``h`` and replicate ids ``b`` (broadcasting)."""
+def mix32_words(h, b):
+    """numpy: the 32-bit draws for row seeds ``h`` and replicate ids ``b``
+    (broadcasting).  uint32 arithmetic wraps modulo 2^32 by itself."""
     import numpy as np
 
-    m = np.uint64(_M32)
-    x = (np.asarray(h, dtype=np.uint64) + (np.asarray(b, dtype=np.uint64) + np.uint64(1))
-         * np.uint64(MIX_GOLDEN)) & m
+    x = np.asarray(h).astype(np.uint32) + (np.asarray(b).astype(np.uint32) + np.uint32(1)) * np.uint32(MIX_GOLDEN)
     for _ in range(2):
-        x = x ^ (x >> np.uint64(16))
-        x = (x * np.uint64(MIX_C1)) & m
-        x = x ^ (x >> np.uint64(15))
-        x = (x * np.uint64(MIX_C2)) & m
-        x = x ^ (x >> np.uint64(16))
-    return x.astype(np.float64) / 4294967296.0
+        x ^= x >> np.uint32(16)
+        x *= np.uint32(MIX_C1)
+        x ^= x >> np.uint32(15)
+        x *= np.uint32(MIX_C2)
+        x ^= x >> np.uint32(16)
+    return x
+
+
+def mix32_uniforms(h, b):
+    """numpy: uniforms in [0, 1) (``mix32_words / 2^32``)."""
+    import numpy as np
+
+    return mix32_words(h, b).astype(np.float64) / 4294967296.0
+
+
+def poisson1_from_words(x, kmax: int = 12):
+    """Poisson(1) weights from 32-bit draws: the number of thresholds
+    ``P(X <= k)`` at or below ``x / 2^32``, compared as integers
+    (``x / 2^32 >= p  <=>  x >= ceil(p * 2^32)``)."""
+    import math
+
+    import numpy as np
+
+    w = np.zeros(np.shape(x), dtype=np.uint8)
+    for p in poisson1_thresholds(kmax):
+        w += x >= np.uint32(min(math.ceil(p * 4294967296.0), 4294967295))
+    return w
 
 
 def mix32_sql_ctes(src: str, name: str, h_col: str = "h", b_col: str = "b") -> tuple[str, str]:

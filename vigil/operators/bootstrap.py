@@ -30,8 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
-from vigil.functions.hashing import (mix32_uniforms, poisson1_thresholds, poisson1_weight, row_seed,
-                                     unit_hash)
+from vigil.functions.hashing import mix32_words, poisson1_from_words, poisson1_weight, row_seed, unit_hash
 from vigil.functions.numeric import nan_to_null
 from vigil.operators.report import dense_skeleton
 
@@ -42,17 +41,13 @@ def _names(ci: int) -> tuple[str, str]:
     return f"ci{ci}_low", f"ci{ci}_high"
 
 
-def _poisson_from_uniform(u: np.ndarray, kmax: int = 12) -> np.ndarray:
-    return np.searchsorted(np.asarray(poisson1_thresholds(kmax)), u, side="right").astype(np.float64)
-
-
 def _mean_partials(d: DataFrame, keys: list[str], cols: list[str], n_boot: int) -> DataFrame:
     """(keys, __b, __s_i, __w_i) partial sums per batch and group."""
     key_fields = [d.schema[k] for k in keys]
     schema = StructType(key_fields + [StructField("__b", IntegerType(), False)]
                         + [StructField(f"__s_{i}", DoubleType(), False) for i in range(len(cols))]
                         + [StructField(f"__w_{i}", DoubleType(), False) for i in range(len(cols))])
-    bs = np.arange(n_boot, dtype=np.uint64)
+    bs = np.arange(n_boot, dtype=np.uint32)
 
     def run(batches):
         for pdf in batches:
@@ -61,14 +56,14 @@ def _mean_partials(d: DataFrame, keys: list[str], cols: list[str], n_boot: int)
             groups = pdf.groupby(keys, dropna=False, sort=False) if keys else [((), pdf)]
             for kv, g in groups:
                 kv = kv if isinstance(kv, tuple) else (kv,)
-                h = g["__h"].to_numpy(dtype=np.int64).astype(np.uint64)
+                h = g["__h"].to_numpy(dtype=np.int64).astype(np.uint32)
                 x = g[cols].to_numpy(dtype=np.float64)
                 ok = ~np.isnan(x)
                 x0 = np.where(ok, x, 0.0)
                 s = np.zeros((n_boot, len(cols)))
                 wn = np.zeros((n_boot, len(cols)))
                 for a in range(0, len(g), CHUNK_ROWS):
-                    w = _poisson_from_uniform(mix32_uniforms(h[a:a + CHUNK_ROWS, None], bs[None, :]))
+                    w = poisson1_from_words(mix32_words(h[a:a + CHUNK_ROWS, None], bs[None, :])).astype(np.float64)
                     s += w.T @ x0[a:a + CHUNK_ROWS]
                     wn += w.T @ ok[a:a + CHUNK_ROWS].astype(np.float64)
                 out = {k: [v] * n_boot for k, v in zip(keys, kv)}
@@ -88,14 +83,14 @@ def _median_weights(d: DataFrame, keys: list[str], cols: list[str], n_boot: int)
                                       StructField("__m", IntegerType(), False),
                                       StructField("__v", DoubleType(), False),
                                       StructField("__w", LongType(), False)])
-    bs = np.arange(n_boot, dtype=np.uint64)
+    bs = np.arange(n_boot, dtype=np.uint32)
 
     def run(batches):
         for pdf in batches:
             for a in range(0, len(pdf), CHUNK_ROWS):
                 part = pdf.iloc[a:a + CHUNK_ROWS]
-                h = part["__h"].to_numpy(dtype=np.int64).astype(np.uint64)
-                w = _poisson_from_uniform(mix32_uniforms(h[:, None], bs[None, :])).astype(np.int64)
+                h = part["__h"].to_numpy(dtype=np.int64).astype(np.uint32)
+                w = poisson1_from_words(mix32_words(h[:, None], bs[None, :])).astype(np.int64)
                 rows, reps = np.nonzero(w)
                 for i, c in enumerate(cols):
                     x = part[c].to_numpy(dtype=np.float64)
