@@ -80,8 +80,8 @@ def ols_hc3(df: DataFrame, keys: Sequence[str] = ("model", "perspective"),
     e = F.col("__y") - F.col("my") - F.col("b1") * d1 - F.col("b2") * d2
     h = F.lit(1.0) / F.col("n") + d1 * q1 + d2 * q2
     w = F.pow(e / (F.lit(1.0) - h), 2)
-    meat = rows.groupBy(*gk).agg(
-        F.first("n").alias("n"), F.first("b1").alias("b1"), F.first("b2").alias("b2"),
+    # n, b1, b2 are fixed per group: grouping by them carries them through.
+    meat = rows.groupBy(*gk, "n", "b1", "b2").agg(
         F.sum(w * q1 * q1).alias("v1"), F.sum(w * q2 * q2).alias("v2"), F.max(h).alias("hmax"))
     good_h = F.col("hmax") < F.lit(1.0 - eps)
     z = _z(level)
