@@ -66,11 +66,13 @@ def _mean_partials(d: DataFrame, keys: list[str], cols: list[str], n_boot: int)
                     w = poisson1_from_words(mix32_words(h[a:a + CHUNK_ROWS, None], bs[None, :])).astype(np.float64)
                     s += w.T @ x0[a:a + CHUNK_ROWS]
                     wn += w.T @ ok[a:a + CHUNK_ROWS].astype(np.float64)
-                out = {k: [v] * n_boot for k, v in zip(keys, kv)}
-                out["__b"] = np.arange(n_boot, dtype=np.int32)
+                # replicate -1 carries the plain sums (weight 1): the point
+                # estimate comes out of the same pass, no second scan
+                out = {k: [v] * (n_boot + 1) for k, v in zip(keys, kv)}
+                out["__b"] = np.arange(-1, n_boot, dtype=np.int32)
                 for i in range(len(cols)):
-                    out[f"__s_{i}"] = s[:, i]
-                    out[f"__w_{i}"] = wn[:, i]
+                    out[f"__s_{i}"] = np.concatenate([[x0[:, i].sum()], s[:, i]])
+                    out[f"__w_{i}"] = np.concatenate([[float(ok[:, i].sum())], wn[:, i]])
                 yield pd.DataFrame(out)
 
     return d.mapInPandas(run, schema)
@@ -118,21 +120,34 @@ def bootstrap_ci(df: DataFrame, keys: Sequence[str], cols: Sequence[str], row_ke
     d = df.select(*keys, *rk, *[nan_to_null(c).alias(c) for c in cols])
 
     stat_fn = (lambda c: F.avg(c)) if stat == "mean" else (lambda c: F.percentile(c, F.lit(0.5)))
+    qarr = F.array(*[F.lit(x) for x in q])
+
+    if method == "mix32" and stat == "mean":
+        # One pass over the rows: replicate sums and (as replicate -1) the
+        # plain sums that give the point estimate and n.
+        dh = d.select(*keys, *cols, row_seed(seed, *rk).alias("__h"))
+        part = _mean_partials(dh, keys, cols, n_boot)
+        sums = part.groupBy(*keys, "__b").agg(*[F.sum(f"__s_{i}").alias(f"__s_{i}") for i in range(len(cols))],
+                                             *[F.sum(f"__w_{i}").alias(f"__w_{i}") for i in range(len(cols))])
+        rep = F.col("__b") >= 0
+        aggs = []
+        for i in range(len(cols)):
+            ratio = F.try_divide(F.col(f"__s_{i}"), F.col(f"__w_{i}"))
+            aggs += [F.max(F.when(~rep, ratio)).alias(f"__p_{i}"),
+                     F.max(F.when(~rep, F.col(f"__w_{i}"))).cast("long").alias(f"__n_{i}"),
+                     F.percentile(F.when(rep, ratio), qarr).alias(f"__c_{i}")]
+        wide = sums.groupBy(*keys).agg(*aggs)
+        return _long(wide, keys, cols, stat, lo, hi, metric)
+
     point = d.groupBy(*keys).agg(*[stat_fn(c).alias(f"__p_{i}") for i, c in enumerate(cols)],
                                  *[F.count(c).alias(f"__n_{i}") for i, c in enumerate(cols)])
 
-    if method == "mix32":
+    if method == "mix32":  # median: exact weighted median per (group, replicate)
         dh = d.select(*keys, *cols, row_seed(seed, *rk).alias("__h"))
-        if stat == "mean":
-            part = _mean_partials(dh, keys, cols, n_boot)
-            reps = part.groupBy(*keys, "__b").agg(
-                *[F.try_divide(F.sum(f"__s_{i}"), F.nullif(F.sum(f"__w_{i}"), F.lit(0.0))).alias(f"__r_{i}")
-                  for i in range(len(cols))])
-        else:
-            wv = _median_weights(dh, keys, cols, n_boot)
-            med = wv.groupBy(*keys, "__b", "__m").agg(F.percentile("__v", F.lit(0.5), F.col("__w")).alias("__r"))
-            reps = med.groupBy(*keys, "__b").agg(
-                *[F.max(F.when(F.col("__m") == i, F.col("__r"))).alias(f"__r_{i}") for i in range(len(cols))])
+        wv = _median_weights(dh, keys, cols, n_boot)
+        med = wv.groupBy(*keys, "__b", "__m").agg(F.percentile("__v", F.lit(0.5), F.col("__w")).alias("__r"))
+        reps = med.groupBy(*keys, "__b").agg(
+            *[F.max(F.when(F.col("__m") == i, F.col("__r"))).alias(f"__r_{i}") for i in range(len(cols))])
     elif method in ("xxhash64", "md5"):
         rep = d.select(*keys, *rk, *cols, F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("__b"))
         rep = rep.withColumn("__w", poisson1_weight(unit_hash(seed, *rk, F.col("__b"), method=method)))
@@ -147,9 +162,13 @@ def bootstrap_ci(df: DataFrame, keys: Sequence[str], cols: Sequence[str], row_ke
     else:
         raise ValueError(f"unknown method {method!r}")
 
-    cis = reps.groupBy(*keys).agg(*[F.percentile(f"__r_{i}", F.array(*[F.lit(x) for x in q])).alias(f"__c_{i}")
-                                    for i in range(len(cols))])
+    cis = reps.groupBy(*keys).agg(*[F.percentile(f"__r_{i}", qarr).alias(f"__c_{i}") for i in range(len(cols))])
     wide = point.join(cis, keys, "left") if keys else point.crossJoin(cis)
+    return _long(wide, keys, cols, stat, lo, hi, metric)
+
+
+def _long(wide: DataFrame, keys: list[str], cols: list[str], stat: str, lo: str, hi: str,
+          metric: str) -> DataFrame:
     parts = [F.struct(F.lit(c).alias(metric), F.col(f"__p_{i}").cast("double").alias(stat),
                       F.col(f"__c_{i}")[0].alias(lo), F.col(f"__c_{i}")[1].alias(hi),
                       F.col(f"__n_{i}").cast("long").alias("n"))
@@ -183,11 +202,15 @@ def yesno_summary(df: DataFrame, perspectives: Sequence[str] | None = None,
         d = d.where(F.col(perspective).isin(list(perspectives)))
     res = bootstrap_ci(d, [perspective, answer], metrics, row_key, n_boot=n_boot, ci=ci, seed=seed,
                        stat=stat, method=method)
+    # The result is small (groups x metrics): checkpoint it once, so the
+    # perspectives present come from it instead of another scan of the rows.
+    from vigil.session import materialize as _materialize
+    res = _materialize(res)
     names = dict(metric_names or default_metric_names(metrics))
     ans = spark.createDataFrame([(a, i) for i, a in enumerate(answers)], f"{answer} string, answer_pos int")
     met = spark.createDataFrame([(m, names.get(m, m), i) for i, m in enumerate(metrics)],
                                 "metric string, metric_name string, metric_pos int")
-    present = d.select(perspective).where(F.col(perspective).isNotNull()).distinct()
+    present = res.select(perspective).where(F.col(perspective).isNotNull()).distinct()
     if perspectives is not None:
         order = spark.createDataFrame([(p, i) for i, p in enumerate(perspectives)],
                                       f"{perspective} string, perspective_pos int")
@@ -195,6 +218,10 @@ def yesno_summary(df: DataFrame, perspectives: Sequence[str] | None = None,
     else:
         present = present.withColumn("perspective_pos", F.lit(None).cast("int"))
     out = dense_skeleton(res, [present, ans, met], fill={"n": 0})
+    return _summary_cols(out, perspective, answer, stat, ci)
+
+
+def _summary_cols(out, perspective, answer, stat, ci):
     lo, hi = _names(ci)
     return out.select(perspective, answer, "metric", "metric_name", stat, lo, hi, "n",
                       "perspective_pos", "answer_pos", "metric_pos")

@@ -34,7 +34,8 @@ def dense_skeleton(values: DataFrame, level_sets: Sequence[DataFrame | Sequence[
     deriving level sets from it does not re-run the plan that produced it.
     """
     if materialize:
-        values = values.checkpoint(eager=True)
+        from vigil.session import materialize as _materialize
+        values = _materialize(values)
     source = values if source is None else source
     skel = None
     keys: list[str] = []
