@@ -104,3 +104,17 @@ def test_profile_and_median(spark):
     pm = R.profile_means(df, value_cols=["report_ratio"], long=True).collect()
     assert {(r.perspective, r.metric) for r in pm} == {("p", "report_ratio"), ("q", "report_ratio")}
     assert math.isclose([r.value for r in pm if r.perspective == "p"][0], 0.2)
+
+
+def test_bracket_median_matches_exact(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    rows = [("big", float(v)) for v in rng.normal(0, 1, 40_001)]
+    rows += [("even", float(v)) for v in rng.integers(0, 50, 1000)] + [("one", 3.0), ("dup", 1.0), ("dup", 1.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    exact = {r.g: r.median for r in R.group_median(df, ["g"], "v", method="exact").collect()}
+    for kw in ({}, {"accuracy": 1000, "small_group": 10}):
+        got = {r.g: r.median for r in R.group_median(df, ["g"], "v", **kw).collect()}
+        assert got == exact
+    assert exact["big"] == float(np.median([r[1] for r in rows if r[0] == "big"]))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from vigil.functions.numeric import is_yes, nan_to_null, round_half_even
 from vigil.functions.text import strip_run_suffix
+from vigil.plans.sizing import bounded_broadcast
 
 DEFAULT_CORNERS = ((1, 4), (4, 1))
 
@@ -73,12 +74,55 @@ def profile_means(df: DataFrame, keys: Sequence[str] = ("model", "perspective"),
 
 
 def group_median(df: DataFrame, keys: Sequence[str] = ("model", "perspective"),
-                 col: str = "report_ratio", out: str = "median", exact: bool = True,
-                 accuracy: int = 10000) -> DataFrame:
-    """A5: median per group (exact by default, linear interpolation); NULL/NaN skipped."""
+                 col: str = "report_ratio", out: str = "median", method: str = "bracket",
+                 accuracy: int = 100_000, small_group: int = 50_000) -> DataFrame:
+    """A5: median per group (linear interpolation), NULL/NaN skipped, empty groups absent.
+
+    ``bracket`` (default) is exact and never holds a whole group in one task:
+    pass 1 gets n and approximate quantiles just below and above the median
+    (rank error <= n / accuracy); pass 2 counts the rows below the bracket and
+    ranks only the rows inside it (about 6n / accuracy per group, or the whole
+    group when n <= ``small_group``).  ``exact`` is Spark's ``percentile``
+    (keeps a group's distinct values in one task: fine for report-sized
+    inputs).  ``approx`` is ``percentile_approx``.
+    """
+    keys = list(keys)
     v = nan_to_null(col)
-    m = F.percentile(v, F.lit(0.5)) if exact else F.percentile_approx(v, 0.5, accuracy)
-    return (df.where(v.isNotNull()).groupBy(*keys).agg(m.cast("double").alias(out)))
+    d = df.select(*keys, v.alias("__v")).where(F.col("__v").isNotNull())
+    if method == "exact":
+        return d.groupBy(*keys).agg(F.percentile("__v", F.lit(0.5)).cast("double").alias(out))
+    if method == "approx":
+        return d.groupBy(*keys).agg(F.percentile_approx("__v", 0.5, accuracy).cast("double").alias(out))
+    if method != "bracket":
+        raise ValueError(f"unknown method {method!r}")
+    delta = 3.0 / accuracy
+    s = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"),
+                             F.percentile_approx("__v", F.array(F.lit(max(0.0, 0.5 - delta)),
+                                                                F.lit(min(1.0, 0.5 + delta))),
+                                                 accuracy).alias("__q"))
+    small = F.col("__n") <= F.lit(small_group)
+    s = s.select(*keys, "__n",
+                 F.when(small, F.lit(float("-inf"))).otherwise(F.col("__q")[0]).alias("__lo"),
+                 F.when(small, F.lit(float("inf"))).otherwise(F.col("__q")[1]).alias("__hi"),
+                 # 0-based ranks of the two order statistics around the median
+                 F.floor((F.col("__n") - 1) / 2).cast("long").alias("__k1"),
+                 F.ceil((F.col("__n") - 1) / 2).cast("long").alias("__k2"))
+    j = d.join(bounded_broadcast(s, 1_000_000), keys, "inner")
+    below = j.groupBy(*keys).agg(F.count_if(F.col("__v") < F.col("__lo")).alias("__below"))
+    inside = j.where((F.col("__v") >= F.col("__lo")) & (F.col("__v") <= F.col("__hi")))
+    w = Window.partitionBy(*keys).orderBy("__v")
+    ranked = inside.join(below, keys, "inner").withColumn(
+        "__r", F.row_number().over(w) - 1 + F.col("__below"))
+    picked = ranked.where((F.col("__r") == F.col("__k1")) | (F.col("__r") == F.col("__k2")))
+    res = picked.groupBy(*keys).agg(
+        F.max(F.when(F.col("__r") == F.col("__k1"), F.col("__v"))).alias("__v1"),
+        F.max(F.when(F.col("__r") == F.col("__k2"), F.col("__v"))).alias("__v2"))
+    # a missing order statistic would mean the bracket missed the median:
+    # fail loudly rather than return a wrong value
+    med = F.when(F.col("__v1").isNull() | F.col("__v2").isNull(),
+                 F.raise_error(F.lit("median bracket missed; raise accuracy")).cast("double")) \
+        .otherwise((F.col("__v1") + F.col("__v2")) / 2.0)
+    return res.select(*keys, med.alias(out))
 
 
 def model_order(stats: DataFrame, metric: str = "overall_yes_ratio", first: str | None = None,
