@@ -134,3 +134,22 @@ def test_kde_matches_numpy(spark):
     assert max(abs(a[1] - b) for a, b in zip(out, grid)) < 1e-12
     assert max(abs(a[2] - b) for a, b in zip(out, dens)) < 1e-12
     assert abs(np.trapezoid([o[2] for o in out], grid) - 1) < 0.01
+
+
+def test_bootstrap_degenerate_inputs(spark):
+    rows = [("single", "s0", 0.4), ("same", "a0", 0.25), ("same", "a1", 0.25), ("same", "a2", 0.25),
+            ("nan", "n0", float("nan")), ("nan", "n1", 0.5), ("nan", "n2", None)]
+    df = spark.createDataFrame(rows, "grp string, row_key string, v double")
+    out = {r.grp: r for r in bootstrap_ci(df, ["grp"], ["v"], "row_key", n_boot=100).collect()}
+    assert out["single"].mean == 0.4 and out["single"].n == 1
+    # replicates with weight 0 drop out; the others equal the value up to rounding of k*x/k
+    assert out["single"].ci95_low == pytest.approx(0.4, abs=1e-15) and out["single"].ci95_high == pytest.approx(0.4, abs=1e-15)
+    assert out["same"].ci95_low == pytest.approx(0.25, abs=1e-15) and out["same"].ci95_high == pytest.approx(0.25, abs=1e-15)
+    assert out["nan"].n == 1 and out["nan"].mean == 0.5                        # NaN and NULL removed
+
+
+def test_kde_single_group_output_shape(spark):
+    df = spark.createDataFrame([("m", "p", float(i) / 10) for i in range(10)],
+                               "model string, perspective string, report_ratio double")
+    out = grouped_kde(df, gridsize=50).collect()
+    assert len(out) == 50 and sorted(r.point for r in out) == list(range(50))
