@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from vigil.functions.hashing import unit_hash
 from vigil.functions.text import render_template as _render
-from vigil.plans.sizing import row_count_at_most
+from vigil.plans.sizing import row_count_at_most, row_counts_at_most
 
 MAX_FACTOR_LEVELS = 1_000_000
 MAX_GRID_ROWS = 10_000_000_000
@@ -32,15 +32,17 @@ def factor_grid(factors: Sequence[DataFrame], nested: Sequence[tuple[DataFrame,
     """Product of independent ``factors``; each ``nested`` table is a
     child factor joined on its parent key(s) (levels that depend on a parent).
     """
+    tables = list(factors) + [c for c, _ in nested]
+    counts = row_counts_at_most(tables, max_levels)  # one job for all factor tables
+    if any(n is None for n in counts):
+        raise ValueError(f"factor table larger than {max_levels} rows")
     grid, size = None, 1
-    for dim in factors:
-        b, n = _checked(dim, max_levels)
+    for dim, n in zip(factors, counts):
         size *= n
-        grid = b if grid is None else grid.crossJoin(b)
-    for child, on in nested:
-        b, n = _checked(child, max_levels)
+        grid = F.broadcast(dim) if grid is None else grid.crossJoin(F.broadcast(dim))
+    for (child, on), n in zip(nested, counts[len(factors):]):
         size *= max(n, 1)  # upper bound of the dependent fan-out
-        grid = grid.join(b, list(on), "inner")
+        grid = grid.join(F.broadcast(child), list(on), "inner")
     if size > max_rows:
         raise ValueError(f"grid bound {size} exceeds max_rows={max_rows}")
     return grid
@@ -90,9 +92,9 @@ def sample_n(df: DataFrame, n: int, seed: int = 42, key: Sequence[str] | str = (
 def job_grid(grid: DataFrame, models: DataFrame, runs: DataFrame,
              max_levels: int = MAX_FACTOR_LEVELS) -> DataFrame:
     """Every model x every run x every prompt, as one distributed table."""
-    m, _ = _checked(models, max_levels)
-    r, _ = _checked(runs, max_levels)
-    return grid.crossJoin(m).crossJoin(r)
+    if any(n is None for n in row_counts_at_most([models, runs], max_levels)):
+        raise ValueError(f"model or run table larger than {max_levels} rows")
+    return grid.crossJoin(F.broadcast(models)).crossJoin(F.broadcast(runs))
 
 
 def route_models(df: DataFrame, routes: DataFrame | Mapping[str, str], model: str = "model",

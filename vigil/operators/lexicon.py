@@ -98,7 +98,7 @@ def lexicon_scores(df: DataFrame, lexicon: DataFrame, col: str = "response",
                    categories: Sequence[str] | None = None,
                    foundations: Sequence[str] | None = None,
                    stopwords=DEFAULT_STOPWORDS, strategy: str = "auto",
-                   key: str | None = None, max_inline_tokens: int = 200_000,
+                   key: str | None = None, max_inline_tokens: int = 50_000,
                    keep_matched: bool = False) -> DataFrame:
     """Append ``<category>_count/_ratio`` and ``<foundation>_count/_ratio``.
 

@@ -8,18 +8,16 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigil.plans.sizing import row_count_at_most
+from vigil.plans.sizing import row_counts_at_most
 
 MAX_SKELETON_LEVELS = 100_000
 
 
-def _bounded_levels(df: DataFrame, cols: Sequence[str], max_levels: int) -> DataFrame:
-    lv = df.select(*cols).where(F.greatest(*[F.col(c).isNull() for c in cols]) == F.lit(False)) \
-        if len(cols) > 1 else df.select(*cols).where(F.col(cols[0]).isNotNull())
-    lv = lv.distinct()
-    if row_count_at_most(lv, max_levels) is None:
-        raise ValueError(f"more than {max_levels} levels of {list(cols)} for a dense skeleton")
-    return F.broadcast(lv)
+def _levels(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    cond = F.lit(True)
+    for c in cols:
+        cond = cond & F.col(c).isNotNull()
+    return df.select(*cols).where(cond).distinct()
 
 
 def dense_skeleton(values: DataFrame, level_sets: Sequence[DataFrame | Sequence[str]],
@@ -37,12 +35,12 @@ def dense_skeleton(values: DataFrame, level_sets: Sequence[DataFrame | Sequence[
         from vigil.session import materialize as _materialize
         values = _materialize(values)
     source = values if source is None else source
+    levels = [ls if isinstance(ls, DataFrame) else _levels(source, list(ls)) for ls in level_sets]
+    if any(n is None for n in row_counts_at_most(levels, max_levels)):  # one job for all level sets
+        raise ValueError(f"a level set has more than {max_levels} levels; no dense skeleton")
     skel = None
     keys: list[str] = []
-    for ls in level_sets:
-        lv = ls if isinstance(ls, DataFrame) else _bounded_levels(source, list(ls), max_levels)
-        if isinstance(ls, DataFrame) and row_count_at_most(ls, max_levels) is None:
-            raise ValueError("level set too large for a dense skeleton")
+    for lv in levels:
         keys += lv.columns
         skel = F.broadcast(lv) if skel is None else skel.crossJoin(F.broadcast(lv))
     # Level tables may carry attributes (labels, positions); join on the

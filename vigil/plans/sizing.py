@@ -26,3 +26,16 @@ def collect_bounded(df: DataFrame, max_rows: int) -> list | None:
     """Rows of a dimension table, or None when it exceeds ``max_rows``."""
     rows = df.limit(max_rows + 1).collect()
     return None if len(rows) > max_rows else [tuple(r) for r in rows]
+
+
+def row_counts_at_most(dfs: list[DataFrame], limit: int) -> list[int | None]:
+    """Bounded row counts of several tables in one job (their scans run side
+    by side instead of one job per table).  None marks a table above ``limit``."""
+    if not dfs:
+        return []
+    parts = [df.limit(limit + 1).select(F.lit(i).alias("__i")) for i, df in enumerate(dfs)]
+    u = parts[0]
+    for p in parts[1:]:
+        u = u.unionByName(p)
+    got = {r["__i"]: r["n"] for r in u.groupBy("__i").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return [got.get(i, 0) if got.get(i, 0) <= limit else None for i in range(len(dfs))]
