@@ -138,3 +138,11 @@ def test_streaming_scores_match_batch(spark, tmp_path):
     q2.stop()
     r = spark.sql("select * from yes_counts").collect()[0]
     assert (r.rows, r.yes) == (6, 3)
+
+
+def test_sample_n_large_path_is_exact(spark, monkeypatch):
+    df = spark.range(20000).withColumn("k", F.col("id").cast("string"))
+    small = sorted(r.id for r in G.sample_n(df, 3000, seed=7, key="k").collect())
+    monkeypatch.setattr(G, "LARGE_SAMPLE", 100)
+    large = sorted(r.id for r in G.sample_n(df, 3000, seed=7, key="k").collect())
+    assert small == large and len(large) == 3000

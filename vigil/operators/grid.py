@@ -7,6 +7,7 @@ before the plan is returned, so the grid never grows by accident.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -17,6 +18,7 @@ from vigil.functions.text import render_template as _render
 from vigil.plans.sizing import row_count_at_most, row_counts_at_most
 
 MAX_FACTOR_LEVELS = 1_000_000
+LARGE_SAMPLE = 100_000
 MAX_GRID_ROWS = 10_000_000_000
 
 
@@ -86,7 +88,20 @@ def sample_n(df: DataFrame, n: int, seed: int = 42, key: Sequence[str] | str = (
     if n <= 0:
         return df
     u = unit_hash(seed, *keys, method=method)
-    return df.withColumn("__u", u).orderBy("__u", *keys).limit(n).drop("__u")
+    d = df.withColumn("__u", u)
+    if n > LARGE_SAMPLE:
+        # A top-n of millions would be merged by one task.  The hash is
+        # uniform, so rows with u below a threshold a little above n/N hold
+        # the n smallest; take the exact top-n of those candidates only.
+        total = df.count()
+        if n >= total:
+            return df
+        frac = n / total
+        t = min(1.0, frac + 8.0 * math.sqrt(frac * (1 - frac) / total) + 1.0 / total)
+        cand = d.where(F.col("__u") < F.lit(t))
+        if cand.count() >= n:
+            d = cand
+    return d.orderBy("__u", *keys).limit(n).drop("__u")
 
 
 def job_grid(grid: DataFrame, models: DataFrame, runs: DataFrame,
