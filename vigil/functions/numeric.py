@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,3 +43,39 @@ def round_half_even(col, digits: int = 3) -> Column:
 def coerce_numeric_col(col) -> Column:
     """``to_numeric(errors='coerce')``: bad text -> NULL, NaN -> NULL."""
     return nan_to_null(_c(col).try_cast("double"))
+
+
+# Fixed values of the erfc evaluation: the Maclaurin series of erf is summed
+# below x = 2.5 (48 terms), the Laplace continued fraction of erfc above it
+# (80 levels).  Absolute error below 5e-15 on [0, inf).
+ERFC_SPLIT = 2.5
+ERFC_SERIES_TERMS = 48
+ERFC_CF_LEVELS = 80
+
+
+def _num(v: float) -> str:
+    return f"{v:.17e}"  # scientific notation: a DOUBLE literal in Spark SQL and DuckDB alike
+
+
+def erfc_sql(x: str) -> str:
+    """SQL text of erfc(x) for x >= 0, where ``x`` names a column.
+
+    Arithmetic, ``exp`` and ``sqrt`` only (Spark and DuckDB have no erf), so it
+    stays inside whole-stage codegen; NULL in gives NULL out.  Built as text
+    and parsed once: a Column tree of this size costs a py4j call per node.
+    """
+    poly = _num(0.0)
+    for n in range(ERFC_SERIES_TERMS - 1, -1, -1):  # Horner in x^2
+        poly = f"({_num((-1) ** n / (math.factorial(n) * (2 * n + 1)))} + ({x} * {x}) * {poly})"
+    frac = x
+    for k in range(ERFC_CF_LEVELS, 0, -1):
+        frac = f"({x} + {_num(k / 2.0)} / {frac})"
+    return (f"CASE WHEN {x} < {_num(ERFC_SPLIT)} THEN {_num(1.0)} - {_num(2.0 / math.sqrt(math.pi))} * {x} * {poly} "
+            f"ELSE exp(-({x} * {x})) / ({_num(math.sqrt(math.pi))} * {frac}) END")
+
+
+def normal_two_sided_p(z: str) -> Column:
+    """Two-sided p-value of the standard normal statistic in column ``z``:
+    erfc(|z| / sqrt 2), evaluated natively."""
+    x = f"(abs(`{z}`) / {_num(math.sqrt(2.0))})"
+    return F.expr(erfc_sql(x))

@@ -9,40 +9,28 @@ Two passes of ordinary aggregates, no per-group Python:
    centred regressors); HC3 variances are sums of (e / (1 - h))^2 * q^2.
 
 A singular group (constant or collinear regressor) or a row with h = 1 gives
-NULL statistics.  p-values use the normal distribution (z test), computed
-on the result rows only (one small Arrow batch).
+NULL statistics.  p-values use the normal distribution (z test) through a
+native erfc expression, so the whole plan stays in the JVM.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.functions.numeric import nan_to_null
+from vigil.functions.numeric import nan_to_null, normal_two_sided_p
 from vigil.plans.sizing import bounded_broadcast
 
 Z975 = 1.959963984540054  # Fixed value: standard normal 97.5% quantile.
 
 
-def _z(level: float) -> float:
+def normal_quantile(level: float) -> float:
     from statistics import NormalDist
     return NormalDist().inv_cdf(0.5 + level / 2.0)
 
 
-def _normal_two_sided_p():
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("double")
-    def p_value(z: pd.Series) -> pd.Series:
-        return z.abs().map(lambda v: math.erfc(v / math.sqrt(2.0)) if v == v else float("nan"))
-
-    return p_value
-
-
 def ols_hc3(df: DataFrame, keys: Sequence[str] = ("model", "perspective"),
             ys: Sequence[str] = ("care_ratio", "fairness_ratio", "loyalty_ratio", "authority_ratio"),
             xs: Sequence[str] = ("closeness_level", "severity_level"), level: float = 0.95,
@@ -84,7 +72,7 @@ def ols_hc3(df: DataFrame, keys: Sequence[str] = ("model", "perspective"),
     meat = rows.groupBy(*gk, "n", "b1", "b2").agg(
         F.sum(w * q1 * q1).alias("v1"), F.sum(w * q2 * q2).alias("v2"), F.max(h).alias("hmax"))
     good_h = F.col("hmax") < F.lit(1.0 - eps)
-    z = _z(level)
+    z = normal_quantile(level)
     pieces = []
     for term, b, v in ((x1, "b1", "v1"), (x2, "b2", "v2")):
         se = F.when(good_h & F.col(b).isNotNull(), F.sqrt(F.col(v)))
@@ -97,5 +85,5 @@ def ols_hc3(df: DataFrame, keys: Sequence[str] = ("model", "perspective"),
     })
     if p_values:
         zstat = F.try_divide(F.col("coef"), F.nullif(F.col("se"), F.lit(0.0)))
-        out = out.withColumn("p", _normal_two_sided_p()(zstat))
+        out = out.withColumn("__z", zstat).withColumn("p", normal_two_sided_p("__z")).drop("__z")
     return out.select(*gk, "term", "coef", "se", "ci_low", "ci_high", *(["p"] if p_values else []), "n")

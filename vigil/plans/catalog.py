@@ -656,14 +656,26 @@ def q_short_model_name(spark, sf):
 from vigil.functions.hashing import mix32_sql_ctes, poisson1_weight_sql  # noqa: E402
 from vigil.operators import bootstrap as B  # noqa: E402
 from vigil.operators.density import grouped_kde  # noqa: E402
-from vigil.operators.regression import ols_hc3  # noqa: E402
+from vigil.operators.regression import normal_quantile, ols_hc3  # noqa: E402
 
 N_BOOT = 800
 
 
-@register("ols_hc3")
+RENORM_SQL = f"""{V2R},
+rn as (select model, perspective, closeness_level, severity_level,
+  {', '.join(f"{m} / ({' + '.join(f'coalesce({k}, 0)' for k in MORAL4)}) as {m}" for m in MORAL4)}
+  from v2q where {' + '.join(f'coalesce({m}, 0)' for m in MORAL5)} > 0
+             and {' + '.join(f'coalesce({m}, 0)' for m in MORAL4)} > 0)"""
+
+
+@register("ols_hc3", f"""with {RENORM_SQL},
+{O.ols_hc3_sql('rn', ['model', 'perspective'], MORAL4, "closeness_level", "severity_level", normal_quantile(0.95))}
+select model, perspective, moral, term, round(coef, 9) as coef, round(se, 9) as se, round(ci_low, 9) as ci_low,
+       round(ci_high, 9) as ci_high, round(p, 9) as p, n from ols""")
 def q_ols_hc3(spark, sf):
-    return ols_hc3(M.renormalise(_v2_ratios(spark, sf)))
+    fit = ols_hc3(M.renormalise(_v2_ratios(spark, sf)))
+    return fit.select("model", "perspective", "moral", "term", *[r9(c) for c in ("coef", "se", "ci_low", "ci_high", "p")],
+                      "n")
 
 
 def _boot_sql(src: str, keys: list[str], cols: list[str], seed: int = 0, n_boot: int = N_BOOT) -> str:

@@ -5,6 +5,7 @@ Tables are the driver's views; the fixture views are inlined as CTEs.
 
 from __future__ import annotations
 
+from vigil.functions.numeric import erfc_sql
 from vigil.functions.stopwords import english_stopwords
 from vigil.sources.fixtures import SMALL_LEXICON
 
@@ -106,3 +107,48 @@ def score_select_sql(prefix: str = "") -> str:
 
 def r9(expr: str, alias: str) -> str:
     return f"round({expr}, 9) as {alias}"
+
+
+def ols_hc3_sql(src: str, keys: list[str], ys: list[str], x1: str, x2: str, z975: float) -> str:
+    """HC3 slopes from the uncentred 3x3 normal equations (cofactor inverse).
+
+    CTEs ending in ``ols`` with columns keys, moral, term, coef, se, ci_low,
+    ci_high, p, n.  ``src`` must be a CTE name holding keys, x1, x2 and ys.
+    """
+    ks = ", ".join(keys)
+    long = " union all ".join(
+        f"select {ks}, '{y}' as moral, cast({x1} as double) as u, cast({x2} as double) as v, {y} as y "
+        f"from {src} where {y} is not null and {x1} is not null and {x2} is not null" for y in ys)
+    gk = f"{ks}, moral"
+    on = " and ".join(f"lg.{k} = g.{k}" for k in [*keys, "moral"])
+    sel = ", ".join(f"g.{k}" for k in [*keys, "moral"])
+    terms = []
+    for term, coef, var in ((x1, "b1", "v1"), (x2, "b2", "v2")):
+        terms.append(f"""select {gk}, '{term}' as term, {coef} as coef,
+  case when {coef} is not null and hmax < 1 - 1e-12 then sqrt({var}) end as se, n from meat""")
+    return f"""
+lg as ({long}),
+m as (select {gk}, count(*) as n, sum(u) as su, sum(v) as sv, sum(u * u) as suu, sum(v * v) as svv,
+             sum(u * v) as suv, sum(y) as sy, sum(u * y) as suy, sum(v * y) as svy from lg group by {gk}),
+cof as (select *, suu * svv - suv * suv as c00, sv * suv - su * svv as c01, su * suv - suu * sv as c02,
+               n * svv - sv * sv as c11, su * sv - n * suv as c12, n * suu - su * su as c22 from m),
+inv as (select *, n * c00 + su * c01 + sv * c02 as det from cof),
+g as (select *, case when c22 > 0 and c11 > 0 and (n * c00 + su * c01 + sv * c02) / n > 1e-12 * (c22 / n) * (c11 / n)
+                     then 1 end as ok from inv),
+beta as (select *, case when ok = 1 then (c00 * sy + c01 * suy + c02 * svy) / det end as b0,
+                   case when ok = 1 then (c01 * sy + c11 * suy + c12 * svy) / det end as b1,
+                   case when ok = 1 then (c02 * sy + c12 * suy + c22 * svy) / det end as b2 from g),
+rw as (select {sel}, g.n, g.b1, g.b2,
+              lg.y - g.b0 - g.b1 * lg.u - g.b2 * lg.v as e,
+              (g.c00 + 2 * g.c01 * lg.u + 2 * g.c02 * lg.v + g.c11 * lg.u * lg.u + 2 * g.c12 * lg.u * lg.v
+               + g.c22 * lg.v * lg.v) / g.det as h,
+              (g.c01 + g.c11 * lg.u + g.c12 * lg.v) / g.det as g1,
+              (g.c02 + g.c12 * lg.u + g.c22 * lg.v) / g.det as g2
+       from lg join beta g on {on}),
+meat as (select {gk}, n, b1, b2, max(h) as hmax,
+                sum(g1 * g1 * (e / (1 - h)) * (e / (1 - h))) as v1,
+                sum(g2 * g2 * (e / (1 - h)) * (e / (1 - h))) as v2 from rw group by {gk}, n, b1, b2),
+tm as ({' union all '.join(terms)}),
+tz as (select *, abs(coef / nullif(se, 0)) / sqrt(2.0e0) as zx from tm),
+ols as (select {gk}, term, coef, se, coef - {z975!r} * se as ci_low, coef + {z975!r} * se as ci_high,
+               {erfc_sql('zx')} as p, cast(n as bigint) as n from tz)"""
