@@ -620,7 +620,12 @@ def q_job_grid(spark, sf):
     return jobs.groupBy("model", "perspective_run").agg(F.count(F.lit(1)).alias("n_prompts"))
 
 
-@register("map_responder")
+@register("map_responder", f"""with {RENDER_SQL}
+select {', '.join(GRID_COLS)}, 'stub/model-a' as model,
+  case when contains(prompt, 'Brand#13') then 'stub responder: request rejected'
+       else '{{"answer": "' || case when length(prompt) % 2 = 0 then 'Yes' else 'No' end
+            || '", "reasoning": "prompt of ' || cast(length(prompt) as varchar) || ' characters"}}' end as response
+from r""")
 def q_map_responder(spark, sf):
     prompts = _rendered(spark, sf).withColumn("model", F.lit("stub/model-a"))
     out = map_responder(prompts, stub_responder, concurrency=8)
