@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from vigil.functions.numeric import is_yes, nan_to_null, round_half_even
 from vigil.functions.text import strip_run_suffix
 from vigil.plans.sizing import bounded_broadcast
+from vigil.session import materialize
 
 DEFAULT_CORNERS = ((1, 4), (4, 1))
 
@@ -107,6 +108,9 @@ def group_median(df: DataFrame, keys: Sequence[str] = ("model", "perspective"),
                  # 0-based ranks of the two order statistics around the median
                  F.floor((F.col("__n") - 1) / 2).cast("long").alias("__k1"),
                  F.ceil((F.col("__n") - 1) / 2).cast("long").alias("__k2"))
+    # One small row per group: written once to the shared checkpoint folder, so
+    # neither its size check nor the broadcast re-runs pass 1 over the input.
+    s = materialize(s)
     j = d.join(bounded_broadcast(s, 1_000_000), keys, "inner")
     below = j.groupBy(*keys).agg(F.count_if(F.col("__v") < F.col("__lo")).alias("__below"))
     inside = j.where((F.col("__v") >= F.col("__lo")) & (F.col("__v") <= F.col("__hi")))

@@ -18,6 +18,7 @@ from vigil.operators import lexicon as L
 from vigil.operators import rates as R
 from vigil.plans import oracles as O
 from vigil.plans.study import lexicon_scored_responses, with_perspective
+from vigil.session import materialize
 from vigil.sources.fixtures import json_responses, scored_rows, small_lexicon
 from vigil.sources.tables import read_table
 
@@ -340,7 +341,10 @@ def _v2_ratios(spark, sf):
 
 
 def _cells(spark, sf):
-    return R.report_ratio(_v2_ratios(spark, sf))
+    # The cell table (one row per closeness x severity x model x perspective)
+    # feeds medians, clusters and densities that read it several times:
+    # aggregate the source once and keep the small result in the shared folder.
+    return materialize(R.report_ratio(_v2_ratios(spark, sf)))
 
 
 @register("mscore_rename", f"with v2 as ({O.V2}) select row_key, {', '.join(f'{s}_count' for s in SCORE5)} from v2")
