@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from vigil.functions.hashing import mix32_uniforms, poisson1_thresholds
+from vigil.functions.hashing import mix32_words, poisson1_from_words, row_seed
+from vigil.operators import bootstrap as B
 from vigil.operators.bootstrap import bootstrap_ci, yesno_summary
 from vigil.operators.density import grouped_kde
 from vigil.operators.regression import ols_hc3
@@ -153,3 +155,22 @@ def test_kde_single_group_output_shape(spark):
                                "model string, perspective string, report_ratio double")
     out = grouped_kde(df, gridsize=50).collect()
     assert len(out) == 50 and sorted(r.point for r in out) == list(range(50))
+
+
+def test_bootstrap_median_bracket_matches_brute_force(spark, monkeypatch):
+    """Groups above SMALL_GROUP use the rank bracket; the result must equal the
+    weighted medians of the expanded replicates, computed directly."""
+    monkeypatch.setattr(B, "SMALL_GROUP", 100)
+    rng = np.random.default_rng(1)
+    rows = [(i, "g" if i % 3 else "h", float(rng.normal()) if i % 17 else None) for i in range(3000)]
+    df = spark.createDataFrame(rows, "row_key long, grp string, v double")
+    out = {r.grp: r for r in bootstrap_ci(df, ["grp"], ["v"], "row_key", n_boot=120, stat="median").collect()}
+    hs = {r.row_key: r.h for r in df.select("row_key", row_seed(0, "row_key").alias("h")).collect()}
+    for g in ("g", "h"):
+        sel = [(k, v) for k, gg, v in rows if gg == g and v is not None]
+        x = np.array([v for _, v in sel])
+        h = np.array([hs[k] for k, _ in sel], dtype=np.int64).astype(np.uint32)
+        w = poisson1_from_words(mix32_words(h[:, None], np.arange(120, dtype=np.uint32)[None, :]))
+        lo, hi = np.percentile([np.median(np.repeat(x, w[:, b])) for b in range(120)], [2.5, 97.5])
+        assert out[g].n == len(x) and abs(out[g].median - np.median(x)) < 1e-15
+        assert abs(out[g].ci95_low - lo) < 1e-12 and abs(out[g].ci95_high - hi) < 1e-12

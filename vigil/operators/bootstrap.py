@@ -10,9 +10,16 @@ weight matrix chunk by chunk and folds it into per-(group, replicate) partial
 sums with one matrix product.  Only groups x replicates partial rows per
 batch are shuffled; Spark sums them per (group, replicate), and the interval
 is the linear-interpolation percentile of the replicate statistics
-(``np.percentile``).  The median needs every weighted value of a replicate,
-so it ships (group, replicate, value, weight) rows for an exact weighted
-``percentile`` per (group, replicate).
+(``np.percentile``).
+
+The median is exact without holding a group in one task: every replicate
+median lies, with overwhelming probability, inside a bracket of ranks
+n/2 +- 5 sqrt(n) around the plain median (its rank spread is about
+sqrt(n)/2); approximate quantiles give that bracket.  Weights below it are
+summed per batch like the mean, and only the rows inside it are shipped, to
+blocks of replicates, where numpy picks the weighted order statistics.  A
+replicate median outside its bracket raises instead of returning a wrong
+value.
 
 The JVM-only engines (``xxhash64``, ``md5``) fan rows out to replicates with
 ``explode`` and rely on map-side partial aggregation; slower, no Python.
@@ -28,7 +35,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from vigil.functions.hashing import mix32_words, poisson1_from_words, poisson1_weight, row_seed, unit_hash
 from vigil.functions.numeric import nan_to_null
@@ -78,32 +85,106 @@ def _mean_partials(d: DataFrame, keys: list[str], cols: list[str], n_boot: int)
     return d.mapInPandas(run, schema)
 
 
-def _median_weights(d: DataFrame, keys: list[str], cols: list[str], n_boot: int) -> DataFrame:
-    """(keys, __b, __m, __v, __w) for every positive weight (exact weighted median)."""
-    key_fields = [d.schema[k] for k in keys]
-    schema = StructType(key_fields + [StructField("__b", IntegerType(), False),
-                                      StructField("__m", IntegerType(), False),
-                                      StructField("__v", DoubleType(), False),
-                                      StructField("__w", LongType(), False)])
-    bs = np.arange(n_boot, dtype=np.uint32)
-
-    def run(batches):
-        for pdf in batches:
-            for a in range(0, len(pdf), CHUNK_ROWS):
-                part = pdf.iloc[a:a + CHUNK_ROWS]
-                h = part["__h"].to_numpy(dtype=np.int64).astype(np.uint32)
-                w = poisson1_from_words(mix32_words(h[:, None], bs[None, :])).astype(np.int64)
-                rows, reps = np.nonzero(w)
-                for i, c in enumerate(cols):
-                    x = part[c].to_numpy(dtype=np.float64)
-                    sel = ~np.isnan(x[rows])
-                    r, b = rows[sel], reps[sel]
-                    out = {k: part[k].to_numpy()[r] for k in keys}
-                    out.update({"__b": b.astype(np.int32), "__m": np.full(len(r), i, dtype=np.int32),
-                                "__v": x[r], "__w": w[r, b]})
-                    yield pd.DataFrame(out)
-
-    return d.mapInPandas(run, schema)
+# Half-widths (as rank fractions) of the median brackets that
+# one approximate-quantile pass offers; a group takes the narrowest one that
+# holds n/2 +- 5 sqrt(n) ranks plus the sketch's rank error.
+BRACKET_RUNGS = (1e-6, 2e-6, 5e-6, 1e-5, 2e-5, 5e-5, 1e-4, 2e-4, 5e-4, 1e-3, 2e-3, 5e-3, 1e-2, 2e-2, 5e-2,
+                 0.1, 0.2, 0.5)
+MEDIAN_ACCURACY = 1_000_000
+SMALL_GROUP = 100_000
+REPS_PER_TASK = 50
+
+
+def _median_bracket(d: DataFrame, keys: list[str], cols: list[str], rk: list[str], n_boot: int, seed: int,
+                    qarr) -> DataFrame:
+    """Wide (keys, __p_i, __n_i, __c_i) for the bootstrap median.
+
+    Groups up to ``SMALL_GROUP`` values bracket everything (exact, bounded);
+    larger ones bracket ranks around the median.  Rows with a NULL key are
+    dropped, as pandas' groupby does.
+    """
+    from vigil.plans.sizing import bounded_broadcast
+    from vigil.session import materialize
+
+    gk = [*keys, "__metric"]
+    nonnull = F.lit(True)
+    for k in keys:
+        nonnull = nonnull & F.col(k).isNotNull()
+    long = d.where(nonnull).select(*keys, row_seed(seed, *rk).alias("__h"), *cols) \
+        .unpivot([*keys, "__h"], cols, "__metric", "__v")
+    pct = sorted({max(0.0, 0.5 - r) for r in BRACKET_RUNGS} | {min(1.0, 0.5 + r) for r in BRACKET_RUNGS})
+    st = long.groupBy(*gk).agg(F.count("__v").alias("__n"),
+                               F.percentile_approx("__v", F.array(*[F.lit(p) for p in pct]),
+                                                   MEDIAN_ACCURACY).alias("__q"))
+    need = F.lit(5.0) / F.sqrt(F.col("__n").cast("double")) + F.lit(3.0 / MEDIAN_ACCURACY)
+    lo = hi = F.lit(None).cast("double")
+    for r in reversed(BRACKET_RUNGS):  # the narrowest rung that is wide enough wins
+        lo = F.when(need <= F.lit(r), F.col("__q")[pct.index(max(0.0, 0.5 - r))]).otherwise(lo)
+        hi = F.when(need <= F.lit(r), F.col("__q")[pct.index(min(1.0, 0.5 + r))]).otherwise(hi)
+    small = F.col("__n") <= F.lit(SMALL_GROUP)
+    st = st.select(*gk, "__n", F.when(small, F.lit(float("-inf"))).otherwise(F.coalesce(lo, F.lit(float("-inf"))))
+                   .alias("__lo"),
+                   F.when(small, F.lit(float("inf"))).otherwise(F.coalesce(hi, F.lit(float("inf")))).alias("__hi"))
+    st = materialize(st)  # one row per (group, metric)
+    j = long.join(bounded_broadcast(st, 1_000_000), gk, "inner")
+
+    # Weight below each bracket and in total, per (group, metric, replicate);
+    # replicate -1 has weight 1 (the plain median).
+    below_ind = F.when(F.col("__v") < F.col("__lo"), F.lit(1.0)).when(F.col("__v").isNotNull(), F.lit(0.0))
+    parts = _mean_partials(j.select(*gk, below_ind.alias("__x"), "__h"), gk, ["__x"], n_boot)
+    per = REPS_PER_TASK
+    sums = parts.groupBy(*gk, "__b").agg(F.sum("__s_0").alias("__below"), F.sum("__w_0").alias("__total")) \
+        .withColumn("__blk", (F.greatest(F.col("__b"), F.lit(0)) / per).cast("int"))
+    n_blk = max(1, -(-n_boot // per))
+    inside = j.where((F.col("__v") >= F.col("__lo")) & (F.col("__v") <= F.col("__hi"))) \
+        .select(*gk, "__v", "__h", F.explode(F.sequence(F.lit(0), F.lit(n_blk - 1))).alias("__blk"))
+
+    out_schema = StructType([d.schema[k] for k in keys] + [StructField("__metric", StringType(), True),
+                                                           StructField("__b", IntegerType(), False),
+                                                           StructField("__r", DoubleType(), True)])
+
+    def pick(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if right.empty:
+            return pd.DataFrame(columns=[f.name for f in out_schema.fields])
+        v = left["__v"].to_numpy(dtype=np.float64)
+        h = left["__h"].to_numpy(dtype=np.int64).astype(np.uint32)
+        order = np.argsort(v, kind="stable")
+        v, h = v[order], h[order]
+        b = right["__b"].to_numpy(dtype=np.int64)
+        below = right["__below"].to_numpy(dtype=np.float64)
+        total = right["__total"].to_numpy(dtype=np.float64)
+        w = np.ones((len(v), len(b)))
+        rep = b >= 0
+        if rep.any() and len(v):
+            w[:, rep] = poisson1_from_words(mix32_words(h[:, None], b[rep].astype(np.uint32)[None, :]))
+        cum = np.cumsum(w, axis=0) + below[None, :]
+        res = np.full(len(b), np.nan)
+        for c in range(len(b)):
+            if total[c] <= 0:
+                continue  # no values in this replicate: NULL
+            pos = (total[c] - 1.0) * 0.5
+            k1, k2 = np.floor(pos), np.ceil(pos)
+            i1 = int(np.searchsorted(cum[:, c], k1, side="right"))
+            i2 = int(np.searchsorted(cum[:, c], k2, side="right"))
+            if k1 < below[c] or i2 >= len(v):
+                raise RuntimeError("bootstrap median outside its bracket; raise MEDIAN_ACCURACY")
+            res[c] = v[i1] + (v[i2] - v[i1]) * (pos - k1)
+        first = right.iloc[0]
+        out = {k: [first[k]] * len(b) for k in gk}
+        out["__b"] = b.astype(np.int32)
+        out["__r"] = res
+        return pd.DataFrame(out)
+
+    med = inside.groupBy(*gk, "__blk").cogroup(sums.groupBy(*gk, "__blk")).applyInPandas(pick, out_schema)
+    per_gk = med.groupBy(*gk).agg(F.max(F.when(F.col("__b") < 0, F.col("__r"))).alias("__p"),
+                                  F.percentile(F.when(F.col("__b") >= 0, F.col("__r")), qarr).alias("__c"))
+    per_gk = st.select(*gk, "__n").join(per_gk, gk, "left")
+    aggs = []
+    for i, c in enumerate(cols):
+        m = F.col("__metric") == F.lit(c)
+        aggs += [F.max(F.when(m, F.col("__p"))).alias(f"__p_{i}"), F.max(F.when(m, F.col("__n"))).alias(f"__n_{i}"),
+                 F.max(F.when(m, F.col("__c"))).alias(f"__c_{i}")]
+    return per_gk.groupBy(*keys).agg(*aggs) if keys else per_gk.agg(*aggs)
 
 
 def bootstrap_ci(df: DataFrame, keys: Sequence[str], cols: Sequence[str], row_key: Sequence[str] | str,
@@ -139,16 +220,14 @@ def bootstrap_ci(df: DataFrame, keys: Sequence[str], cols: Sequence[str], row_ke
         wide = sums.groupBy(*keys).agg(*aggs)
         return _long(wide, keys, cols, stat, lo, hi, metric)
 
-    point = d.groupBy(*keys).agg(*[stat_fn(c).alias(f"__p_{i}") for i, c in enumerate(cols)],
-                                 *[F.count(c).alias(f"__n_{i}") for i, c in enumerate(cols)])
-
-    if method == "mix32":  # median: exact weighted median per (group, replicate)
-        dh = d.select(*keys, *cols, row_seed(seed, *rk).alias("__h"))
-        wv = _median_weights(dh, keys, cols, n_boot)
-        med = wv.groupBy(*keys, "__b", "__m").agg(F.percentile("__v", F.lit(0.5), F.col("__w")).alias("__r"))
-        reps = med.groupBy(*keys, "__b").agg(
-            *[F.max(F.when(F.col("__m") == i, F.col("__r"))).alias(f"__r_{i}") for i in range(len(cols))])
-    elif method in ("xxhash64", "md5"):
+    if method == "mix32":  # median: bracketed exact weighted median per (group, replicate)
+        wide = _median_bracket(d, keys, cols, rk, n_boot, seed, qarr)
+        return _long(wide, keys, cols, stat, lo, hi, metric)
+    if method in ("xxhash64", "md5"):
+        # JVM-only engines; their median keeps a (group, replicate)'s values in
+        # one aggregation buffer, so use them for report-sized groups only.
+        point = d.groupBy(*keys).agg(*[stat_fn(c).alias(f"__p_{i}") for i, c in enumerate(cols)],
+                                     *[F.count(c).alias(f"__n_{i}") for i, c in enumerate(cols)])
         rep = d.select(*keys, *rk, *cols, F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("__b"))
         rep = rep.withColumn("__w", poisson1_weight(unit_hash(seed, *rk, F.col("__b"), method=method)))
         if stat == "mean":
