@@ -5,7 +5,7 @@ import pytest
 import __spark_entry__ as E
 from tests.conftest import SF001
 
-PYTHON_ALLOWED = {"map_responder", "ols_hc3", "bootstrap_ci", "yesno_summary", "axis_limits", "error_bars"}
+PYTHON_ALLOWED = {"map_responder", "bootstrap_ci", "yesno_summary", "axis_limits", "error_bars"}
 
 
 def test_entry_runs(spark):
@@ -18,7 +18,7 @@ def test_entry_runs(spark):
 def test_oracles_pair_with_queries():
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
-    assert {"ols_hc3", "map_responder", "classifier_scores"} == set(q) - set(o)
+    assert {"classifier_scores"} == set(q) - set(o)
     assert len(q) >= 63
 
 

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from vigil.functions.numeric import nan_to_null
 from vigil.plans.sizing import bounded_broadcast
+from vigil.session import materialize
 
 
 def kde_bandwidths(df: DataFrame, keys: Sequence[str], col: str, cut: float = 2.0) -> DataFrame:
@@ -41,7 +42,9 @@ def grouped_kde(df: DataFrame, keys: Sequence[str] = ("model", "perspective"), c
     stats = kde_bandwidths(df, keys, col, cut)
     v = nan_to_null(col)
     vals = df.where(v.isNotNull()).groupBy(*keys, v.alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
-    j = vals.join(bounded_broadcast(stats, max_groups), keys, "inner")
+    # one small row per group, written once: its size check and broadcast do
+    # not re-run pass 1 over the input
+    j = vals.join(bounded_broadcast(materialize(stats), max_groups), keys, "inner")
     step = (F.col("hi") - F.col("lo")) / F.lit(float(gridsize - 1))
     g = j.select(*keys, "__v", "__c", "n", "bw", "lo", step.alias("step"),
                  F.explode(F.sequence(F.lit(0), F.lit(gridsize - 1))).alias("point"))

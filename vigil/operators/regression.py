@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from vigil.functions.numeric import nan_to_null, normal_two_sided_p
 from vigil.plans.sizing import bounded_broadcast
+from vigil.session import materialize
 
 Z975 = 1.959963984540054  # Fixed value: standard normal 97.5% quantile.
 
@@ -60,7 +61,9 @@ def ols_hc3(df: DataFrame, keys: Sequence[str] = ("model", "perspective"),
         "b2": (F.col("s11") * F.col("s2y") - F.col("s12") * F.col("s1y")) / F.col("det"),
     })
 
-    rows = long.join(bounded_broadcast(s, max_groups), gk, "inner")
+    # one small row per group, written once: its size check and broadcast do
+    # not re-run pass 1 over the rows
+    rows = long.join(bounded_broadcast(materialize(s), max_groups), gk, "inner")
     d1 = F.col("__x1") - F.col("m1")
     d2 = F.col("__x2") - F.col("m2")
     q1 = (F.col("s22") * d1 - F.col("s12") * d2) / F.col("det")
