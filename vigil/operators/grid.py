@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from vigil.functions.hashing import unit_hash
 from vigil.functions.text import render_template as _render
 from vigil.plans.sizing import row_count_at_most, row_counts_at_most
+from vigil.session import materialize
 
 MAX_FACTOR_LEVELS = 1_000_000
 LARGE_SAMPLE = 100_000
@@ -34,6 +35,11 @@ def factor_grid(factors: Sequence[DataFrame], nested: Sequence[tuple[DataFrame,
     """Product of independent ``factors``; each ``nested`` table is a
     child factor joined on its parent key(s) (levels that depend on a parent).
     """
+    # Level tables are small: each is written once to the shared checkpoint
+    # folder, so its size check and the grid read the copy instead of scanning
+    # (and de-duplicating) its source twice.
+    factors = [materialize(f) for f in factors]
+    nested = [(materialize(c), on) for c, on in nested]
     tables = list(factors) + [c for c, _ in nested]
     counts = row_counts_at_most(tables, max_levels)  # one job for all factor tables
     if any(n is None for n in counts):
@@ -107,6 +113,7 @@ def sample_n(df: DataFrame, n: int, seed: int = 42, key: Sequence[str] | str = (
 def job_grid(grid: DataFrame, models: DataFrame, runs: DataFrame,
              max_levels: int = MAX_FACTOR_LEVELS) -> DataFrame:
     """Every model x every run x every prompt, as one distributed table."""
+    models, runs = materialize(models), materialize(runs)
     if any(n is None for n in row_counts_at_most([models, runs], max_levels)):
         raise ValueError(f"model or run table larger than {max_levels} rows")
     return grid.crossJoin(F.broadcast(models)).crossJoin(F.broadcast(runs))
