@@ -118,3 +118,13 @@ def test_bracket_median_matches_exact(spark):
         got = {r.g: r.median for r in R.group_median(df, ["g"], "v", **kw).collect()}
         assert got == exact
     assert exact["big"] == float(np.median([r[1] for r in rows if r[0] == "big"]))
+
+
+def test_global_row_number_across_partitions(spark):
+    from vigil.operators.report import global_row_number
+    df = spark.range(5000).select(F.col("id"), ((F.col("id") * 7919) % 613).alias("score")).repartition(9)
+    out = global_row_number(df, [F.col("score").desc(), "id"], "pos").collect()
+    expect = sorted(((r.score, r.id) for r in out), key=lambda t: (-t[0], t[1]))
+    got = {r.id: r.pos for r in out}
+    assert sorted(got.values()) == list(range(1, 5001))
+    assert all(got[i] == k + 1 for k, (_, i) in enumerate(expect))

@@ -137,8 +137,8 @@ def model_order(stats: DataFrame, metric: str = "overall_yes_ratio", first: str
         base = stats.where(F.col(perspective) == first).groupBy(model).agg(F.avg(metric).alias("score"))
     else:
         base = stats.groupBy(model).agg(F.avg(nan_to_null(metric)).alias("score"))
-    w = Window.orderBy(F.col("score").desc_nulls_last(), F.col(model))
-    return base.select(model, "score", F.row_number().over(w).alias("rank"))
+    from vigil.operators.report import global_row_number
+    return global_row_number(base.select(model, "score"), [F.col("score").desc_nulls_last(), F.col(model)], "rank")
 
 
 def level_names(df: DataFrame, level: str = "closeness_level", name: str = "closeness_level_name",

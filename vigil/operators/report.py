@@ -109,6 +109,30 @@ def membership(df: DataFrame, key: str, order: Sequence, out: str = "order_pos")
     return lst.join(df.select(key), key, "left_semi").orderBy(out)
 
 
+def global_row_number(df: DataFrame, order: Sequence, out: str = "rank") -> DataFrame:
+    """1-based position of every row under a total ``order`` (break ties in
+    it), without a window that pulls all rows into one task.
+
+    A range-partitioned sort tags rows with ``monotonically_increasing_id``
+    (partition index in the high bits, position inside the partition in the
+    low 33 bits); the tagged table is checkpointed so the tags survive
+    recomputation.  Per-partition counts (one row per partition) become
+    offsets that are broadcast back.
+    """
+    from vigil.session import materialize
+
+    s = materialize(df.orderBy(*order).withColumn("__mid", F.monotonically_increasing_id()))
+    s = s.withColumns({"__pid": F.shiftright("__mid", 33),
+                       "__idx": F.col("__mid").bitwiseAND(F.lit((1 << 33) - 1))})
+    before = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per partition of the sorted table: a bounded broadcast
+    offs = s.groupBy("__pid").agg(F.count(F.lit(1)).alias("__c")) \
+        .select("__pid", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__off"))
+    pos = (F.col("__off") + F.col("__idx") + F.lit(1)).cast("int").alias(out)
+    return s.join(F.broadcast(offs), "__pid", "inner") \
+        .select(*[F.col(c) for c in df.columns], pos)
+
+
 def head_n(df: DataFrame, n: int, order: Sequence) -> DataFrame:
     """K1: first ``n`` rows under an explicit total order (a top-k)."""
     return df.orderBy(*order).limit(n)

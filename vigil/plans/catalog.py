@@ -518,7 +518,6 @@ def q_strip_run_suffix(spark, sf):
 
 # ---------------------------------------------------------------- grid and inference fan-out
 
-from pyspark.sql import Window  # noqa: E402
 
 from vigil.functions.text import short_model_name  # noqa: E402
 from vigil.operators import grid as G  # noqa: E402
@@ -556,8 +555,8 @@ def _grid(spark, sf):
                                                 F.col("n_nationkey").alias("closeness_level_example_n"),
                                                 F.col("n_name").alias("closeness_level_example_name"))
     types = read_table(spark, sf, "part", ["p_type"]).distinct()
-    vc = types.select(F.col("p_type").alias("violation_category_name"),
-                      F.row_number().over(Window.orderBy("p_type")).cast("int").alias("violation_category"))
+    vc = P.global_row_number(types, ["p_type"], "violation_category") \
+        .withColumnRenamed("p_type", "violation_category_name")
     vg = read_table(spark, sf, "part", ["p_type", "p_brand"]).distinct().select(
         F.col("p_type").alias("violation_category_name"), F.col("p_brand").alias("vignette_name"),
         F.regexp_extract("p_brand", r"\d+", 0).cast("int").alias("vignette"))
