@@ -471,6 +471,12 @@ def q_dense_skeleton(spark, sf):
     return P.dense_skeleton(vals, [["model"], ["perspective_run"]], fill={"n": 0}, materialize=True)
 
 
+@register("sorted_keys", f"""with v2 as ({O.V2})
+select distinct perspective_run from v2 where perspective_run is not null""")
+def q_sorted_keys(spark, sf):
+    return R.sorted_keys(scored_rows(spark, sf), "perspective_run")
+
+
 ORDER_LIST = ["P", "X", "F", "O", "Z"]
 
 
