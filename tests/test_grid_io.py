@@ -146,3 +146,17 @@ def test_sample_n_large_path_is_exact(spark, monkeypatch):
     monkeypatch.setattr(G, "LARGE_SAMPLE", 100)
     large = sorted(r.id for r in G.sample_n(df, 3000, seed=7, key="k").collect())
     assert small == large and len(large) == 3000
+
+
+def test_balanced_sink_spreads_a_hot_value(spark, tmp_path):
+    """A run holding most rows is written whole, through a REBALANCE shuffle."""
+    from pyspark.sql import functions as F
+    df = spark.range(20000).select(
+        F.when(F.col("id") % 10 < 8, F.lit("hot_1")).otherwise(F.lit("cold_1")).alias("perspective_run"),
+        F.lit("m").alias("model"), F.col("id").alias("v")).repartition(4)
+    assert "RebalancePartitions" in df.hint("rebalance", "perspective_run", "model")._jdf.queryExecution() \
+        .optimizedPlan().toString()
+    S.write_responses(df, str(tmp_path / "bal"), balance=True)
+    back = spark.read.parquet(str(tmp_path / "bal"))
+    assert back.count() == 20000
+    assert back.where(F.col("perspective_run") == "hot_1").count() == 16000

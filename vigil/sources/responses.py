@@ -66,11 +66,19 @@ def scan_all_runs(spark: SparkSession, root: str, fmt: str = "parquet", layout:
 
 def write_responses(df: DataFrame, root: str, fmt: str = "parquet",
                     partition_cols: Sequence[str] = ("perspective_run", "model"),
-                    mode: str = "overwrite", max_records_per_file: int = 5_000_000) -> None:
-    """S3: partitioned write.  No shuffle: each task writes its own rows per
-    partition value (a hot run/model is spread over all tasks, not one);
-    overwrite replaces only the partitions present in ``df``."""
+                    mode: str = "overwrite", max_records_per_file: int = 5_000_000,
+                    balance: bool = False) -> None:
+    """S3: partitioned write; overwrite replaces only the partitions present in ``df``.
+
+    Default: no shuffle; each task writes its own rows per partition value (a
+    hot run/model is spread over all tasks, not one), at the price of up to
+    tasks x values files.  ``balance`` adds one shuffle (``REBALANCE`` by the
+    partition columns): AQE coalesces small outputs and splits a skewed value
+    over several tasks, so files come out near the advisory partition size.
+    """
     cols = list(partition_cols)
+    if balance and cols:
+        df = df.hint("rebalance", *cols)
     w = (df.sortWithinPartitions(*cols).write.mode(mode).partitionBy(*cols)
          .option("partitionOverwriteMode", "dynamic")
          .option("maxRecordsPerFile", max_records_per_file))
