@@ -160,3 +160,15 @@ def test_balanced_sink_spreads_a_hot_value(spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "bal"))
     assert back.count() == 20000
     assert back.where(F.col("perspective_run") == "hot_1").count() == 16000
+
+
+def test_cross_product_is_spread_over_tasks(spark):
+    """No single task emits the whole product of broadcast level tables."""
+    from vigil.operators.grid import cross_product
+    sizes = [3, 4, 5, 10]
+    tables = [spark.range(n).withColumnRenamed("id", f"f{i}").coalesce(1) for i, n in enumerate(sizes)]
+    out = cross_product(tables, sizes, rows_per_task=100)
+    assert out.rdd.getNumPartitions() == 6
+    per_task = out.rdd.glom().map(len).collect()
+    assert sum(per_task) == 600 and max(per_task) <= 100
+    assert out.distinct().count() == 600

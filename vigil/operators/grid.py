@@ -30,6 +30,35 @@ def _checked(dim: DataFrame, max_levels: int) -> tuple[DataFrame, int]:
     return F.broadcast(dim), n
 
 
+ROWS_PER_TASK = 1_000_000
+
+
+def cross_product(tables: Sequence[DataFrame], counts: Sequence[int], fan_out: int = 1,
+                  rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Product of small, size-checked tables (``counts`` are their row counts).
+
+    Crossing broadcast tables streams the first one, so one task would emit
+    the whole product.  Instead the first tables are crossed until they hold
+    enough rows, dealt round-robin over ceil(rows / ``rows_per_task``) tasks,
+    and the remaining tables are broadcast into that spread side.
+    ``fan_out`` bounds what later joins multiply each row by.
+    """
+    total = max(1, fan_out)
+    for c in counts:
+        total *= max(c, 1)
+    parts = max(1, math.ceil(total / rows_per_task))
+    out, running, i = tables[0], max(counts[0], 1), 1
+    while parts > 1 and running < parts and i < len(tables):
+        out = out.crossJoin(F.broadcast(tables[i]))
+        running *= max(counts[i], 1)
+        i += 1
+    if parts > 1:
+        out = out.repartition(min(parts, running))
+    for t in tables[i:]:
+        out = out.crossJoin(F.broadcast(t))
+    return out
+
+
 def factor_grid(factors: Sequence[DataFrame], nested: Sequence[tuple[DataFrame, Sequence[str]]] = (),
                 max_levels: int = MAX_FACTOR_LEVELS, max_rows: int = MAX_GRID_ROWS) -> DataFrame:
     """Product of independent ``factors``; each ``nested`` table is a
@@ -44,15 +73,17 @@ def factor_grid(factors: Sequence[DataFrame], nested: Sequence[tuple[DataFrame,
     counts = row_counts_at_most(tables, max_levels)  # one job for all factor tables
     if any(n is None for n in counts):
         raise ValueError(f"factor table larger than {max_levels} rows")
-    grid, size = None, 1
-    for dim, n in zip(factors, counts):
+    size = 1
+    for n in counts[:len(factors)]:
         size *= n
-        grid = F.broadcast(dim) if grid is None else grid.crossJoin(F.broadcast(dim))
-    for (child, on), n in zip(nested, counts[len(factors):]):
-        size *= max(n, 1)  # upper bound of the dependent fan-out
+    fan_out = 1
+    for n in counts[len(factors):]:
+        fan_out *= max(n, 1)  # upper bound of the dependent fan-out
+    if size * fan_out > max_rows:
+        raise ValueError(f"grid bound {size * fan_out} exceeds max_rows={max_rows}")
+    grid = cross_product(factors, counts[:len(factors)], fan_out=fan_out)
+    for (child, on) in nested:
         grid = grid.join(F.broadcast(child), list(on), "inner")
-    if size > max_rows:
-        raise ValueError(f"grid bound {size} exceeds max_rows={max_rows}")
     return grid
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from vigil.plans.sizing import row_counts_at_most
 
 MAX_SKELETON_LEVELS = 100_000
+MAX_SKELETON_ROWS = 1_000_000_000
 
 
 def _levels(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -22,7 +23,8 @@ def _levels(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def dense_skeleton(values: DataFrame, level_sets: Sequence[DataFrame | Sequence[str]],
                    source: DataFrame | None = None, fill: Mapping | None = None,
-                   max_levels: int = MAX_SKELETON_LEVELS, materialize: bool = False) -> DataFrame:
+                   max_levels: int = MAX_SKELETON_LEVELS, materialize: bool = False,
+                   max_rows: int = MAX_SKELETON_ROWS) -> DataFrame:
     """Left-join ``values`` onto the product of key level sets (``reindex``).
 
     Each level set is a small DataFrame of keys, or column names whose distinct
@@ -36,13 +38,17 @@ def dense_skeleton(values: DataFrame, level_sets: Sequence[DataFrame | Sequence[
         values = _materialize(values)
     source = values if source is None else source
     levels = [ls if isinstance(ls, DataFrame) else _levels(source, list(ls)) for ls in level_sets]
-    if any(n is None for n in row_counts_at_most(levels, max_levels)):  # one job for all level sets
+    counts = row_counts_at_most(levels, max_levels)  # one job for all level sets
+    if any(n is None for n in counts):
         raise ValueError(f"a level set has more than {max_levels} levels; no dense skeleton")
-    skel = None
-    keys: list[str] = []
-    for lv in levels:
-        keys += lv.columns
-        skel = F.broadcast(lv) if skel is None else skel.crossJoin(F.broadcast(lv))
+    size = 1
+    for n in counts:
+        size *= max(n, 1)
+    if size > max_rows:
+        raise ValueError(f"dense skeleton of {size} rows exceeds max_rows={max_rows}")
+    from vigil.operators.grid import cross_product
+    skel = cross_product(levels, counts)
+    keys = [c for lv in levels for c in lv.columns]
     # Level tables may carry attributes (labels, positions); join on the
     # columns the values share with the skeleton.
     on = [c for c in keys if c in values.columns]
