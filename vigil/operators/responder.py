@@ -19,7 +19,12 @@ Responder = Callable[[str, str], tuple]
 
 
 def map_responder(df: DataFrame, responder: Responder, prompt_col: str = "prompt",
-                  model_col: str = "model", concurrency: int = 8) -> DataFrame:
+                  model_col: str = "model", concurrency: int = 8, tasks: int | None = None) -> DataFrame:
+    """Calls are slow per row, so prompts are first dealt round-robin over
+    ``tasks`` partitions (default: the cluster's default parallelism); calls
+    in flight are then tasks x ``concurrency``.  The shuffle moves only the
+    prompt rows and costs far less than the calls."""
+    df = df.repartition(tasks or df.sparkSession.sparkContext.defaultParallelism)
     fields = [f for f in df.schema.fields if f.name not in ("response", "raw_response")]
     out_schema = StructType(fields + [StructField("response", StringType(), True),
                                       StructField("raw_response", StringType(), True)])
