@@ -172,3 +172,17 @@ def test_cross_product_is_spread_over_tasks(spark):
     per_task = out.rdd.glom().map(len).collect()
     assert sum(per_task) == 600 and max(per_task) <= 100
     assert out.distinct().count() == 600
+
+
+def test_large_sample_equals_top_n(spark, monkeypatch):
+    """Above LARGE_SAMPLE the exact n rows come from a threshold filter and a
+    small top-k of surplus candidates; they must equal the plain top-n."""
+    from pyspark.sql import functions as F
+
+    from vigil.operators import grid as G
+    df = spark.range(60000).select(F.col("id").alias("k"), (F.col("id") % 7).alias("x"))
+    monkeypatch.setattr(G, "LARGE_SAMPLE", 10 ** 9)
+    plain = {r.k for r in G.sample_n(df, 5000, seed=42, key="k").collect()}
+    monkeypatch.setattr(G, "LARGE_SAMPLE", 100)
+    big = {r.k for r in G.sample_n(df, 5000, seed=42, key="k").collect()}
+    assert len(big) == 5000 and big == plain

@@ -136,8 +136,21 @@ def sample_n(df: DataFrame, n: int, seed: int = 42, key: Sequence[str] | str = (
         frac = n / total
         t = min(1.0, frac + 8.0 * math.sqrt(frac * (1 - frac) / total) + 1.0 / total)
         cand = d.where(F.col("__u") < F.lit(t))
-        if cand.count() >= n:
-            d = cand
+        m = cand.count()
+        if m >= n:
+            # A top-n of millions would be merged by one task.  Instead find
+            # the m - n surplus candidates (a few standard deviations of rows:
+            # a small top-k) and keep what lies below the smallest of them.
+            if m == n:
+                return cand.drop("__u")
+            order = [F.col("__u").desc(), *[F.col(k).desc() for k in keys]]
+            cut = cand.select("__u", *keys).orderBy(*order).limit(m - n).orderBy("__u", *keys).first()
+            cols = ["__u", *keys]
+            bound = [F.lit(cut[c]).cast(cand.schema[c].dataType) for c in cols]
+            below = F.lit(False)  # (u, keys) < cut, lexicographically
+            for c, b in reversed(list(zip(cols, bound))):
+                below = (F.col(c) < b) | ((F.col(c) == b) & below)
+            return cand.where(below).drop("__u")
     return d.orderBy("__u", *keys).limit(n).drop("__u")
 
 
