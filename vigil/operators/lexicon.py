@@ -99,7 +99,7 @@ def lexicon_scores(df: DataFrame, lexicon: DataFrame, col: str = "response",
                    foundations: Sequence[str] | None = None,
                    stopwords=DEFAULT_STOPWORDS, strategy: str = "auto",
                    key: str | None = None, max_inline_tokens: int = 50_000,
-                   keep_matched: bool = False) -> DataFrame:
+                   keep_matched: bool = False, max_broadcast_tokens: int = 2_000_000) -> DataFrame:
     """Append ``<category>_count/_ratio`` and ``<foundation>_count/_ratio``.
 
     ``categories`` fixes the output schema (default: the lexicon's categories,
@@ -144,7 +144,10 @@ def lexicon_scores(df: DataFrame, lexicon: DataFrame, col: str = "response",
     if key is None:
         raise ValueError("strategy 'join' needs a unique row key column")
     exploded = df.select(F.col(key).alias("__k"), F.explode(tokenize(F.col(col))).alias("token"))
-    hits = exploded.join(bounded_broadcast(token_map, max_inline_tokens), "token", "inner")
+    # Above max_inline_tokens the map is too big for literal sets but, up to
+    # max_broadcast_tokens short strings, still fine to broadcast; beyond that
+    # it is a shuffle join, where AQE splits a hot token's partition.
+    hits = exploded.join(bounded_broadcast(token_map, max_broadcast_tokens), "token", "inner")
     agg = hits.groupBy("__k").agg(*[F.count_if(F.col("category") == c).alias(f"__c{i}")
                                      for i, c in enumerate(categories)])
     j = df.join(agg, F.col(key) == F.col("__k"), "left")
