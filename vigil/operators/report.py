@@ -112,7 +112,9 @@ def membership(df: DataFrame, key: str, order: Sequence, out: str = "order_pos")
     """The ordered list restricted to values present in ``df[key]``."""
     spark = df.sparkSession
     lst = spark.createDataFrame([(v, i + 1) for i, v in enumerate(order)], f"{key} string, {out} int")
-    return lst.join(df.select(key), key, "left_semi").orderBy(out)
+    # distinct first: map-side partial aggregation leaves one row per key and
+    # task, so a hot key is never shuffled row by row
+    return lst.join(df.select(key).distinct(), key, "left_semi").orderBy(out)
 
 
 def global_row_number(df: DataFrame, order: Sequence, out: str = "rank") -> DataFrame:
