@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from vigil.functions.jsonx import with_answer_reason
 from vigil.functions.numeric import coerce_numeric_col, is_yes
+from vigil.plans.sizing import bounded_broadcast
 
 
 def extract_answer_reason(df: DataFrame, col: str = "response",
@@ -51,7 +52,7 @@ def display_name(df: DataFrame, key: str, labels: DataFrame | Mapping[str, str],
                                              F.col(key).cast("string")))
     lab = labels.select(F.col(label_key).alias("__k"), F.col(label_col).alias("__label")) \
         .dropDuplicates(["__k"])
-    j = df.join(F.broadcast(lab), F.col(key) == F.col("__k"), "left")
+    j = df.join(bounded_broadcast(lab), F.col(key) == F.col("__k"), "left")
     return j.withColumn(out, F.coalesce(F.col("__label"), F.col(key).cast("string"))).drop("__k", "__label")
 
 
