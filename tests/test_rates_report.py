@@ -128,3 +128,14 @@ def test_global_row_number_across_partitions(spark):
     got = {r.id: r.pos for r in out}
     assert sorted(got.values()) == list(range(1, 5001))
     assert all(got[i] == k + 1 for k, (_, i) in enumerate(expect))
+
+
+def test_dense_skeleton_bounds_its_product(spark):
+    import pytest
+    vals = spark.createDataFrame([("a", 1, 5)], "m string, k int, n int")
+    ms = spark.createDataFrame([(x,) for x in "abc"], "m string")
+    ks = spark.createDataFrame([(i,) for i in range(3)], "k int")
+    out = P.dense_skeleton(vals, [ms, ks], fill={"n": 0}).collect()
+    assert len(out) == 9 and sum(r.n for r in out) == 5
+    with pytest.raises(ValueError):
+        P.dense_skeleton(vals, [ms, ks], max_rows=8)
