@@ -153,19 +153,16 @@ def _median_bracket(d: DataFrame, keys: list[str], cols: list[str], rk: list[str
         b = right["__b"].to_numpy(dtype=np.int64)
         below = right["__below"].to_numpy(dtype=np.float64)
         total = right["__total"].to_numpy(dtype=np.float64)
-        w = np.ones((len(v), len(b)))
-        rep = b >= 0
-        if rep.any() and len(v):
-            w[:, rep] = poisson1_from_words(mix32_words(h[:, None], b[rep].astype(np.uint32)[None, :]))
-        cum = np.cumsum(w, axis=0) + below[None, :]
         res = np.full(len(b), np.nan)
-        for c in range(len(b)):
+        for c in range(len(b)):  # one replicate at a time: memory stays linear in the bracket
             if total[c] <= 0:
                 continue  # no values in this replicate: NULL
+            w = np.ones(len(v)) if b[c] < 0 else poisson1_from_words(mix32_words(h, np.uint32(b[c])))
+            cum = np.cumsum(w, dtype=np.float64) + below[c]
             pos = (total[c] - 1.0) * 0.5
             k1, k2 = np.floor(pos), np.ceil(pos)
-            i1 = int(np.searchsorted(cum[:, c], k1, side="right"))
-            i2 = int(np.searchsorted(cum[:, c], k2, side="right"))
+            i1 = int(np.searchsorted(cum, k1, side="right"))
+            i2 = int(np.searchsorted(cum, k2, side="right"))
             if k1 < below[c] or i2 >= len(v):
                 raise RuntimeError("bootstrap median outside its bracket; raise MEDIAN_ACCURACY")
             res[c] = v[i1] + (v[i2] - v[i1]) * (pos - k1)
