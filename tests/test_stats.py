@@ -174,3 +174,15 @@ def test_bootstrap_median_bracket_matches_brute_force(spark, monkeypatch):
         lo, hi = np.percentile([np.median(np.repeat(x, w[:, b])) for b in range(120)], [2.5, 97.5])
         assert out[g].n == len(x) and abs(out[g].median - np.median(x)) < 1e-15
         assert abs(out[g].ci95_low - lo) < 1e-12 and abs(out[g].ci95_high - hi) < 1e-12
+
+
+def test_bootstrap_median_blocks_do_not_change_results(spark, monkeypatch):
+    """Splitting replicates over several blocks per group gives the same result."""
+    rng = np.random.default_rng(5)
+    rows = [(i, "g" if i % 4 else "h", float(rng.exponential())) for i in range(2000)]
+    df = spark.createDataFrame(rows, "row_key long, grp string, v double")
+    monkeypatch.setattr(B, "SMALL_GROUP", 100)
+    one = {r.grp: r for r in bootstrap_ci(df, ["grp"], ["v"], "row_key", n_boot=150, stat="median").collect()}
+    monkeypatch.setattr(B, "WORK_PER_TASK", 1000)  # -> 3 blocks of replicates per group
+    many = {r.grp: r for r in bootstrap_ci(df, ["grp"], ["v"], "row_key", n_boot=150, stat="median").collect()}
+    assert one == many and one["g"].n == 1500

@@ -93,6 +93,7 @@ BRACKET_RUNGS = (1e-6, 2e-6, 5e-6, 1e-5, 2e-5, 5e-5, 1e-4, 2e-4, 5e-4, 1e-3, 2e-
 MEDIAN_ACCURACY = 1_000_000
 SMALL_GROUP = 100_000
 REPS_PER_TASK = 50
+WORK_PER_TASK = 50_000_000  # weight draws (bracket rows x replicates) per task
 
 
 def _median_bracket(d: DataFrame, keys: list[str], cols: list[str], rk: list[str], n_boot: int, seed: int,
@@ -118,26 +119,39 @@ def _median_bracket(d: DataFrame, keys: list[str], cols: list[str], rk: list[str
                                                    MEDIAN_ACCURACY).alias("__q"))
     need = F.lit(5.0) / F.sqrt(F.col("__n").cast("double")) + F.lit(3.0 / MEDIAN_ACCURACY)
     lo = hi = F.lit(None).cast("double")
+    rung = F.lit(1.0)
     for r in reversed(BRACKET_RUNGS):  # the narrowest rung that is wide enough wins
         lo = F.when(need <= F.lit(r), F.col("__q")[pct.index(max(0.0, 0.5 - r))]).otherwise(lo)
         hi = F.when(need <= F.lit(r), F.col("__q")[pct.index(min(1.0, 0.5 + r))]).otherwise(hi)
+        rung = F.when(need <= F.lit(r), F.lit(r)).otherwise(rung)
     small = F.col("__n") <= F.lit(SMALL_GROUP)
+    # Replicate blocks per group from the work in its bracket (rows x
+    # replicates): a small group is one task, a hot group's bracket is shared
+    # by up to n_boot / REPS_PER_TASK tasks.
+    n = F.col("__n").cast("double")
+    rows_in = F.when(small, n).otherwise(F.least(n, F.ceil(n * (F.lit(2.0) * rung + F.lit(2.0 / MEDIAN_ACCURACY)))))
+    max_blocks = max(1, -(-n_boot // REPS_PER_TASK))
+    blocks = F.least(F.lit(max_blocks), F.greatest(F.lit(1), F.ceil(rows_in * F.lit(float(n_boot))
+                                                                      / F.lit(WORK_PER_TASK)))).cast("int")
     st = st.select(*gk, "__n", F.when(small, F.lit(float("-inf"))).otherwise(F.coalesce(lo, F.lit(float("-inf"))))
                    .alias("__lo"),
-                   F.when(small, F.lit(float("inf"))).otherwise(F.coalesce(hi, F.lit(float("inf")))).alias("__hi"))
-    st = materialize(st)  # one row per (group, metric)
-    j = long.join(bounded_broadcast(st, 1_000_000), gk, "inner")
+                   F.when(small, F.lit(float("inf"))).otherwise(F.coalesce(hi, F.lit(float("inf")))).alias("__hi"),
+                   blocks.alias("__blocks"))
+    st = bounded_broadcast(materialize(st), 1_000_000)  # one row per (group, metric)
+    j = long.join(st, gk, "inner")
 
     # Weight below each bracket and in total, per (group, metric, replicate);
     # replicate -1 has weight 1 (the plain median).
     below_ind = F.when(F.col("__v") < F.col("__lo"), F.lit(1.0)).when(F.col("__v").isNotNull(), F.lit(0.0))
     parts = _mean_partials(j.select(*gk, below_ind.alias("__x"), "__h"), gk, ["__x"], n_boot)
-    per = REPS_PER_TASK
+    # replicate b (b = -1 is the plain median) goes to block floor(b * blocks / n_boot)
     sums = parts.groupBy(*gk, "__b").agg(F.sum("__s_0").alias("__below"), F.sum("__w_0").alias("__total")) \
-        .withColumn("__blk", (F.greatest(F.col("__b"), F.lit(0)) / per).cast("int"))
-    n_blk = max(1, -(-n_boot // per))
+        .join(st.select(*gk, "__blocks"), gk, "inner") \
+        .withColumn("__blk", F.floor(F.greatest(F.col("__b"), F.lit(0)) * F.col("__blocks")
+                                     / F.lit(float(n_boot))).cast("int")) \
+        .drop("__blocks")
     inside = j.where((F.col("__v") >= F.col("__lo")) & (F.col("__v") <= F.col("__hi"))) \
-        .select(*gk, "__v", "__h", F.explode(F.sequence(F.lit(0), F.lit(n_blk - 1))).alias("__blk"))
+        .select(*gk, "__v", "__h", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)).alias("__blk"))
 
     out_schema = StructType([d.schema[k] for k in keys] + [StructField("__metric", StringType(), True),
                                                            StructField("__b", IntegerType(), False),
