@@ -39,6 +39,7 @@ def get_session(master: str | None = None, app: str = "vigil",
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -82,3 +83,33 @@ def materialize(df: DataFrame, eager: bool = True) -> DataFrame:
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``vigil`` importable on the Python workers, as ``--py-files`` does.
+
+    Arrow/pandas steps (bootstrap, responder, injected scorers) run functions
+    of this package on the workers.  The package's sources are zipped once per
+    application and handed to ``addPyFile``; Spark serves the file to every
+    executor itself.
+    """
+    import zipfile
+
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    import vigil
+
+    pkg = os.path.dirname(os.path.abspath(vigil.__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="vigil-pyfiles-"), "vigil.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(out)
+    _SHIPPED.add(sc.applicationId)
