@@ -124,3 +124,32 @@ def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
     for k in keys:
         cond = cond & left[k].eqNullSafe(right[k])
     return cond
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared checkpoint folder and read it back (cuts lineage, compressed, survives executors)."""
+    import uuid
+
+    from vigil.session import scratch_path
+
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def with_ordinal(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", out: str = "__ord") -> DataFrame:
+    """Adds K1 and an ordinal that tells apart the different texts of one ``doc_id`` (0 for an id's only text).
+
+    Rows equal in id and text share both, so (K1, ordinal) names a document.
+    """
+    from pyspark.sql import Window
+
+    from vigil.plans.sizing import bounded_broadcast
+
+    keyed = docs.withColumns(doc_key(doc_id, text))
+    many = keyed.groupBy(K1, K2).agg(F.count(F.lit(1)).alias("__n")) \
+        .withColumn("__o", F.row_number().over(Window.partitionBy(K1).orderBy(K2)) - 1).where("__o > 0") \
+        .select(F.col(K1).alias("__a"), F.col(K2).alias("__b"), "__o")
+    many = bounded_broadcast(stored(many, "ordinals"))
+    return keyed.join(many, (F.col(K1) == F.col("__a")) & (F.col(K2) == F.col("__b")), "left") \
+        .withColumn(out, F.coalesce("__o", F.lit(0))).drop("__a", "__b", "__o", K2)

@@ -24,7 +24,7 @@ from vigil.session import materialize
 #: Budgets that the dynamic program resolves exactly; larger rests are first cut down, longest documents first.
 WINDOW_WORDS = 1 << 16
 #: Documents ranked together in one hash bucket of a (source, size) class.
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 2_000
 
 PLAN_SCHEMA = ("source string, size long, n_docs long, extra long, epochs long, source_size long, "
                "target double, buckets long")

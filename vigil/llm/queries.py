@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm import chat, mixing, quality, urlfilter, warc
+from vigil.llm import chat, fragjoin, mixing, quality, suffix, urlfilter, warc
 from vigil.llm.common import n_words, read
 from vigil.session import materialize
 
@@ -43,6 +43,14 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
         .select("doc_id", "source", "size", "source_size", "target", "taken", "copies")
 
 
+# ---------------------------------------------------------------- 2: n-gram Jaccard join
+
+
+@register("op2_ngram_jaccard")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    return fragjoin.ngram_jaccard(read(spark, sf, "documents", "doc_id", "text"), n=4, percent=85)
+
+
 # ---------------------------------------------------------------- 3: WARC
 
 
@@ -151,6 +159,15 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
                        F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+# ---------------------------------------------------------------- 9: suffix-array dedup
+
+
+@register("op9_suffix_dedup")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read(spark, sf, "documents", "doc_id", "text")
+    return suffix.remove_repeats(docs, min_len=100).drop("kept")
+
+
 # ---------------------------------------------------------------- 10: URL filters
 
 #: Ten years in minutes, over which captures and list entries are dated by their page id.
