@@ -63,7 +63,12 @@ _WORDS = Poly(0x5EED, fold_case=True)
 _EXACT = Poly(0x5EED5, fold_case=False)
 
 
-def pieces(buf: np.ndarray, lo: int, hi: int, bounds: np.ndarray, size: int = PIECE) -> Iterator[tuple[int, int]]:
+#: As gaps also every ASCII character that is neither letter nor digit.
+PUNCTUATION = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
+
+
+def pieces(buf: np.ndarray, lo: int, hi: int, bounds: np.ndarray, gaps: np.ndarray = _SPACE,
+           size: int = PIECE) -> Iterator[tuple[int, int]]:
     """Cut ``[lo, hi)`` at document bounds or white space into stretches of about ``size`` bytes."""
     while lo < hi:
         step = size
@@ -73,7 +78,7 @@ def pieces(buf: np.ndarray, lo: int, hi: int, bounds: np.ndarray, size: int = PI
                 break
             i = np.searchsorted(bounds, end, "right") - 1
             at_bound = int(bounds[i]) if i >= 0 else lo
-            gap = np.flatnonzero(_SPACE[buf[max(lo, end - 4096):end]])
+            gap = np.flatnonzero(gaps[buf[max(lo, end - 4096):end]])
             at_gap = max(lo, end - 4096) + int(gap[-1]) if len(gap) else lo
             cut = max(at_bound, at_gap)
             if cut > lo:
@@ -85,20 +90,21 @@ def pieces(buf: np.ndarray, lo: int, hi: int, bounds: np.ndarray, size: int = PI
 
 
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold_case: bool = True,
-                places: bool = False) -> Iterator[tuple[np.ndarray, ...]]:
+                places: bool = False, gaps: np.ndarray = _SPACE) -> Iterator[tuple[np.ndarray, ...]]:
     """Per piece: (hash of each word, its text's row); with ``places`` also its first and end byte.
 
     ``starts`` and ``ends``: each text's stretch of ``buf``, as an Arrow string
-    column holds them (adjacent, in order).  A-Z count as a-z with ``fold_case``.
+    column holds them (adjacent, in order).  A-Z count as a-z with ``fold_case``;
+    ``gaps`` tells which bytes end a word.
     """
     full = np.flatnonzero(ends > starts)
     if not len(full):
         return
     s, e = starts[full], ends[full]
     poly = _WORDS if fold_case else _EXACT
-    for lo, hi in pieces(buf, int(s[0]), int(e[-1]), s):
+    for lo, hi in pieces(buf, int(s[0]), int(e[-1]), s, gaps):
         part = buf[lo:hi]
-        solid = ~_SPACE[part]
+        solid = ~gaps[part]
         edge = np.zeros(hi - lo + 1, bool)
         cuts = s[np.searchsorted(s, lo):np.searchsorted(s, hi)] - lo
         edge[cuts] = True
@@ -113,9 +119,9 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold_case
         yield (h, row, a + lo, z + lo) if places else (h, row)
 
 
-def all_words(buf, starts, ends, fold_case: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def all_words(buf, starts, ends, fold_case: bool = True, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and rows of all words of a batch."""
-    got = list(word_hashes(buf, starts, ends, fold_case))
+    got = list(word_hashes(buf, starts, ends, fold_case, gaps=gaps))
     if not got:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     return np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm import chat, fragjoin, mixing, quality, suffix, urlfilter, warc
+from vigil.llm import chat, decontam, fragjoin, lmscore, mixing, pii, quality, suffix, urlfilter, warc
 from vigil.llm.common import n_words, read
 from vigil.session import materialize
 
@@ -84,6 +84,28 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
                         F.col("refers_to").try_cast("long").alias("refers_to"), "fetched", "intact")
 
 
+# ---------------------------------------------------------------- 4: personal data
+
+
+@register("op4_pii_bootstrap")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    found = pii.personal_data(read(spark, sf, "documents", "doc_id", "text"))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in pii.KINDS],
+                        F.sha2(pii.span_list(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+                        pii.span_list(F.concat("base", "extra")).alias("spans"))
+
+
+# ---------------------------------------------------------------- 5: benchmark decontamination
+
+
+@register("op5_decontaminate")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf.rstrip('/')}/benchmark.parquet").select("item_id", "text")
+    found = decontam.decontaminate(read(spark, sf, "documents", "doc_id", "text"), items)
+    return found.select("doc_id", F.inline("hits"))
+
+
 # ---------------------------------------------------------------- 6: quality rules
 
 OP6_SQL = r"""
@@ -159,6 +181,16 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
                        F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+# ---------------------------------------------------------------- 8: LM scoring
+
+
+@register("op8_lm_scoring")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    """The target are the documents that are labelled good and not toxic."""
+    labels = spark.read.parquet(f"{sf.rstrip('/')}/labels.parquet").where("quality = 1 and toxic = 0")
+    return lmscore.cross_entropy_difference(read(spark, sf, "documents", "doc_id", "text"), labels.select("doc_id"))
+
+
 # ---------------------------------------------------------------- 9: suffix-array dedup
 
 
