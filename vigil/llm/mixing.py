@@ -93,7 +93,7 @@ def fit_lengths(sizes: np.ndarray, counts: np.ndarray, budget: float, window: in
         if abs(rest - smallest) < rest:
             take[min(items, key=lambda i: sizes[i])] += 1
         return take
-    top = int(rest) + smallest  # a sum beyond this is farther away than one that is reachable
+    top = min(int(2 * rest) + 1, int(sum(sizes[i] * left[i] for i in items)))  # beyond this, taking nothing is nearer
     reach = np.zeros(top + 1, bool)
     reach[0] = True
     by = np.full(top + 1, -1, np.int32)

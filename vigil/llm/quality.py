@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from vigil.llm.common import let, words
 
-#: Share of a line's characters other than white space that may be neither letter nor digit.
-MAX_SYMBOL_SHARE = 0.3
+#: Share of a line's characters other than white space that may be neither letter nor digit, if they are several.
+MAX_SYMBOL_SHARE, MIN_SYMBOLS = 0.3, 3
 #: Separators that make a line a navigation row.
 MIN_SEPARATORS = 4
 NAV_SEPARATOR = r"(?:^|\s)[|»›•·>](?=\s|$)"
@@ -32,7 +32,7 @@ def line_failed(line: Column) -> Column:
     """Whether a line breaks the punctuation, navigation or boilerplate rule (a blank line breaks none)."""
     solid = F.regexp_replace(line, r"[\x20\x09-\x0D]+", "")
     symbols = F.regexp_count(line, F.lit(r"[^\p{L}\p{M}\p{N}\x20\x09-\x0D]"))
-    punctuation = symbols > F.lit(MAX_SYMBOL_SHARE) * F.length(solid)
+    punctuation = (symbols >= MIN_SYMBOLS) & (symbols > F.lit(MAX_SYMBOL_SHARE) * F.length(solid))
     navigation = (F.regexp_count(line, F.lit(NAV_SEPARATOR)) >= MIN_SEPARATORS) | line.rlike(
         rf"(?i)^\W*(?:(?:{'|'.join(NAV_WORDS)})\W*)+$")
     boilerplate = line.rlike(f"(?i)(?:{'|'.join(BOILERPLATE)})")

@@ -118,7 +118,8 @@ cover as (select doc_id, count(distinct p) as n from (select doc_id, unnest([i,
 lines as (select doc_id, unnest(l) as line from base),
 dup as (select doc_id, count(*) - count(distinct line) as n from lines where regexp_matches(line, '[^\x20\x09-\x0D]') group by doc_id),
 judged as (select doc_id, length(line) as len, length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g')) > 0 and (
-    len(regexp_extract_all(line, '[^\p{L}\p{M}\p{N}\x20\x09-\x0D]')) > 0.3 * length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g'))
+    len(regexp_extract_all(line, '[^\p{L}\p{M}\p{N}\x20\x09-\x0D]')) >= 3
+    and len(regexp_extract_all(line, '[^\p{L}\p{M}\p{N}\x20\x09-\x0D]')) > 0.3 * length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g'))
     or len(list_filter(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), lambda x: x in ('|', '»', '›', '•', '·', '>'))) >= 4
     or regexp_matches(line, '(?i)^[^0-9A-Za-z_]*((home|menu|login|logout|register|search|sitemap|next|previous|share|contact)[^0-9A-Za-z_]*)+$')
     or regexp_matches(line, '(?i)(all rights reserved|cookie policy|privacy policy|terms of use|terms of service|subscribe to our|sign up for|click here|enable javascript|powered by|lorem ipsum)')) as bad
