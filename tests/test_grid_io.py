@@ -56,11 +56,11 @@ def test_sample_validate_route(spark):
         G.validate_keys(spark.createDataFrame([("x",), ("y",)], "p string"), ["x"], "p")
     r = {x.model: x for x in G.route_models(spark.createDataFrame([("a",), ("b",)], "model string"),
                                             {"a": "direct"}).collect()}
-    assert r["a"].provider == "direct" and r["b"].route_error.startswith("Unknown")
+    assert r["a"].provider == "direct" and r["b"].route_error.startswith("no provider")
 
 
 def test_map_responder_errors_become_rows(spark):
-    def _responder(model, prompt):  # defined inline so workers receive it by value
+    def _responder(model, reasoning, prompt):  # defined inline so workers receive it by value
         if "boom" in prompt:
             raise ValueError("service failed")
         return {"raw": prompt}, f"{model}:{prompt.upper()}"
@@ -123,7 +123,7 @@ def test_streaming_scores_match_batch(spark, tmp_path):
     from vigil.sources.fixtures import small_lexicon
 
     src = str(tmp_path / "src")
-    rows = [(i, "m", "p_1", '{"answer": "%s", "reasoning": "the threat of lying"}' % ("Yes" if i % 2 else "No"))
+    rows = [(i, "m", "p_1", '{"answer": "%s", "reasoning": "the er of in"}' % ("Yes" if i % 2 else "No"))
             for i in range(6)]
     schema = "row_key int, model string, perspective_run string, response string"
     spark.createDataFrame(rows, schema).write.parquet(src)
@@ -131,7 +131,7 @@ def test_streaming_scores_match_batch(spark, tmp_path):
     q = start_scored_sink(st, str(tmp_path / "sink"), str(tmp_path / "ckpt"))
     q.awaitTermination(120)
     out = spark.read.parquet(str(tmp_path / "sink"))
-    assert out.count() == 6 and {r.authority_vice_count for r in out.collect()} == {2}  # the, threat
+    assert out.count() == 6 and {r.authority_vice_count for r in out.collect()} == {2}  # the, er
     agg = streaming_yes_counts(scored_stream(spark, src, schema, small_lexicon(spark), stopwords=None))
     q2 = agg.writeStream.format("memory").queryName("yes_counts").outputMode("complete").start()
     q2.processAllAvailable()
@@ -140,12 +140,14 @@ def test_streaming_scores_match_batch(spark, tmp_path):
     assert (r.rows, r.yes) == (6, 3)
 
 
-def test_sample_n_large_path_is_exact(spark, monkeypatch):
+@pytest.mark.parametrize("n", [1, 25, 3000, 19999])
+def test_sample_n_equals_the_plain_top_n(spark, n):
+    """The threshold filter and its small cut give the n smallest hashes, whatever n is."""
+    from vigil.functions.hashing import unit_hash
     df = spark.range(20000).withColumn("k", F.col("id").cast("string"))
-    small = sorted(r.id for r in G.sample_n(df, 3000, seed=7, key="k").collect())
-    monkeypatch.setattr(G, "LARGE_SAMPLE", 100)
-    large = sorted(r.id for r in G.sample_n(df, 3000, seed=7, key="k").collect())
-    assert small == large and len(large) == 3000
+    got = sorted(r.id for r in G.sample_n(df, n, seed=7, key="k").collect())
+    want = sorted(r.id for r in df.orderBy(unit_hash(7, "k", method="xxhash64"), "k").limit(n).collect())
+    assert got == want and len(got) == n
 
 
 def test_balanced_sink_spreads_a_hot_value(spark, tmp_path):
@@ -174,15 +176,52 @@ def test_cross_product_is_spread_over_tasks(spark):
     assert out.distinct().count() == 600
 
 
-def test_large_sample_equals_top_n(spark, monkeypatch):
-    """Above LARGE_SAMPLE the exact n rows come from a threshold filter and a
-    small top-k of surplus candidates; they must equal the plain top-n."""
-    from pyspark.sql import functions as F
-
-    from vigil.operators import grid as G
-    df = spark.range(60000).select(F.col("id").alias("k"), (F.col("id") % 7).alias("x"))
-    monkeypatch.setattr(G, "LARGE_SAMPLE", 10 ** 9)
-    plain = {r.k for r in G.sample_n(df, 5000, seed=42, key="k").collect()}
-    monkeypatch.setattr(G, "LARGE_SAMPLE", 100)
-    big = {r.k for r in G.sample_n(df, 5000, seed=42, key="k").collect()}
-    assert len(big) == 5000 and big == plain
+def test_grid_without_limits(spark):
+    """A grid's exact size counts; children are counted by parent, and nothing is refused by default."""
+    parents = spark.range(40).withColumnRenamed("id", "p")
+    child = spark.range(80).select((F.col("id") % 40).alias("p"), F.col("id").alias("c"))
+    other = spark.range(3).withColumnRenamed("id", "x")
+    assert G.factor_grid([parents, other], nested=[(child, ["p"])], max_rows=240).count() == 240
+    with pytest.raises(ValueError):
+        G.factor_grid([parents, other], nested=[(child, ["p"])], max_rows=239)
+    jobs = G.job_grid(parents, spark.range(5).withColumnRenamed("id", "model"), spark.range(4).withColumnRenamed("id", "run"), rows_per_task=100)
+    assert jobs.count() == 800 and max(jobs.rdd.glom().map(len).collect()) <= 120
+
+
+def test_unfinished_grid_is_built_again(spark, tmp_path):
+    path = str(tmp_path / "grid")
+    spark.range(10).write.parquet(path)
+    os.remove(f"{path}/_SUCCESS")
+    assert S.grid_cached(spark, path, lambda: spark.range(100)).count() == 100
+    assert S.grid_cached(spark, path, lambda: spark.range(5)).count() == 100
+
+
+def test_csv_keeps_white_space_and_names(spark, tmp_path):
+    texts = ["  lead", "trail  ", ' "q" , ', "a\nb ", "plain"]
+    df = spark.createDataFrame([(i, t, m, "p_1") for i, t in enumerate(texts) for m in ("007", "10")],
+                               "row_key long, response string, model string, perspective_run string")
+    S.write_responses(df, str(tmp_path / "runs"), fmt="csv")
+    for schema in ("row_key long, response string", None):
+        back = S.scan_all_runs(spark, str(tmp_path / "runs"), fmt="csv", schema=schema)
+        assert sorted((int(r.row_key), r.response, r.model) for r in back.collect()) == sorted((r.row_key, r.response, r.model) for r in df.collect())
+
+
+def test_responder_keeps_long_keys(spark):
+    big = 9007199254740993
+    df = spark.createDataFrame([(big, "a", "x"), (None, "b", "y"), (big + 2, "c", "z")], "k long, model string, prompt string")
+    df = df.withColumn("err", F.when(F.col("model") == "b", F.lit("no route")))
+    out = map_responder(df, lambda m, r, p: (r, m + p), reasoning=F.lit("high"), error_col="err").collect()
+    assert sorted((r.k or 0, r.response, r.raw_response) for r in out) == [(0, "no route", "no route"), (big, "ax", "high"), (big + 2, "cz", "high")]
+
+
+def test_lexicon_files_keep_their_order(spark, tmp_path):
+    from vigil.operators.lexicon import lexicon_map
+    from vigil.sources.lexicon import read_dic_lexicon, read_lexicon
+    (tmp_path / "csv").mkdir()
+    (tmp_path / "csv" / "a.csv").write_text("token,category\nx,first\ny,first\n")
+    (tmp_path / "csv" / "b.csv").write_text("token,category\n" + "".join(f"t{i},c\n" for i in range(500)) + "x,last\n")
+    got = {r.token: r.category for r in lexicon_map(read_lexicon(spark, str(tmp_path / "csv"), fmt="csv")).collect()}
+    assert got["x"] == "last" and got["y"] == "first"
+    ids = "\n".join(f"{i}\tc{i}" for i in range(100))
+    (tmp_path / "l.dic").write_text(f"%\n{ids}\n%\n" + "x\t" + "\t".join(str(i) for i in range(100)) + "\nx\t7\n")
+    assert {r.token: r.category for r in lexicon_map(read_dic_lexicon(spark, str(tmp_path / "l.dic"))).collect()} == {"x": "c7"}

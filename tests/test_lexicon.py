@@ -40,7 +40,7 @@ def test_tokenize_edges(spark):
 def _check(spark, stop, strategy):
     lex = spark.createDataFrame(LEX, "token string, category string, ordinal long")
     df = spark.createDataFrame(TEXTS, "id int, text string")
-    out = lexicon_scores(df, lex, col="text", stopwords=stop, strategy=strategy, key="id").collect()
+    out = lexicon_scores(df, lex, col="text", stopwords=stop, strategy=strategy).collect()
     cats = sorted({c for _, c, _ in LEX})
     stopset = set(english_stopwords()) if stop == "english" else set()
     for r in out:
@@ -91,4 +91,14 @@ def test_documents_trial_counts(spark):
                                                "fairness_vice_count", "fairness_virtue_count", "loyalty_vice_count",
                                                "loyalty_virtue_count", "sanctity_vice_count",
                                                "sanctity_virtue_count")]).collect()[0]
-    assert tuple(tot) == (15335, 1528, 61, 33, 8409, 2408, 6018, 62, 49)
+    assert tuple(tot) == (17215, 1528, 2358, 4198, 8409, 2408, 6018, 1000, 4682)
+
+
+def test_plans_agree_on_repeated_and_null_rows(spark):
+    """Rows need no key: equal texts, null texts and repeated rows are each scored for themselves."""
+    lex = spark.createDataFrame([("aa", "x.virtue", 1), ("nan", "x.vice", 2)], "token string, category string, ordinal long")
+    rows = [(1, "aa bb"), (1, "cc"), (None, "aa"), (None, "aa"), (2, None), (3, "aa aa AA")]
+    df = spark.createDataFrame(rows, "id int, text string")
+    a, b = (sorted((tuple(r) for r in lexicon_scores(df, lex, col="text", stopwords=None, strategy=s, keep_matched=True).collect()), key=str)
+            for s in ("inset", "join"))
+    assert a == b and len(a) == 6

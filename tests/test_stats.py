@@ -157,10 +157,8 @@ def test_kde_single_group_output_shape(spark):
     assert len(out) == 50 and sorted(r.point for r in out) == list(range(50))
 
 
-def test_bootstrap_median_bracket_matches_brute_force(spark, monkeypatch):
-    """Groups above SMALL_GROUP use the rank bracket; the result must equal the
-    weighted medians of the expanded replicates, computed directly."""
-    monkeypatch.setattr(B, "SMALL_GROUP", 100)
+def test_bootstrap_median_bracket_matches_brute_force(spark):
+    """The rank bracket's result must equal the of the expanded replicates, computed directly."""
     rng = np.random.default_rng(1)
     rows = [(i, "g" if i % 3 else "h", float(rng.normal()) if i % 17 else None) for i in range(3000)]
     df = spark.createDataFrame(rows, "row_key long, grp string, v double")
@@ -181,8 +179,60 @@ def test_bootstrap_median_blocks_do_not_change_results(spark, monkeypatch):
     rng = np.random.default_rng(5)
     rows = [(i, "g" if i % 4 else "h", float(rng.exponential())) for i in range(2000)]
     df = spark.createDataFrame(rows, "row_key long, grp string, v double")
-    monkeypatch.setattr(B, "SMALL_GROUP", 100)
     one = {r.grp: r for r in bootstrap_ci(df, ["grp"], ["v"], "row_key", n_boot=150, stat="median").collect()}
     monkeypatch.setattr(B, "WORK_PER_TASK", 1000)  # -> 3 blocks of replicates per group
     many = {r.grp: r for r in bootstrap_ci(df, ["grp"], ["v"], "row_key", n_boot=150, stat="median").collect()}
     assert one == many and one["g"].n == 1500
+
+
+def test_bootstrap_median_with_ties(spark):
+    """A value that most rows share travels as summed weights; the medians stay exact."""
+    rng = np.random.default_rng(9)
+    rows = [(i, "g", 0.0 if i % 10 < 6 else float(rng.normal())) for i in range(4000)]
+    df = spark.createDataFrame(rows, "row_key long, grp string, v double").coalesce(2)
+    r = bootstrap_ci(df, ["grp"], ["v"], "row_key", n_boot=80, stat="median").first()
+    hs = {x.row_key: x.h for x in df.select("row_key", row_seed(0, "row_key").alias("h")).collect()}
+    x, h = np.array([v for _, _, v in rows]), np.array([hs[k] for k, _, _ in rows], dtype=np.int64).astype(np.uint32)
+    w = poisson1_from_words(mix32_words(h[:, None], np.arange(80, dtype=np.uint32)[None, :]))
+    lo, hi = np.percentile([np.median(np.repeat(x, w[:, b])) for b in range(80)], [2.5, 97.5])
+    assert (r.median, r.n) == (np.median(x), 4000) and abs(r.ci95_low - lo) < 1e-12 and abs(r.ci95_high - hi) < 1e-12
+
+
+@pytest.mark.parametrize("kind", ["string", "long"])
+@pytest.mark.parametrize("stat", ["mean", "median"])
+def test_bootstrap_drops_null_keys(spark, kind, stat):
+    rows = [(i, None if i % 3 == 0 else "7", float(i)) for i in range(60)]
+    df = spark.createDataFrame(rows, "row_key long, grp string, v double").withColumn("grp", F.col("grp").cast(kind))
+    out = bootstrap_ci(df, ["grp"], ["v"], "row_key", n_boot=20, stat=stat).collect()
+    assert [(str(r.grp), r.n) for r in out] == [("7", 40)]
+
+
+def test_ols_leverage_of_one_is_null_for_its_group_only(spark):
+    shapes = [[(1, 1), (1, 2), (1, 4), (5, 1)], [(0, 0), (0, 1), (1, 0)], [(1, 1), (2, 2), (3, 3), (9, 1)]]
+    rows = [(f"s{i}", float(a), float(b), float(a * 3 - b + a * b)) for i, s in enumerate(shapes) for a, b in s]
+    rows += [("ok", float(i % 4), float(i % 3), float((i * 7) % 5)) for i in range(30)] + [(None, 1.0, 2.0, 3.0)]
+    df = spark.createDataFrame(rows, "model string, closeness_level double, severity_level double, care_ratio double")
+    out = ols_hc3(df, keys=["model"], ys=["care_ratio"])
+    got = out.collect()
+    assert {r.model for r in got} == {"s0", "s1", "s2", "ok"}
+    assert all((r.se is None) == (r.model != "ok") for r in got)
+    assert "Expand" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scorers_keep_long_keys_and_are_built_once(spark):
+    from functools import partial
+
+    from vigil.operators.classify import classifier_scores
+    from vigil.plans.stubs import length_scorer
+    big = 9007199254740993
+    df = spark.createDataFrame([(big, "abc"), (None, None), (big + 2, "abcd")], "k long, reason string")
+    out = classifier_scores(df, {"a": partial(length_scorer, 2), "b": partial(length_scorer, 3)}).collect()
+    got = {r.k: (r.a_mscore, r.b_mscore) for r in out}
+    assert got[big] == (0.5, 0.0) and got[big + 2] == (0.0, 1 / 3) and got[None] == (None, None)
+
+
+def test_normal_p_values_in_the_far_tail(spark):
+    from vigil.functions.numeric import normal_two_sided_p
+    zs = [0.0, 0.5, 2.4999, 2.5, 5.0, 8.0, 20.0, 37.0]
+    got = [r.p for r in spark.createDataFrame([(z,) for z in zs], "z double").select(normal_two_sided_p("z").alias("p")).collect()]
+    assert all(abs(p - math.erfc(z / math.sqrt(2))) <= 1e-12 * max(math.erfc(z / math.sqrt(2)), 1e-300) + 5e-15 for p, z in zip(got, zs))

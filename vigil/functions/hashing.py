@@ -43,7 +43,8 @@ def poisson1_thresholds(kmax: int = 12) -> list[float]:
 
 
 def poisson1_weight(u: Column, kmax: int = 12) -> Column:
-    """Poisson(1) draw by inverse CDF of a uniform ``u`` (capped at kmax)."""
+    """Poisson(1) draw by inverse CDF of a uniform ``u``.  ``kmax`` = 12 is the largest
+    value a 32-bit draw can reach, 18 that of a 53-bit one; more would not change a draw."""
     expr = None
     for k, p in enumerate(poisson1_thresholds(kmax)):
         expr = F.when(u < F.lit(p), F.lit(k)) if expr is None else expr.when(u < F.lit(p), F.lit(k))

@@ -47,11 +47,6 @@ def candidate_object(text) -> Column:
     return F.regexp_substr(t, F.lit("(?s)\\{.*\\}"))
 
 
-def strict_json_object(text, fields: str = _FIELDS) -> Column:
-    """Struct of ``fields`` parsed from the candidate, NULL unless strictly valid."""
-    return _strict_from_candidate(candidate_object(text), fields)
-
-
 def _strict_from_candidate(obj: Column, fields: str = _FIELDS) -> Column:
     as_array = F.from_json(F.concat(F.lit("["), obj, F.lit("]")),
                            f"array<struct<{fields.replace(' variant', ':variant')}>>",
@@ -93,16 +88,6 @@ def _not_nan_text(v: Column) -> Column:
     return F.when(_is_nan(v), F.lit(None).cast("string")).otherwise(variant_text(v))
 
 
-def answer_reason_struct(text) -> Column:
-    """struct<answer string, reason string> per the module docstring.
-
-    Prefer ``with_answer_reason`` on a DataFrame: it stages the parse so the
-    JSON is read once per row.
-    """
-    rec = strict_json_object(text)
-    return answer_reason_from_record(rec)
-
-
 def answer_reason_from_record(rec: Column) -> Column:
     a, r, rr = rec["answer"], rec["reason"], rec["reasoning"]
     reason_v = F.when(variant_truthy(r), r).otherwise(rr)

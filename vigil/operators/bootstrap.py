@@ -7,8 +7,9 @@ boundaries or task retries.
 Default engine (``mix32``): a 32-bit row seed is computed in Spark (md5 of
 seed and key); inside each Arrow batch numpy draws the (rows x replicates)
 weight matrix chunk by chunk and folds it into per-(group, replicate) partial
-sums with one matrix product.  Only groups x replicates partial rows per
-batch are shuffled; Spark sums them per (group, replicate), and the interval
+sums with one matrix product.  Sums are kept over all batches of a task (and
+flushed when it holds many groups), so groups x replicates partial rows per
+task are shuffled, however many rows it read; Spark sums them per (group, replicate), and the interval
 is the linear-interpolation percentile of the replicate statistics
 (``np.percentile``).
 
@@ -16,8 +17,11 @@ The median is exact without holding a group in one task: every replicate
 median lies, with overwhelming probability, inside a bracket of ranks
 n/2 +- 5 sqrt(n) around the plain median (its rank spread is about
 sqrt(n)/2); approximate quantiles give that bracket.  Weights below it are
-summed per batch like the mean, and only the rows inside it are shipped, to
-blocks of replicates, where numpy picks the weighted order statistics.  A
+summed per task like the mean, and only the rows inside it are shipped, to
+blocks of replicates, where numpy picks the weighted order statistics.  Equal
+values inside it are shipped as one row with their summed replicate weights
+once there are more of them than replicates, so a bracket that holds a value
+with very many ties (zero, say) stays small.  A
 replicate median outside its bracket raises instead of returning a wrong
 value.
 
@@ -35,13 +39,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from vigil.functions.hashing import mix32_words, poisson1_from_words, poisson1_weight, row_seed, unit_hash
 from vigil.functions.numeric import nan_to_null
 from vigil.operators.report import dense_skeleton
 
 CHUNK_ROWS = 2048
+HELD_GROUPS = 500  # groups whose sums a task keeps (51 kB each for 800 replicates of four columns)
 
 
 def _names(ci: int) -> tuple[str, str]:
@@ -56,11 +61,23 @@ def _mean_partials(d: DataFrame, keys: list[str], cols: list[str], n_boot: int)
                         + [StructField(f"__w_{i}", DoubleType(), False) for i in range(len(cols))])
     bs = np.arange(n_boot, dtype=np.uint32)
 
+    def rows(sums: dict):
+        # replicate -1 carries the plain sums (weight 1): the point estimate
+        # comes out of the same pass, no second scan
+        for kv, (plain, s, wn) in sums.items():
+            out = {k: [v] * (n_boot + 1) for k, v in zip(keys, kv)}
+            out["__b"] = np.arange(-1, n_boot, dtype=np.int32)
+            for i in range(len(cols)):
+                out[f"__s_{i}"] = np.concatenate([[plain[0, i]], s[:, i]])
+                out[f"__w_{i}"] = np.concatenate([[plain[1, i]], wn[:, i]])
+            yield pd.DataFrame(out)
+
     def run(batches):
+        held: dict = {}
         for pdf in batches:
             if pdf.empty:
                 continue
-            groups = pdf.groupby(keys, dropna=False, sort=False) if keys else [((), pdf)]
+            groups = pdf.groupby(keys, sort=False) if keys else [((), pdf)]
             for kv, g in groups:
                 kv = kv if isinstance(kv, tuple) else (kv,)
                 h = g["__h"].to_numpy(dtype=np.int64).astype(np.uint32)
@@ -73,14 +90,14 @@ def _mean_partials(d: DataFrame, keys: list[str], cols: list[str], n_boot: int)
                     w = poisson1_from_words(mix32_words(h[a:a + CHUNK_ROWS, None], bs[None, :])).astype(np.float64)
                     s += w.T @ x0[a:a + CHUNK_ROWS]
                     wn += w.T @ ok[a:a + CHUNK_ROWS].astype(np.float64)
-                # replicate -1 carries the plain sums (weight 1): the point
-                # estimate comes out of the same pass, no second scan
-                out = {k: [v] * (n_boot + 1) for k, v in zip(keys, kv)}
-                out["__b"] = np.arange(-1, n_boot, dtype=np.int32)
-                for i in range(len(cols)):
-                    out[f"__s_{i}"] = np.concatenate([[x0[:, i].sum()], s[:, i]])
-                    out[f"__w_{i}"] = np.concatenate([[float(ok[:, i].sum())], wn[:, i]])
-                yield pd.DataFrame(out)
+                plain = np.stack([x0.sum(0), ok.sum(0).astype(np.float64)])
+                if kv in held:
+                    plain, s, wn = (a + b for a, b in zip(held[kv], (plain, s, wn)))
+                held[kv] = (plain, s, wn)
+            if len(held) > HELD_GROUPS:
+                yield from rows(held)
+                held = {}
+        yield from rows(held)
 
     return d.mapInPandas(run, schema)
 
@@ -91,7 +108,6 @@ def _mean_partials(d: DataFrame, keys: list[str], cols: list[str], n_boot: int)
 BRACKET_RUNGS = (1e-6, 2e-6, 5e-6, 1e-5, 2e-5, 5e-5, 1e-4, 2e-4, 5e-4, 1e-3, 2e-3, 5e-3, 1e-2, 2e-2, 5e-2,
                  0.1, 0.2, 0.5)
 MEDIAN_ACCURACY = 1_000_000
-SMALL_GROUP = 100_000
 REPS_PER_TASK = 50
 WORK_PER_TASK = 50_000_000  # weight draws (bracket rows x replicates) per task
 
@@ -100,9 +116,9 @@ def _median_bracket(d: DataFrame, keys: list[str], cols: list[str], rk: list[str
                     qarr) -> DataFrame:
     """Wide (keys, __p_i, __n_i, __c_i) for the bootstrap median.
 
-    Groups up to ``SMALL_GROUP`` values bracket everything (exact, bounded);
-    larger ones bracket ranks around the median.  Rows with a NULL key are
-    dropped, as pandas' groupby does.
+    Ranks around the median are bracketed; in groups under a hundred values
+    that is the whole group.  Rows with a NULL key are dropped, as pandas'
+    groupby does.
     """
     from vigil.plans.sizing import bounded_broadcast
     from vigil.session import materialize
@@ -117,26 +133,24 @@ def _median_bracket(d: DataFrame, keys: list[str], cols: list[str], rk: list[str
     st = long.groupBy(*gk).agg(F.count("__v").alias("__n"),
                                F.percentile_approx("__v", F.array(*[F.lit(p) for p in pct]),
                                                    MEDIAN_ACCURACY).alias("__q"))
-    need = F.lit(5.0) / F.sqrt(F.col("__n").cast("double")) + F.lit(3.0 / MEDIAN_ACCURACY)
+    # a group without values needs no bracket
+    need = F.coalesce(F.try_divide(F.lit(5.0), F.sqrt(F.col("__n").cast("double"))), F.lit(1.0)) + F.lit(3.0 / MEDIAN_ACCURACY)
     lo = hi = F.lit(None).cast("double")
     rung = F.lit(1.0)
     for r in reversed(BRACKET_RUNGS):  # the narrowest rung that is wide enough wins
         lo = F.when(need <= F.lit(r), F.col("__q")[pct.index(max(0.0, 0.5 - r))]).otherwise(lo)
         hi = F.when(need <= F.lit(r), F.col("__q")[pct.index(min(1.0, 0.5 + r))]).otherwise(hi)
         rung = F.when(need <= F.lit(r), F.lit(r)).otherwise(rung)
-    small = F.col("__n") <= F.lit(SMALL_GROUP)
     # Replicate blocks per group from the work in its bracket (rows x
     # replicates): a small group is one task, a hot group's bracket is shared
     # by up to n_boot / REPS_PER_TASK tasks.
     n = F.col("__n").cast("double")
-    rows_in = F.when(small, n).otherwise(F.least(n, F.ceil(n * (F.lit(2.0) * rung + F.lit(2.0 / MEDIAN_ACCURACY)))))
+    rows_in = F.least(n, F.ceil(n * (F.lit(2.0) * rung + F.lit(2.0 / MEDIAN_ACCURACY))))
     max_blocks = max(1, -(-n_boot // REPS_PER_TASK))
     blocks = F.least(F.lit(max_blocks), F.greatest(F.lit(1), F.ceil(rows_in * F.lit(float(n_boot))
                                                                       / F.lit(WORK_PER_TASK)))).cast("int")
-    st = st.select(*gk, "__n", F.when(small, F.lit(float("-inf"))).otherwise(F.coalesce(lo, F.lit(float("-inf"))))
-                   .alias("__lo"),
-                   F.when(small, F.lit(float("inf"))).otherwise(F.coalesce(hi, F.lit(float("inf")))).alias("__hi"),
-                   blocks.alias("__blocks"))
+    st = st.select(*gk, "__n", F.coalesce(lo, F.lit(float("-inf"))).alias("__lo"),
+                   F.coalesce(hi, F.lit(float("inf"))).alias("__hi"), blocks.alias("__blocks"))
     st = bounded_broadcast(materialize(st), 1_000_000)  # one row per (group, metric)
     j = long.join(st, gk, "inner")
 
@@ -150,8 +164,9 @@ def _median_bracket(d: DataFrame, keys: list[str], cols: list[str], rk: list[str
         .withColumn("__blk", F.floor(F.greatest(F.col("__b"), F.lit(0)) * F.col("__blocks")
                                      / F.lit(float(n_boot))).cast("int")) \
         .drop("__blocks")
-    inside = j.where((F.col("__v") >= F.col("__lo")) & (F.col("__v") <= F.col("__hi"))) \
-        .select(*gk, "__v", "__h", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)).alias("__blk"))
+    inside = j.where((F.col("__v") >= F.col("__lo")) & (F.col("__v") <= F.col("__hi")))
+    inside = _tied_weights(inside.select(*gk, "__v", "__h", "__blocks"), gk, n_boot) \
+        .select(*gk, "__v", "__h", "__c", "__w", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)).alias("__blk"))
 
     out_schema = StructType([d.schema[k] for k in keys] + [StructField("__metric", StringType(), True),
                                                            StructField("__b", IntegerType(), False),
@@ -160,10 +175,12 @@ def _median_bracket(d: DataFrame, keys: list[str], cols: list[str], rk: list[str
     def pick(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if right.empty:
             return pd.DataFrame(columns=[f.name for f in out_schema.fields])
+        left = left.sort_values("__v", kind="stable", ignore_index=True)
         v = left["__v"].to_numpy(dtype=np.float64)
         h = left["__h"].to_numpy(dtype=np.int64).astype(np.uint32)
-        order = np.argsort(v, kind="stable")
-        v, h = v[order], h[order]
+        tied = np.flatnonzero(left["__w"].notna().to_numpy())
+        summed = np.stack([np.frombuffer(x, np.uint32) for x in left["__w"].iloc[tied]]) if len(tied) else None
+        count = left["__c"].to_numpy(dtype=np.float64)
         b = right["__b"].to_numpy(dtype=np.int64)
         below = right["__below"].to_numpy(dtype=np.float64)
         total = right["__total"].to_numpy(dtype=np.float64)
@@ -171,7 +188,9 @@ def _median_bracket(d: DataFrame, keys: list[str], cols: list[str], rk: list[str
         for c in range(len(b)):  # one replicate at a time: memory stays linear in the bracket
             if total[c] <= 0:
                 continue  # no values in this replicate: NULL
-            w = np.ones(len(v)) if b[c] < 0 else poisson1_from_words(mix32_words(h, np.uint32(b[c])))
+            w = count if b[c] < 0 else poisson1_from_words(mix32_words(h, b[c:c + 1])).astype(np.float64)
+            if summed is not None and b[c] >= 0:
+                w[tied] = summed[:, b[c]]
             cum = np.cumsum(w, dtype=np.float64) + below[c]
             pos = (total[c] - 1.0) * 0.5
             k1, k2 = np.floor(pos), np.ceil(pos)
@@ -198,18 +217,44 @@ def _median_bracket(d: DataFrame, keys: list[str], cols: list[str], rk: list[str
     return per_gk.groupBy(*keys).agg(*aggs) if keys else per_gk.agg(*aggs)
 
 
+def _tied_weights(inside: DataFrame, gk: list[str], n_boot: int) -> DataFrame:
+    """(gk, __v, __blocks, __h, __c, __w): rows as they are (count 1), but a value that more
+    than ``n_boot`` rows of a batch share becomes one row with their count and summed weights."""
+    fields = [inside.schema[k] for k in gk] + [
+        StructField("__v", DoubleType(), True), StructField("__blocks", IntegerType(), True), StructField("__h", LongType(), True),
+        StructField("__c", LongType(), False), StructField("__w", BinaryType(), True)]
+    bs = np.arange(n_boot, dtype=np.uint32)
+
+    def run(batches):
+        for pdf in batches:
+            pdf = pdf[[*gk, "__v", "__blocks", "__h"]].assign(__c=1, __w=None)
+            size = pdf.groupby([*gk, "__v"], sort=False)["__c"].transform("size").to_numpy()
+            yield pdf[size <= n_boot]
+            for _, g in pdf[size > n_boot].groupby([*gk, "__v"], sort=False):
+                h = g["__h"].to_numpy(dtype=np.int64).astype(np.uint32)
+                w = np.zeros(n_boot, np.uint32)
+                for a in range(0, len(h), CHUNK_ROWS):
+                    w += poisson1_from_words(mix32_words(h[a:a + CHUNK_ROWS, None], bs[None, :])).sum(0, dtype=np.uint32)
+                yield g.iloc[:1].assign(__c=len(g), __w=w.tobytes())
+
+    return inside.mapInPandas(run, StructType(fields))
+
+
 def bootstrap_ci(df: DataFrame, keys: Sequence[str], cols: Sequence[str], row_key: Sequence[str] | str,
                  n_boot: int = 800, ci: int = 95, seed: int = 0, stat: str = "mean",
                  method: str = "mix32", metric: str = "metric") -> DataFrame:
     """Long result: keys, ``metric``, ``<stat>``, ``ci<ci>_low``, ``ci<ci>_high``, n.
-    NULL/NaN values are removed per metric; an empty group gives NULLs, n = 0."""
+    NULL/NaN values are removed per metric; an empty group gives NULLs, n = 0.
+    Rows with a NULL key are dropped, as pandas' groupby does."""
     if stat not in ("mean", "median"):
         raise ValueError("stat must be 'mean' or 'median'")
     keys, cols = list(keys), list(cols)
     rk = [row_key] if isinstance(row_key, str) else list(row_key)
     lo, hi = _names(ci)
     q = [(100 - ci) / 200.0, 1 - (100 - ci) / 200.0]
-    d = df.select(*keys, *rk, *[nan_to_null(c).alias(c) for c in cols])
+    d = df.select(*dict.fromkeys([*keys, *rk]), *[nan_to_null(c).alias(c) for c in cols])
+    for k in keys:
+        d = d.where(F.col(k).isNotNull())
 
     stat_fn = (lambda c: F.avg(c)) if stat == "mean" else (lambda c: F.percentile(c, F.lit(0.5)))
     qarr = F.array(*[F.lit(x) for x in q])
@@ -240,7 +285,8 @@ def bootstrap_ci(df: DataFrame, keys: Sequence[str], cols: Sequence[str], row_ke
         point = d.groupBy(*keys).agg(*[stat_fn(c).alias(f"__p_{i}") for i, c in enumerate(cols)],
                                      *[F.count(c).alias(f"__n_{i}") for i, c in enumerate(cols)])
         rep = d.select(*keys, *rk, *cols, F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("__b"))
-        rep = rep.withColumn("__w", poisson1_weight(unit_hash(seed, *rk, F.col("__b"), method=method)))
+        rep = rep.withColumn("__w", poisson1_weight(unit_hash(seed, *rk, F.col("__b"), method=method),
+                                                   kmax=18 if method == "xxhash64" else 12))
         if stat == "mean":
             aggs = [F.try_divide(F.sum(F.col("__w") * F.col(c)),
                                  F.nullif(F.sum(F.when(F.col(c).isNotNull(), F.col("__w"))), F.lit(0))

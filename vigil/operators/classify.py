@@ -1,14 +1,16 @@
 """Classifier scores and score ratios (M1-M5).
 
-M2-M5 are plain column arithmetic.  M1 runs a scorer per Arrow batch
-(``mapInPandas``); the Spark-native default scorer is a ``pyspark.ml``
+M2-M5 are plain column arithmetic.  M1 runs a scorer per Arrow batch (a
+pandas UDF over the text column); the Spark-native default scorer is a ``pyspark.ml``
 pipeline trained on labelled rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+import pickle
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -67,31 +69,40 @@ def renormalise(df: DataFrame, keep: Sequence[str] = MORAL4, all_parts: Sequence
 
 Scorer = Callable[["pd.Series"], "pd.Series"]  # noqa: F821
 
+#: Scorers built in this Python worker, by their factory: a worker serves many tasks.
+_BUILT: dict = {}
+
+
+def _built(factory: Callable[[], Scorer]) -> Scorer:
+    key = (getattr(factory, "__module__", ""), getattr(factory, "__qualname__", ""), pickle.dumps(getattr(factory, "args", None)))
+    if key not in _BUILT:
+        _BUILT[key] = factory()
+    return _BUILT[key]
+
 
 def classifier_scores(df: DataFrame, scorers: Mapping[str, Callable[[], Scorer]], col: str = "reason",
                       suffix: str = "_mscore") -> DataFrame:
     """M1 with injected scorers: ``scorers[name]()`` builds a function from a
-    pandas Series of texts to a Series of probabilities.  Each factory runs
-    once per Python worker process (cached), then scores Arrow batches."""
-    names = list(scorers)
-    out_schema = df.schema
-    from pyspark.sql.types import DoubleType, StructField, StructType
+    pandas Series of texts to a Series of probabilities.
 
-    out_schema = StructType(list(df.schema.fields) + [StructField(f"{n}{suffix}", DoubleType(), True)
-                                                       for n in names])
-    factories = dict(scorers)
+    Only the text column goes through Python (an Arrow-batched pandas UDF);
+    other columns keep their exact values.  A factory (a module-level function
+    or a ``functools.partial`` of one) runs once per Python worker process.
+    """
+    names = list(scorers)
+    factories = [scorers[n] for n in names]
+    fields = ", ".join(f"s{i} double" for i in range(len(names)))
 
-    def run(batches):
-        cache = {}
-        for pdf in batches:
-            texts = pdf[col]
-            for n in names:
-                if n not in cache:
-                    cache[n] = factories[n]()
-                pdf[f"{n}{suffix}"] = cache[n](texts).astype("float64").to_numpy()
-            yield pdf
+    @F.pandas_udf(fields)
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        models = [_built(f) for f in factories]
+        for texts in batches:
+            yield pd.DataFrame({f"s{i}": m(texts).astype("float64").to_numpy() for i, m in enumerate(models)})
 
-    return df.mapInPandas(run, out_schema)
+    if not names:
+        return df
+    out = df.withColumn("__scores", scored(F.col(col)))
+    return out.withColumns({f"{n}{suffix}": F.col(f"__scores.s{i}") for i, n in enumerate(names)}).drop("__scores")
 
 
 def train_text_classifiers(train: DataFrame, text_col: str, label_cols: Sequence[str],
@@ -133,6 +144,7 @@ def apply_text_classifiers(df: DataFrame, trained: Mapping, text_col: str = "rea
 
     out = trained["features"].transform(df.withColumn("__text", F.coalesce(F.col(text_col), F.lit(""))))
     for name, model in trained["models"].items():
-        out = model.transform(out)
-        out = out.withColumn(f"{name}{suffix}", vector_to_array(F.col("__prob"))[1]).drop("__prob", "__raw", "__pred")
+        # only the probability is computed
+        out = model.copy().setRawPredictionCol("").setPredictionCol("").transform(out)
+        out = out.withColumn(f"{name}{suffix}", vector_to_array(F.col("__prob"))[1]).drop("__prob")
     return out.drop("__text", "__tok", "__tf", "__feat")

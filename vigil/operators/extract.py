@@ -50,8 +50,8 @@ def display_name(df: DataFrame, key: str, labels: DataFrame | Mapping[str, str],
         m = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
         return df.withColumn(out, F.coalesce(F.try_element_at(m, F.col(key).cast("string")),
                                              F.col(key).cast("string")))
-    lab = labels.select(F.col(label_key).alias("__k"), F.col(label_col).alias("__label")) \
-        .dropDuplicates(["__k"])
+    # of several labels of a key the largest counts, whatever the row order
+    lab = labels.groupBy(F.col(label_key).alias("__k")).agg(F.max(label_col).alias("__label"))
     j = df.join(bounded_broadcast(lab), F.col(key) == F.col("__k"), "left")
     return j.withColumn(out, F.coalesce(F.col("__label"), F.col(key).cast("string"))).drop("__k", "__label")
 

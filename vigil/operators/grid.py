@@ -1,8 +1,7 @@
 """Factorial prompt grids, sampling and job fan-out.
 
-A grid is the product of small factor tables.  Every factor is size-checked
-before it is broadcast, and the product size is checked against a bound
-before the plan is returned, so the grid never grows by accident.
+A grid is the product of level tables.  A table is broadcast only if its
+counted size allows; the product is dealt over as many tasks as its rows need.
 """
 
 from __future__ import annotations
@@ -15,75 +14,75 @@ from pyspark.sql import functions as F
 
 from vigil.functions.hashing import unit_hash
 from vigil.functions.text import render_template as _render
-from vigil.plans.sizing import row_count_at_most, row_counts_at_most
+from vigil.plans.sizing import row_count_at_most, row_counts
 from vigil.session import materialize
 
-MAX_FACTOR_LEVELS = 1_000_000
-LARGE_SAMPLE = 100_000
-MAX_GRID_ROWS = 10_000_000_000
+#: Rows up to which a level table is broadcast; a larger one is crossed or joined by shuffling.
+MAX_BROADCAST_LEVELS = 1_000_000
 
 
-def _checked(dim: DataFrame, max_levels: int) -> tuple[DataFrame, int]:
-    n = row_count_at_most(dim, max_levels)
-    if n is None:
-        raise ValueError(f"factor table larger than {max_levels} rows")
-    return F.broadcast(dim), n
+def _small(dim: DataFrame, n: int | None) -> DataFrame:
+    return dim if n is None else F.broadcast(dim)
 
 
 ROWS_PER_TASK = 1_000_000
 
 
-def cross_product(tables: Sequence[DataFrame], counts: Sequence[int], fan_out: int = 1,
-                  rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """Product of small, size-checked tables (``counts`` are their row counts).
+def cross_product(tables: Sequence[DataFrame], counts: Sequence[int], fan_out: float = 1,
+                  rows_per_task: int = ROWS_PER_TASK, broadcast_rows: int = MAX_BROADCAST_LEVELS) -> DataFrame:
+    """Product of level tables (``counts`` are their row counts).
 
     Crossing broadcast tables streams the first one, so one task would emit
     the whole product.  Instead the first tables are crossed until they hold
     enough rows, dealt round-robin over ceil(rows / ``rows_per_task``) tasks,
-    and the remaining tables are broadcast into that spread side.
-    ``fan_out`` bounds what later joins multiply each row by.
+    and the remaining tables are broadcast into that spread side; a table above
+    ``broadcast_rows`` is crossed without a broadcast.  ``fan_out`` is what
+    later joins multiply each row by.
     """
-    total = max(1, fan_out)
+    total = max(1.0, fan_out)
     for c in counts:
         total *= max(c, 1)
     parts = max(1, math.ceil(total / rows_per_task))
+
+    def side(k: int) -> DataFrame:
+        return F.broadcast(tables[k]) if counts[k] <= broadcast_rows else tables[k]
+
     out, running, i = tables[0], max(counts[0], 1), 1
     while parts > 1 and running < parts and i < len(tables):
-        out = out.crossJoin(F.broadcast(tables[i]))
+        out = out.crossJoin(side(i))
         running *= max(counts[i], 1)
         i += 1
     if parts > 1:
         out = out.repartition(min(parts, running))
-    for t in tables[i:]:
-        out = out.crossJoin(F.broadcast(t))
+    for k in range(i, len(tables)):
+        out = out.crossJoin(side(k))
     return out
 
 
 def factor_grid(factors: Sequence[DataFrame], nested: Sequence[tuple[DataFrame, Sequence[str]]] = (),
-                max_levels: int = MAX_FACTOR_LEVELS, max_rows: int = MAX_GRID_ROWS) -> DataFrame:
+                max_rows: int | None = None) -> DataFrame:
     """Product of independent ``factors``; each ``nested`` table is a
     child factor joined on its parent key(s) (levels that depend on a parent).
+
+    The size is not limited unless the caller sets ``max_rows``; then the
+    grid's exact number of rows is counted first and a larger one raises.
     """
     # Level tables are small: each is written once to the shared checkpoint
     # folder, so its size check and the grid read the copy instead of scanning
     # (and de-duplicating) its source twice.
     factors = [materialize(f) for f in factors]
-    nested = [(materialize(c), on) for c, on in nested]
-    tables = list(factors) + [c for c, _ in nested]
-    counts = row_counts_at_most(tables, max_levels)  # one job for all factor tables
-    if any(n is None for n in counts):
-        raise ValueError(f"factor table larger than {max_levels} rows")
-    size = 1
-    for n in counts[:len(factors)]:
-        size *= n
-    fan_out = 1
-    for n in counts[len(factors):]:
-        fan_out *= max(n, 1)  # upper bound of the dependent fan-out
-    if size * fan_out > max_rows:
-        raise ValueError(f"grid bound {size * fan_out} exceeds max_rows={max_rows}")
-    grid = cross_product(factors, counts[:len(factors)], fan_out=fan_out)
-    for (child, on) in nested:
-        grid = grid.join(F.broadcast(child), list(on), "inner")
+    nested = [(materialize(c), list(on)) for c, on in nested]
+    # one job counts all level tables and, for children, their parents
+    sizes = row_counts([*factors, *[c for c, _ in nested], *[c.select(*on).distinct() for c, on in nested]])
+    n, m = len(factors), len(nested)
+    fan_out = 1.0
+    for rows, parents in zip(sizes[n:n + m], sizes[n + m:]):
+        fan_out *= rows / max(parents, 1)  # children per parent
+    grid = cross_product(factors, sizes[:n], fan_out=fan_out)
+    for (child, on), rows in zip(nested, sizes[n:n + m]):
+        grid = grid.join(F.broadcast(child) if rows <= MAX_BROADCAST_LEVELS else child, on, "inner")
+    if max_rows is not None and (size := grid.count()) > max_rows:
+        raise ValueError(f"grid of {size} rows exceeds max_rows={max_rows}")
     return grid
 
 
@@ -99,9 +98,7 @@ def unknown_keys(df: DataFrame, known: DataFrame | Sequence[str], on: str) -> Da
     if not isinstance(known, DataFrame):
         known = df.sparkSession.createDataFrame([(k,) for k in known], f"{on} string")
     k = known.select(on).distinct()
-    small = row_count_at_most(k, MAX_FACTOR_LEVELS) is not None
-    return df.select(on).distinct().join(F.broadcast(k) if small else k,
-                                         on, "left_anti")
+    return df.select(on).distinct().join(_small(k, row_count_at_most(k, MAX_BROADCAST_LEVELS)), on, "left_anti")
 
 
 def validate_keys(df: DataFrame, known: DataFrame | Sequence[str], on: str) -> DataFrame:
@@ -124,43 +121,48 @@ def sample_n(df: DataFrame, n: int, seed: int = 42, key: Sequence[str] | str = (
         raise ValueError("sample_n needs a key that identifies rows")
     if n <= 0:
         return df
-    u = unit_hash(seed, *keys, method=method)
-    d = df.withColumn("__u", u)
-    if n > LARGE_SAMPLE:
-        # A top-n of millions would be merged by one task.  The hash is
-        # uniform, so rows with u below a threshold a little above n/N hold
-        # the n smallest; take the exact top-n of those candidates only.
-        total = df.count()
-        if n >= total:
-            return df
-        frac = n / total
-        t = min(1.0, frac + 8.0 * math.sqrt(frac * (1 - frac) / total) + 1.0 / total)
+    d = df.withColumn("__u", unit_hash(seed, *keys, method=method))
+    total = df.count()
+    if n >= total:
+        return df
+    # The hash is uniform, so rows below a threshold a little above n / total
+    # hold the n smallest; no task merges a top-n.  The margin doubles in the
+    # (very rare) case that fewer than n rows are below.
+    frac, margin = n / total, 8.0
+    while True:
+        t = frac + margin * math.sqrt(frac * (1 - frac) / total) + margin / total
         cand = d.where(F.col("__u") < F.lit(t))
         m = cand.count()
         if m >= n:
-            # A top-n of millions would be merged by one task.  Instead find
-            # the m - n surplus candidates (a few standard deviations of rows:
-            # a small top-k) and keep what lies below the smallest of them.
-            if m == n:
-                return cand.drop("__u")
-            order = [F.col("__u").desc(), *[F.col(k).desc() for k in keys]]
-            cut = cand.select("__u", *keys).orderBy(*order).limit(m - n).orderBy("__u", *keys).first()
-            cols = ["__u", *keys]
-            bound = [F.lit(cut[c]).cast(cand.schema[c].dataType) for c in cols]
-            below = F.lit(False)  # (u, keys) < cut, lexicographically
-            for c, b in reversed(list(zip(cols, bound))):
-                below = (F.col(c) < b) | ((F.col(c) == b) & below)
-            return cand.where(below).drop("__u")
-    return d.orderBy("__u", *keys).limit(n).drop("__u")
-
-
-def job_grid(grid: DataFrame, models: DataFrame, runs: DataFrame,
-             max_levels: int = MAX_FACTOR_LEVELS) -> DataFrame:
-    """Every model x every run x every prompt, as one distributed table."""
+            break
+        margin *= 2
+    if m == n:
+        return cand.drop("__u")
+    # the m - n surplus candidates (a few standard deviations of rows: a small
+    # top-k) give the cut; what lies below the smallest of them stays
+    order = [F.col("__u").desc(), *[F.col(k).desc() for k in keys]]
+    cut = cand.select("__u", *keys).orderBy(*order).limit(m - n).orderBy("__u", *keys).first()
+    cols = ["__u", *keys]
+    bound = [F.lit(cut[c]).cast(cand.schema[c].dataType) for c in cols]
+    below = F.lit(False)  # (u, keys) < cut, lexicographically
+    for c, b in reversed(list(zip(cols, bound))):
+        below = (F.col(c) < b) | ((F.col(c) == b) & below)
+    return cand.where(below).drop("__u")
+
+
+def job_grid(grid: DataFrame, models: DataFrame, runs: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Every model x every run x every prompt, as one distributed table.
+
+    Prompts are dealt over enough tasks that none emits more than about
+    ``rows_per_task`` jobs.
+    """
     models, runs = materialize(models), materialize(runs)
-    if any(n is None for n in row_counts_at_most([models, runs], max_levels)):
-        raise ValueError(f"model or run table larger than {max_levels} rows")
-    return grid.crossJoin(F.broadcast(models)).crossJoin(F.broadcast(runs))
+    n_models, n_runs, n_grid = row_counts([models, runs, grid])
+    jobs = cross_product([models, runs], [n_models, n_runs])
+    parts = math.ceil(n_grid * n_models * n_runs / rows_per_task)
+    if parts > 1:
+        grid = grid.repartition(min(parts, max(1, n_grid)))
+    return grid.crossJoin(F.broadcast(jobs) if n_models * n_runs <= MAX_BROADCAST_LEVELS else jobs)
 
 
 def route_models(df: DataFrame, routes: DataFrame | Mapping[str, str], model: str = "model",
@@ -169,7 +171,8 @@ def route_models(df: DataFrame, routes: DataFrame | Mapping[str, str], model: st
     unknown model gets NULL provider and an error text in ``route_error``."""
     if isinstance(routes, Mapping):
         routes = df.sparkSession.createDataFrame(list(routes.items()), f"{model} string, {out} string")
-    r, _ = _checked(routes.select(model, out).dropDuplicates([model]), MAX_FACTOR_LEVELS)
-    j = df.join(r, model, "left")
-    err = F.when(F.col(out).isNull(), F.concat(F.lit("Unknown model_name="), F.col(model)))
+    # of several routes of a model the largest name counts, whatever the row order
+    r = routes.groupBy(model).agg(F.max(out).alias(out))
+    j = df.join(_small(r, row_count_at_most(r, MAX_BROADCAST_LEVELS)), model, "left")
+    err = F.when(F.col(out).isNull(), F.concat(F.lit("no provider serves the model "), F.col(model)))
     return j.withColumn("route_error", err)

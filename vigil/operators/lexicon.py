@@ -11,8 +11,8 @@ Two plans:
   dimension table) becomes literal hash sets; one pass keeps the matched
   tokens, then small per-category passes count them.  Rows never move.
 * ``join``: explode tokens, join the lexicon (broadcast when its size is
-  checked small, else shuffled), aggregate per row key and join back.  Used
-  for lexicons above ``max_inline_tokens``.
+  checked small, else shuffled), aggregate per text digest and join back.
+  Used for lexicons above ``max_inline_tokens``.
 
 Stopword removal is applied to the lexicon, not per row: the ratio
 denominator counts only matched tokens, so dropping stopword tokens before
@@ -21,7 +21,7 @@ matching equals dropping stopword entries from the lexicon.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,14 +57,6 @@ def remove_stopwords(token_map: DataFrame, stopwords=DEFAULT_STOPWORDS) -> DataF
     return token_map.where(~F.col("token").isin(words))
 
 
-def remove_stopword_tokens(tokens: Column, stopwords=DEFAULT_STOPWORDS) -> Column:
-    """L3 (row side): filter an array of tokens, keeping duplicates and order."""
-    words = _stopword_list(stopwords)
-    if not words:
-        return tokens
-    return F.filter(tokens, lambda t: ~t.isin(words))
-
-
 def foundations_of(categories: Sequence[str]) -> list[str]:
     seen = []
     for c in categories:
@@ -98,12 +90,13 @@ def lexicon_scores(df: DataFrame, lexicon: DataFrame, col: str = "response",
                    categories: Sequence[str] | None = None,
                    foundations: Sequence[str] | None = None,
                    stopwords=DEFAULT_STOPWORDS, strategy: str = "auto",
-                   key: str | None = None, max_inline_tokens: int = 50_000,
+                   max_inline_tokens: int = 50_000,
                    keep_matched: bool = False, max_broadcast_tokens: int = 2_000_000) -> DataFrame:
     """Append ``<category>_count/_ratio`` and ``<foundation>_count/_ratio``.
 
     ``categories`` fixes the output schema (default: the lexicon's categories,
-    sorted).  Absent categories give 0 counts and 0 ratios.
+    sorted).  Absent categories give 0 counts and 0 ratios.  Both plans give
+    the same rows: a row needs no key, and its score depends on its text only.
     """
     token_map = remove_stopwords(lexicon_map(lexicon), stopwords)
     if strategy not in ("auto", "inset", "join"):
@@ -116,11 +109,8 @@ def lexicon_scores(df: DataFrame, lexicon: DataFrame, col: str = "response",
     if categories is None:
         # Every category the lexicon names gets a column, even when stopword
         # removal or a later duplicate leaves it without tokens.
-        found = collect_bounded(lexicon.select("category").where(F.col("category").isNotNull())
-                                .distinct(), 10_000)
-        if found is None:
-            raise ValueError("more than 10,000 categories; pass categories explicitly")
-        categories = sorted(r[0] for r in found)
+        found = lexicon.select("category").where(F.col("category").isNotNull()).distinct().collect()
+        categories = sorted(r[0] for r in found)  # one output column each
     categories = list(categories)
     foundations = list(foundations) if foundations is not None else foundations_of(categories)
 
@@ -141,22 +131,27 @@ def lexicon_scores(df: DataFrame, lexicon: DataFrame, col: str = "response",
             cols["matched_count"] = F.size(m).cast("long")
         return staged.withColumns(cols).drop(tmp)
 
-    if key is None:
-        raise ValueError("strategy 'join' needs a unique row key column")
-    exploded = df.select(F.col(key).alias("__k"), F.explode(tokenize(F.col(col))).alias("token"))
+    # Scores depend on the text alone, so the text's digest is the key: rows
+    # keep apart whatever their own keys are, and equal texts are scored alike.
+    digest = F.md5(F.coalesce(F.col(col).cast("string"), F.lit("nan")).cast("binary"))
+    keyed = df.withColumn("__k", digest)
+    exploded = keyed.select("__k", F.explode(tokenize(F.col(col))).alias("token"))
     # Above max_inline_tokens the map is too big for literal sets but, up to
     # max_broadcast_tokens short strings, still fine to broadcast; beyond that
     # it is a shuffle join, where AQE splits a hot token's partition.
     hits = exploded.join(bounded_broadcast(token_map, max_broadcast_tokens), "token", "inner")
     agg = hits.groupBy("__k").agg(*[F.count_if(F.col("category") == c).alias(f"__c{i}")
                                      for i, c in enumerate(categories)])
-    j = df.join(agg, F.col(key) == F.col("__k"), "left")
-    counts = {c: F.coalesce(F.col(f"__c{i}"), F.lit(0)) for i, c in enumerate(categories)}
+    # rows with the same text added up their hits: each gets its equal part
+    agg = agg.join(keyed.groupBy("__k").agg(F.count(F.lit(1)).alias("__rows")), "__k")
+    j = keyed.join(agg, "__k", "left")
+    counts = {c: F.coalesce((F.col(f"__c{i}") / F.col("__rows")).cast("long"), F.lit(0).cast("long"))
+              for i, c in enumerate(categories)}
     matched = sum(list(counts.values())[1:], list(counts.values())[0]) if counts else F.lit(0)
     cols = _count_columns(counts, matched, foundations)
     if keep_matched:
         cols["matched_count"] = matched.cast("long")
-    return j.withColumns(cols).drop("__k", *[f"__c{i}" for i in range(len(categories))])
+    return j.withColumns(cols).drop("__k", "__rows", *[f"__c{i}" for i in range(len(categories))])
 
 
 def token_category_hits(df: DataFrame, lexicon: DataFrame, col: str, key: str,
@@ -165,10 +160,3 @@ def token_category_hits(df: DataFrame, lexicon: DataFrame, col: str, key: str,
     token_map = remove_stopwords(lexicon_map(lexicon), stopwords)
     exploded = df.select(F.col(key), F.explode(tokenize(F.col(col))).alias("token"))
     return exploded.join(bounded_broadcast(token_map, max_broadcast_rows), "token", "inner")
-
-
-def score_columns(categories: Iterable[str], foundations: Iterable[str] | None = None) -> list[str]:
-    categories = list(categories)
-    foundations = list(foundations) if foundations is not None else foundations_of(categories)
-    names = [sanitize_name(c) for c in categories] + [sanitize_name(f) for f in foundations]
-    return [f"{n}_{s}" for n in names for s in ("count", "ratio")]

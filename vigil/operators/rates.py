@@ -75,17 +75,18 @@ def profile_means(df: DataFrame, keys: Sequence[str] = ("model", "perspective"),
 
 
 def group_median(df: DataFrame, keys: Sequence[str] = ("model", "perspective"),
-                 col: str = "report_ratio", out: str = "median", method: str = "bracket",
-                 accuracy: int = 100_000, small_group: int = 50_000) -> DataFrame:
-    """A5: median per group (linear interpolation), NULL/NaN skipped, empty groups absent.
-
-    ``bracket`` (default) is exact and never holds a whole group in one task:
-    pass 1 gets n and approximate quantiles just below and above the median
-    (rank error <= n / accuracy); pass 2 counts the rows below the bracket and
-    ranks only the rows inside it (about 6n / accuracy per group, or the whole
-    group when n <= ``small_group``).  ``exact`` is Spark's ``percentile``
-    (keeps a group's distinct values in one task: fine for report-sized
-    inputs).  ``approx`` is ``percentile_approx``.
+                 col: str = "report_ratio", out: str = "median", method: str = "sorted",
+                 accuracy: int = 100_000) -> DataFrame:
+    """A5: median per group (linear interpolation), NULL/NaN skipped, empty
+    groups absent, rows with a NULL key dropped.
+
+    ``sorted`` (default) is exact at every size and never holds a group in one
+    task: equal values of a group collapse to one row with their count (map-side
+    combined), a range-partitioned sort orders (keys, value), and the counts
+    before a row are those of its group in earlier partitions plus those before
+    it in its own.  ``exact`` is Spark's ``percentile`` (keeps a group's distinct
+    values in one task: fine for report-sized inputs).  ``approx`` is
+    ``percentile_approx``.
     """
     keys = list(keys)
     v = nan_to_null(col)
@@ -94,39 +95,28 @@ def group_median(df: DataFrame, keys: Sequence[str] = ("model", "perspective"),
         return d.groupBy(*keys).agg(F.percentile("__v", F.lit(0.5)).cast("double").alias(out))
     if method == "approx":
         return d.groupBy(*keys).agg(F.percentile_approx("__v", 0.5, accuracy).cast("double").alias(out))
-    if method != "bracket":
+    if method != "sorted":
         raise ValueError(f"unknown method {method!r}")
-    delta = 3.0 / accuracy
-    s = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"),
-                             F.percentile_approx("__v", F.array(F.lit(max(0.0, 0.5 - delta)),
-                                                                F.lit(min(1.0, 0.5 + delta))),
-                                                 accuracy).alias("__q"))
-    small = F.col("__n") <= F.lit(small_group)
-    s = s.select(*keys, "__n",
-                 F.when(small, F.lit(float("-inf"))).otherwise(F.col("__q")[0]).alias("__lo"),
-                 F.when(small, F.lit(float("inf"))).otherwise(F.col("__q")[1]).alias("__hi"),
-                 # 0-based ranks of the two order statistics around the median
-                 F.floor((F.col("__n") - 1) / 2).cast("long").alias("__k1"),
-                 F.ceil((F.col("__n") - 1) / 2).cast("long").alias("__k2"))
-    # One small row per group: written once to the shared checkpoint folder, so
-    # neither its size check nor the broadcast re-runs pass 1 over the input.
-    s = materialize(s)
-    j = d.join(bounded_broadcast(s, 1_000_000), keys, "inner")
-    below = j.groupBy(*keys).agg(F.count_if(F.col("__v") < F.col("__lo")).alias("__below"))
-    inside = j.where((F.col("__v") >= F.col("__lo")) & (F.col("__v") <= F.col("__hi")))
-    w = Window.partitionBy(*keys).orderBy("__v")
-    ranked = inside.join(below, keys, "inner").withColumn(
-        "__r", F.row_number().over(w) - 1 + F.col("__below"))
-    picked = ranked.where((F.col("__r") == F.col("__k1")) | (F.col("__r") == F.col("__k2")))
-    res = picked.groupBy(*keys).agg(
-        F.max(F.when(F.col("__r") == F.col("__k1"), F.col("__v"))).alias("__v1"),
-        F.max(F.when(F.col("__r") == F.col("__k2"), F.col("__v"))).alias("__v2"))
-    # a missing order statistic would mean the bracket missed the median:
-    # fail loudly rather than return a wrong value
-    med = F.when(F.col("__v1").isNull() | F.col("__v2").isNull(),
-                 F.raise_error(F.lit("median bracket missed; raise accuracy")).cast("double")) \
-        .otherwise((F.col("__v1") + F.col("__v2")) / 2.0)
-    return res.select(*keys, med.alias(out))
+    for k in keys:
+        d = d.where(F.col(k).isNotNull())
+    c = d.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__c"))
+    # written once, so the partition numbers hold for both uses below
+    c = materialize(c.orderBy(*keys, "__v").withColumn("__p", F.spark_partition_id()))
+    parts = c.groupBy(*keys, "__p").agg(F.sum("__c").alias("__in"))
+    earlier = Window.partitionBy(*keys).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(*keys, "__p", F.coalesce(F.sum("__in").over(earlier), F.lit(0)).alias("__off"),
+                         F.sum("__in").over(Window.partitionBy(*keys)).alias("__n"))
+    before = Window.partitionBy("__p", *keys).orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    r = c.withColumn("__upto", F.sum("__c").over(before)).join(bounded_broadcast(parts), [*keys, "__p"])
+    first = F.col("__off") + F.col("__upto") - F.col("__c")  # 0-based rank of the value's first row
+    last = F.col("__off") + F.col("__upto") - 1
+
+    def at(rank):
+        return F.max(F.when(rank.between(first, last), F.col("__v")))
+
+    lower = F.floor((F.col("__n") - 1) / 2)
+    upper = F.ceil((F.col("__n") - 1) / 2)
+    return r.groupBy(*keys).agg(((at(lower) + at(upper)) / 2.0).alias(out))
 
 
 def model_order(stats: DataFrame, metric: str = "overall_yes_ratio", first: str | None = None,

@@ -8,10 +8,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigil.plans.sizing import row_counts_at_most
+from vigil.plans.sizing import row_counts
 
-MAX_SKELETON_LEVELS = 100_000
-MAX_SKELETON_ROWS = 1_000_000_000
 
 
 def _levels(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -23,14 +21,13 @@ def _levels(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def dense_skeleton(values: DataFrame, level_sets: Sequence[DataFrame | Sequence[str]],
                    source: DataFrame | None = None, fill: Mapping | None = None,
-                   max_levels: int = MAX_SKELETON_LEVELS, materialize: bool = False,
-                   max_rows: int = MAX_SKELETON_ROWS) -> DataFrame:
+                   materialize: bool = False, max_rows: int | None = None) -> DataFrame:
     """Left-join ``values`` onto the product of key level sets (``reindex``).
 
     Each level set is a small DataFrame of keys, or column names whose distinct
     values are taken from ``source`` (default: ``values``).  Level sets are
-    size-checked before they are broadcast; the product is the dense output
-    itself.  ``materialize`` checkpoints a small ``values`` table first, so that
+    counted before they are broadcast; the product is the dense output itself,
+    limited only if the caller sets ``max_rows``.  ``materialize`` checkpoints a small ``values`` table first, so that
     deriving level sets from it does not re-run the plan that produced it.
     """
     if materialize:
@@ -38,13 +35,11 @@ def dense_skeleton(values: DataFrame, level_sets: Sequence[DataFrame | Sequence[
         values = _materialize(values)
     source = values if source is None else source
     levels = [ls if isinstance(ls, DataFrame) else _levels(source, list(ls)) for ls in level_sets]
-    counts = row_counts_at_most(levels, max_levels)  # one job for all level sets
-    if any(n is None for n in counts):
-        raise ValueError(f"a level set has more than {max_levels} levels; no dense skeleton")
+    counts = row_counts(levels)  # one job for all level sets
     size = 1
     for n in counts:
         size *= max(n, 1)
-    if size > max_rows:
+    if max_rows is not None and size > max_rows:
         raise ValueError(f"dense skeleton of {size} rows exceeds max_rows={max_rows}")
     from vigil.operators.grid import cross_product
     skel = cross_product(levels, counts)
@@ -136,7 +131,7 @@ def global_row_number(df: DataFrame, order: Sequence, out: str = "rank") -> Data
     # one row per partition of the sorted table: a bounded broadcast
     offs = s.groupBy("__pid").agg(F.count(F.lit(1)).alias("__c")) \
         .select("__pid", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__off"))
-    pos = (F.col("__off") + F.col("__idx") + F.lit(1)).cast("int").alias(out)
+    pos = (F.col("__off") + F.col("__idx") + F.lit(1)).cast("long").alias(out)
     return s.join(F.broadcast(offs), "__pid", "inner") \
         .select(*[F.col(c) for c in df.columns], pos)
 

@@ -210,6 +210,26 @@ def q_lexicon_counts(spark, sf):
     return s.select("doc_id", *[f"{c.replace('.', '_')}_count" for c in CATS])
 
 
+def _word_lexicon(spark, sf):
+    """Every distinct token of the documents, with a category by its length: a lexicon that grows with the corpus."""
+    from vigil.functions.text import tokenize
+    words = read_table(spark, sf, "documents", ["text"]).select(F.explode(tokenize("text")).alias("token")).distinct()
+    cat = F.element_at(F.array(*[F.lit(c) for c in CATS]), F.length("token") % len(CATS) + 1)
+    return words.select("token", cat.alias("category"), F.lit(1).alias("ordinal"))
+
+
+@register("lexicon_counts_large", f"""
+with t as (select doc_id, unnest(regexp_extract_all(lower(coalesce(text, 'nan')), '[a-zA-Z]+')) as token from documents),
+cnt as (select doc_id, {', '.join(f"count(*) filter (length(token) % 10 = {i}) as c{i}" for i in range(10))} from t group by doc_id)
+select d.doc_id, {', '.join(f"coalesce(c{i}, 0)::bigint as {c.replace('.', '_')}_count" for i, c in enumerate(CATS))}
+from documents d left join cnt using (doc_id)""")
+def q_lexicon_counts_large(spark, sf):
+    """The joined plan, with a lexicon above any size that is put into the plan as literals."""
+    d = read_table(spark, sf, "documents", ["doc_id", "text"])
+    s = L.lexicon_scores(d, materialize(_word_lexicon(spark, sf)), col="text", categories=CATS, stopwords=None, strategy="join")
+    return s.select("doc_id", *[f"{c.replace('.', '_')}_count" for c in CATS])
+
+
 @register("remove_stopwords", _doc_counts_sql(True, _counts_select()))
 def q_remove_stopwords(spark, sf):
     s = _doc_scores(spark, sf, stopwords="english")
@@ -380,6 +400,13 @@ def q_profile_means(spark, sf):
     return pm.select("model", "perspective", *[r9(m) for m in MORAL4])
 
 
+@register("group_median_rows", f"""with {V2R}
+select perspective, round(median(care_ratio), 9) as median from v2q where care_ratio is not null group by perspective""")
+def q_group_median_rows(spark, sf):
+    """Medians over all rows, many of them tied."""
+    return R.group_median(_v2_ratios(spark, sf), keys=["perspective"], col="care_ratio").select("perspective", r9("median"))
+
+
 @register("group_median", f"""with {CELLS}
 select model, perspective, round(quantile_cont(report_ratio, 0.5), 9) as median from cells group by all""")
 def q_group_median(spark, sf):
@@ -549,8 +576,8 @@ GRID_COLS = ["template", "closeness_level", "closeness_level_name", "closeness_l
              "vignette_name", "severity_level"]
 
 # Fixed value: the template pattern the grid queries render ({{ }} are literal braces).
-TEMPLATE_TEXT = ('] Someone close to you, {closeness}, is involved in {violation}. '
-                 'Do you report it? Reply as {{"answer": "Yes or No", "reasoning": "why"}}')
+TEMPLATE_TEXT = ('] The depot of {closeness} holds {violation} in stock. '
+                 'Is another delivery due? Reply as {{"answer": "Yes or No", "reasoning": "why"}}')
 
 
 def _grid(spark, sf):
@@ -619,13 +646,25 @@ def q_sample_n(spark, sf):
         .select("row_key", "model", "answer")
 
 
+LARGE_SAMPLE_ROWS = 20_000
+
+
+@register("sample_n_large", f"""with v2 as ({O.V2})
+select row_key, model, answer from v2
+order by ('0x' || substr(md5(concat_ws('|', '7', row_key)), 1, 8))::UBIGINT / 4294967296.0, row_key limit {LARGE_SAMPLE_ROWS}""")
+def q_sample_n_large(spark, sf):
+    return G.sample_n(scored_rows(spark, sf), LARGE_SAMPLE_ROWS, seed=7, key="row_key", method="md5") \
+        .select("row_key", "model", "answer")
+
+
 @register("job_grid", f"""with {GRID_SQL}, v2 as ({O.V2}),
 n as (select count(*) as n from grid)
 select model, perspective_run, cast(n as bigint) as n_prompts
 from (select distinct model from v2) cross join (select distinct perspective_run from v2) cross join n""")
 def q_job_grid(spark, sf):
-    v2 = scored_rows(spark, sf)
-    jobs = G.job_grid(_grid(spark, sf), v2.select("model").distinct(), v2.select("perspective_run").distinct())
+    # both lists come from one pass over the rows
+    pairs = materialize(scored_rows(spark, sf).select("model", "perspective_run").distinct())
+    jobs = G.job_grid(_grid(spark, sf), pairs.select("model").distinct(), pairs.select("perspective_run").distinct())
     return jobs.groupBy("model", "perspective_run").agg(F.count(F.lit(1)).alias("n_prompts"))
 
 
@@ -646,7 +685,7 @@ ROUTES = {"m0": "router", "m1": "router", "m2": "direct", "m3": "direct"}
 
 @register("route_models", f"""with v2 as ({O.V2}),
 r as (select * from (values {', '.join(f"('{k}', '{v}')" for k, v in ROUTES.items())}) t(model, provider))
-select m.model, r.provider, case when r.provider is null then 'Unknown model_name=' || m.model end as route_error
+select m.model, r.provider, case when r.provider is null then 'no provider serves the model ' || m.model end as route_error
 from (select distinct model from v2) m left join r using (model)""")
 def q_route_models(spark, sf):
     return G.route_models(scored_rows(spark, sf).select("model").distinct(), ROUTES)
@@ -756,6 +795,48 @@ def q_yesno_summary(spark, sf):
     return _round_boot(_summary(spark, sf))
 
 
+def _boot_median_sql(src: str, keys: list[str], col: str, seed: int, n_boot: int) -> str:
+    """CTEs ending in 'boot': median of the rows and of weighted replicates, per key."""
+    ks = ", ".join(keys)
+    hseed = f"('0x' || substr(md5(concat_ws('|', '{seed}', row_key)), 1, 8))::UBIGINT"
+    mix_ctes, mixed = mix32_sql_ctes("fan", "mx")
+    return f"""
+pt as (select {ks}, median({col}) as median, count({col}) as n from {src} group by {ks}),
+fan as (select {ks}, {col} as v, {hseed} as h, b from {src} s, generate_series(0, {n_boot - 1}) g(b) where {col} is not null),
+{mix_ctes},
+tied as (select {ks}, b, v, sum({poisson1_weight_sql('u')}) as w from {mixed} group by {ks}, b, v),
+cum as (select *, sum(w) over (partition by {ks}, b order by v) as upto, sum(w) over (partition by {ks}, b) as total from tied where w > 0),
+reps as (select {ks}, b, (min(v) filter (where upto > floor((total - 1) / 2)) + min(v) filter (where upto > ceil((total - 1) / 2))) / 2 as r
+         from cum group by {ks}, b),
+ci as (select {ks}, quantile_cont(r, [0.025, 0.975]) as c from reps group by {ks}),
+boot as (select {ks}, '{col}' as metric, median, c[1] as ci95_low, c[2] as ci95_high, n::bigint as n from pt left join ci using ({ks}))"""
+
+
+N_BOOT_MEDIAN = 100
+
+
+def _round_median(df):
+    return df.withColumns({c: F.round(c, 9) for c in ("median", "ci95_low", "ci95_high")})
+
+
+@register("bootstrap_median", f"""with {V2R}, {_boot_median_sql('v2q', ['perspective'], 'care_ratio', 3, N_BOOT_MEDIAN)}
+select perspective, metric, round(median, 9) as median, round(ci95_low, 9) as ci95_low, round(ci95_high, 9) as ci95_high, n from boot""")
+def q_bootstrap_median(spark, sf):
+    return _round_median(B.bootstrap_ci(_v2_ratios(spark, sf), ["perspective"], ["care_ratio"], "row_key", n_boot=N_BOOT_MEDIAN,
+                                        seed=3, stat="median"))
+
+
+@register("yesno_summary_median", f"""with {V2R}, yn as (select * from v2q where answer in ('Yes', 'No')),
+{_boot_median_sql('yn', ['perspective', 'answer'], 'care_ratio', 0, N_BOOT_MEDIAN)}
+select p.perspective, a.answer, 'care_ratio' as metric, 'Care' as metric_name, round(median, 9) as median,
+  round(ci95_low, 9) as ci95_low, round(ci95_high, 9) as ci95_high, coalesce(n, 0) as n
+from (select distinct perspective from yn) p cross join (values ('Yes'), ('No')) a(answer)
+left join boot on boot.perspective = p.perspective and boot.answer = a.answer""")
+def q_yesno_summary_median(spark, sf):
+    s = B.yesno_summary(_v2_ratios(spark, sf), metrics=["care_ratio"], n_boot=N_BOOT_MEDIAN, seed=0, stat="median")
+    return _round_median(s).select("perspective", "answer", "metric", "metric_name", "median", "ci95_low", "ci95_high", "n")
+
+
 @register("axis_limits", f"""with {YESNO_SQL}
 select round(greatest(0.0, min(ci95_low) - 0.03), 9) as y_min, round(least(1.0, max(ci95_high) + 0.03), 9) as y_max
 from summary""")
@@ -801,7 +882,10 @@ def q_grouped_kde(spark, sf):
 
 import uuid  # noqa: E402
 
-from vigil.operators.classify import apply_text_classifiers, train_text_classifiers  # noqa: E402
+from functools import partial  # noqa: E402
+
+from vigil.operators.classify import apply_text_classifiers, classifier_scores, train_text_classifiers  # noqa: E402
+from vigil.plans.stubs import length_scorer  # noqa: E402
 from vigil.session import scratch_path  # noqa: E402
 from vigil.sources import responses as S  # noqa: E402
 from vigil.sources.lexicon import read_dic_lexicon, write_dic_lexicon  # noqa: E402
@@ -843,6 +927,29 @@ def q_sink_responses(spark, sf):
     return spark.read.parquet(root).select("row_key", "model", "perspective_run", "answer", "reason")
 
 
+@register("csv_round_trip", f"""with v1 as ({O.V1})
+select row_key, '0' || substr(model, 2) as model, perspective_run, '  ' || response || ' " , ' as response,
+  cast(length(response) + 7 as int) as response_chars from v1""")
+def q_csv_round_trip(spark, sf):
+    """Texts keep their outer white space and model names their leading zeros through the CSV sink and scan."""
+    root = _fresh(spark, "csv-runs")
+    rows = json_responses(spark, sf).select("row_key", F.concat(F.lit("0"), F.substring("model", 2, 9)).alias("model"),
+                                            "perspective_run", F.concat(F.lit("  "), "response", F.lit(' " , ')).alias("response"))
+    S.write_responses(rows, root, fmt="csv")
+    back = S.scan_all_runs(spark, root, fmt="csv", schema="row_key long, response string")
+    return back.select("row_key", "model", "perspective_run", "response", F.length("response").alias("response_chars"))
+
+
+@register("runs_to_stats", f"""with v1 as ({O.V1}), {O.EXTRACTED},
+v2 as (select * from x where answer is not null and reason is not null) {_stats_sql()}""")
+def q_runs_to_stats(spark, sf):
+    """Files of all runs -> one scan -> extracted and scored rows -> statistics by model and perspective."""
+    root = _fresh(spark, "runs")
+    S.write_responses(json_responses(spark, sf), root)
+    scored = lexicon_scored_responses(S.scan_all_runs(spark, root), small_lexicon(spark))
+    return R.stats_by_model_perspective(scored)
+
+
 @register("grid_cached", f"with {GRID_SQL} select {', '.join(GRID_COLS)} from grid")
 def q_grid_cached(spark, sf):
     path = _fresh(spark, "grid")
@@ -889,6 +996,46 @@ def q_classifier_scores(spark, sf):
     return scored.select("row_key", "quality_mscore", "toxic_mscore")
 
 
+LENGTH_SCORERS = dict(zip(SCORE5, (97, 89, 83, 79, 73)))
+
+
+@register("classifier_injected", f"""with v1 as ({O.V1}), {O.EXTRACTED}
+select row_key, {', '.join(f"(length(reason) % {p}) / {float(p)} as {s}_mscore" for s, p in LENGTH_SCORERS.items())}
+from x where answer is not null and reason is not null""")
+def q_classifier_injected(spark, sf):
+    """M1 with injected scorers, one per foundation (a rule that SQL can restate)."""
+    kept = X.extract_and_clean(json_responses(spark, sf)).select("row_key", "reason")
+    scorers = {s: partial(length_scorer, p) for s, p in LENGTH_SCORERS.items()}
+    return classifier_scores(kept, scorers).drop("reason")
+
+
+ROUTE_SQL = ", ".join(f"('{k}', '{v}')" for k, v in ROUTES.items())
+
+
+@register("respond_flow", f"""with v2 as ({O.V2}),
+grid as (select * from (select distinct o_orderstatus as template from orders) cross join (select r_name as closeness from region)
+         cross join (select distinct l_linenumber as severity from lineitem)),
+j as (select *, '[' || template || '] ' || closeness || ' at level ' || severity as prompt from grid
+      cross join (select distinct model from v2) cross join (select distinct perspective_run from v2)),
+r as (select j.*, provider, 'prompt of ' || length(prompt) || ' characters' as reason from j left join (values {ROUTE_SQL}) t(model, provider) using (model))
+select template, closeness, severity, model, perspective_run,
+  case when provider is null then 'no provider serves the model ' || model
+       else '{{"answer": "' || case when length(prompt) % 2 = 0 then 'Yes' else 'No' end || '", "reasoning": "' || reason || '"}}' end as response
+from r""")
+def q_respond_flow(spark, sf):
+    """Grid -> jobs for every model and run -> routes -> responses; an unrouted model's error is its response."""
+    t = read_table(spark, sf, "orders", ["o_orderstatus"]).distinct().withColumnRenamed("o_orderstatus", "template")
+    c = read_table(spark, sf, "region").select(F.col("r_name").alias("closeness"))
+    s = read_table(spark, sf, "lineitem", ["l_linenumber"]).distinct().withColumnRenamed("l_linenumber", "severity")
+    grid = G.factor_grid([t, c, s])
+    pairs = materialize(scored_rows(spark, sf).select("model", "perspective_run").distinct())
+    jobs = G.job_grid(grid, pairs.select("model").distinct(), pairs.select("perspective_run").distinct())
+    asked = G.route_models(jobs, ROUTES).withColumn("prompt", F.concat(
+        F.lit("["), "template", F.lit("] "), "closeness", F.lit(" at level "), F.col("severity").cast("string")))
+    out = map_responder(asked, stub_responder, reasoning=F.lit("low"), error_col="route_error")
+    return out.select("template", "closeness", "severity", "model", "perspective_run", "response")
+
+
 # ---------------------------------------------------------------- join-shaped operators
 
 PERSPECTIVE_LABELS = {"F": "Finished", "O": "Open"}

@@ -28,6 +28,18 @@ def collect_bounded(df: DataFrame, max_rows: int) -> list | None:
     return None if len(rows) > max_rows else [tuple(r) for r in rows]
 
 
+def row_counts(dfs: list[DataFrame]) -> list[int]:
+    """Exact row counts of several tables in one job."""
+    if not dfs:
+        return []
+    u = None
+    for i, df in enumerate(dfs):
+        p = df.select(F.lit(i).alias("__i"))
+        u = p if u is None else u.unionByName(p)
+    got = {r["__i"]: r["n"] for r in u.groupBy("__i").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return [got.get(i, 0) for i in range(len(dfs))]
+
+
 def row_counts_at_most(dfs: list[DataFrame], limit: int) -> list[int | None]:
     """Bounded row counts of several tables in one job (their scans run side
     by side instead of one job per table).  None marks a table above ``limit``."""

@@ -70,7 +70,7 @@ def scored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read_table(spark, sf_dir, "lineitem", [
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
         "l_discount", "l_tax", "l_extendedprice", "l_returnflag"])
-    o = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_orderstatus"])
+    o = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_orderstatus"], spread=False)
     j = li.join(o, li.l_orderkey == o.o_orderkey, "inner")
     big = F.col("l_quantity") > 45
 
@@ -98,17 +98,12 @@ def scored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # The twelve-entry test lexicon (token, category, file order).
 SMALL_LEXICON = [
-    ("the", "care.virtue", 1), ("trash", "care.vice", 2), ("of", "fairness.virtue", 3),
-    ("lying", "fairness.vice", 4), ("and", "loyalty.virtue", 5), ("that", "loyalty.vice", 6),
-    ("with", "authority.virtue", 7), ("threat", "authority.vice", 8), ("queen", "sanctity.virtue", 9),
-    ("scum", "sanctity.vice", 10), ("The", "authority.vice", 11), ("of the", "care.vice", 12),
+    ("the", "care.virtue", 1), ("on", "care.vice", 2), ("of", "fairness.virtue", 3),
+    ("in", "fairness.vice", 4), ("and", "loyalty.virtue", 5), ("that", "loyalty.vice", 6),
+    ("with", "authority.virtue", 7), ("er", "authority.vice", 8), ("to", "sanctity.virtue", 9),
+    ("st", "sanctity.vice", 10), ("The", "authority.vice", 11), ("of the", "care.vice", 12),
 ]
 
 
 def small_lexicon(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(SMALL_LEXICON, "token string, category string, ordinal long")
-
-
-def small_lexicon_sql() -> str:
-    rows = ", ".join(f"('{t}', '{c}', {o})" for t, c, o in SMALL_LEXICON)
-    return f"(values {rows}) as lx(token, category, ordinal)"

@@ -1,7 +1,7 @@
 """Category lexicons: (token, category, ordinal) tables.
 
-``ordinal`` keeps file order, which decides duplicate tokens (last wins).
-A lexicon is a small dimension table; it is read by one task per file.
+``ordinal`` keeps the order of files (by path) and of entries within a file,
+which decides duplicate tokens (last wins).  A file is read by one task.
 """
 
 from __future__ import annotations
@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vigil.operators.report import global_row_number
+from vigil.plans.sizing import bounded_broadcast
+
 
 def read_lexicon(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
     """Read a lexicon as CSV (``token,category`` header) or ``.dic``."""
@@ -19,7 +22,9 @@ def read_lexicon(spark: SparkSession, path: str, fmt: str | None = None) -> Data
         raise ValueError(f"unknown lexicon format {fmt!r}")
     df = (spark.read.option("header", "true").option("multiLine", "true")
           .option("escape", '"').schema("token string, category string").csv(path))
-    return df.select("token", "category", F.monotonically_increasing_id().alias("ordinal"))
+    # a multi-line file is one task, so the id rises with its entries
+    placed = df.select("token", "category", F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("pos"))
+    return global_row_number(placed, ["path", "pos"], "ordinal").select("token", "category", "ordinal")
 
 
 def read_dic_lexicon(spark: SparkSession, path: str) -> DataFrame:
@@ -28,37 +33,33 @@ def read_dic_lexicon(spark: SparkSession, path: str) -> DataFrame:
     Layout: a ``%`` line, ``id<TAB>category`` lines, a ``%`` line, then
     ``token<TAB>id[<TAB>id...]`` lines.  Line ends may be CR, LF or CRLF.
     """
-    whole = spark.read.text(path, wholetext=True)
+    whole = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
     lines = F.split(F.col("value"), "\r\n|\r|\n")
     first = F.array_position(lines, "%")
     second = first + F.array_position(F.slice(lines, (first + 1).cast("int"), F.size(lines)), "%")
     parts = whole.select(
-        F.slice(lines, (first + 1).cast("int"), (second - first - 1).cast("int")).alias("header"),
+        "path", F.slice(lines, (first + 1).cast("int"), (second - first - 1).cast("int")).alias("header"),
         F.slice(lines, (second + 1).cast("int"), F.size(lines)).alias("entries"))
-    header = (parts.select(F.explode("header").alias("line"))
-              .select(F.split(F.trim("line"), "\t").alias("f"))
+    header = (parts.select("path", F.explode("header").alias("line"))
+              .select("path", F.split(F.trim("line"), "\t").alias("f"))
               .where(F.size("f") >= 2)
-              .select(F.trim(F.col("f")[0]).alias("cat_id"), F.trim(F.col("f")[1]).alias("category")))
-    entries = (parts.select(F.posexplode("entries").alias("pos", "line"))
-               .select("pos", F.split(F.col("line"), "\t").alias("f"))
+              .select("path", F.trim(F.col("f")[0]).alias("cat_id"), F.trim(F.col("f")[1]).alias("category")))
+    entries = (parts.select("path", F.posexplode("entries").alias("pos", "line"))
+               .select("path", "pos", F.split(F.col("line"), "\t").alias("f"))
                .where(F.size("f") >= 2)
-               .select("pos", F.col("f")[0].alias("token"),
+               .select("path", "pos", F.col("f")[0].alias("token"),
                        F.posexplode(F.slice("f", 2, F.size("f"))).alias("k", "cat_id"))
-               .select("pos", "k", "token", F.trim("cat_id").alias("cat_id")))
-    return (entries.join(F.broadcast(header), "cat_id", "inner")
-            .select("token", "category", (F.col("pos") * 64 + F.col("k")).cast("long").alias("ordinal")))
+               .select("path", "pos", "k", "token", F.trim("cat_id").alias("cat_id")))
+    named = entries.join(bounded_broadcast(header), ["path", "cat_id"], "inner")
+    return global_row_number(named, ["path", "pos", "k"], "ordinal").select("token", "category", "ordinal")
 
 
-def write_dic_lexicon(lexicon: DataFrame, path: str, max_rows: int = 5_000_000) -> None:
+def write_dic_lexicon(lexicon: DataFrame, path: str) -> None:
     """Write (token, category, ordinal) in the ``.dic`` layout as one text file.
 
-    A lexicon is a dimension table; its size is checked before it is funnelled
-    into the single task that writes the ordered file.
+    The layout is one ordered file, so one task streams all lines to it; a
+    lexicon too large for that belongs in Parquet.
     """
-    from vigil.plans.sizing import row_count_at_most
-
-    if row_count_at_most(lexicon, max_rows) is None:
-        raise ValueError(f"lexicon larger than {max_rows} rows")
     cats = lexicon.select("category").distinct()
     ids = cats.select("category", F.dense_rank().over(Window.orderBy("category")).alias("cat_id"))
     head = ids.select(F.lit(1).alias("sec"), F.col("cat_id").cast("long").alias("pos"),

@@ -14,11 +14,12 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from vigil.functions.text import strip_run_suffix
 
-CSV_OPTIONS = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+CSV_OPTIONS = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"', "mode": "PERMISSIVE",
+               "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
 def scan_responses(spark: SparkSession, path: str, schema: StructType | str | None = None,
@@ -36,23 +37,32 @@ def scan_responses(spark: SparkSession, path: str, schema: StructType | str | No
     return r.csv(path)
 
 
+def _reader(spark: SparkSession, fmt: str, schema):
+    reader = spark.read.options(**CSV_OPTIONS) if fmt == "csv" else spark.read
+    return reader if schema is None else reader.schema(schema)
+
+
 def scan_all_runs(spark: SparkSession, root: str, fmt: str = "parquet", layout: str = "hive",
                   schema: StructType | str | None = None, combine_runs: bool = False,
                   run_col: str = "perspective_run", model_col: str = "model") -> DataFrame:
     """Every (run, model) table under ``root`` in one scan, tagged.
 
     ``hive``: ``root/perspective_run=<run>/model=<model>/`` (partition columns;
-    filters on run or model prune folders).  ``files``: ``root/<run>/<model>.<ext>``;
-    run and model come from the file path.
+    filters on run or model prune folders; both are strings, also when a value
+    looks like a number).  ``files``: ``root/<run>/<model>.<ext>``; run and model
+    come from the file path.
     """
     root = root.rstrip("/")
-    reader = spark.read.options(**CSV_OPTIONS) if fmt == "csv" else spark.read
-    if schema is not None:
-        reader = reader.schema(schema)
     if layout == "hive":
-        df = reader.option("basePath", root).format(fmt).load(root)
+        # a partition column keeps its text only if the read schema names it
+        kind = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        if kind is None:
+            kind = _reader(spark, fmt, None).option("basePath", root).format(fmt).load(root).schema
+        kind = StructType([f for f in kind.fields if f.name not in (run_col, model_col)]
+                          + [StructField(c, StringType(), True) for c in (run_col, model_col)])
+        df = _reader(spark, fmt, kind).option("basePath", root).format(fmt).load(root)
     elif layout == "files":
-        df = reader.format(fmt).load(f"{root}/*/*.{fmt}")
+        df = _reader(spark, fmt, schema).format(fmt).load(f"{root}/*/*.{fmt}")
         path = F.col("_metadata.file_path")
         df = df.withColumns({
             run_col: F.regexp_extract(path, r"/([^/]+)/[^/]+$", 1),
@@ -95,10 +105,11 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def grid_cached(spark: SparkSession, path: str, build: Callable[[], DataFrame], fmt: str = "parquet") -> DataFrame:
-    """Read the table at ``path`` if it exists, else build, write
-    (``ignore`` so a concurrent writer wins cleanly) and read it back."""
-    if not path_exists(spark, path):
-        build().write.mode("ignore").format(fmt).save(path)
+    """Read the table at ``path`` if it was written to its end, else build,
+    write and read it back.  A folder without the writer's ``_SUCCESS`` mark is
+    an unfinished write and is replaced."""
+    if not path_exists(spark, f"{path.rstrip('/')}/_SUCCESS"):
+        build().write.mode("overwrite").format(fmt).save(path)
     return spark.read.format(fmt).load(path)
 
 
@@ -117,7 +128,7 @@ def score(df: DataFrame, measurement: str, lexicon: DataFrame | None = None, col
     from vigil.operators.lexicon import lexicon_scores
 
     if measurement not in MEASUREMENTS:
-        raise ValueError(f"Unknown moral_measurement={measurement!r}")
+        raise ValueError(f"no such measurement: {measurement!r}; one of {MEASUREMENTS}")
     kept = extract_and_clean(df, "response")
     if measurement == "mfd":
         if lexicon is None:

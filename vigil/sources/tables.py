@@ -9,20 +9,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] |
                spread: bool = True) -> DataFrame:
     """Read ``<sf_dir>/<name>.parquet``; selecting ``columns`` prunes the scan.
 
-    A parquet row group is never split, so a table stored as fewer files than
-    the cluster has cores would be scanned (and all per-row work after it run)
-    by a few tasks.  With ``spread`` such an input, when it holds at least
-    ``SPREAD_BYTES_PER_TASK`` per core, is dealt round-robin to
-    ``defaultParallelism`` partitions; tiny dimension tables stay one task, and
-    an input of many files, as at scale, is left alone and costs no shuffle.
+    A parquet row group is never split, so a table of few row groups would be
+    scanned (and all per-row work after it run) by a few tasks.  With ``spread``
+    such an input, if it is estimated to hold at least ``SPREAD_BYTES_PER_TASK``
+    per core, is dealt round-robin to ``defaultParallelism`` partitions; small
+    tables stay one task, and an input of many splits, as at scale, is left
+    alone and costs no shuffle.  Sides that a join broadcasts pass ``spread=False``.
     """
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     if columns:
         df = df.select(*columns)
     if spread:
         target = spark.sparkContext.defaultParallelism
-        files = df.inputFiles()
-        if target > 1 and len(files) < target and _total_bytes(spark, files) >= target * SPREAD_BYTES_PER_TASK:
+        if target > 1 and df.rdd.getNumPartitions() < target and estimated_bytes(df) >= target * SPREAD_BYTES_PER_TASK:
             df = df.repartition(target)
     return df
 
@@ -31,11 +30,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] |
 SPREAD_BYTES_PER_TASK = 512 * 1024
 
 
-def _total_bytes(spark: SparkSession, files: list[str]) -> int:
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    total = 0
-    for f in files:
-        p = jvm.org.apache.hadoop.fs.Path(f)
-        total += p.getFileSystem(conf).getFileStatus(p).getLen()
-    return total
+def estimated_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate of a plan; of a scan, its files' bytes scaled to the selected columns."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
