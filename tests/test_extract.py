@@ -95,3 +95,11 @@ def test_filter_does_not_reparse(spark):
 def test_unicode_kept(spark, text):
     df = spark.createDataFrame([(1, text)], "id int, response string")
     assert extract_answer_reason(df).collect()[0]["reason"] == "é ü 中文"
+
+
+def test_repeated_keys_and_infinite_numbers(spark):
+    from vigil.operators.extract import extract_answer_reason
+    rows = [(1, '{"answer":"Yes","reason":{"a":1,"a":2}}'), (2, '{"answer":1e400,"reason":"x"}'), (3, '{"answer":"No","answer":"Yes","reason":-1e400}')]
+    df = spark.createDataFrame(rows, "k int, response string")
+    got = {r.k: (r.answer, r.reason) for r in extract_answer_reason(df).collect()}
+    assert got == {1: ("Yes", '{"a":2}'), 2: ("Infinity", "x"), 3: ("Yes", "-Infinity")}

@@ -64,6 +64,8 @@ def variant_text(v: Column) -> Column:
     """String values as text, other JSON values as their JSON text, null -> NULL."""
     return (F.when(v.isNull() | F.is_variant_null(v), F.lit(None).cast("string"))
             .when(_vtype(v) == "STRING", F.variant_get(v, "$", "string"))
+            # to_json puts an infinite number in quotes
+            .when(_vtype(v) == "DOUBLE", F.replace(F.to_json(v), F.lit('"')))
             .otherwise(F.to_json(v)))
 
 
@@ -101,6 +103,8 @@ def with_answer_reason(df, text_col: str, answer: str = "answer", reason: str =
     whose expensive expression (``from_json``) is referenced several times,
     so the text is scanned and parsed once per row.
     """
+    # of a repeated key the last counts, as in Python's json
+    df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     obj, rec = "__vigil_obj", "__vigil_rec"
     staged = df.withColumn(obj, candidate_object(F.col(text_col)))
     staged = staged.withColumn(rec, _strict_from_candidate(F.col(obj))).drop(obj)

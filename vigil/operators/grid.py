@@ -14,17 +14,13 @@ from pyspark.sql import functions as F
 
 from vigil.functions.hashing import unit_hash
 from vigil.functions.text import render_template as _render
-from vigil.plans.sizing import row_count_at_most, row_counts
+from vigil.plans.sizing import bounded_broadcast, row_counts
 from vigil.session import materialize
 
 #: Rows up to which a level table is broadcast; a larger one is crossed or joined by shuffling.
 MAX_BROADCAST_LEVELS = 1_000_000
 
 
-def _small(dim: DataFrame, n: int | None) -> DataFrame:
-    return dim if n is None else F.broadcast(dim)
-
-
 ROWS_PER_TASK = 1_000_000
 
 
@@ -98,7 +94,7 @@ def unknown_keys(df: DataFrame, known: DataFrame | Sequence[str], on: str) -> Da
     if not isinstance(known, DataFrame):
         known = df.sparkSession.createDataFrame([(k,) for k in known], f"{on} string")
     k = known.select(on).distinct()
-    return df.select(on).distinct().join(_small(k, row_count_at_most(k, MAX_BROADCAST_LEVELS)), on, "left_anti")
+    return df.select(on).distinct().join(bounded_broadcast(k, MAX_BROADCAST_LEVELS), on, "left_anti")
 
 
 def validate_keys(df: DataFrame, known: DataFrame | Sequence[str], on: str) -> DataFrame:
@@ -173,6 +169,6 @@ def route_models(df: DataFrame, routes: DataFrame | Mapping[str, str], model: st
         routes = df.sparkSession.createDataFrame(list(routes.items()), f"{model} string, {out} string")
     # of several routes of a model the largest name counts, whatever the row order
     r = routes.groupBy(model).agg(F.max(out).alias(out))
-    j = df.join(_small(r, row_count_at_most(r, MAX_BROADCAST_LEVELS)), model, "left")
+    j = df.join(bounded_broadcast(r, MAX_BROADCAST_LEVELS), model, "left")
     err = F.when(F.col(out).isNull(), F.concat(F.lit("no provider serves the model "), F.col(model)))
     return j.withColumn("route_error", err)
