@@ -5,6 +5,7 @@ import random
 import pytest
 
 from tests.conftest import SF001
+from vigil.llm import fragjoin
 from vigil.llm.fragjoin import ngram_jaccard
 
 
@@ -47,8 +48,10 @@ def test_matches_all_pairs_on_the_given_documents(spark):
     assert run(spark, rows, 4, 85) == brute(rows, 4, 85)
 
 
-@pytest.mark.parametrize("seed,percent", [(1, 85), (2, 60), (3, 80)])
-def test_matches_all_pairs_on_groups_of_near_copies(spark, seed, percent):
+@pytest.mark.parametrize("seed,percent,short", [(1, 85, 32), (2, 60, 32), (3, 80, 32), (4, 80, 2), (5, 60, 1)])
+def test_matches_all_pairs_on_groups_of_near_copies(spark, monkeypatch, seed, percent, short):
+    monkeypatch.setattr(fragjoin, "SHORT_LIST", short)
+    monkeypatch.setattr(fragjoin, "BLOCK_MEMBERS", 7)
     rng = random.Random(seed)
     vocab = [f"w{i}" for i in range(300)]
     rows = []

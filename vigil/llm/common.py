@@ -12,7 +12,7 @@ to such an operator, and each of them gets that document's result.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,12 +49,6 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def lower_ascii(text: Column) -> Column:
-    """A to Z in lower case, every other character as it is."""
-    up = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    return F.translate(text, up, up.lower())
-
-
 def doc_key(doc_id: str = "doc_id", text: str = "text") -> dict[str, Column]:
     """Non-null key columns of a document (see the module's text)."""
     return {K1: F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)),
@@ -106,24 +100,20 @@ def column_bytes(batch, i: int):
     return buf, starts, ends
 
 
-def grouped(rows: Iterable, size: int) -> Iterator[list]:
-    """Lists of up to ``size`` items."""
-    out: list = []
-    for r in rows:
-        out.append(r)
-        if len(out) == size:
-            yield out
-            out = []
-    if out:
-        yield out
-
-
-def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    """Equality on ``keys`` in which null equals null."""
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & left[k].eqNullSafe(right[k])
-    return cond
+def byte_slices(batch, i: int, limit: int = 16 << 20) -> Iterator:
+    """A record batch in slices of up to ``limit`` bytes of column ``i`` (one row at least; an empty batch as it is)."""
+    import numpy as np
+
+    _, starts, ends = column_bytes(batch, i)
+    total = np.cumsum(ends - starts)
+    at = 0
+    while True:
+        used = int(total[at - 1]) if at else 0
+        end = max(at + 1, int(np.searchsorted(total, used + limit, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+        if at >= batch.num_rows:
+            return
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -13,7 +13,8 @@ works alone, and what the fragments count is summed.
    In each n-gram's list all others are first compared with one centre, the one
    that shares the largest part of its set.  Links make components, and only
    pairs of different components that sizes and bounds allow are compared
-   after that, so a group of near copies isn't expanded into all its pairs.
+   after that, so a group of near copies isn't expanded into all its pairs: in
+   short lists as rows, in long ones block by block inside tasks.
 4. A pair's overlap is counted fragment by fragment and summed per pair.
 
 No list, candidate or partner is capped: a pair is skipped only if a bound
@@ -25,17 +26,22 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import K1, NULL_ID, column_bytes, partitions_for, stored
+from vigil.llm.common import K1, NULL_ID, byte_slices, column_bytes, partitions_for, stored
 from vigil.llm.components import connected
 from vigil.llm.hashes import all_words, mix, shingles
 from vigil.session import ship_package
 
 #: n-grams that one fragment task sorts together.
-FRAGMENT_TOKENS = 4_000_000
+FRAGMENT_TOKENS = 2_000_000
+#: Classes in an n-gram's list up to which its pairs are joined as rows; longer lists are compared in blocks.
+SHORT_LIST = 32
+#: Classes of a block.
+BLOCK_MEMBERS = 512
 
 
 def document_sets(buf, starts, ends, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -56,7 +62,7 @@ def document_sets(buf, starts, ends, n: int) -> tuple[np.ndarray, np.ndarray, np
 def _set_rows(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            _, size, cls = document_sets(*column_bytes(b, 1), n)
+            size, cls = (np.concatenate(x) for x in zip(*[document_sets(*column_bytes(p, 1), n)[1:] for p in byte_slices(b, 1)], strict=True))
             yield pa.record_batch([b.column(0), pa.array(size), pa.array(cls.view(np.int64), mask=size == 0)],
                                   names=["k", "n", "cls"])
     return run
@@ -86,7 +92,7 @@ def _segment_rows(n: int, fragments: int):
     """Texts -> (fragment, packed stretches of the sets of a batch); a class once per task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for b in batches:
+        for b in (p for whole in batches for p in byte_slices(whole, 0)):
             tokens, size, cls = document_sets(*column_bytes(b, 0), n)
             fresh = np.zeros(len(size), bool)
             for i, c in enumerate(cls.tolist()):
@@ -202,6 +208,101 @@ def _allowed(a: str, b: str, percent: int) -> Column:
         & (100 * F.col(f"{a}.n") >= percent * F.col(f"{b}.n")) & (100 * F.col(f"{b}.n") >= percent * F.col(f"{a}.n"))
 
 
+def _enough(percent: int) -> Column:
+    """Whether ``c`` n-grams shared by two prefixes leave the overlap possible.
+
+    Two sets share what their prefixes share and at most what is left of the
+    one whose prefix ends first: fewer than its least overlap.
+    """
+    least = lambda n: F.ceil(F.lit(percent) * F.col(n) / 100)
+    need = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / (100 + percent))
+    return F.col("c") + F.greatest(least("na"), least("nb")) - 1 >= need
+
+
+def block_pairs(cls, n, s, root, prefixes, left, right, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (left index, right index) of different components that sizes, bounds and their prefixes allow."""
+    size = np.array([len(x) for x in prefixes], np.int64)
+    _, token = np.unique(np.concatenate(prefixes), return_inverse=True)
+    times = np.bincount(token)
+    member = np.repeat(np.arange(len(prefixes)), size)
+    many = times[token] > 1
+    _, token = np.unique(token[many], return_inverse=True)
+    member = member[many]
+    by = np.argsort(token, kind="stable")
+    token, member = token[by], member[by]
+    shared = np.zeros((len(left), len(right)), np.float32)
+    place = np.full(len(prefixes), -1)
+    at_left, at_right = place.copy(), place.copy()
+    at_left[left], at_right[right] = np.arange(len(left)), np.arange(len(right))
+    width = 4096
+    for t in range(0, int(token[-1]) + 1 if len(token) else 0, width):
+        lo, hi = np.searchsorted(token, (t, t + width))
+        mats = []
+        for at, k in ((at_left, len(left)), (at_right, len(right))):
+            m = np.zeros((k, width), np.float32)
+            own = at[member[lo:hi]]
+            m[own[own >= 0], token[lo:hi][own >= 0] - t] = 1
+            mats.append(m)
+        shared += mats[0] @ mats[1].T
+    nl, nr, sl, sr = n[left][:, None], n[right][None], s[left][:, None], s[right][None]
+    need = -(-percent * (nl + nr) // (100 + percent))
+    ok = (np.minimum(sl, sr) >= need) & (100 * nl >= percent * nr) & (100 * nr >= percent * nl)
+    ok &= shared + np.maximum(_least(nl, percent), _least(nr, percent)) - 1 >= need
+    ok &= (shared > 0) & (root[left][:, None] != root[right][None])
+    i, j = np.nonzero(ok)
+    i, j = left[i], right[j]
+    once = cls[i] < cls[j] if left is right else np.ones(len(i), bool)
+    return i[once], j[once]
+
+
+def _block_rows(percent: int):
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        cls, n, s, root = (pdf[c].to_numpy(np.int64) for c in ("cls", "n", "s", "root"))
+        own = pdf["own"].to_numpy()
+        if pdf["i"].iloc[0] == pdf["j"].iloc[0]:
+            left = right = np.arange(len(pdf))
+        else:
+            left, right = np.flatnonzero(own == pdf["i"].iloc[0]), np.flatnonzero(own == pdf["j"].iloc[0])
+        x, y = block_pairs(cls, n, s, root, [np.asarray(t) for t in pdf["prefix"]], left, right, percent)
+        low = cls[x] < cls[y]
+        a, b = np.where(low, x, y), np.where(low, y, x)
+        return pd.DataFrame({"a": cls[a], "b": cls[b], "na": n[a], "nb": n[b]})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for pdf in batches:
+            key = pdf[["q", "i", "j"]].to_numpy()
+            cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+            for k, part in enumerate(np.split(np.arange(len(pdf)), cuts)):
+                now = pdf.iloc[part]
+                if held and (k or tuple(held[-1][["q", "i", "j"]].iloc[0]) != tuple(now[["q", "i", "j"]].iloc[0])):
+                    yield solve(pd.concat(held, ignore_index=True))
+                    held = []
+                held.append(now)
+        if held:
+            yield solve(pd.concat(held, ignore_index=True))
+
+    return run
+
+
+def _long_list_pairs(long: DataFrame, alive: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs of classes that meet in long lists.
+
+    Classes tied together by long lists form a cluster, cut into blocks; every
+    two blocks meet in one task, which counts what all their prefixes share in
+    one matrix product and passes on only the pairs that the bound leaves.
+    """
+    cluster = connected(long.select(F.col("cls").alias("a"), F.col("token").alias("b"))).withColumnRenamed("root", "q")
+    members = long.select("cls", "n", "s", "root").distinct().join(cluster, F.col("cls") == F.col("v")).drop("v")
+    blocks = members.groupBy("q").agg(F.ceil(F.count(F.lit(1)) / BLOCK_MEMBERS).cast("int").alias("blocks"))
+    members = members.join(blocks, "q").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")) \
+        .join(alive.select("cls", F.slice("token", 1, F.col("prefix")).alias("prefix")), "cls") \
+        .withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = members.select("q", F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"), "own", "cls", "n", "s", "root", "prefix")
+    return met.repartition("q", "i", "j").sortWithinPartitions("q", "i", "j") \
+        .mapInPandas(_block_rows(percent), "a long, b long, na long, nb long")
+
+
 def linked(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b, na, nb) that link, with ``overlap``: counted in each fragment, summed per pair."""
     left = segments.select(F.col("cls").alias("a"), "f", F.col("part").alias("pa"))
@@ -244,14 +345,15 @@ def ngram_jaccard(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
         .select("cls", "f", F.expr("filter(token, t -> shiftright(t, 62) + 2 = f)").alias("part")).where(F.size("part") > 0)
     index = stored(alive.select("cls", "n", "s", F.explode(F.slice("token", 1, F.col("prefix"))).alias("token")), "index")
 
-    # one centre for each n-gram's list
+    # each n-gram's list has a centre; a class is compared with the best of its centres only
     share = F.col("s") / F.col("n")
     centres = index.groupBy("token").agg(F.max(F.struct(share.alias("share"), "cls", "n", "s")).alias("c"),
-                                         F.count(F.lit(1)).alias("m")).where("m > 1").select("token", "c.cls", "c.n", "c.s")
+                                         F.count(F.lit(1)).alias("m")).where("m > 1").select("token", "c.*")
     star = index.alias("x").join(centres.alias("c"), F.col("x.token") == F.col("c.token")) \
         .where((F.col("x.cls") != F.col("c.cls")) & _allowed("x", "c", percent)) \
-        .select(F.col("c.cls").alias("a"), F.col("x.cls").alias("b"), F.col("c.n").alias("na"), F.col("x.n").alias("nb"))
-    star = stored(star.distinct(), "pairs")
+        .groupBy(F.col("x.cls").alias("b"), F.col("x.n").alias("nb")).agg(F.max(F.struct("c.share", "c.cls", "c.n")).alias("c")) \
+        .select(F.col("c.cls").alias("a"), "b", F.col("c.n").alias("na"), "nb")
+    star = stored(star, "pairs")
     first = stored(linked(star, segments, percent).select("a", "b"), "links")
 
     # what is left: pairs of different components in a list that has several
@@ -264,9 +366,15 @@ def ngram_jaccard(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
         ((100 + percent) * F.col("s") - percent * F.col("n") >= percent * F.col("least"))
         & (100 * F.col("most") >= percent * F.col("n"))).select("token", "cls", "n", "s", "root")
     open_ = stored(open_, "open")
-    rest = open_.alias("x").join(open_.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.cls") < F.col("y.cls"))
+    sizes = open_.groupBy("token").agg(F.count(F.lit(1)).alias("m"))
+    short = open_.join(sizes.where(F.col("m") <= SHORT_LIST).select("token"), "token")
+    rest = short.alias("x").join(short.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.cls") < F.col("y.cls"))
                                  & (F.col("x.root") != F.col("y.root")) & _allowed("x", "y", percent)) \
-        .select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct()
+        .groupBy(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")) \
+        .agg(F.count(F.lit(1)).alias("c")).where(_enough(percent)).drop("c")
+    long = stored(open_.join(sizes.where(F.col("m") > SHORT_LIST).select("token"), "token"), "long-lists")
+    if long.limit(1).count():
+        rest = rest.unionByName(_long_list_pairs(long, alive, percent)).distinct()
     tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = stored(rest.join(tried, ["a", "b"], "left_anti"), "pairs")
     second = stored(linked(rest, segments, percent).select("a", "b"), "links")
