@@ -46,7 +46,20 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------- 2: n-gram Jaccard join
 
 
-@register("op2_ngram_jaccard")
+OP2_SQL = r"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct doc_id, g from (select doc_id, unnest(case when len(w) >= 4 then list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))
+    when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as g from d)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+pair as (select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by all),
+link as (select x, y from pair join n nx on nx.doc_id = x join n ny on ny.doc_id = y where 100 * c >= 85 * (nx.n + ny.n - c)),
+reach as (select doc_id, doc_id as r from documents union select reach.doc_id, link.y from reach join link on reach.r = link.x)
+select doc_id, coalesce(n, 0)::bigint as n_shingles, component_id
+from (select doc_id, min(r) as component_id from reach group by doc_id) left join n using (doc_id)"""
+
+
+@register("op2_ngram_jaccard", OP2_SQL)
 def op2(spark: SparkSession, sf: str) -> DataFrame:
     return fragjoin.ngram_jaccard(read(spark, sf, "documents", "doc_id", "text"), n=4, percent=85)
 
@@ -195,7 +208,23 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------- 9: suffix-array dedup
 
 
-@register("op9_suffix_dedup")
+OP9_SQL = """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+win as (select doc_id, p, substr(h, 2 * p + 1, 200) as w from (select doc_id, h, unnest(range(0, len(h) // 2 - 99)) as p from d where len(h) >= 200)),
+rep as (select doc_id, p from (select doc_id, p, row_number() over (partition by w order by doc_id, p) as k from win) where k > 1),
+isle as (select doc_id, p, sum(fresh) over (partition by doc_id order by p) as g from (
+    select doc_id, p, case when p - lag(p) over (partition by doc_id order by p) <= 100 then 0 else 1 end as fresh from rep)),
+span as (select doc_id, min(p) as a, max(p) + 100 as z from isle group by doc_id, g),
+cut as (select doc_id, a, z, lag(z, 1, 0) over (partition by doc_id order by a) as b from span),
+part as (select cut.doc_id, b, substr(h, 2 * b + 1, 2 * (a - b)) as x from cut join d using (doc_id)
+    union all select d.doc_id, coalesce(e.z, 0), substr(h, 2 * coalesce(e.z, 0) + 1) from d left join (select doc_id, max(z) as z from span group by doc_id) e using (doc_id)),
+kept as (select doc_id, sha256(unhex(string_agg(x, '' order by b))) as kept_sha256 from part group by doc_id),
+gone as (select doc_id, sum(z - a) as n_removed, count(*) as n_spans from span group by doc_id)
+select d.doc_id, (len(h) // 2)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, kept_sha256
+from d join kept using (doc_id) left join gone using (doc_id)"""
+
+
+@register("op9_suffix_dedup", OP9_SQL)
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     docs = read(spark, sf, "documents", "doc_id", "text")
     return suffix.remove_repeats(docs, min_len=100).drop("kept")
