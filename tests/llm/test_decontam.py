@@ -70,9 +70,9 @@ def test_given_tables_catch_every_whole_copy(spark):
 
 
 def test_nulls_and_empties(spark):
-    items = spark.createDataFrame([(1, None), (2, ""), (3, "one two"), (None, "alpha beta gamma delta epsilon zeta eta theta")],
+    items = spark.createDataFrame([(1, None), (2, ""), (3, "one two"), (None, "alpha beta gamma delta épsilon zeta eta theta")],
                                   "item_id long, text string")
-    docs = spark.createDataFrame([(1, None, 7), (None, "", 7), (3, "x Alpha beta gamma delta epsilon zeta eta theta y", 7), (4, "one two", 7)],
+    docs = spark.createDataFrame([(1, None, 7), (None, "", 7), (3, "x Alpha beta GAMMA delta Épsilon zeta eta theta y", 7), (4, "one two", 7)],
                                  "doc_id long, text string, hits long")
     out = decontam.decontaminate(docs, items).collect()
     assert [len(r["hits"]) for r in sorted(out, key=lambda r: r["doc_id"] or 0)] == [0, 0, 1, 0]

@@ -193,8 +193,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", min_sco
     ``items``: ``item_id`` (long), ``text``.  A hit has the item's id, the score
     (1.0: the whole item, word for word), the number of seeds, and the words of
     the text between which the copy lies; of several copies of an item the best
-    (then the first) is told.  Words are runs of letters, digits and non-ASCII
-    characters, A-Z as a-z.
+    (then the first) is told.  Words are runs of ASCII letters, digits and
+    non-ASCII characters, in lower case.
 
     A null or empty text has no hits; items with under three words are never
     found (any text would hold them).  An existing column ``out`` is replaced.
@@ -205,17 +205,17 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", min_sco
     work = docs.drop(out)
     size = F.coalesce(F.regexp_count("text", F.lit("[0-9A-Za-z]+")), F.lit(0))
     n_blocks = partitions_for(items.agg(F.sum(size)).first()[0] or 0, BLOCK_WORDS)
-    mark = fresh(work, out)
-    work = work.withColumn(mark, F.array().cast(HITS))
-    text_at, hits_at = work.columns.index(text), work.columns.index(mark)
+    low, mark = fresh(work, "__lower"), fresh(work, out)
+    work = work.withColumn(low, F.lower(F.col(text))).withColumn(mark, F.array().cast(HITS))
+    text_at, hits_at = work.columns.index(low), work.columns.index(mark)
     for n in range(n_blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == n).select("item_id", "text") \
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == n).select("item_id", F.lower("text").alias("text")) \
             .distinct().orderBy("item_id", "text").collect()  # about BLOCK_WORDS words
         if not rows:
             continue
         block = sc.broadcast(make_block([r["item_id"] for r in rows], [r["text"] for r in rows]))
-        counts = docs.select(text).mapInArrow(_counted(block), "gram long, df long").groupBy("gram").agg(F.sum("df").alias("df"))
+        counts = docs.select(F.lower(text)).mapInArrow(_counted(block), "gram long, df long").groupBy("gram").agg(F.sum("df").alias("df"))
         df = {r["gram"]: r["df"] for r in counts.collect()}  # at most one row per n-gram of the block
         seeds = sc.broadcast(rare_seeds(block.value, df))
         work = work.mapInArrow(_searched(seeds, text_at, hits_at, min_score), work.schema)
-    return work
+    return work.drop(low)
