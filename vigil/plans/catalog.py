@@ -985,6 +985,14 @@ def q_measurement_source(spark, sf):
     return out.select("row_key", "answer", r9("total_count"), *[r9(m) for m in MORAL5])
 
 
+@register("measurement_lexicon", _scored_v1_sql(
+    "select row_key, answer, " + ", ".join([f"{f}_count" for f in O.FOUNDATIONS]
+                                           + [f"round({f}_ratio, 9) as {f}_ratio" for f in O.FOUNDATIONS]) + " from scored"))
+def q_measurement_lexicon(spark, sf):
+    out = S.score(json_responses(spark, sf), "mfd", lexicon=small_lexicon(spark))
+    return out.select("row_key", "answer", *[f"{f}_count" for f in O.FOUNDATIONS], *[r9(f"{f}_ratio") for f in O.FOUNDATIONS])
+
+
 @register("classifier_scores")
 def q_classifier_scores(spark, sf):
     docs = read_table(spark, sf, "documents", ["doc_id", "text"])
