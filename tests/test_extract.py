@@ -103,3 +103,11 @@ def test_repeated_keys_and_infinite_numbers(spark):
     df = spark.createDataFrame(rows, "k int, response string")
     got = {r.k: (r.answer, r.reason) for r in extract_answer_reason(df).collect()}
     assert got == {1: ("Yes", '{"a":2}'), 2: ("Infinity", "x"), 3: ("Yes", "-Infinity")}
+
+
+def test_coerce_numeric_accepts_what_a_cast_accepts(spark):
+    from vigil.operators.extract import coerce_numeric
+    texts = ["1", " -2.5e3 ", "+.5", "\x01 7\t", "inf", "-Infinity", "NaN", "nano", "infx", "1x", "{1}", "", None, "0x1p3", "1d", ".", "e5", "\u00a05"]
+    df = spark.createDataFrame([(i, t, t, float(i)) for i, t in enumerate(texts)], "k int, a string, b string, d double")
+    got = coerce_numeric(df, ["a", "d"]).select("k", "a", "d", F.nanvl(F.col("b").try_cast("double"), F.lit(None)).alias("want")).collect()
+    assert all(r.a == r.want and r.d == r.k for r in got)

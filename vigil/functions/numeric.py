@@ -40,9 +40,18 @@ def round_half_even(col, digits: int = 3) -> Column:
     return F.bround(_c(col), digits)
 
 
-def coerce_numeric_col(col) -> Column:
-    """``to_numeric(errors='coerce')``: bad text -> NULL, NaN -> NULL."""
-    return nan_to_null(_c(col).try_cast("double"))
+# Every text that casts to a number begins like this (blanks and control characters are trimmed).
+_NUMBER_START = r"(?i)^[\x00-\x20]*[+-]?(?:[0-9]|\.[0-9]|inf|nan)"
+
+
+def coerce_numeric_col(col, is_text: bool = False) -> Column:
+    """``to_numeric(errors='coerce')``: bad text -> NULL, NaN -> NULL.
+
+    With ``is_text`` a cheap test comes first: a cast that fails costs an exception per row.
+    """
+    c = _c(col)
+    number = F.when(c.rlike(_NUMBER_START), c.try_cast("double")) if is_text else c.try_cast("double")
+    return nan_to_null(number)
 
 
 # Fixed values of the erfc evaluation: the Maclaurin series of erf is summed

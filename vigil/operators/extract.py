@@ -6,6 +6,7 @@ from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from vigil.functions.jsonx import with_answer_reason
 from vigil.functions.numeric import coerce_numeric_col, is_yes
@@ -38,7 +39,7 @@ def extract_and_clean(df: DataFrame, col: str = "response") -> DataFrame:
 
 def coerce_numeric(df: DataFrame, cols: Iterable[str]) -> DataFrame:
     """E5: bad text and NaN become NULL (``errors='coerce'``)."""
-    return df.withColumns({c: coerce_numeric_col(c) for c in cols})
+    return df.withColumns({c: coerce_numeric_col(c, isinstance(df.schema[c].dataType, StringType)) for c in cols})
 
 
 def display_name(df: DataFrame, key: str, labels: DataFrame | Mapping[str, str],
