@@ -11,8 +11,9 @@ SF01 = "/root/testdata/sf0.01"
 
 @pytest.fixture(scope="session")
 def spark():
-    from vigil.session import get_session
+    from vigil.session import clear_scratch, get_session
 
     s = get_session("local[4]", app="vigil-tests", shuffle_partitions=8)
     yield s
+    clear_scratch(s)
     s.stop()

@@ -20,6 +20,8 @@ DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # a checkpoint goes when the DataFrame that it belongs to does
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -70,9 +72,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A sub-folder of the shared checkpoint folder for written tables."""
-    base = checkpoint_dir(spark).rstrip("/")
-    return f"{base}/tables/{name}"
+    """A sub-folder of the shared checkpoint folder for written tables, one tree per application."""
+    return f"{_tables_root(spark)}/{name}"
+
+
+def _tables_root(spark: SparkSession) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/tables/{spark.sparkContext.applicationId}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete the tables that this application wrote to the shared folder.
+
+    For the end of an application: DataFrames that read them are lost.
+    """
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_tables_root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, eager: bool = True) -> DataFrame:
