@@ -26,6 +26,7 @@ BOILERPLATE = ("all rights reserved", "cookie policy", "privacy policy", "terms
 MAX_LOST = 0.5
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
+RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_lines_removed", "lost_share", "kept")
 
 
 def line_failed(line: Column) -> Column:
@@ -91,4 +92,8 @@ def quality_rules(docs: DataFrame, text: str = "text", max_lost: float = MAX_LOS
     if clean:
         good = F.array_join(F.transform(F.filter("__j", lambda x: ~x["bad"]), lambda x: x["line"]), "\n")
         d = d.withColumn("clean_text", F.when(F.col("n_lines_removed") == 0, F.col(text)).otherwise(good))
-    return d.drop("__t", "__w", "__l", "__j", "__lost")
+    made = [*RESULTS, *(["clean_text"] if clean else [])]
+    # A one-element generator: a filter on the verdict stays above it instead of
+    # being pushed below, where all rules would be evaluated a second time.
+    out = F.inline(F.array(F.struct(*[F.col(c) for c in made])))
+    return d.select(*[c for c in docs.columns if c not in made], out)
