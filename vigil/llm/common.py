@@ -73,6 +73,49 @@ def fresh(df: DataFrame, *names: str) -> str:
     return name
 
 
+#: Texts that travel to a Python worker together; bounds what a worker and its executor hold.
+BATCH_ROWS = 2_000
+
+
+def prepare_python(spark: SparkSession) -> None:
+    """For operators with Python steps: ship the package, and keep Arrow batches of texts small.
+
+    Lowers the session's ``spark.sql.execution.arrow.maxRecordsPerBatch`` to
+    ``BATCH_ROWS`` if it is higher (Spark reads it when a plan runs).
+    """
+    from vigil.session import ship_package
+
+    ship_package(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def tidy(run):
+    """A partition function that gives its memory back to the system when a task ends (workers are reused)."""
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+    return wrapped
+
+
+def release_memory() -> None:
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def partitions_for(n: int, per_task: int, least: int = 1) -> int:
     """Number of shuffle partitions that leaves about ``per_task`` items in each."""
     return max(least, -(-int(n) // per_task))
@@ -100,7 +143,7 @@ def column_bytes(batch, i: int):
     return buf, starts, ends
 
 
-def byte_slices(batch, i: int, limit: int = 16 << 20) -> Iterator:
+def byte_slices(batch, i: int, limit: int = 8 << 20) -> Iterator:
     """A record batch in slices of up to ``limit`` bytes of column ``i`` (one row at least; an empty batch as it is)."""
     import numpy as np
 

@@ -20,12 +20,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import column_bytes, fresh, partitions_for
+from vigil.llm.common import byte_slices, column_bytes, fresh, partitions_for, prepare_python, tidy
 from vigil.llm.hashes import PUNCTUATION, all_words, shingles
-from vigil.session import ship_package
 
 #: Words of a seed.
 SEED_WORDS = 3
@@ -38,6 +38,8 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 MIN_SCORE = 0.5
 #: Words of test items that are searched at a time.
 BLOCK_WORDS = 200_000
+#: Bytes of texts that a task looks at together.
+SLICE_BYTES = 4 << 20
 
 HITS = "array<struct<item_id:bigint,score:double,n_seeds:int,first_word:bigint,end_word:bigint>>"
 
@@ -56,10 +58,18 @@ class Block:
         return Block(self.ids, self.words, self.gram[keep], self.item[keep], self.place[keep])
 
 
+def _words(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and rows of the words of a text column, in lower case (of A-Z only, if a text isn't valid UTF-8)."""
+    try:
+        batch = pa.record_batch([pc.utf8_lower(batch.column(i))], names=["t"])
+        i = 0
+    except pa.ArrowInvalid:
+        pass
+    return all_words(*column_bytes(batch, i), gaps=PUNCTUATION)
+
+
 def make_block(ids: list, texts: list) -> Block:
-    arr = pa.array([t or "" for t in texts], pa.string())
-    buf, s, e = column_bytes(pa.record_batch([arr], names=["t"]), 0)
-    h, row = all_words(buf, s, e, gaps=PUNCTUATION)
+    h, row = _words(pa.record_batch([pa.array([t or "" for t in texts], pa.string())], names=["t"]), 0)
     words = [h[row == i] for i in range(len(texts))]
     gram, item, place = [], [], []
     for i, w in enumerate(words):
@@ -147,8 +157,8 @@ def _counted(block_of):
         block = block_of.value
         keys = np.unique(block.gram)
         lookup, total = _Lookup(keys), np.zeros(len(keys), np.int64)
-        for b in batches:
-            g, row, _ = shingles(*all_words(*column_bytes(b, 0), gaps=PUNCTUATION), SEED_WORDS, short=False)
+        for b in (p for whole in batches for p in byte_slices(whole, 0, SLICE_BYTES)):
+            g, row, _ = shingles(*_words(b, 0), SEED_WORDS, short=False)
             i, k = lookup.where(g)
             pair = np.unique(row[i] * len(keys) + k) if len(i) else np.zeros(0, np.int64)
             total += np.bincount(pair % max(1, len(keys)), minlength=len(keys))
@@ -173,8 +183,8 @@ def _searched(block_of, text_at: int, hits_at: int, min_score: float):
         keys, begin = np.unique(block.gram, return_index=True)
         first = np.append(begin, len(block.gram))
         lookup = _Lookup(keys)
-        for b in batches:
-            h, row = all_words(*column_bytes(b, text_at), gaps=PUNCTUATION)
+        for b in (p for whole in batches for p in byte_slices(whole, text_at, SLICE_BYTES)):
+            h, row = _words(b, text_at)
             g, r, _ = shingles(h, row, SEED_WORDS, short=False)
             touched = np.unique(r[lookup.where(g)[0]])
             lo, hi = np.searchsorted(row, touched), np.searchsorted(row, touched, "right")
@@ -200,22 +210,22 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", min_sco
     found (any text would hold them).  An existing column ``out`` is replaced.
     """
     spark = docs.sparkSession
-    ship_package(spark)
+    prepare_python(spark)
     sc = spark.sparkContext
     work = docs.drop(out)
     size = F.coalesce(F.regexp_count("text", F.lit("[0-9A-Za-z]+")), F.lit(0))
     n_blocks = partitions_for(items.agg(F.sum(size)).first()[0] or 0, BLOCK_WORDS)
-    low, mark = fresh(work, "__lower"), fresh(work, out)
-    work = work.withColumn(low, F.lower(F.col(text))).withColumn(mark, F.array().cast(HITS))
-    text_at, hits_at = work.columns.index(low), work.columns.index(mark)
+    mark = fresh(work, out)
+    work = work.withColumn(mark, F.array().cast(HITS))
+    text_at, hits_at = work.columns.index(text), work.columns.index(mark)
     for n in range(n_blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == n).select("item_id", F.lower("text").alias("text")) \
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == n).select("item_id", "text") \
             .distinct().orderBy("item_id", "text").collect()  # about BLOCK_WORDS words
         if not rows:
             continue
         block = sc.broadcast(make_block([r["item_id"] for r in rows], [r["text"] for r in rows]))
-        counts = docs.select(F.lower(text)).mapInArrow(_counted(block), "gram long, df long").groupBy("gram").agg(F.sum("df").alias("df"))
+        counts = docs.select(text).mapInArrow(tidy(_counted(block)), "gram long, df long").groupBy("gram").agg(F.sum("df").alias("df"))
         df = {r["gram"]: r["df"] for r in counts.collect()}  # at most one row per n-gram of the block
         seeds = sc.broadcast(rare_seeds(block.value, df))
-        work = work.mapInArrow(_searched(seeds, text_at, hits_at, min_score), work.schema)
-    return work.drop(low)
+        work = work.mapInArrow(tidy(_searched(seeds, text_at, hits_at, min_score)), work.schema)
+    return work

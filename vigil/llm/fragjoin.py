@@ -31,10 +31,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import K1, NULL_ID, byte_slices, column_bytes, partitions_for, stored
+from vigil.llm.common import K1, NULL_ID, byte_slices, column_bytes, partitions_for, prepare_python, stored, tidy
 from vigil.llm.components import connected
 from vigil.llm.hashes import all_words, mix, shingles
-from vigil.session import ship_package
 
 #: n-grams that one fragment task sorts together.
 FRAGMENT_TOKENS = 2_000_000
@@ -143,7 +142,7 @@ def _shared_rows(groups: int):
             use = np.repeat(once, x["count"])
             owner = np.repeat(inverse, x["count"])[use].astype(np.int32)
             token = x["token"][use]
-            by = np.argsort(token, kind="stable")
+            by = np.argsort(token)
             token, owner = token[by], owner[by]
             new = np.ones(len(token), bool)
             new[1:] = token[1:] != token[:-1]
@@ -300,7 +299,7 @@ def _long_list_pairs(long: DataFrame, alive: DataFrame, percent: int) -> DataFra
         .withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = members.select("q", F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"), "own", "cls", "n", "s", "root", "prefix")
     return met.repartition("q", "i", "j").sortWithinPartitions("q", "i", "j") \
-        .mapInPandas(_block_rows(percent), "a long, b long, na long, nb long")
+        .mapInPandas(tidy(_block_rows(percent)), "a long, b long, na long, nb long")
 
 
 def linked(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
@@ -327,18 +326,18 @@ def ngram_jaccard(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     sets are told apart by 64-bit hashes.
     """
     spark = docs.sparkSession
-    ship_package(spark)
+    prepare_python(spark)
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias(K1), F.col("text").cast("binary").alias("t"))
-    sets = stored(keyed.mapInArrow(_set_rows(n), "k long, n long, cls long"), "sets")
+    sets = stored(keyed.mapInArrow(tidy(_set_rows(n)), "k long, n long, cls long"), "sets")
     classes = stored(sets.where("n > 0").groupBy("cls").agg(F.min("k").alias("least"), F.max("n").alias("n")), "classes")
     tokens = classes.agg(F.sum("n")).first()[0] or 0
     fragments = partitions_for(tokens, FRAGMENT_TOKENS)
 
-    cut = keyed.select("t").mapInArrow(_segment_rows(n, fragments), "f int, data binary")
+    cut = keyed.select("t").mapInArrow(tidy(_segment_rows(n, fragments)), "f int, data binary")
     shared = cut.repartition(fragments, "f").sortWithinPartitions("f") \
-        .mapInArrow(_shared_rows(fragments), "f int, data binary")
+        .mapInArrow(tidy(_shared_rows(fragments)), "f int, data binary")
     alive = stored(shared.repartition(fragments, "f").sortWithinPartitions("f").mapInArrow(
-        _survivor_rows(percent), "cls long, n long, s long, prefix int, token array<long>"), "survivors")
+        tidy(_survivor_rows(percent)), "cls long, n long, s long, prefix int, token array<long>"), "survivors")
 
     # a quarter of the (signed) hash order each
     segments = alive.select("cls", F.explode(F.array(*[F.lit(i) for i in range(4)])).alias("f"), "token") \

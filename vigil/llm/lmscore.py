@@ -22,15 +22,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import column_bytes
+from vigil.llm.common import byte_slices, column_bytes, prepare_python, tidy
 from vigil.llm.hashes import all_words, mix
 from vigil.plans.sizing import bounded_broadcast
-from vigil.session import ship_package
 
 #: Hash slots of words and of word pairs: the shared vocabulary, 2 models of 4 * (both) bytes, 20 MB.
 WORD_SLOTS, PAIR_SLOTS = 1 << 18, 1 << 21
 #: Slots that travel together.
 BLOCK_SLOTS = 1 << 13
+#: Bytes of texts that a task counts or scores together.
+SLICE_BYTES = 16 << 20
 #: Weight of the word model in the pair model, in tokens.
 PRIOR = 20.0
 
@@ -59,7 +60,7 @@ OFFSETS = np.concatenate([[0], np.cumsum(SIZES)])
 def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(target flag, text) -> this task's counts, as blocks that are not all zero."""
     total = [np.zeros(n, np.int64) for n in SIZES]
-    for b in batches:
+    for b in (p for whole in batches for p in byte_slices(whole, 1, SLICE_BYTES)):
         word, before, pair, row = slots(*column_bytes(b, 1))
         good = np.asarray(b.column(0))[row] if len(row) else np.zeros(0, bool)
         for base, pick in ((0, slice(None)), (3, good)):
@@ -96,7 +97,7 @@ class Model:
 def _score_rows(models, text_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         background, target = models.value
-        for b in batches:
+        for b in (p for whole in batches for p in byte_slices(whole, text_at, SLICE_BYTES)):
             word, before, pair, row = slots(*column_bytes(b, text_at))
             n = np.bincount(row, minlength=b.num_rows)
             sums = [np.bincount(row, m.loss(word, before, pair), b.num_rows) for m in (target, background)]
@@ -119,8 +120,8 @@ def train_models(docs: DataFrame, target: DataFrame) -> tuple[Model, Model]:
     ids = bounded_broadcast(target.select(F.col("doc_id").alias("__t")).where("__t is not null").distinct())
     flagged = docs.join(ids, docs["doc_id"] == F.col("__t"), "left").select(F.col("__t").isNotNull().alias("good"), "text")
     blocks = int(OFFSETS[-1]) // BLOCK_SLOTS
-    parts = flagged.mapInArrow(_count_rows, "block int, data binary").repartition("block") \
-        .mapInArrow(_sum_rows, "block int, data binary")
+    parts = flagged.mapInArrow(tidy(_count_rows), "block int, data binary").repartition("block") \
+        .mapInArrow(tidy(_sum_rows), "block int, data binary")
     flat = np.zeros((blocks, BLOCK_SLOTS), np.int64)
     for r in parts.collect():  # one row per block: the size of a model, whatever the corpus
         flat[r["block"]] = np.frombuffer(r["data"], np.int64)
@@ -140,8 +141,8 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
     losses.  Other columns are ignored.
     """
     spark = docs.sparkSession
-    ship_package(spark)
+    prepare_python(spark)
     d = docs.select("doc_id", "text")
     models = spark.sparkContext.broadcast(train_models(d, target))
-    return d.mapInArrow(_score_rows(models, 1),
+    return d.mapInArrow(tidy(_score_rows(models, 1)),
                         "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
