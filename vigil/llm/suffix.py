@@ -10,7 +10,7 @@ equal windows share an anchor.  An anchor's context (the bytes of all windows
 that may have chosen it) is compared only with the contexts of equal anchors:
 
 1. anchors of all texts (hash of the gram, hash of the context, place) are
-   shuffled by gram.  A context that occurred before as a whole is repeated as a
+   shuffled by gram, after copies within a batch of texts are settled.  A context that occurred before as a whole is repeated as a
    whole; first contexts go on if their gram has another context;
 2. those contexts, in blocks of whole grams, become a text of which a suffix
    array and its Burrows-Wheeler transform are built, sorted to a depth just
@@ -33,9 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigil.llm.common import K1, NULL_ID, column_bytes, stored, with_ordinal
+from vigil.llm.common import K1, NULL_ID, byte_slices, column_bytes, prepare_python, stored, tidy, with_ordinal
 from vigil.llm.hashes import PIECE, Poly, mix
-from vigil.session import ship_package
 
 #: Length of an anchor's string; shorter ones are fewer but more often equal by chance.
 GRAM = 32
@@ -68,7 +67,6 @@ def anchors(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, min_len: int,
     if not len(full):
         return tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64))
     s, e = starts[full], ends[full]
-    bits = np.uint64(21)
     low = np.uint64((1 << 21) - 1)
     at, stop = int(s[0]), int(e[-1])
     while at < stop:
@@ -96,7 +94,6 @@ def anchors(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, min_len: int,
                 c = _CONTEXTS.of(context, a - lo, z - lo) + (chosen + lo - a).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
                 outs.append((mix(h[chosen]), mix(c + (z - a).astype(np.uint64)), full[owner], chosen + lo - s[owner]))
         at = to
-    del bits
     if not outs:
         return anchors(buf, starts[:0], ends[:0], min_len, gram)
     h, c, row, off = (np.concatenate(x) for x in zip(*outs, strict=True))
@@ -115,7 +112,7 @@ def suffix_array(sym: np.ndarray, depth: int) -> np.ndarray:
         key = (key << 9) | padded[k:n + k]
     done = 7
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)  # equal keys get one rank, so their order is free
         k = key[order]
         new = np.zeros(n, np.int64)
         new[1:] = k[1:] != k[:-1]
@@ -211,18 +208,48 @@ def repeated_windows(texts: list[bytes], doc: np.ndarray, start: np.ndarray, min
     return text[by[later]], offset[by[later]]
 
 
+def _settled(h: np.ndarray, c: np.ndarray, k: np.ndarray, o: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Anchors whose whole context another anchor of the same batch has at a smaller place."""
+    out = np.zeros(len(h), bool)
+    key = mix(c) ^ h
+    by = np.argsort(key)
+    same = key[by][1:] == key[by][:-1]
+    many = np.zeros(len(h), bool)
+    many[by[1:]] |= same
+    many[by[:-1]] |= same
+    at = np.flatnonzero(many)
+    if len(at):
+        at = at[np.lexsort((off[at], o[at], k[at], c[at], h[at]))]
+        new = np.ones(len(at), bool)
+        new[1:] = (h[at][1:] != h[at][:-1]) | (c[at][1:] != c[at][:-1])
+        lead = at[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
+        out[at] = (k[at] != k[lead]) | (o[at] != o[lead]) | (off[at] != off[lead])
+    return out
+
+
 def _anchor_rows(min_len: int, gram: int):
-    schema = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("k", pa.int64()), ("o", pa.int32()), ("off", pa.int64())])
+    """Texts -> anchors; those settled within the batch leave as byte ranges instead (``z`` is their end)."""
+    reach = min_len - gram
+    schema = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("k", pa.int64()), ("o", pa.int32()), ("off", pa.int64()), ("z", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (p for whole in batches for p in byte_slices(whole, 2, 32 << 20)):
             buf, starts, ends = column_bytes(b, 2)
             h, c, row, off = anchors(buf, starts, ends, min_len, gram)
-            k, o = b.column(0).to_numpy(), b.column(1).to_numpy()
+            k, o = b.column(0).to_numpy()[row], b.column(1).to_numpy()[row].astype(np.int64)
+            done = _settled(h, c, k, o, off)
+            # a settled anchor's context reaches from off - reach to off + gram + reach
+            r = _ranges((k[done], o[done]), off[done] - reach, gram + 2 * reach) if done.any() else None
+            h, c, k, o, off = (x[~done] for x in (h, c, k, o, off))
             for i in range(0, max(len(h), 1), 1 << 18):
                 j = slice(i, i + (1 << 18))
-                yield pa.record_batch([pa.array(h[j].view(np.int64)), pa.array(c[j].view(np.int64)), pa.array(k[row[j]]),
-                                       pa.array(o[row[j]].astype(np.int32)), pa.array(off[j])], schema=schema)
+                yield pa.record_batch([pa.array(h[j].view(np.int64)), pa.array(c[j].view(np.int64)), pa.array(k[j]),
+                                       pa.array(o[j].astype(np.int32)), pa.array(off[j]), pa.nulls(len(h[j]), pa.int64())], schema=schema)
+            if r is not None:
+                # spread by a hash of their own; they take no part in any gram
+                spread = mix(r["k"].to_numpy().view(np.uint64) ^ mix(r["a"].to_numpy().view(np.uint64))).view(np.int64)
+                yield pa.record_batch([pa.array(spread), pa.nulls(len(r), pa.int64()), pa.array(r["k"]),
+                                       pa.array(r["o"].to_numpy().astype(np.int32)), pa.array(r["a"]), pa.array(r["z"])], schema=schema)
 
     return run
 
@@ -231,7 +258,7 @@ def _context_rows(min_len: int, gram: int, hot: bool):
     """Texts with wanted anchors -> (h, k, o, start, context); with ``hot`` every window instead, as its 128-bit hash (h, w)."""
     reach = min_len - gram
     schema = pa.schema([("h", pa.int64()), ("w", pa.int64()), ("k", pa.int64()), ("o", pa.int32()), ("start", pa.int64()),
-                        ("context", pa.binary())])
+                        ("left", pa.int32()), ("context", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -246,9 +273,9 @@ def _context_rows(min_len: int, gram: int, hot: bool):
                         for p in range(a, z - min_len + 1):
                             d = hashlib.blake2b(t[p:p + min_len], digest_size=16).digest()
                             out.append((int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True),
-                                        k[i], o[i], p, None))
+                                        k[i], o[i], p, None, None))
                     else:
-                        out.append((x["h"], None, k[i], o[i], a, t[a:z]))
+                        out.append((x["h"], None, k[i], o[i], a, x["off"] - a, t[a:z]))
                     if len(out) >= 20_000:
                         yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
                         out = []
@@ -270,50 +297,75 @@ def _ranges(doc, off: np.ndarray, min_len: int) -> pd.DataFrame:
     return pd.DataFrame({"k": k[first], "o": o[first], "a": off[first], "z": off[last] + min_len})
 
 
-def _block_rows(min_len: int, block: int):
+def _can_repeat(pdf: pd.DataFrame, min_len: int, gram: int) -> np.ndarray:
+    """Contexts that share, beside the gram, the half before or the half after it with another of the same gram.
+
+    A window has at least half of the bytes besides its gram on one side of
+    it, so equal windows share one of the two halves; the other contexts, whose
+    gram is equal by chance, need no suffix array.
+    """
+    half = (min_len - gram) // 2
+    times: dict[tuple, int] = {}
+    sides = []
+    for h, left, context in zip(pdf["h"].to_numpy().tolist(), pdf["left"].to_numpy().tolist(), pdf["context"], strict=True):
+        a = (h, 0, context[left - half:left]) if left >= half else None
+        b = (h, 1, context[left + gram:left + gram + half]) if len(context) >= left + gram + half else None
+        sides.append((a, b))
+        for key in (a, b):
+            if key is not None:
+                times[key] = times.get(key, 0) + 1
+    return np.array([times.get(a, 0) > 1 or times.get(b, 0) > 1 for a, b in sides], bool)
+
+
+def _block_rows(min_len: int, gram: int, block: int):
     """Contexts sorted by gram -> byte ranges of repeated windows, block by block of whole grams."""
 
     def solve(parts: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0]
+        pdf = pd.concat(parts, ignore_index=True)
         k, o = pdf["k"].to_numpy(np.int64), pdf["o"].to_numpy(np.int64)
         start = pdf["start"].to_numpy(np.int64)
         by = np.lexsort((o, k))
         kk, oo = k[by], o[by]
         rank = np.zeros(len(by), np.int64)
-        rank[by] = np.concatenate([[0], np.cumsum((kk[1:] != kk[:-1]) | (oo[1:] != oo[:-1]))]) if len(by) else 0
+        rank[by] = np.concatenate([[0], np.cumsum((kk[1:] != kk[:-1]) | (oo[1:] != oo[:-1]))])
         text, offset = repeated_windows(list(pdf["context"]), rank, start, min_len)
         if len(text):
             yield _ranges((k[text], o[text]), start[text] + offset, min_len)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def whole_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The rows again, cut only between grams, in parts of at least ``block`` bytes."""
         held: list[pd.DataFrame] = []
         size = 0
         for pdf in batches:
             h = pdf["h"].to_numpy()
-            lengths = pdf["context"].map(len).to_numpy()
+            cuts = np.flatnonzero(h[1:] != h[:-1]) + 1
+            if held and len(h) and held[-1]["h"].iloc[-1] != h[0]:
+                cuts = np.append(0, cuts)
+            total = np.cumsum(pdf["context"].map(len).to_numpy())
             at = 0
-            while at < len(pdf):
-                grown = size + np.cumsum(lengths[at:])
-                over = int(np.searchsorted(grown, block))
-                # the first change of gram after the block is full (or at the batch's start)
-                ahead = h[at:]
-                before = held[-1]["h"].iloc[-1] if held else None
-                change = np.flatnonzero(ahead[1:] != ahead[:-1]) + 1
-                if before is not None and len(ahead) and ahead[0] != before and size >= block:
-                    yield from solve(held)
-                    held, size = [], 0
-                    continue
-                after = change[change > over]
-                if not len(after):
-                    held.append(pdf.iloc[at:])
-                    size = int(grown[-1])
-                    break
-                held.append(pdf.iloc[at:at + int(after[0])])
-                yield from solve(held)
-                held, size = [], 0
-                at += int(after[0])
+            for cut in cuts:
+                if size + (total[cut - 1] if cut else 0) - (total[at - 1] if at else 0) >= block:
+                    yield pd.concat([*held, pdf.iloc[at:cut]], ignore_index=True)
+                    held, size, at = [], 0, cut
+            if at < len(pdf):
+                held.append(pdf.iloc[at:])
+                size += int(total[-1] - (total[at - 1] if at else 0))
         if held:
-            yield from solve(held)
+            yield pd.concat(held, ignore_index=True)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ready: list[pd.DataFrame] = []
+        size = 0
+        for pdf in whole_grams(batches):
+            pdf = pdf[_can_repeat(pdf, min_len, gram)]
+            if len(pdf):
+                ready.append(pdf)
+                size += int(pdf["context"].map(len).sum())
+            if size >= block:
+                yield from solve(ready)
+                ready, size = [], 0
+        if ready:
+            yield from solve(ready)
 
     return run
 
@@ -362,19 +414,19 @@ def remove_repeats(docs: DataFrame, min_len: int = 100, gram: int = GRAM, block:
     hashes) and windows of hot grams (128-bit hash).
     """
     spark = docs.sparkSession
-    ship_package(spark)
+    prepare_python(spark)
     d = with_ordinal(docs.select("doc_id", "text"))
     d = d.select(F.col(K1).alias("k"), F.col("__ord").alias("o"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("t"))
-    rows = d.mapInArrow(_anchor_rows(min_len, gram), "h long, c long, k long, o int, off long")
+    rows = d.mapInArrow(tidy(_anchor_rows(min_len, gram)), "h long, c long, k long, o int, off long, z long")
     same_gram, same = Window.partitionBy("h"), Window.partitionBy("h", "c").orderBy("k", "o", "off")
     # one shuffle and one sort serve both windows
     rows = rows.repartition("h").sortWithinPartitions("h", "c", "k", "o", "off")
-    seen = rows.withColumn("later", F.rank().over(same) > 1) \
+    seen = rows.withColumn("later", F.col("z").isNotNull() | (F.rank().over(same) > 1)) \
         .withColumn("mixed", F.min("c").over(same_gram) != F.max("c").over(same_gram)) \
-        .withColumn("hot", F.count(F.lit(1)).over(same_gram) > hot_gram) \
+        .withColumn("hot", F.count("c").over(same_gram) > hot_gram) \
         .where(F.col("later") | F.col("mixed"))
     reach = min_len - gram
-    found = stored(seen.select("k", "o", "off", "later", "hot", F.when(~F.col("later"), F.col("h")).alias("h")), "anchors")
+    found = stored(seen.select("k", "o", "off", "z", "later", "hot", F.when(~F.col("later"), F.col("h")).alias("h")), "anchors")
 
     texts = d.select("k", "o", "t")
 
@@ -382,12 +434,13 @@ def remove_repeats(docs: DataFrame, min_len: int = 100, gram: int = GRAM, block:
         first = found.where(~F.col("later") & (F.col("hot") == hot))
         want = first.groupBy("k", "o").agg(F.collect_set(F.struct("off", "h")).alias("want"))
         return texts.join(want, ["k", "o"]).mapInArrow(
-            _context_rows(min_len, gram, hot), "h long, w long, k long, o int, start long, context binary")
+            tidy(_context_rows(min_len, gram, hot)), "h long, w long, k long, o int, start long, left int, context binary")
 
     # not stored: its join and the last one read the same exchange of the texts
-    blocks = contexts(False).select("h", "k", "o", "start", "context").repartition("h").sortWithinPartitions("h")
-    by_block = blocks.mapInPandas(_block_rows(min_len, block), "k long, o int, a long, z long")
-    whole = found.where("later").select("k", "o", (F.col("off") - reach).alias("a"), (F.col("off") + gram + reach).alias("z"))
+    blocks = contexts(False).select("h", "k", "o", "start", "left", "context").repartition("h").sortWithinPartitions("h")
+    by_block = blocks.mapInPandas(tidy(_block_rows(min_len, gram, block)), "k long, o int, a long, z long")
+    whole = found.where("later").select("k", "o", F.when(F.col("z").isNull(), F.col("off") - reach).otherwise(F.col("off")).alias("a"),
+                                        F.coalesce("z", F.col("off") + gram + reach).alias("z"))
     ranges = whole.unionByName(by_block)
     if found.where(~F.col("later") & F.col("hot")).limit(1).count():
         windows = stored(contexts(True).select("h", "w", "k", "o", "start"), "windows")
@@ -396,5 +449,5 @@ def remove_repeats(docs: DataFrame, min_len: int = 100, gram: int = GRAM, block:
                                     .select("k", "o", F.col("start").alias("a"), (F.col("start") + min_len).alias("z")))
     marks = ranges.groupBy("k", "o").agg(F.collect_set(F.struct("a", "z")).alias("marks"))
     out = texts.join(marks, ["k", "o"], "left").select("k", "t", "marks") \
-        .mapInArrow(_digest_rows, "k long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+        .mapInArrow(tidy(_digest_rows), "k long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out.select(F.nullif(F.col("k"), F.lit(NULL_ID)).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
