@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from vigil.functions.numeric import is_yes, nan_to_null, round_half_even
 from vigil.functions.text import strip_run_suffix
-from vigil.plans.sizing import bounded_broadcast
 from vigil.session import materialize
 
 DEFAULT_CORNERS = ((1, 4), (4, 1))
@@ -107,7 +106,8 @@ def group_median(df: DataFrame, keys: Sequence[str] = ("model", "perspective"),
     parts = parts.select(*keys, "__p", F.coalesce(F.sum("__in").over(earlier), F.lit(0)).alias("__off"),
                          F.sum("__in").over(Window.partitionBy(*keys)).alias("__n"))
     before = Window.partitionBy("__p", *keys).orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
-    r = c.withColumn("__upto", F.sum("__c").over(before)).join(bounded_broadcast(parts), [*keys, "__p"])
+    # AQE broadcasts the (partition, group) sums if their actual size allows
+    r = c.withColumn("__upto", F.sum("__c").over(before)).join(parts, [*keys, "__p"])
     first = F.col("__off") + F.col("__upto") - F.col("__c")  # 0-based rank of the value's first row
     last = F.col("__off") + F.col("__upto") - 1
 
