@@ -64,3 +64,40 @@ def test_no_target_and_empty_tables(spark):
     r = lmscore.cross_entropy_difference(df, none).first()
     assert np.isclose(r["target_loss"], math.log(lmscore.WORD_SLOTS), rtol=1e-5)
     assert lmscore.cross_entropy_difference(df.limit(0), none).count() == 0
+
+
+def test_rare_words_share_no_counts(spark, monkeypatch):
+    """5,000 words that occur once or twice, in documents that are repeated too, against plain counts."""
+    rng = np.random.default_rng(3)
+    docs = [(k, " ".join(f"w{i}" for i in rng.integers(0, 5000, 40)) + " the end") for k in range(150)]
+    docs += [docs[7], docs[7], (None, docs[8][1])]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    good = {k for k in range(0, 150, 3)}
+    counts = {True: (Counter(), Counter(), Counter()), False: (Counter(), Counter(), Counter())}
+    for k, t in docs:
+        w = t.split()
+        for flag in {False, k in good}:
+            for c, x in zip(counts[flag], (w, ["^"] + w[:-1], list(zip(["^"] + w, w))), strict=True):
+                c.update(x)
+
+    def loss(flag, t, scale, size):
+        one, ctx, two = counts[flag]
+        w, n = t.split(), sum(one.values()) * scale
+        return sum(-math.log((two[p, x] * scale + lmscore.PRIOR * (one[x] * scale + 1) / (n + size)) / (ctx[p] * scale + lmscore.PRIOR))
+                   for p, x in zip(["^"] + w, w)) / len(w)
+
+    scale = sum(counts[True][0].values()) / sum(counts[False][0].values())
+    target = spark.createDataFrame([(k,) for k in good], "doc_id long")
+    vocabulary = len(counts[False][0])
+    for least, hot in ((lmscore.WORD_SLOTS, 1 << 16), (100, 50), (100, 1)):  # all frequent, some, none
+        monkeypatch.setattr(lmscore, "WORD_SLOTS", least)
+        if hasattr(lmscore, "HOT_KEYS"):
+            monkeypatch.setattr(lmscore, "HOT_KEYS", hot)
+        got = lmscore.cross_entropy_difference(df, target).collect()
+        assert len(got) == len(docs)
+        text = dict(docs)
+        for r in got:
+            t, size = text[r["doc_id"]], max(vocabulary, least)
+            assert r["n_tokens"] == 42
+            assert np.isclose(r["target_loss"], loss(True, t, 1.0, size), rtol=1e-6)
+            assert np.isclose(r["background_loss"], loss(False, t, scale, size), rtol=1e-6)

@@ -4,13 +4,15 @@ A target model (documents known to be good) and a background model (all
 documents) score every document by the difference of their losses per token:
 low means that a text looks like the target, not just like fluent text.
 
-Both are bigram models with the same vocabulary, order and smoothing.  The
-vocabulary is a fixed number of hash slots for words and for word pairs, which
-bounds a model whatever the corpus; counts are taken over all documents.  They
-are matched in size too: the background's counts are scaled to the target's
-number of tokens, so smoothing weighs the same in both.
-
-Tasks add up dense count blocks; the blocks meet in a streaming sum.
+Both are bigram models with the same vocabulary (every word of the documents),
+order and smoothing.  They are matched in size too: the background's counts are
+scaled to the target's number of tokens, so smoothing weighs the same in both.
+
+Both models lie in one table with a row per distinct pair of words, which grows
+with the corpus and never reaches the driver: tasks add up pairs, a groupBy adds
+the tasks' sums, and words and contexts are sums of pairs.  Documents meet the
+pairs' losses in a join.  Keys that make up ``1 / HOT_KEYS`` of all tokens or more
+(there are at most ``HOT_KEYS``) are broadcast, so a join's keys are all small.
 """
 
 from __future__ import annotations
@@ -19,116 +21,144 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import byte_slices, column_bytes, prepare_python, tidy
+from vigil.llm.common import K1, K2, byte_slices, column_bytes, doc_key, prepare_python, stored, tidy
 from vigil.llm.hashes import all_words, mix
 from vigil.plans.sizing import bounded_broadcast
 
-#: Hash slots of words and of word pairs: the shared vocabulary, 2 models of 4 * (both) bytes, 20 MB.
-WORD_SLOTS, PAIR_SLOTS = 1 << 18, 1 << 21
-#: Slots that travel together.
-BLOCK_SLOTS = 1 << 13
+#: Least size of the vocabulary over which smoothing spreads (room for words never seen); a larger one counts as it is.
+WORD_SLOTS = 1 << 18
+#: Most words, contexts or pairs that are broadcast instead of joined by a shuffle.
+HOT_KEYS = 1 << 16
 #: Bytes of texts that a task counts or scores together.
 SLICE_BYTES = 16 << 20
 #: Weight of the word model in the pair model, in tokens.
 PRIOR = 20.0
 
+#: The word before a text's first.
+START = np.uint64(1)
+
+
+def pair_hash(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mix(before * np.uint64(0x9E3779B97F4A7C15) + word)
+
 
-def slots(buf, starts, ends) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(word slot, slot of the word before, pair slot, row) of every token; before a text's first word is a start mark."""
+def tokens(buf, starts, ends) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of the word before, hash of the word, row) of every token."""
     h, row = all_words(buf, starts, ends)
     before = np.empty_like(h)
     before[1:] = h[:-1]
     if len(h):
         first = np.ones(len(h), bool)
         first[1:] = row[1:] != row[:-1]
-        before[first] = np.uint64(1)
-    pair = mix(before * np.uint64(0x9E3779B97F4A7C15) + h)
-    return ((h >> np.uint64(40)) % np.uint64(WORD_SLOTS)).astype(np.int64), \
-        ((before >> np.uint64(40)) % np.uint64(WORD_SLOTS)).astype(np.int64), \
-        ((pair >> np.uint64(32)) % np.uint64(PAIR_SLOTS)).astype(np.int64), row
+        before[first] = START
+    return before, h, row
 
 
-_COUNTS = pa.schema([("block", pa.int32()), ("data", pa.binary())])
-#: Where each table's slots begin in the common numbering: words, contexts and pairs of the background, then of the target.
-SIZES = (WORD_SLOTS, WORD_SLOTS, PAIR_SLOTS) * 2
-OFFSETS = np.concatenate([[0], np.cumsum(SIZES)])
+def _long(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
 
 
 def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(target flag, text) -> this task's counts, as blocks that are not all zero."""
-    total = [np.zeros(n, np.int64) for n in SIZES]
+    """(target flag, text) -> a slice's distinct pairs with their counts, by context (equal neighbours compress)."""
     for b in (p for whole in batches for p in byte_slices(whole, 1, SLICE_BYTES)):
-        word, before, pair, row = slots(*column_bytes(b, 1))
+        before, word, row = tokens(*column_bytes(b, 1))
         good = np.asarray(b.column(0))[row] if len(row) else np.zeros(0, bool)
-        for base, pick in ((0, slice(None)), (3, good)):
-            for k, x in enumerate((word, before, pair)):
-                total[base + k] += np.bincount(x[pick], minlength=SIZES[k])
-    flat = np.concatenate(total).reshape(-1, BLOCK_SLOTS)
-    for i in np.flatnonzero(flat.any(axis=1)):
-        yield pa.record_batch([pa.array([i], pa.int32()), pa.array([flat[i].tobytes()], pa.binary())], schema=_COUNTS)
+        _, at, k = np.unique(pair_hash(before, word), return_index=True, return_inverse=True)
+        n, n_good = np.bincount(k, minlength=len(at)), np.bincount(k[good], minlength=len(at))
+        by = np.argsort(before[at])
+        at = at[by]
+        yield pa.record_batch([_long(before[at]), _long(word[at]), pa.array(n[by]), pa.array(n_good[by])],
+                              names=["before", "word", "n", "n_good"])
 
 
-def _sum_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[int, np.ndarray] = {}
-    for b in batches:
-        for i, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            x = np.frombuffer(data.as_buffer(), np.int64)
-            total[i] = total[i] + x if i in total else x.copy()
-    for i, x in total.items():
-        yield pa.record_batch([pa.array([i], pa.int32()), pa.array([x.tobytes()], pa.binary())], schema=_COUNTS)
+class Hot:
+    """Losses of the frequent pairs, by sorted hash."""
 
+    def __init__(self, before: np.ndarray, word: np.ndarray, losses: np.ndarray):
+        keys = pair_hash(before, word)
+        by = np.argsort(keys)
+        self.keys, self.losses = keys[by], losses[by]
 
-class Model:
-    """Smoothed bigram model on hash slots; ``scale`` multiplies all counts."""
+    def where(self, before: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(whether a pair is here, its place) of each pair."""
+        h = pair_hash(before, word)
+        if not len(self.keys):
+            return np.zeros(len(h), bool), np.zeros(len(h), np.int64)
+        k = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        return self.keys[k] == h, k
 
-    def __init__(self, words: np.ndarray, contexts: np.ndarray, pairs: np.ndarray, scale: float):
-        self.words, self.contexts, self.pairs = (x.astype(np.float32) * np.float32(scale) for x in (words, contexts, pairs))
-        self.total = float(words.sum()) * scale
 
-    def loss(self, word: np.ndarray, before: np.ndarray, pair: np.ndarray) -> np.ndarray:
-        """Negative log probability of each token, in nats."""
-        one = (self.words[word] + 1.0) / (self.total + WORD_SLOTS)
-        return -np.log((np.minimum(self.pairs[pair], self.contexts[before]) + PRIOR * one) / (self.contexts[before] + PRIOR))
-
-
-def _score_rows(models, text_at: int):
+def _doc_rows(hot_of, text_at: int):
+    """Texts -> number of tokens, of those that are in no frequent pair, and the frequent pairs' sums of losses."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        background, target = models.value
+        hot = hot_of.value
         for b in (p for whole in batches for p in byte_slices(whole, text_at, SLICE_BYTES)):
-            word, before, pair, row = slots(*column_bytes(b, text_at))
-            n = np.bincount(row, minlength=b.num_rows)
-            sums = [np.bincount(row, m.loss(word, before, pair), b.num_rows) for m in (target, background)]
-            with np.errstate(invalid="ignore", divide="ignore"):
-                t, g = (s / n for s in sums)
-            none = n == 0
-            yield pa.record_batch([*(b.column(i) for i in range(b.num_columns) if i != text_at), pa.array(n),
-                                   pa.array(t, mask=none), pa.array(g, mask=none), pa.array(t - g, mask=none)],
+            before, word, row = tokens(*column_bytes(b, text_at))
+            here, k = hot.where(before, word)
+            n, rare = (np.bincount(x, minlength=b.num_rows) for x in (row, row[~here]))
+            t, g = (np.bincount(row[here], hot.losses[k[here], i], b.num_rows).astype(float) for i in (0, 1))
+            yield pa.record_batch([*(b.column(i) for i in range(b.num_columns) if i != text_at), *map(pa.array, (n, rare, t, g))],
                                   names=[*(x for i, x in enumerate(b.schema.names) if i != text_at),
-                                         "n_tokens", "target_loss", "background_loss", "score"])
+                                         "n_tokens", "__rare", "__hot_t", "__hot_g"])
+    return run
+
+
+def _rare_rows(hot_of):
+    """(K1, K2, text) -> the text's distinct pairs that are not frequent, with their counts."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = hot_of.value
+        for b in (p for whole in batches for p in byte_slices(whole, 2, SLICE_BYTES)):
+            before, word, row = tokens(*column_bytes(b, 2))
+            rare = ~hot.where(before, word)[0]
+            before, word, row = before[rare], word[rare], row[rare]
+            by = np.lexsort((word, before, row))
+            before, word, row = before[by], word[by], row[by]
+            new = np.ones(len(row), bool)
+            new[1:] = (row[1:] != row[:-1]) | (before[1:] != before[:-1]) | (word[1:] != word[:-1])
+            at = np.flatnonzero(new)
+            k1, k2 = (np.asarray(b.column(i))[row[at]] for i in (0, 1))
+            yield pa.record_batch([pa.array(k1), pa.array(k2), _long(before[at]), _long(word[at]),
+                                   pa.array(np.diff(np.append(at, len(row))))], names=[K1, K2, "before", "word", "n"])
     return run
 
 
-def train_models(docs: DataFrame, target: DataFrame) -> tuple[Model, Model]:
-    """(background, target) models from all of ``docs`` and those whose ``doc_id`` is in ``target``.
+def _with_counts(pairs: DataFrame, counts: DataFrame, key: str, least: float) -> DataFrame:
+    """``pairs`` with the counts of their ``key``; keys of ``least`` tokens or more are broadcast, the others shuffled."""
+    frequent = F.broadcast(counts.where(F.col(f"{key}_n") >= least))
+    return pairs.join(frequent, key).unionByName(
+        pairs.join(frequent.select(key), key, "left_anti").join(counts.where(F.col(f"{key}_n") < least), key))
+
+
+def _loss(pair: Column, context: Column, word: Column, total: float, size: int) -> Column:
+    """Negative log probability of a token, in nats."""
+    one = (word + 1.0) / F.lit(total + size)
+    return -F.log((pair + F.lit(PRIOR) * one) / (context + F.lit(PRIOR)))
+
+
+def pair_losses(docs: DataFrame, target: DataFrame) -> tuple[DataFrame, float]:
+    """(``before``, ``word``, ``n``, ``target_loss``, ``background_loss`` of every pair, tokens from which a key is frequent).
 
     Null ids are never in the target.  Without target tokens the target model is
-    uniform over the word slots.
+    uniform over the vocabulary.
     """
     ids = bounded_broadcast(target.select(F.col("doc_id").alias("__t")).where("__t is not null").distinct())
     flagged = docs.join(ids, docs["doc_id"] == F.col("__t"), "left").select(F.col("__t").isNotNull().alias("good"), "text")
-    blocks = int(OFFSETS[-1]) // BLOCK_SLOTS
-    parts = flagged.mapInArrow(tidy(_count_rows), "block int, data binary").repartition("block") \
-        .mapInArrow(tidy(_sum_rows), "block int, data binary")
-    flat = np.zeros((blocks, BLOCK_SLOTS), np.int64)
-    for r in parts.collect():  # one row per block: the size of a model, whatever the corpus
-        flat[r["block"]] = np.frombuffer(r["data"], np.int64)
-    flat = flat.reshape(-1)
-    tables = [flat[a:z] for a, z in zip(OFFSETS[:-1], OFFSETS[1:], strict=True)]
-    n_all, n_good = int(tables[0].sum()), int(tables[3].sum())
-    return Model(*tables[:3], scale=n_good / n_all if n_good and n_all else 1.0), Model(*tables[3:], scale=1.0)
+    pairs = stored(flagged.mapInArrow(tidy(_count_rows), "before long, word long, n long, n_good long")
+                   .groupBy("before", "word").agg(F.sum("n").alias("n"), F.sum("n_good").alias("n_good")), "pairs")
+    of = {k: stored(pairs.groupBy(k).agg(F.sum("n").alias(f"{k}_n"), F.sum("n_good").alias(f"{k}_good")), f"{k}-counts")
+          for k in ("word", "before")}
+    got = of["word"].agg(F.count(F.lit(1)).alias("size"), F.sum("word_n").alias("n"), F.sum("word_good").alias("good")).first()
+    size, n_all, n_good = max(got["size"], WORD_SLOTS), got["n"] or 0, got["good"] or 0
+    scale = n_good / n_all if n_good and n_all else 1.0
+    least = n_all / HOT_KEYS
+    full = _with_counts(_with_counts(pairs, of["word"], "word", least), of["before"], "before", least)
+    return full.select(
+        "before", "word", "n",
+        _loss(F.col("n_good"), F.col("before_good"), F.col("word_good"), float(n_good), size).alias("target_loss"),
+        _loss(F.col("n") * scale, F.col("before_n") * scale, F.col("word_n") * scale, n_all * scale, size).alias("background_loss")), least
 
 
 def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
@@ -143,6 +173,23 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     prepare_python(spark)
     d = docs.select("doc_id", "text")
-    models = spark.sparkContext.broadcast(train_models(d, target))
-    return d.mapInArrow(tidy(_score_rows(models, 1)),
-                        "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    losses, least = pair_losses(d, target)
+    top = losses.where(F.col("n") >= least).collect()  # at most HOT_KEYS rows
+    hot = spark.sparkContext.broadcast(Hot(
+        *(np.array([r[c] for r in top], np.int64).view(np.uint64) for c in ("before", "word")),
+        np.array([(r["target_loss"], r["background_loss"]) for r in top], float).reshape(-1, 2)))
+    keyed = d.withColumns(doc_key())
+    each = keyed.select("doc_id", K1, K2, "text").mapInArrow(
+        tidy(_doc_rows(hot, 3)), f"doc_id long, {K1} long, {K2} long, n_tokens long, __rare long, __hot_t double, __hot_g double")
+    pair = F.xxhash64("before", "word").alias("pair")
+    rare = keyed.select(K1, K2, "text").mapInArrow(tidy(_rare_rows(hot)), f"{K1} long, {K2} long, before long, word long, n long") \
+        .select(K1, K2, pair, "n")
+    sums = rare.join(losses.where(F.col("n") < least).select(pair, "target_loss", "background_loss"), "pair") \
+        .groupBy(F.col(K1).alias("__a"), F.col(K2).alias("__b")) \
+        .agg(F.sum("n").alias("__n"), *[F.sum(F.col("n") * F.col(f"{x}_loss")).alias(f"__{x}") for x in ("target", "background")])
+    # rows equal in id and text have added up: each gets its part
+    part = F.col("__rare") / F.col("__n")
+    mean = lambda h, x: F.when(F.col("n_tokens") > 0, (F.col(h) + F.coalesce(F.col(x) * part, F.lit(0.0))) / F.col("n_tokens"))
+    return each.join(sums, (F.col(K1) == F.col("__a")) & (F.col(K2) == F.col("__b")), "left") \
+        .select("doc_id", "n_tokens", mean("__hot_t", "__target").alias("target_loss"), mean("__hot_g", "__background").alias("background_loss")) \
+        .withColumn("score", F.col("target_loss") - F.col("background_loss"))
