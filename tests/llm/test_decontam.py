@@ -78,3 +78,23 @@ def test_nulls_and_empties(spark):
     assert [len(r["hits"]) for r in sorted(out, key=lambda r: r["doc_id"] or 0)] == [0, 0, 1, 0]
     assert decontam.decontaminate(docs, items.limit(0)).count() == 4
     assert decontam.decontaminate(docs.limit(0), items).count() == 0
+
+
+def test_edited_copies_are_found_however_many_documents_hold_them(spark):
+    """Two items, edited at every 4th or 5th word; one of them by two editors, of whom one's copy is far more common."""
+    rng = random.Random(5)
+    items = [(i, [f"q{i}x{j}" for j in range(40)]) for i in range(2)]
+
+    def edited(item, step, first=2):
+        return [f"e{rng.randint(0, 10 ** 9)}" if p % step == first else w for p, w in enumerate(items[item][1])]
+
+    b = spark.createDataFrame([(i, " ".join(q)) for i, q in items], "item_id long, text string")
+    for step in (4, 5):
+        for n in (9, 100, 5000):
+            one, other, rare = edited(0, step), edited(1, step), edited(1, step, 0)
+            docs = [(k, k % 2, " ".join([f"a{k}", *(other if k % 2 else one), f"z{k}"])) for k in range(2 * n)]
+            docs += [(2 * n + k, 1, " ".join(rare)) for k in range(9)]
+            docs += [(2 * n + 9, None, " ".join(f"c{j}" for j in range(60)))]
+            d = spark.createDataFrame(docs, "doc_id long, item long, text string").repartition(4)
+            for r in decontam.decontaminate(d, b).collect():
+                assert [h["item_id"] for h in r["hits"]] == ([] if r["item"] is None else [r["item"]])

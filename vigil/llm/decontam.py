@@ -1,16 +1,15 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Test items are taken in blocks of bounded size, so any number of them can be
-searched; a block is small enough to go to every task.  Two scans of the texts
-per block, neither of which shuffles a text:
-
-1. in how many documents each n-gram of the block's items occurs.  An item's
-   seeds are its rare n-grams: those not far above the median of its own counts,
-   so an item that leaked into very many documents keeps its seeds, while turns
-   of phrase that are common anyway are none;
-2. where a text has seeds of an item near one diagonal, the stretch around them
-   is aligned with the item, word by word.  The local alignment's score, as a
-   share of a full match, tells exact, edited and paraphrased copies from chance.
+searched; a block is small enough to go to every task.  One scan of the texts per
+block, which shuffles no text: where a text has seeds of an item near one diagonal,
+the stretch around them is aligned with the item, word by word.  The local
+alignment's score, as a share of a full match, tells exact, edited and paraphrased
+copies from chance.
+
+All n-grams of an item are seeds, however many documents hold them: a count can't
+tell a turn of phrase from a passage that leaked often.  A stretch is passed over
+only if its words that are also the item's are too few for the least score.
 """
 
 from __future__ import annotations
@@ -29,8 +28,6 @@ from vigil.llm.hashes import PUNCTUATION, all_words, shingles
 
 #: Words of a seed.
 SEED_WORDS = 3
-#: A seed occurs in at most so many times as many documents as the item's median n-gram (plus as many).
-RARE_FACTOR = 8
 #: Seeds that a stretch needs before it is aligned (items of few words: one).
 MIN_SEEDS = 2
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -54,9 +51,6 @@ class Block:
     item: np.ndarray
     place: np.ndarray
 
-    def only(self, keep: np.ndarray) -> Block:
-        return Block(self.ids, self.words, self.gram[keep], self.item[keep], self.place[keep])
-
 
 def _words(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and rows of the words of a text column, in lower case (of A-Z only, if a text isn't valid UTF-8)."""
@@ -135,13 +129,18 @@ def find_hits(block: Block, lookup: _Lookup, first: np.ndarray, words: np.ndarra
     new = np.ones(len(item), bool)
     new[1:] = (item[1:] != item[:-1]) | (diag[1:] - diag[:-1] > size[1:] // 2 + 8)
     edges = np.append(np.flatnonzero(new), len(item))
-    for a, z in zip(edges[:-1], edges[1:], strict=True):
+    begin = edges[:-1]
+    need = np.where(size[begin] >= SEED_WORDS + 5, MIN_SEEDS, 1)
+    for j in np.flatnonzero(np.diff(edges) >= need):
+        a, z = edges[j], edges[j + 1]
         w = block.words[item[a]]
         seeds = len(np.unique(place[a:z]))
-        if seeds < (MIN_SEEDS if len(w) >= SEED_WORDS + 5 else 1):
+        if seeds < need[j]:
             continue
         slack = len(w) // 2 + 8
         lo, hi = max(0, int(diag[a]) - slack), min(len(words), int(diag[z - 1]) + len(w) + slack)
+        if np.isin(w, words[lo:hi]).sum() < min_score * len(w):  # no alignment matches more words than that
+            continue
         score, end = align(w, words[lo:hi])
         if score >= min_score:
             out.append((block.ids[item[a]], score, seeds, lo, lo + end))
@@ -152,31 +151,6 @@ def find_hits(block: Block, lookup: _Lookup, first: np.ndarray, words: np.ndarra
     return [best[i] for i in sorted(best, key=lambda i: (i is None, i))]
 
 
-def _counted(block_of):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = block_of.value
-        keys = np.unique(block.gram)
-        lookup, total = _Lookup(keys), np.zeros(len(keys), np.int64)
-        for b in (p for whole in batches for p in byte_slices(whole, 0, SLICE_BYTES)):
-            g, row, _ = shingles(*_words(b, 0), SEED_WORDS, short=False)
-            i, k = lookup.where(g)
-            pair = np.unique(row[i] * len(keys) + k) if len(i) else np.zeros(0, np.int64)
-            total += np.bincount(pair % max(1, len(keys)), minlength=len(keys))
-        at = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(keys[at].view(np.int64)), pa.array(total[at])], names=["gram", "df"])
-    return run
-
-
-def rare_seeds(block: Block, df: dict[int, int]) -> Block:
-    """The block with only those n-grams that are rare for their item."""
-    n = np.array([df.get(int(g), 0) for g in block.gram.view(np.int64)])
-    keep = np.zeros(len(n), bool)
-    for i in np.unique(block.item):
-        at = np.flatnonzero(block.item == i)
-        keep[at] = n[at] <= RARE_FACTOR * (np.median(n[at]) + 1)
-    return block.only(keep & (n > 0))
-
-
 def _searched(block_of, text_at: int, hits_at: int, min_score: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = block_of.value
@@ -224,8 +198,5 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", min_sco
         if not rows:
             continue
         block = sc.broadcast(make_block([r["item_id"] for r in rows], [r["text"] for r in rows]))
-        counts = docs.select(text).mapInArrow(tidy(_counted(block)), "gram long, df long").groupBy("gram").agg(F.sum("df").alias("df"))
-        df = {r["gram"]: r["df"] for r in counts.collect()}  # at most one row per n-gram of the block
-        seeds = sc.broadcast(rare_seeds(block.value, df))
-        work = work.mapInArrow(tidy(_searched(seeds, text_at, hits_at, min_score)), work.schema)
+        work = work.mapInArrow(tidy(_searched(block, text_at, hits_at, min_score)), work.schema)
     return work
