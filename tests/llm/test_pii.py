@@ -81,3 +81,17 @@ def test_empty_repeated_and_clashing(spark):
     got = pii.personal_data(df)
     assert got.columns == ["doc_id", "text", "kind", "base", "extra"] and got.count() == 4
     assert sorted(len(r["base"]) for r in got.collect()) == [0, 1, 1, 1]
+
+
+def test_found_identifiers_make_patterns_of_words_without_seeds(spark):
+    """A chain of four steps: seeds prove dial:, its numbers fone:, those ring:, those call:, each with numbers of its own."""
+    number = lambda step, i: f"212 555 {step}{i:03d}"
+    labels = ["dial:", "fone:", "ring:", "call:"]
+    rows = [f"office dial: +1 {number(9, i)} s{i}" for i in range(200)]
+    rows += [f"office {label} {number(step, i)} {label[0]}{step}x{i}" for k, label in enumerate(labels) for step in (k, k + 1) for i in range(10)
+             for _ in range(3 if step == k else 1)]
+    rows += [f"invoice {number(7, i)} paid" for i in range(10)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = pii.personal_data(df).select("text", "extra").collect()
+    for r in got:
+        assert len(r["extra"]) == (0 if "+1" in r["text"] or "invoice" in r["text"] else 1), r

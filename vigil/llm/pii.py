@@ -12,7 +12,8 @@ that fail a checksum).  A candidate alone is no evidence; its context is:
 * patterns and instances (identifier values) form a graph that is scored in
   rounds: confident patterns, with several different identifiers each, make the
   candidates beside them likely (noisy or over patterns); likely candidates
-  become known identifiers and raise the patterns of the next round;
+  become known identifiers and raise the patterns of the next round, and make
+  new ones of words that no seed stands beside.  Rounds end when nothing changes;
 * candidates that pass in the end are spans, wherever their value occurs.
 """
 
@@ -53,7 +54,8 @@ CANDIDATE_HINTS = {"email": r"(?i)[\[({ ]at[\])} ]", "ip": r"[\[(](?:\.|dot)[\])
 MIN_IDENTIFIERS = 3
 #: Confidence from which a pattern, or an instance, counts.
 MIN_CONFIDENCE = 0.5
-ROUNDS = 3
+#: Rise of the known identifiers' mean belief under which a round without a new one is the last.
+SETTLED = 1e-6
 #: Characters next to a match in which its neighbouring words are looked for.
 CONTEXT_CHARS = 48
 
@@ -126,7 +128,7 @@ def candidate_spans(text: Column, base: Column) -> Column:
     return F.filter(loose, lambda c: ~F.exists(base, lambda b: (c["start"] < b["end"]) & (b["start"] < c["end"])))
 
 
-def bootstrap(seen: DataFrame, corpus_words: DataFrame, rounds: int = ROUNDS, min_confidence: float = MIN_CONFIDENCE,
+def bootstrap(seen: DataFrame, corpus_words: DataFrame, min_confidence: float = MIN_CONFIDENCE,
               min_identifiers: int = MIN_IDENTIFIERS) -> DataFrame:
     """(kind, value) of the candidates that their contexts make identifiers.
 
@@ -140,17 +142,18 @@ def bootstrap(seen: DataFrame, corpus_words: DataFrame, rounds: int = ROUNDS, mi
         .select("kind", "value", "seed", "p.side", "p.word").where("word <> ''")
     edge = edge.groupBy("kind", "side", "word", "value").agg(F.count(F.lit(1)).alias("n"), F.max("seed").alias("seed"))
     edge = stored(edge, "pattern-instances")
-    # only words beside several seeds can become patterns at all; a candidate must stand beside one
+    # only words beside several identifiers, known or yet to be, can become patterns at all; a candidate must stand beside one
     apt = edge.groupBy("kind", "side", "word").agg(F.sum(F.col("seed").cast("int")).alias("seeds"),
                                                    F.sum((~F.col("seed")).cast("int")).alias("open")) \
-        .where((F.col("seeds") >= 1) & (F.col("seeds") + F.col("open") >= min_identifiers) & (F.col("open") >= 1))
+        .where((F.col("seeds") + F.col("open") >= min_identifiers) & (F.col("open") >= 1))
     apt = stored(apt.select("word").distinct(), "pattern-words")
     counts = stored(corpus_words.join(bounded_broadcast(apt), "word", "left_semi").groupBy("word")
                     .agg(F.count(F.lit(1)).alias("uses")), "pattern-uses")
     edge = edge.join(bounded_broadcast(counts), "word")
     edge = stored(edge, "pattern-graph")
     known = stored(edge.where("seed").select("kind", "value", F.lit(1.0).alias("belief")).distinct(), "instances")
-    for _ in range(rounds):
+    size, belief = -1, 0.0
+    while True:
         told = edge.join(known, ["kind", "value"], "left").withColumn("belief", F.coalesce("belief", F.lit(0.0)))
         patterns = told.groupBy("kind", "side", "word").agg(
             (F.sum(F.col("n") * F.col("belief")) / F.max("uses")).alias("confidence"),
@@ -161,6 +164,11 @@ def bootstrap(seen: DataFrame, corpus_words: DataFrame, rounds: int = ROUNDS, mi
             .agg((1 - doubt).alias("belief")).where(F.col("belief") >= min_confidence)
         known = stored(known.where("belief = 1.0").unionByName(beside.join(
             known.where("belief = 1.0").select("kind", "value"), ["kind", "value"], "left_anti")), "instances")
+        now = known.agg(F.count(F.lit(1)).alias("size"), F.sum("belief").alias("belief")).first()
+        # beliefs only rise, and what is known only grows
+        if now["size"] == size and (now["belief"] or 0.0) - belief <= SETTLED * size:
+            break
+        size, belief = now["size"], now["belief"] or 0.0
     return known.where("belief < 1.0").select("kind", "value")
 
 
