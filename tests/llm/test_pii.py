@@ -95,3 +95,16 @@ def test_found_identifiers_make_patterns_of_words_without_seeds(spark):
     got = pii.personal_data(df).select("text", "extra").collect()
     for r in got:
         assert len(r["extra"]) == (0 if "+1" in r["text"] or "invoice" in r["text"] else 1), r
+
+
+def test_labels_that_touch_their_identifier(spark):
+    rows = [f"mail:user{i}@host{i}.org s{i}" for i in range(8)] + ["mail:bob at example dot com x1"]
+    rows += [f"dial:+1 212 555 01{i:02d} t{i}" for i in range(8)] + ["dial:212 555 0188. Next", "dial: 212 555 0189, x2"]
+    # marks beside identifiers are no evidence where they stand beside everything
+    rows += [f"met (user{i}@home{i}.org) v{i}" for i in range(4)] + [f"word{i} (other words) here, and (more)" for i in range(20)]
+    rows += ["( alone", "room (300 400 5000) x3", "sue (ann at work dot com) x4"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    out = {r["text"]: [s["value"] for s in r["extra"]] for r in pii.personal_data(df).select("text", "extra").collect()}
+    assert {t: x for t, x in out.items() if x} == {
+        "mail:bob at example dot com x1": ["bob at example dot com"],
+        "dial:212 555 0188. Next": ["212 555 0188"], "dial: 212 555 0189, x2": ["212 555 0189"]}

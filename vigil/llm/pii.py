@@ -5,8 +5,9 @@ ip, card, phone.  Looser patterns find candidates of the same kinds that the
 strict ones miss (written-out mail addresses, numbers without a plus, numbers
 that fail a checksum).  A candidate alone is no evidence; its context is:
 
-* the words next to a seed are lexical patterns of its kind (word before or
-  word after).  A pattern's confidence is the share of all occurrences of its
+* the words next to a seed are lexical patterns of its kind (word before, with
+  the punctuation after it, or word after, with the punctuation before it; both
+  may touch the identifier).  A pattern's confidence is the share of all occurrences of its
   word in the corpus that stand next to a known identifier of the kind, so
   "mail:" scores high and "the" next to nothing;
 * patterns and instances (identifier values) form a graph that is scored in
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import K1, stored, with_ordinal, words
+from vigil.llm.common import K1, let, stored, with_ordinal
 from vigil.plans.sizing import bounded_broadcast
 
 KINDS = ("email", "ip", "card", "phone")
@@ -43,7 +44,7 @@ CANDIDATES = {
              r"[A-Za-z0-9-]++(?:(?:\x20?[\[({]\x20?dot\x20?[\])}]\x20?|\x20dot\x20|\.)[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\x20?[\[(](?:\.|dot)[\])]\x20?[0-9]{1,3}){3}(?![0-9])",
     "card": r"(?<![0-9])(?<![0-9][\x20.-])[0-9](?:[\x20.-]?[0-9]){12,18}+(?![\x20.-]?[0-9])",
-    "phone": r"(?<![0-9+(.-])\(?[0-9]{2,4}\)?(?:[\x20.-][0-9]{2,4}){2,4}+(?![0-9.-])",
+    "phone": r"(?<![0-9+(.-])\(?[0-9]{2,4}\)?(?:[\x20.-][0-9]{2,4}){2,4}+(?![0-9-]|\.[0-9])",
 }
 #: A cheap test that a text can hold any match at all.
 HINTS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
@@ -56,8 +57,9 @@ MIN_IDENTIFIERS = 3
 MIN_CONFIDENCE = 0.5
 #: Rise of the known identifiers' mean belief under which a round without a new one is the last.
 SETTLED = 1e-6
-#: Characters next to a match in which its neighbouring words are looked for.
+#: Characters next to a match in which its neighbouring words are looked for, and most of a word that count.
 CONTEXT_CHARS = 48
+_WORD, _MARKS = r"[\p{L}\p{M}\p{N}]", r"[^\p{L}\p{M}\p{N}\s]"
 
 SPAN = "struct<kind:string,start:int,end:int,value:string,before:string,after:string>"
 
@@ -76,8 +78,8 @@ def _matches(text: Column, kind: str, pattern: str, hint: str) -> Column:
         each = F.transform(F.arrays_zip(hits.alias("value"), gaps.alias("gap"), F.slice(gaps, F.lit(2), F.size(hits)).alias("next")),
                            lambda x: x)
         each = F.slice(each, F.lit(1), F.size(hits))
-        before = lambda g: F.lower(F.regexp_extract(F.right(g, F.lit(CONTEXT_CHARS)), r"(\S+)\s*$", 1))
-        after = lambda g: F.lower(F.regexp_extract(F.left(g, F.lit(CONTEXT_CHARS)), r"^\s*(\S+)", 1))
+        before = lambda g: F.lower(F.regexp_extract(F.right(g, F.lit(CONTEXT_CHARS)), rf"({_WORD}*{_MARKS}*)\s*$", 1))
+        after = lambda g: F.lower(F.regexp_extract(F.left(g, F.lit(CONTEXT_CHARS)), rf"^\s*({_MARKS}*{_WORD}*)", 1))
         walked = F.aggregate(
             each, F.struct(F.lit(0).alias("at"), empty.alias("out")),
             lambda acc, x: F.struct(
@@ -128,13 +130,22 @@ def candidate_spans(text: Column, base: Column) -> Column:
     return F.filter(loose, lambda c: ~F.exists(base, lambda b: (c["start"] < b["end"]) & (b["start"] < c["end"])))
 
 
+def context_units(text: Column) -> Column:
+    """All of a text's (side, word) that the places between its words offer as contexts, in lower case."""
+    def units(side: str, pattern: str, cut) -> Column:
+        return F.transform(F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0)),
+                           lambda w: F.struct(F.lit(side).alias("side"), cut(w, F.lit(CONTEXT_CHARS)).alias("word")))
+
+    return F.concat(units("before", f"{_WORD}+{_MARKS}*|{_MARKS}+", F.right), units("after", f"{_MARKS}*{_WORD}+|{_MARKS}+", F.left))
+
+
 def bootstrap(seen: DataFrame, corpus_words: DataFrame, min_confidence: float = MIN_CONFIDENCE,
               min_identifiers: int = MIN_IDENTIFIERS) -> DataFrame:
     """(kind, value) of the candidates that their contexts make identifiers.
 
     ``seen``: one row per occurrence: ``kind``, ``value``, ``before``, ``after``
-    (words beside it) and ``seed``.  ``corpus_words``: ``word``, one row per word
-    of the corpus, in lower case.
+    (words beside it) and ``seed``.  ``corpus_words``: ``side``, ``word``, one row
+    per context unit of the corpus outside its identifiers.
     """
     edge = seen.select("kind", "value", "seed", F.explode(F.array(
         F.struct(F.lit("before").alias("side"), F.col("before").alias("word")),
@@ -146,17 +157,18 @@ def bootstrap(seen: DataFrame, corpus_words: DataFrame, min_confidence: float =
     apt = edge.groupBy("kind", "side", "word").agg(F.sum(F.col("seed").cast("int")).alias("seeds"),
                                                    F.sum((~F.col("seed")).cast("int")).alias("open")) \
         .where((F.col("seeds") + F.col("open") >= min_identifiers) & (F.col("open") >= 1))
-    apt = stored(apt.select("word").distinct(), "pattern-words")
-    counts = stored(corpus_words.join(bounded_broadcast(apt), "word", "left_semi").groupBy("word")
+    apt = stored(apt.select("side", "word").distinct(), "pattern-words")
+    counts = stored(corpus_words.join(bounded_broadcast(apt), ["side", "word"], "left_semi").groupBy("side", "word")
                     .agg(F.count(F.lit(1)).alias("uses")), "pattern-uses")
-    edge = edge.join(bounded_broadcast(counts), "word")
+    edge = edge.join(bounded_broadcast(apt), ["side", "word"], "left_semi") \
+        .join(bounded_broadcast(counts), ["side", "word"], "left").fillna(0, ["uses"])
     edge = stored(edge, "pattern-graph")
     known = stored(edge.where("seed").select("kind", "value", F.lit(1.0).alias("belief")).distinct(), "instances")
     size, belief = -1, 0.0
     while True:
         told = edge.join(known, ["kind", "value"], "left").withColumn("belief", F.coalesce("belief", F.lit(0.0)))
         patterns = told.groupBy("kind", "side", "word").agg(
-            (F.sum(F.col("n") * F.col("belief")) / F.max("uses")).alias("confidence"),
+            (F.sum(F.col("n") * F.col("belief")) / F.greatest(F.max("uses"), F.sum("n"))).alias("confidence"),
             F.sum((F.col("belief") >= min_confidence).cast("int")).alias("identifiers"))
         patterns = patterns.where((F.col("confidence") >= min_confidence) & (F.col("identifiers") >= min_identifiers))
         doubt = F.exp(F.sum(F.log1p(-F.least("confidence", F.lit(0.999)))))
@@ -189,7 +201,8 @@ def personal_data(docs: DataFrame, text: str = "text") -> DataFrame:
     loose = few.select(K1, "__ord", F.explode("loose").alias("s")).distinct()
     seen = few.select(F.explode("base").alias("s")).select("s.*", F.lit(True).alias("seed")).unionByName(
         loose.select("s.*", F.lit(False).alias("seed")))
-    corpus = docs.select(F.explode(words(F.lower(F.col(text)))).alias("word"))
+    cut = let(base_spans(t), lambda b: replaced(t, F.concat(b, candidate_spans(t, b)), lambda s: F.lit("\n")))
+    corpus = docs.select(F.explode(let(cut, context_units)).alias("u")).select("u.*")
     found = stored(bootstrap(seen.select("kind", "value", "before", "after", "seed"), corpus), "found")
     extra = loose.select(K1, "__ord", "s", F.col("s.kind").alias("kind"), F.col("s.value").alias("value")) \
         .join(found, ["kind", "value"], "left_semi") \
@@ -211,10 +224,15 @@ def span_list(spans: Column) -> Column:
 
 def redact(text: Column, spans: Column) -> Column:
     """The text with every span replaced by its kind in brackets; overlapping spans become one, named by the first."""
+    return replaced(text, spans, lambda s: F.concat(F.lit("["), s["kind"], F.lit("]")))
+
+
+def replaced(text: Column, spans: Column, by) -> Column:
+    """The text with ``by(span)`` for every span; overlapping spans become one, the first."""
     own = F.sort_array(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     done = F.aggregate(own, F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), lambda acc, s: F.struct(
         F.greatest(acc["at"], s["end"]).alias("at"),
         F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.array(
-            F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.concat(F.lit("["), s["kind"], F.lit("]"))))).alias("out")))
+            F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), by(s)))).alias("out")))
     bound = F.transform(F.array(done), lambda x: F.concat(F.array_join(x["out"], ""), F.substring(text, x["at"] + 1, F.length(text))))
     return F.when(F.size(spans) == 0, text).otherwise(F.element_at(bound, 1))
