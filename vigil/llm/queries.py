@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm import chat, decontam, fragjoin, lmscore, mixing, pii, quality, suffix, urlfilter, warc
-from vigil.llm.common import n_words, read
+from vigil.llm import bpe, chat, decontam, fragjoin, lmscore, mixing, pii, quality, repair, rnsmine, suffix, urlfilter, warc
+from vigil.llm.common import n_words, prepare_python, read, stored
 from vigil.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -271,3 +271,77 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     pages = read(spark, sf, "pages", "page_id", "url")
     captures = pages.select(F.col("page_id").alias("capture_id"), "url", (F.col("page_id") * 104729 % MINUTES).alias("fetched"))
     return urlfilter.evaluate_captures(captures, dated_list(pages)).withColumnRenamed("capture_id", "page_id")
+
+
+# ---------------------------------------------------------------- 11: hard-negative mining
+
+OP11_SQL = """
+with v as (select vec_id, case when vec_id % 7 = 0 then (label::bigint + 1) % 10 else label::bigint end as label,
+    list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as q
+  from embeddings where label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+r as (select *, row_number() over () as row from v),
+s as (select a.row as anchor, a.vec_id as anchor_id, b.row as row, b.vec_id as id, a.label = b.label as same,
+    coalesce(list_sum(list_transform(range(1, least(len(a.q), len(b.q)) + 1), lambda i: a.q[i] * b.q[i])), 0)::bigint as score
+  from r a join r b on a.vec_id % 100 = 0 and a.row <> b.row),
+p as (select * from (select *, row_number() over (partition by anchor order by score desc, id nulls last, row) as k from s where same) where k <= 5),
+n as (select p.anchor_id, p.id as positive_id, row_number() over (partition by p.anchor, p.k order by s.score desc, s.id nulls last, s.row) as rank,
+    s.id as negative_id, p.score as positive_score, s.score as negative_score
+  from p join s on p.anchor = s.anchor and not s.same and 80 * p.score::hugeint <= 100 * s.score::hugeint and s.score <= p.score)
+select anchor_id, positive_id, rank::int as rank, negative_id, positive_score, negative_score from n where rank <= 5"""
+
+
+@register("op11_hard_negatives", OP11_SQL)
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    """Every seventh vector is given its neighbour's label first, so that there are hard negatives to find."""
+    rows = read(spark, sf, "embeddings", "vec_id", "embedding", "label")
+    label = F.col("label").cast("long")
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label))
+    return rnsmine.hard_negatives(rows, F.col("vec_id") % 100 == 0, n_positives=5, n_negatives=5, low_percent=80, high_percent=100, scale=256)
+
+
+# ---------------------------------------------------------------- 12: conversation structure repair
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with faults put in by a hash of (conv_id, turn); ``copies`` is 2 for a repeated row."""
+    said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    rows = rows.select("conv_id", "turn", said("role").alias("role"), said("text").alias("text"),
+                       (F.crc32(F.concat(said("conv_id"), F.lit(":"), said("turn")).cast("binary")) % 20).alias("fault"))
+    text = F.when(F.col("fault") == 1, "").when(F.col("fault") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    return rows.where("fault <> 0").select("conv_id", "turn", F.when(F.col("fault") == 4, "user").otherwise(F.col("role")).alias("role"),
+                                           text.alias("text"), F.when(F.col("fault") == 3, 2).otherwise(1).alias("copies"))
+
+
+@register("op12_conversation_repair")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    rows = read(spark, sf, "conversations", "conv_id", "turn", "role", "text")
+    ordered = repair.audit_rows(damaged(rows), copies="copies")
+    audits = stored(repair.audit(ordered), "audits")
+    digests = repair.conversation_digest(repair.repaired_turns(ordered, audits)).withColumnRenamed("conv", "c")
+    found = audits.join(digests, F.col("conv").eqNullSafe(F.col("c")), "left").drop("c")
+    every = rows.select("conv_id").distinct()
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
+    return every.join(found, F.col("conv_id").eqNullSafe(F.col("conv")), "left").select(
+        "conv_id", *(zero(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")),
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+# ---------------------------------------------------------------- 13: BPE encoding and decoding
+
+
+def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
+    """Place of a public vocabulary file on the driver."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@register("op13_bpe")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    prepare_python(spark)
+    vocab = bpe.vocabulary(spark, vocabulary_path())
+    docs = read(spark, sf, "documents", "doc_id", "text").withColumn("ids", bpe.encode(F.col("text"), vocab))
+    return docs.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+                       F.sha2(bpe.decode(F.col("ids"), vocab).cast("binary"), 256).alias("decoded_sha256"))
