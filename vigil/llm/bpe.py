@@ -80,8 +80,8 @@ def read_vocabulary(path: str) -> dict:
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     model, vocab = spec["model"], spec["model"]["vocab"]
-    steps = [s["type"] for s in spec["normalizer"]["normalizers"]]
-    cuts = spec["pre_tokenizer"]["pretokenizers"]
+    steps = [s["type"] for s in (spec["normalizer"] or {}).get("normalizers", [])]
+    cuts = spec["pre_tokenizer"].get("pretokenizers", [])
     known = (model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges"))
              and steps == ["NFC", "Replace", "Lowercase"] and [c["type"] for c in cuts] == ["Split", "ByteLevel"]
              and cuts[0]["behavior"] == "Removed" and cuts[0]["invert"] and not cuts[1]["add_prefix_space"] and not cuts[1]["use_regex"]
@@ -359,7 +359,11 @@ def decode(ids: Column, vocab) -> Column:
 
 def id_array(ids: Column) -> Column:
     """Packed ids as an array of integers."""
-    byte = lambda i, k: F.substring(ids, (4 * i + k).cast("int"), F.lit(1))
-    number = lambda i: F.conv(F.hex(F.concat(*(byte(i, k) for k in (4, 3, 2, 1)))), 16, 10).cast("long")
-    n = F.floor(F.length(ids) / 4)
-    return F.when(n == 0, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), number))
+    @F.arrow_udf("array<bigint>")
+    def unpacked(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            flat = [np.frombuffer(x, "<u4") for some in _values(batch) for x in some]
+            ends = np.cumsum([0, *map(len, flat)])
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*flat, np.zeros(0, "<u4")]).astype(np.int64)))
+
+    return unpacked(ids)
