@@ -3,6 +3,7 @@
 import re
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from vigil.functions.stopwords import english_stopwords
@@ -102,3 +103,70 @@ def test_plans_agree_on_repeated_and_null_rows(spark):
     a, b = (sorted((tuple(r) for r in lexicon_scores(df, lex, col="text", stopwords=None, strategy=s, keep_matched=True).collect()), key=str)
             for s in ("inset", "join"))
     assert a == b and len(a) == 6
+
+
+@pytest.mark.parametrize("end", ["\n", "\r", "\r\n"])
+def test_dic_parts_round_trip_in_order(spark, tmp_path, end):
+    from vigil.sources.lexicon import read_dic_lexicon, write_dic_lexicon
+
+    path = str(tmp_path / "lex")
+    rows = [(f"tok{i % 70} of", f"c{i % 23:02d}.x", i) for i in range(600)]
+    df = spark.createDataFrame(rows, "token string, category string, ordinal long").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        write_dic_lexicon(df, path, line_end=end)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    parts = sorted(p.name for p in (tmp_path / "lex").glob("part-*"))
+    assert len(parts) > 2
+    text = [(tmp_path / "lex" / p).read_bytes().decode() for p in parts]
+    assert text[0].split(end)[0] == "%" and not any("%" in t for t in text[1:])
+    got = [tuple(r) for r in read_dic_lexicon(spark, path).orderBy("ordinal").collect()]
+    assert got == [(t, c, i + 1) for t, c, i in rows]
+
+
+def test_dic_files_with_and_without_marks(spark, tmp_path):
+    from vigil.sources.lexicon import read_dic_lexicon
+
+    (tmp_path / "a0.dic").write_text("lost\t1\n")  # before any marks
+    (tmp_path / "a1.dic").write_text("note\n%\n1\tx\n2\ty\n%\none\t1\ntwo\t2\t1\n%\nthree\t9\n")
+    (tmp_path / "a2.dic").write_text("four\t2\n")
+    (tmp_path / "b.dic").write_text("%\n1\tz\n%\nfive\t1\n")
+    (tmp_path / "c.dic").write_text("%\n1\tz\n")  # a header that never ends has no entries
+    (tmp_path / "d.dic").write_text("")
+    got = [tuple(r) for r in read_dic_lexicon(spark, str(tmp_path)).orderBy("ordinal").collect()]
+    assert got == [("one", "x", 1), ("two", "y", 2), ("two", "x", 3), ("four", "y", 4), ("five", "z", 5)]
+
+
+def test_empty_and_null_lexicon_rows(spark, tmp_path):
+    from vigil.sources.lexicon import read_dic_lexicon, write_dic_lexicon
+
+    schema = "token string, category string, ordinal long"
+    write_dic_lexicon(spark.createDataFrame([], schema), str(tmp_path / "none"))
+    assert read_dic_lexicon(spark, str(tmp_path / "none")).count() == 0
+    write_dic_lexicon(spark.createDataFrame([(None, "a", 1), ("x", None, 2), ("y", "b", None), ("z", "b", 1)], schema), str(tmp_path / "some"))
+    assert [r.token for r in read_dic_lexicon(spark, str(tmp_path / "some")).orderBy("ordinal").collect()] == ["y", "z"]
+
+
+def test_large_lexicon_never_moves_a_text(spark):
+    from vigil.operators.lexicon import lexicon_scores
+
+    texts = [(i, f"alpha beta w{i % 3} gamma gamma " * (i % 4)) for i in range(40)] + [(99, None), (100, ""), (100, "")]
+    df = spark.createDataFrame(texts, "id long, body string").withColumn("n", F.lit(1))
+    lex = spark.createDataFrame([("alpha", "a.v", 1), ("gamma", "b.v", 2), ("w", "a.w", 3), ("nan", "b.w", 4)], "token string, category string, ordinal long")
+    want = sorted(tuple(r) for r in lexicon_scores(df, lex, col="body", stopwords=None).drop("body").collect())
+    for bound in (1_000, 0):
+        out = lexicon_scores(df, lex, col="body", stopwords=None, strategy="join", max_broadcast_tokens=bound).drop("body")
+        plan = out._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        moved = [line for at, line in enumerate(plan.splitlines()) if "Input [" in line and "Exchange" in plan.splitlines()[at - 1]]
+        assert moved and not any("body#" in line for line in moved)
+        assert sorted(tuple(r) for r in out.collect()) == want
+
+
+def test_hash_filter_loses_no_key(spark):
+    from vigil.plans.bits import hash_bits, keep_possible
+
+    keys = spark.range(0, 3000, 3).selectExpr("concat('k', id) as k")
+    df = spark.range(3000).selectExpr("concat('k', id) as k", "id")
+    kept = {r["id"] for r in keep_possible(df, "k", hash_bits(keys, "k", 8), 8).collect()}
+    assert kept >= set(range(0, 3000, 3)) and len(kept) < 2000

@@ -29,6 +29,22 @@ def tokenize(text, null_as: str | None = "nan") -> Column:
     return F.regexp_extract_all(F.lower(t), F.lit(TOKEN_PATTERN), 0)
 
 
+def token_counts(tokens: Column) -> Column:
+    """The different tokens of an array with their numbers: array<struct<token, n>>, sorted by token.
+
+    A row's repeated tokens collapse before anything is exploded.  The sorted array is
+    bound to a lambda variable, so it is built once per row.
+    """
+    def counted(s):
+        new = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        runs = F.transform(F.array(new), lambda at: F.transform(at, lambda i, k: F.struct(
+            F.get(s, i).alias("token"), (F.coalesce(F.get(at, k + 1), F.size(s)) - i).cast("long").alias("n"))))
+        return F.get(runs, F.lit(0))
+
+    empty = F.array().cast("array<struct<token:string,n:bigint>>")
+    return F.get(F.transform(F.array(F.array_sort(tokens)), lambda s: F.when(F.size(s) > 0, counted(s)).otherwise(empty)), F.lit(0))
+
+
 def strip_run_suffix(col) -> Column:
     """``x_1``/``x_2``/``x_3`` -> ``x``; anything else unchanged (strips once)."""
     return F.regexp_replace(_c(col), RUN_SUFFIX_PATTERN, "")

@@ -10,9 +10,11 @@ Two plans:
 * ``inset`` (default): no shuffle and no row key.  The lexicon (a size-checked
   dimension table) becomes literal hash sets; one pass keeps the matched
   tokens, then small per-category passes count them.  Rows never move.
-* ``join``: explode tokens, join the lexicon (broadcast when its size is
-  checked small, else shuffled), aggregate per text digest and join back.
-  Used for lexicons above ``max_inline_tokens``.
+* ``join``: rows become (digest, token, count) vectors, which meet the lexicon
+  in the scan (a broadcast when its size is checked small, else a bounded hash
+  filter and a shuffle join of what it leaves), add up per text digest and join
+  back.  The text itself never travels.  Used for lexicons above
+  ``max_inline_tokens``.
 
 Stopword removal is applied to the lexicon, not per row: the ratio
 denominator counts only matched tokens, so dropping stopword tokens before
@@ -27,10 +29,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigil.functions.stopwords import english_stopwords
-from vigil.functions.text import sanitize_name, tokenize
-from vigil.plans.sizing import bounded_broadcast, collect_bounded
+from vigil.functions.text import sanitize_name, token_counts, tokenize
+from vigil.plans.bits import hash_bits, keep_possible
+from vigil.plans.sizing import bounded_broadcast, collect_bounded, is_small
+from vigil.session import materialize
 
 DEFAULT_STOPWORDS = "english"
+#: Categories that a lexicon may bring without being asked for; each makes two columns.
+MAX_CATEGORIES = 2_000
 
 
 def lexicon_map(lexicon: DataFrame, token: str = "token", category: str = "category",
@@ -109,8 +115,10 @@ def lexicon_scores(df: DataFrame, lexicon: DataFrame, col: str = "response",
     if categories is None:
         # Every category the lexicon names gets a column, even when stopword
         # removal or a later duplicate leaves it without tokens.
-        found = lexicon.select("category").where(F.col("category").isNotNull()).distinct().collect()
-        categories = sorted(r[0] for r in found)  # one output column each
+        found = collect_bounded(lexicon.select("category").where(F.col("category").isNotNull()).distinct(), MAX_CATEGORIES)
+        if found is None:  # one output column each
+            raise ValueError(f"lexicon with more than {MAX_CATEGORIES} categories; name the wanted ones in categories=")
+        categories = sorted(r[0] for r in found)
     categories = list(categories)
     foundations = list(foundations) if foundations is not None else foundations_of(categories)
 
@@ -133,25 +141,28 @@ def lexicon_scores(df: DataFrame, lexicon: DataFrame, col: str = "response",
 
     # Scores depend on the text alone, so the text's digest is the key: rows
     # keep apart whatever their own keys are, and equal texts are scored alike.
-    digest = F.md5(F.coalesce(F.col(col).cast("string"), F.lit("nan")).cast("binary"))
-    keyed = df.withColumn("__k", digest)
-    exploded = keyed.select("__k", F.explode(tokenize(F.col(col))).alias("token"))
-    # Above max_inline_tokens the map is too big for literal sets but, up to
-    # max_broadcast_tokens short strings, still fine to broadcast; beyond that
-    # it is a shuffle join, where AQE splits a hot token's partition.
-    hits = exploded.join(bounded_broadcast(token_map, max_broadcast_tokens), "token", "inner")
-    agg = hits.groupBy("__k").agg(*[F.count_if(F.col("category") == c).alias(f"__c{i}")
-                                     for i, c in enumerate(categories)])
-    # rows with the same text added up their hits: each gets its equal part
-    agg = agg.join(keyed.groupBy("__k").agg(F.count(F.lit(1)).alias("__rows")), "__k")
-    j = keyed.join(agg, "__k", "left")
-    counts = {c: F.coalesce((F.col(f"__c{i}") / F.col("__rows")).cast("long"), F.lit(0).cast("long"))
-              for i, c in enumerate(categories)}
+    # What travels is (digest, token, count) of tokens that may match; a text
+    # stays in its scan, unless the caller selects it from the result.
+    digest = F.unhex(F.md5(F.coalesce(F.col(col).cast("string"), F.lit("nan")).cast("binary")))
+    vectors = df.select(digest.alias("__k"), F.inline(token_counts(tokenize(F.col(col)))))
+    token_map = materialize(token_map.select("token", "category"))
+    if is_small(token_map, max_broadcast_tokens):
+        vectors, token_map = vectors.join(F.broadcast(token_map), "token"), None
+    else:
+        vectors = keep_possible(vectors, "token", materialize(hash_bits(token_map, "token")))
+    # rows with the same text have the same vector: one of them counts
+    carried = [F.first("category").alias("category")] if token_map is None else []
+    vectors = vectors.groupBy("__k", "token").agg(F.max("n").alias("n"), *carried)
+    hits = vectors if token_map is None else vectors.join(token_map, "token")  # AQE splits a hot token's partition
+    agg = hits.groupBy(F.col("__k").alias("__k2")).agg(*[F.sum(F.when(F.col("category") == c, F.col("n")).otherwise(0)).alias(f"__c{i}")
+                                                        for i, c in enumerate(categories)])
+    j = df.withColumn("__k", digest).join(agg, F.col("__k") == F.col("__k2"), "left")
+    counts = {c: F.coalesce(F.col(f"__c{i}"), F.lit(0).cast("long")) for i, c in enumerate(categories)}
     matched = sum(list(counts.values())[1:], list(counts.values())[0]) if counts else F.lit(0)
     cols = _count_columns(counts, matched, foundations)
     if keep_matched:
         cols["matched_count"] = matched.cast("long")
-    return j.withColumns(cols).drop("__k", "__rows", *[f"__c{i}" for i in range(len(categories))])
+    return j.withColumns(cols).drop("__k", "__k2", *[f"__c{i}" for i in range(len(categories))])
 
 
 def token_category_hits(df: DataFrame, lexicon: DataFrame, col: str, key: str,

@@ -218,18 +218,31 @@ def _word_lexicon(spark, sf):
     return words.select("token", cat.alias("category"), F.lit(1).alias("ordinal"))
 
 
-@register("lexicon_counts_large", f"""
+LARGE_LEXICON_SQL = f"""
 with t as (select doc_id, unnest(regexp_extract_all(lower(coalesce(text, 'nan')), '[a-zA-Z]+')) as token from documents),
 cnt as (select doc_id, {', '.join(f"count(*) filter (length(token) % 10 = {i}) as c{i}" for i in range(10))} from t group by doc_id)
 select d.doc_id, {', '.join(f"coalesce(c{i}, 0)::bigint as {c.replace('.', '_')}_count" for i, c in enumerate(CATS))}
-from documents d left join cnt using (doc_id)""")
-def q_lexicon_counts_large(spark, sf):
-    """The joined plan, with a lexicon above any size that is put into the plan as literals."""
+from documents d left join cnt using (doc_id)"""
+
+
+def _large_counts(spark, sf, **kw):
     d = read_table(spark, sf, "documents", ["doc_id", "text"])
-    s = L.lexicon_scores(d, materialize(_word_lexicon(spark, sf)), col="text", categories=CATS, stopwords=None, strategy="join")
+    s = L.lexicon_scores(d, materialize(_word_lexicon(spark, sf)), col="text", categories=CATS, stopwords=None, strategy="join", **kw)
     return s.select("doc_id", *[f"{c.replace('.', '_')}_count" for c in CATS])
 
 
+@register("lexicon_counts_large", LARGE_LEXICON_SQL)
+def q_lexicon_counts_large(spark, sf):
+    """The joined plan, with a lexicon above any size that is put into the plan as literals."""
+    return _large_counts(spark, sf)
+
+
+@register("lexicon_counts_filtered", LARGE_LEXICON_SQL)
+def q_lexicon_counts_filtered(spark, sf):
+    """The joined plan for a lexicon above the broadcast bound: a bounded hash filter, then a shuffle join."""
+    return _large_counts(spark, sf, max_broadcast_tokens=0)
+
+
 @register("remove_stopwords", _doc_counts_sql(True, _counts_select()))
 def q_remove_stopwords(spark, sf):
     s = _doc_scores(spark, sf, stopwords="english")
@@ -884,7 +897,8 @@ import uuid  # noqa: E402
 
 from functools import partial  # noqa: E402
 
-from vigil.operators.classify import apply_text_classifiers, classifier_scores, train_text_classifiers  # noqa: E402
+from vigil.operators.bayes import bayes_scores, fit_bayes  # noqa: E402
+from vigil.operators.classify import classifier_scores  # noqa: E402
 from vigil.plans.stubs import length_scorer  # noqa: E402
 from vigil.session import scratch_path  # noqa: E402
 from vigil.sources import responses as S  # noqa: E402
@@ -993,15 +1007,40 @@ def q_measurement_lexicon(spark, sf):
     return out.select("row_key", "answer", *[f"{f}_count" for f in O.FOUNDATIONS], *[r9(f"{f}_ratio") for f in O.FOUNDATIONS])
 
 
-@register("classifier_scores")
+FOLDS = 5
+
+
+def _bayes_sql(label: str) -> str:
+    """Naive Bayes scores of the kept responses for one label, trained on the documents outside the response's fold."""
+    return f"""
+tok_{label} as (select d.doc_id % {FOLDS} as f, l.{label} as y, unnest(regexp_extract_all(lower(text), '[a-zA-Z]+')) as token
+  from documents d join labels l using (doc_id) where l.{label} in (0, 1)),
+cell_{label} as (select token, f, count(*) filter (where y = 1) as n1, count(*) filter (where y = 0) as n0 from tok_{label} group by all),
+out_{label} as (select token, g.f, sum(n1) as n1, sum(n0) as n0 from cell_{label} c join (select unnest(range({FOLDS})) as f) g on c.f <> g.f group by all),
+mass_{label} as (select f, sum(n1) as t1, sum(n0) as t0, count(*) as v from out_{label} group by f),
+prior_{label} as (select g.f, ln((count(*) filter (where y = 1 and doc_id % {FOLDS} <> g.f) + 1) / (count(*) filter (where y = 0 and doc_id % {FOLDS} <> g.f) + 1)) as p
+  from (select doc_id, l.{label} as y from documents d join labels l using (doc_id)) cross join (select unnest(range({FOLDS})) as f) g group by g.f),
+s_{label} as (select row_key, sum(ln((n1 + 1) / (t1 + v)) - ln((n0 + 1) / (t0 + v))) as s
+  from said join out_{label} o on o.token = said.token and o.f = said.f join mass_{label} m on m.f = said.f group by row_key)"""
+
+
+BAYES_LABELS = ("quality", "toxic")
+
+
+@register("classifier_scores", f"""with v1 as ({O.V1}), {O.EXTRACTED},
+kept as (select row_key, reason, row_key % {FOLDS} as f from x where answer is not null and reason is not null),
+said as (select row_key, f, unnest(regexp_extract_all(lower(reason), '[a-zA-Z]+')) as token from kept),
+{', '.join(_bayes_sql(c) for c in BAYES_LABELS)}
+select row_key, {', '.join(f"round(1 / (1 + exp(-greatest(least(prior_{c}.p + coalesce(s_{c}.s, 0), 700), -700))), 9) as {c}_mscore" for c in BAYES_LABELS)}
+from kept {' '.join(f'join prior_{c} on prior_{c}.f = kept.f left join s_{c} using (row_key)' for c in BAYES_LABELS)}""")
 def q_classifier_scores(spark, sf):
+    """M1's native default: a response is scored by the model of the documents outside its own document's fold."""
     docs = read_table(spark, sf, "documents", ["doc_id", "text"])
-    labels = read_table(spark, sf, "labels", ["doc_id", "quality", "toxic"])
-    train = docs.join(labels, "doc_id", "inner")
-    models = train_text_classifiers(train, "text", ["quality", "toxic"], num_features=1 << 16, max_iter=20)
+    labels = read_table(spark, sf, "labels", ["doc_id", *BAYES_LABELS])
+    model = fit_bayes(docs.join(labels, "doc_id"), "text", BAYES_LABELS, F.col("doc_id") % FOLDS, FOLDS)
     kept = X.extract_and_clean(json_responses(spark, sf)).select("row_key", "reason")
-    scored = apply_text_classifiers(kept, models, text_col="reason")
-    return scored.select("row_key", "quality_mscore", "toxic_mscore")
+    scored = bayes_scores(kept, model, text="reason", fold=F.col("row_key") % FOLDS)
+    return scored.select("row_key", *[r9(f"{c}_mscore") for c in BAYES_LABELS])
 
 
 LENGTH_SCORERS = dict(zip(SCORE5, (97, 89, 83, 79, 73)))
