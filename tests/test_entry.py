@@ -47,3 +47,19 @@ def test_row_wise_queries_do_not_shuffle(spark, key):
 def test_scan_prunes_columns(spark):
     plan = E.queries()["lexicon_counts"](spark, SF001)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
+
+
+@pytest.mark.parametrize("also", [(), ("corpus_pipeline.py",)])
+def test_entry_without_the_optional_package(tmp_path, also):
+    """A copy of the tree without the optional folders still names every other query."""
+    import os
+    import shutil
+    import subprocess
+    import sys
+
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    copy = tmp_path / "copy"
+    shutil.copytree(here, copy, ignore=lambda d, names: [n for n in names if n in ("llm", ".git", "__pycache__", *also)])
+    code = "import __spark_entry__ as E; print(sorted(E.queries())); print(sorted(E.oracle_sql()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=copy, capture_output=True, text=True, check=True).stdout.splitlines()
+    assert out[-2] == str(CORE) == out[-1]
