@@ -7,7 +7,7 @@ from tests.conftest import SF001
 from vigil.plans.catalog import QUERIES
 
 PYTHON_ALLOWED = {"map_responder", "respond_flow", "classifier_injected", "bootstrap_ci", "bootstrap_median", "yesno_summary",
-                  "yesno_summary_median", "axis_limits", "error_bars"}
+                  "yesno_summary_median", "axis_limits", "error_bars", "responder_ledger"}
 # queries of optional packages have tests of their own
 CORE = sorted(QUERIES)
 

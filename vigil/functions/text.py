@@ -45,6 +45,38 @@ def token_counts(tokens: Column) -> Column:
     return F.get(F.transform(F.array(F.array_sort(tokens)), lambda s: F.when(F.size(s) > 0, counted(s)).otherwise(empty)), F.lit(0))
 
 
+def longest_entries(tokens: Column, entries) -> Column:
+    """Entries of one or several words in a token array, leftmost first and longest first, none overlapping.
+
+    ``entries`` are texts of tokens with one space between.  A place is tried only if its
+    token begins an entry; the longest entry there wins and the scan goes on behind it.
+    """
+    by_size: dict[int, list[str]] = {}
+    for e in entries:
+        by_size.setdefault(e.count(" ") + 1, []).append(e)
+    if not by_size:
+        return F.array().cast("array<string>")
+    firsts = sorted({e.split(" ", 1)[0] for e in entries})
+
+    def scanned(s):
+        text = lambda i, size: F.array_join(F.slice(s, i + 1, F.lit(size)), " ")
+
+        def at(t, i):
+            found = None
+            for size in sorted(by_size, reverse=True):
+                hit = (i + size <= F.size(s)) & (t if size == 1 else text(i, size)).isin(by_size[size])
+                found = F.when(hit, F.lit(size)) if found is None else found.when(hit, F.lit(size))
+            return F.when(t.isin(firsts), found.otherwise(F.lit(0))).otherwise(F.lit(0))
+
+        start = F.struct(F.lit(0).alias("next"), F.array().cast("array<struct<i:int,size:int>>").alias("hits"))
+        places = F.filter(F.transform(s, lambda t, i: F.struct(i.alias("i"), at(t, i).alias("size"))), lambda p: p["size"] > 0)
+        take = lambda acc, p: F.when(p["i"] < acc["next"], acc).otherwise(
+            F.struct((p["i"] + p["size"]).alias("next"), F.array_append(acc["hits"], p).alias("hits")))
+        return F.transform(F.aggregate(places, start, take, lambda acc: acc["hits"]), lambda p: F.array_join(F.slice(s, p["i"] + 1, p["size"]), " "))
+
+    return F.get(F.transform(F.array(tokens), scanned), F.lit(0))
+
+
 def strip_run_suffix(col) -> Column:
     """``x_1``/``x_2``/``x_3`` -> ``x``; anything else unchanged (strips once)."""
     return F.regexp_replace(_c(col), RUN_SUFFIX_PATTERN, "")

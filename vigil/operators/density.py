@@ -7,6 +7,14 @@ Pass 2: values are first collapsed to (group, value, multiplicity), joined to
 the small size-checked group table, fanned out over the grid inside the
 pipeline and summed per (group, grid point) with partial aggregation.
 Each curve integrates to one on its own (no common normalisation).
+
+``grouped_kde_moments`` replaces pass 2 for columns with many different values: a fast
+Gauss transform.  Values fall into boxes one bandwidth wide; a box keeps ``ORDER``
+Hermite moments, which add up map-side, so what is shuffled depends on the boxes and
+not on the rows, and the grid is evaluated from the boxes.  With half-width 1/2
+bandwidth the part of the series left out is, by Cramer's inequality, at most
+``1.09 * sum over k >= ORDER of 0.5^k / sqrt(k!)`` of a value's kernel: below 1e-15
+for ORDER = 20 (``series_error``).
 """
 
 from __future__ import annotations
@@ -57,3 +65,51 @@ def grouped_kde(df: DataFrame, keys: Sequence[str] = ("model", "perspective"), c
     out = g.groupBy(*keys, "point", "lo", "step", "n", "bw").agg(F.sum("__k").alias("__s"))
     return out.select(*keys, "point", x.alias("x"),
                       (F.col("__s") * norm / (F.col("n") * F.col("bw"))).alias("density"))
+
+
+#: Hermite moments of a box.
+ORDER = 20
+
+
+def series_error(order: int = ORDER) -> float:
+    """Bound on a value's kernel that the series leaves out (Cramer's inequality; half a bandwidth from the box's centre)."""
+    return sum(1.09 * 0.5 ** k / math.sqrt(math.factorial(k)) for k in range(order, order + 60))
+
+
+def grouped_kde_moments(df: DataFrame, keys: Sequence[str] = ("model", "perspective"), col: str = "report_ratio",
+                        gridsize: int = 200, cut: float = 2.0, max_groups: int = 1_000_000) -> DataFrame:
+    """The curves of ``grouped_kde`` (keys, ``point``, ``x``, ``density``) from mergeable moments of boxes.
+
+    Two passes over the values whatever their number, and no row per value after the first aggregate.
+    """
+    keys = list(keys)
+    stats = materialize(kde_bandwidths(df, keys, col, cut))
+    v = nan_to_null(col)
+    j = df.where(v.isNotNull()).select(*keys, v.alias("__v")).join(bounded_broadcast(stats, max_groups), keys)
+    place = (F.col("__v") - F.col("vmin")) / F.col("bw")
+    box = F.floor(place)
+    w = (place - box - 0.5) / math.sqrt(2.0)  # from the box's centre, in bandwidths by the root of 2
+    j = j.select(*keys, box.alias("__box"), w.alias("__w"))
+    powers, p = [], F.lit(1.0)
+    for k in range(ORDER):
+        powers.append(F.sum(p).alias(f"__m{k}"))
+        p = p * F.col("__w") / F.lit(float(k + 1))  # w^k / k!
+    boxes = j.groupBy(*keys, "__box").agg(*powers)
+    boxes = boxes.join(bounded_broadcast(stats, max_groups), keys)
+    step = (F.col("hi") - F.col("lo")) / F.lit(float(gridsize - 1))
+    g = boxes.select(*keys, "n", "bw", "lo", step.alias("step"), (F.col("vmin") + (F.col("__box") + 0.5) * F.col("bw")).alias("__centre"),
+                     F.array(*[f"__m{k}" for k in range(ORDER)]).alias("__m"), F.explode(F.sequence(F.lit(0), F.lit(gridsize - 1))).alias("point"))
+    x = F.col("lo") + F.col("point") * F.col("step")
+    u = (x - F.col("__centre")) / (F.col("bw") * math.sqrt(2.0))
+    g = g.withColumn("__u", u)
+    # Hermite functions by recurrence: h0 = exp(-u^2), h1 = 2 u h0, h(k+1) = 2 u h(k) - 2 k h(k-1)
+    zero = F.struct(F.lit(0.0).alias("before"), F.exp(-F.col("__u") * F.col("__u")).alias("now"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("k"))
+
+    def grow(acc, m):
+        after = F.lit(2.0) * F.col("__u") * acc["now"] - F.lit(2.0) * acc["k"] * acc["before"]
+        return F.struct(acc["now"].alias("before"), after.alias("now"), (acc["sum"] + m * acc["now"]).alias("sum"), (acc["k"] + 1.0).alias("k"))
+
+    g = g.withColumn("__k", F.aggregate("__m", zero, grow, lambda acc: acc["sum"]))
+    norm = F.lit(1.0 / math.sqrt(2.0 * math.pi))
+    out = g.groupBy(*keys, "point", "lo", "step", "n", "bw").agg(F.sum("__k").alias("__s"))
+    return out.select(*keys, "point", x.alias("x"), (F.col("__s") * norm / (F.col("n") * F.col("bw"))).alias("density"))

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigil.functions.stopwords import english_stopwords
-from vigil.functions.text import sanitize_name, token_counts, tokenize
+from vigil.functions.text import longest_entries, sanitize_name, token_counts, tokenize
 from vigil.plans.bits import hash_bits, keep_possible
 from vigil.plans.sizing import bounded_broadcast, collect_bounded, is_small
 from vigil.session import materialize
@@ -97,13 +97,23 @@ def lexicon_scores(df: DataFrame, lexicon: DataFrame, col: str = "response",
                    foundations: Sequence[str] | None = None,
                    stopwords=DEFAULT_STOPWORDS, strategy: str = "auto",
                    max_inline_tokens: int = 50_000,
-                   keep_matched: bool = False, max_broadcast_tokens: int = 2_000_000) -> DataFrame:
+                   keep_matched: bool = False, max_broadcast_tokens: int = 2_000_000, phrases: bool = False) -> DataFrame:
     """Append ``<category>_count/_ratio`` and ``<foundation>_count/_ratio``.
 
     ``categories`` fixes the output schema (default: the lexicon's categories,
     sorted).  Absent categories give 0 counts and 0 ratios.  Both plans give
     the same rows: a row needs no key, and its score depends on its text only.
+
+    ``phrases``: entries of several words match too (by default they never do, as tokens
+    are single words).  Entries are cut into tokens like texts; at each place of a text the
+    longest entry counts, once, and matching goes on behind it.  Needs the ``inset`` plan.
     """
+    if phrases:
+        if strategy == "join":
+            raise ValueError("phrases need the 'inset' plan")
+        strategy = "inset"
+        words = F.array_join(tokenize("token", null_as=None), " ")
+        lexicon = lexicon.withColumn("token", words).where(F.col("token") != "")
     token_map = remove_stopwords(lexicon_map(lexicon), stopwords)
     if strategy not in ("auto", "inset", "join"):
         raise ValueError(f"unknown strategy {strategy!r}")
@@ -129,7 +139,10 @@ def lexicon_scores(df: DataFrame, lexicon: DataFrame, col: str = "response",
                 by_cat[cat].append(tok)
         vocab = [t for ws in by_cat.values() for t in ws]
         tokens = tokenize(F.col(col))
-        matched_tokens = F.filter(tokens, lambda t: t.isin(vocab)) if vocab else F.array().cast("array<string>")
+        if phrases:
+            matched_tokens = longest_entries(tokens, vocab)
+        else:
+            matched_tokens = F.filter(tokens, lambda t: t.isin(vocab)) if vocab else F.array().cast("array<string>")
         tmp = "__vigil_matched"
         staged = df.withColumn(tmp, matched_tokens)
         m = F.col(tmp)

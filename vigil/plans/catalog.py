@@ -1106,3 +1106,6 @@ def q_positional_attach(spark, sf):
     x = X.extract_answer_reason(json_responses(spark, sf))
     s = L.lexicon_scores(x, small_lexicon(spark), col="response", stopwords=None)
     return s.select("row_key", "answer", *[f"{f}_count" for f in O.FOUNDATIONS])
+
+
+from vigil.plans import catalog_more, catalog_runs  # noqa: E402,F401  register their queries
