@@ -105,12 +105,17 @@ def validate_keys(df: DataFrame, known: DataFrame | Sequence[str], on: str) -> D
     return df
 
 
+#: Ranges of hashes that a sample counts; a range holds a 16,384th of the rows.
+HASH_RANGES = 1 << 14
+
+
 def sample_n(df: DataFrame, n: int, seed: int = 42, key: Sequence[str] | str = (),
              method: str = "xxhash64") -> DataFrame:
     """Exactly ``n`` rows without replacement when ``0 < n < rows``,
     chosen by the smallest hash of (seed, key); the whole table otherwise.
 
-    Deterministic in (seed, key), independent of partitioning.
+    Deterministic in (seed, key), independent of partitioning.  The input is evaluated
+    twice: for the counts of hash ranges, and for the candidates, which are written.
     """
     keys = [key] if isinstance(key, str) else list(key)
     if not keys:
@@ -118,32 +123,29 @@ def sample_n(df: DataFrame, n: int, seed: int = 42, key: Sequence[str] | str = (
     if n <= 0:
         return df
     d = df.withColumn("__u", unit_hash(seed, *keys, method=method))
-    total = df.count()
-    if n >= total:
-        return df
-    # The hash is uniform, so rows below a threshold a little above n / total
-    # hold the n smallest; no task merges a top-n.  The margin doubles in the
-    # (very rare) case that fewer than n rows are below.
-    frac, margin = n / total, 8.0
-    while True:
-        t = frac + margin * math.sqrt(frac * (1 - frac) / total) + margin / total
-        cand = d.where(F.col("__u") < F.lit(t))
-        m = cand.count()
-        if m >= n:
+    # first pass: rows per range of hashes, a table of bounded size
+    rows = d.groupBy(F.floor(F.col("__u") * HASH_RANGES).cast("int").alias("r")).agg(F.count(F.lit(1)).alias("c")).orderBy("r").collect()
+    below, last = 0, None
+    for r in rows:
+        if below + r["c"] >= n:
+            last = r
             break
-        margin *= 2
-    if m == n:
+        below += r["c"]
+    if last is None or (last is rows[-1] and below + last["c"] == n):
+        return df
+    # second pass: the ranges that the n smallest hashes lie in, written once, so the cut does not evaluate the input again
+    cand = materialize(d.where(F.col("__u") < F.lit((last["r"] + 1) / HASH_RANGES)))
+    if below + last["c"] == n:
         return cand.drop("__u")
-    # the m - n surplus candidates (a few standard deviations of rows: a small
-    # top-k) give the cut; what lies below the smallest of them stays
-    order = [F.col("__u").desc(), *[F.col(k).desc() for k in keys]]
-    cut = cand.select("__u", *keys).orderBy(*order).limit(m - n).orderBy("__u", *keys).first()
-    cols = ["__u", *keys]
-    bound = [F.lit(cut[c]).cast(cand.schema[c].dataType) for c in cols]
-    below = F.lit(False)  # (u, keys) < cut, lexicographically
-    for c, b in reversed(list(zip(cols, bound))):
-        below = (F.col(c) < b) | ((F.col(c) == b) & below)
-    return cand.where(below).drop("__u")
+    # the last range's rows in order give the largest (hash, key) that is in
+    order = ["__u", *keys]
+    cut = cand.where(F.col("__u") >= F.lit(last["r"] / HASH_RANGES)).select(*order).orderBy(*order).limit(n - below) \
+        .orderBy(*[F.col(c).desc() for c in order]).first()
+    within = F.lit(True)  # (u, keys) <= cut, lexicographically
+    for c in reversed(order):
+        x = F.lit(cut[c]).cast(cand.schema[c].dataType)
+        within = (F.col(c) < x) | ((F.col(c) == x) & within)
+    return cand.where(within).drop("__u")
 
 
 def job_grid(grid: DataFrame, models: DataFrame, runs: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
