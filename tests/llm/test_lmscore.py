@@ -28,7 +28,7 @@ def test_losses_match_plain_counts(spark):
     def loss(m, t):
         one, ctx, two, n = m
         w = t.lower().split()
-        return sum(-math.log((two[p, x] + lmscore.PRIOR * (one[x] + 1) / (n + lmscore.WORD_SLOTS)) / (ctx[p] + lmscore.PRIOR))
+        return sum(-math.log((two[p, x] + lmscore.PRIOR * (one[x] + 1) / (n + 4)) / (ctx[p] + lmscore.PRIOR))  # a, b, c, z
                    for p, x in zip(["^"] + w, w)) / len(w)
 
     good = model(["b b A", "c"], 1.0)
@@ -62,7 +62,7 @@ def test_no_target_and_empty_tables(spark):
     df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long")
     r = lmscore.cross_entropy_difference(df, none).first()
-    assert np.isclose(r["target_loss"], math.log(lmscore.WORD_SLOTS), rtol=1e-5)
+    assert np.isclose(r["target_loss"], math.log(2))  # uniform over the vocabulary
     assert lmscore.cross_entropy_difference(df.limit(0), none).count() == 0
 
 
@@ -89,15 +89,21 @@ def test_rare_words_share_no_counts(spark, monkeypatch):
     scale = sum(counts[True][0].values()) / sum(counts[False][0].values())
     target = spark.createDataFrame([(k,) for k in good], "doc_id long")
     vocabulary = len(counts[False][0])
-    for least, hot in ((lmscore.WORD_SLOTS, 1 << 16), (100, 50), (100, 1)):  # all frequent, some, none
-        monkeypatch.setattr(lmscore, "WORD_SLOTS", least)
-        if hasattr(lmscore, "HOT_KEYS"):
-            monkeypatch.setattr(lmscore, "HOT_KEYS", hot)
+    for slice_bytes, fragment_bytes in ((1 << 24, 1 << 24), (8_000, 2_000), (1_000, 9_000)):  # one slice a task, some, many
+        monkeypatch.setattr(lmscore, "SLICE_BYTES", slice_bytes)
+        monkeypatch.setattr(lmscore, "FRAGMENT_BYTES", fragment_bytes)
         got = lmscore.cross_entropy_difference(df, target).collect()
         assert len(got) == len(docs)
         text = dict(docs)
         for r in got:
-            t, size = text[r["doc_id"]], max(vocabulary, least)
+            t = text[r["doc_id"]]
             assert r["n_tokens"] == 42
-            assert np.isclose(r["target_loss"], loss(True, t, 1.0, size), rtol=1e-6)
-            assert np.isclose(r["background_loss"], loss(False, t, scale, size), rtol=1e-6)
+            assert np.isclose(r["target_loss"], loss(True, t, 1.0, vocabulary), rtol=1e-9)
+            assert np.isclose(r["background_loss"], loss(False, t, scale, vocabulary), rtol=1e-9)
+
+
+def test_packed_columns_come_back():
+    rng = np.random.default_rng(1)
+    columns = [np.sort(rng.integers(0, 1 << 63, 50, dtype=np.uint64)), np.zeros(7, np.uint64), np.zeros(0, np.uint64), np.array([255, 256, 0], np.uint64)]
+    for want, got in zip(columns, lmscore.unpack(lmscore.pack(*columns)), strict=True):
+        assert (want == got).all()

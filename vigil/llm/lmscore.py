@@ -8,11 +8,22 @@ Both are bigram models with the same vocabulary (every word of the documents),
 order and smoothing.  They are matched in size too: the background's counts are
 scaled to the target's number of tokens, so smoothing weighs the same in both.
 
-Both models lie in one table with a row per distinct pair of words, which grows
-with the corpus and never reaches the driver: tasks add up pairs, a groupBy adds
-the tasks' sums, and words and contexts are sums of pairs.  Documents meet the
-pairs' losses in a join.  Keys that make up ``1 / HOT_KEYS`` of all tokens or more
-(there are at most ``HOT_KEYS``) are broadcast, so a join's keys are all small.
+Counts are exact and grow with the corpus.  They are never stored as a table of
+pairs nor joined token by token: documents are worked off in slices of about
+``SLICE_BYTES``; a slice asks for the counts of its distinct words and pairs, once
+each, and gets them back.
+
+1. The documents are written once, numbered and with their target flag, so both
+   passes cut the same slices.
+2. A slice's questions are sorted hashes with the slice's own counts, packed (gaps
+   between neighbours, by byte planes) for each of a number of fragments of the
+   hash range.
+3. A fragment adds up what all slices know of its words and pairs and answers each
+   slice in the order of its questions.
+4. The slice's documents meet the answers, and losses are summed within the task.
+
+A word or pair costs one question per slice that has it, however frequent it is, so
+no key is hot; a fragment holds the questions of about ``FRAGMENT_BYTES`` of text.
 """
 
 from __future__ import annotations
@@ -21,19 +32,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import K1, K2, byte_slices, column_bytes, doc_key, prepare_python, stored, tidy
+from vigil.llm.common import byte_slices, column_bytes, partitions_for, prepare_python, stored, tidy
 from vigil.llm.hashes import all_words, mix
 from vigil.plans.sizing import bounded_broadcast
 
-#: Least size of the vocabulary over which smoothing spreads (room for words never seen); a larger one counts as it is.
-WORD_SLOTS = 1 << 18
-#: Most words, contexts or pairs that are broadcast instead of joined by a shuffle.
-HOT_KEYS = 1 << 16
 #: Bytes of texts that a task counts or scores together.
 SLICE_BYTES = 16 << 20
+#: Bytes of texts whose words and pairs one fragment holds.
+FRAGMENT_BYTES = 16 << 20
 #: Weight of the word model in the pair model, in tokens.
 PRIOR = 20.0
 
@@ -57,139 +66,231 @@ def tokens(buf, starts, ends) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return before, h, row
 
 
-def _long(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
+# ---------------------------------------------------------------- packing
 
 
-def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(target flag, text) -> a slice's distinct pairs with their counts, by context (equal neighbours compress)."""
-    for b in (p for whole in batches for p in byte_slices(whole, 1, SLICE_BYTES)):
-        before, word, row = tokens(*column_bytes(b, 1))
-        good = np.asarray(b.column(0))[row] if len(row) else np.zeros(0, bool)
-        _, at, k = np.unique(pair_hash(before, word), return_index=True, return_inverse=True)
-        n, n_good = np.bincount(k, minlength=len(at)), np.bincount(k[good], minlength=len(at))
-        by = np.argsort(before[at])
-        at = at[by]
-        yield pa.record_batch([_long(before[at]), _long(word[at]), pa.array(n[by]), pa.array(n_good[by])],
-                              names=["before", "word", "n", "n_good"])
+def pack(*columns: np.ndarray) -> bytes:
+    """Columns of whole numbers from 0 on: each its length, its width in bytes, and its byte planes."""
+    out = []
+    for x in columns:
+        x = np.ascontiguousarray(x, "<u8")
+        width = (int(x.max()).bit_length() + 7) // 8 if len(x) else 0
+        out += [np.array([len(x), width], "<i8").tobytes(), np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()]
+    return b"".join(out)
 
 
-class Hot:
-    """Losses of the frequent pairs, by sorted hash."""
+def unpack(data) -> list[np.ndarray]:
+    out, at = [], 0
+    while at < len(data):
+        n, width = (int(v) for v in np.frombuffer(data, "<i8", 2, at))
+        x = np.zeros((n, 8), np.uint8)
+        x[:, :width] = np.frombuffer(data, np.uint8, n * width, at + 16).reshape(width, n).T
+        out.append(x.reshape(-1).view("<u8"))
+        at += 16 + n * width
+    return out
 
-    def __init__(self, before: np.ndarray, word: np.ndarray, losses: np.ndarray):
-        keys = pair_hash(before, word)
-        by = np.argsort(keys)
-        self.keys, self.losses = keys[by], losses[by]
 
-    def where(self, before: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(whether a pair is here, its place) of each pair."""
-        h = pair_hash(before, word)
-        if not len(self.keys):
-            return np.zeros(len(h), bool), np.zeros(len(h), np.int64)
-        k = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        return self.keys[k] == h, k
+def _gaps(x: np.ndarray) -> np.ndarray:
+    """Sorted values as the first and the steps between neighbours."""
+    return np.diff(x, prepend=np.uint64(0))
 
 
-def _doc_rows(hot_of, text_at: int):
-    """Texts -> number of tokens, of those that are in no frequent pair, and the frequent pairs' sums of losses."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = hot_of.value
-        for b in (p for whole in batches for p in byte_slices(whole, text_at, SLICE_BYTES)):
-            before, word, row = tokens(*column_bytes(b, text_at))
-            here, k = hot.where(before, word)
-            n, rare = (np.bincount(x, minlength=b.num_rows) for x in (row, row[~here]))
-            t, g = (np.bincount(row[here], hot.losses[k[here], i], b.num_rows).astype(float) for i in (0, 1))
-            yield pa.record_batch([*(b.column(i) for i in range(b.num_columns) if i != text_at), *map(pa.array, (n, rare, t, g))],
-                                  names=[*(x for i, x in enumerate(b.schema.names) if i != text_at),
-                                         "n_tokens", "__rare", "__hot_t", "__hot_g"])
-    return run
+# ---------------------------------------------------------------- slices
+
+
+class Slice:
+    """Distinct words and pairs of a slice of texts, and where its tokens find them."""
+
+    def __init__(self, buf, starts, ends):
+        before, word, self.row = tokens(buf, starts, ends)
+        self.pairs, self.pair = np.unique(pair_hash(before, word), return_inverse=True)
+        self.words, at = np.unique(np.append(word, START), return_inverse=True)
+        self.word = at[:-1]
+        self.context = np.empty(len(word), np.int64)
+        self.context[1:] = self.word[:-1]
+        self.context[before == START] = at[-1]
+
+    def counts(self, good: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Of words: n, good, as context, good as context; of pairs: n, good.  ``good``: the rows' flags."""
+        good = good[self.row]
+        count = lambda where, n: [np.bincount(where, minlength=n), np.bincount(where[good], minlength=n)]
+        return (count(self.word, len(self.words)) + count(self.context, len(self.words)), count(self.pair, len(self.pairs)))
+
+
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """(number, rows) of a task's slices: its rows (number, doc_id, good, text) in order, cut at about ``SLICE_BYTES`` of text.
+
+    A slice is numbered like its first row; the same partition is always cut alike.
+    """
+    held, size = [], 0
+
+    def whole():
+        b = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        return b.column(0)[0].as_py(), b
+
+    for b in (p for batch in batches for p in byte_slices(batch, 3, SLICE_BYTES)):
+        if not b.num_rows:
+            continue
+        _, starts, ends = column_bytes(b, 3)
+        n = int((ends - starts).sum())
+        if held and size + n > SLICE_BYTES:
+            yield whole()
+            held, size = [], 0
+        held.append(b)
+        size += n
+    if held:
+        yield whole()
+
+
+def _edges(hashes: np.ndarray, fragments: int) -> np.ndarray:
+    """Where each fragment begins among sorted hashes; fragments are ranges of their upper 32 bits."""
+    frag = (hashes >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)
+    return np.searchsorted(frag, np.arange(fragments + 1))
+
+
+_QUESTIONS = pa.schema([("fragment", pa.int32()), ("slice", pa.int64()), ("data", pa.binary())])
 
 
-def _rare_rows(hot_of):
-    """(K1, K2, text) -> the text's distinct pairs that are not frequent, with their counts."""
+def _ask(fragments: int):
+    """Numbered documents -> a slice's questions, packed by fragment."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = hot_of.value
-        for b in (p for whole in batches for p in byte_slices(whole, 2, SLICE_BYTES)):
-            before, word, row = tokens(*column_bytes(b, 2))
-            rare = ~hot.where(before, word)[0]
-            before, word, row = before[rare], word[rare], row[rare]
-            by = np.lexsort((word, before, row))
-            before, word, row = before[by], word[by], row[by]
-            new = np.ones(len(row), bool)
-            new[1:] = (row[1:] != row[:-1]) | (before[1:] != before[:-1]) | (word[1:] != word[:-1])
-            at = np.flatnonzero(new)
-            k1, k2 = (np.asarray(b.column(i))[row[at]] for i in (0, 1))
-            yield pa.record_batch([pa.array(k1), pa.array(k2), _long(before[at]), _long(word[at]),
-                                   pa.array(np.diff(np.append(at, len(row))))], names=[K1, K2, "before", "word", "n"])
+        for number, b in _sliced(batches):
+            s = Slice(*column_bytes(b, 3))
+            of_words, of_pairs = s.counts(np.asarray(b.column(2)))
+            a, z = _edges(s.words, fragments), _edges(s.pairs, fragments)
+            for f in range(fragments):
+                w, p = slice(a[f], a[f + 1]), slice(z[f], z[f + 1])
+                if w.start == w.stop and p.start == p.stop:
+                    continue
+                data = pack(_gaps(s.words[w]), *(c[w] for c in of_words), _gaps(s.pairs[p]), *(c[p] for c in of_pairs))
+                yield pa.record_batch([pa.array([f], pa.int32()), pa.array([number], pa.int64()), pa.array([data], pa.binary())], schema=_QUESTIONS)
     return run
 
 
-def _with_counts(pairs: DataFrame, counts: DataFrame, key: str, least: float) -> DataFrame:
-    """``pairs`` with the counts of their ``key``; keys of ``least`` tokens or more are broadcast, the others shuffled."""
-    frequent = F.broadcast(counts.where(F.col(f"{key}_n") >= least))
-    return pairs.join(frequent, key).unionByName(
-        pairs.join(frequent.select(key), key, "left_anti").join(counts.where(F.col(f"{key}_n") < least), key))
+_ANSWERS = pa.schema([("fragment", pa.int32()), ("slice", pa.int64()), ("data", pa.binary()), ("n_words", pa.int64()), ("n_tokens", pa.int64()),
+                      ("n_good", pa.int64())])
 
 
-def _loss(pair: Column, context: Column, word: Column, total: float, size: int) -> Column:
-    """Negative log probability of a token, in nats."""
-    one = (word + 1.0) / F.lit(total + size)
-    return -F.log((pair + F.lit(PRIOR) * one) / (context + F.lit(PRIOR)))
+def _added(parts: list[list[np.ndarray]]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Parts of (gaps of keys, counts...) -> (place of each part's keys among all, total counts by place)."""
+    keys = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
+    found, place = np.unique(keys, return_inverse=True)
+    # sums in doubles are exact up to 2^53 tokens
+    totals = [np.bincount(place, np.concatenate([p[k] for p in parts]), len(found)).astype(np.uint64) for k in range(1, len(parts[0]))]
+    return place, totals
 
 
-def pair_losses(docs: DataFrame, target: DataFrame) -> tuple[DataFrame, float]:
-    """(``before``, ``word``, ``n``, ``target_loss``, ``background_loss`` of every pair, tokens from which a key is frequent).
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Questions sorted by fragment -> answers to each slice; a fragment's totals stand in its first answer."""
+    def answered(f, held):
+        words, of_words = _added([h[1][:5] for h in held])
+        pairs, of_pairs = _added([h[1][5:] for h in held])
+        facts = [int((of_words[0] > 0).sum()), int(of_words[0].sum()), int(of_words[1].sum())]
+        w = p = 0
+        for number, x in held:
+            a, z = words[w:w + len(x[0])], pairs[p:p + len(x[5])]
+            w, p = w + len(a), p + len(z)
+            data = pack(*(t[a] for t in of_words), *(t[z] for t in of_pairs))
+            yield pa.record_batch([pa.array([v], t.type) for v, t in zip((f, number, data, *facts), _ANSWERS, strict=True)], schema=_ANSWERS)
+            facts = [0, 0, 0]
 
-    Null ids are never in the target.  Without target tokens the target model is
-    uniform over the vocabulary.
-    """
-    ids = bounded_broadcast(target.select(F.col("doc_id").alias("__t")).where("__t is not null").distinct())
-    flagged = docs.join(ids, docs["doc_id"] == F.col("__t"), "left").select(F.col("__t").isNotNull().alias("good"), "text")
-    pairs = stored(flagged.mapInArrow(tidy(_count_rows), "before long, word long, n long, n_good long")
-                   .groupBy("before", "word").agg(F.sum("n").alias("n"), F.sum("n_good").alias("n_good")), "pairs")
-    of = {k: stored(pairs.groupBy(k).agg(F.sum("n").alias(f"{k}_n"), F.sum("n_good").alias(f"{k}_good")), f"{k}-counts")
-          for k in ("word", "before")}
-    got = of["word"].agg(F.count(F.lit(1)).alias("size"), F.sum("word_n").alias("n"), F.sum("word_good").alias("good")).first()
-    size, n_all, n_good = max(got["size"], WORD_SLOTS), got["n"] or 0, got["good"] or 0
+    now, held = None, []
+    for b in batches:
+        for f, number, data in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            if f != now and held:
+                yield from answered(now, held)
+                held = []
+            now = f
+            held.append((number, unpack(data)))
+    if held:
+        yield from answered(now, held)
+
+
+def _tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Numbered documents -> the rows with their slice and place, as ``_ask`` cut them."""
+    for number, b in _sliced(batches):
+        yield pa.record_batch([pa.array(np.full(b.num_rows, number)), pa.array(np.arange(b.num_rows, dtype=np.int32)), b.column(1), b.column(3)],
+                              names=["slice", "place", "doc_id", "text"])
+
+
+_SCORES = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("target_loss", pa.float64()), ("background_loss", pa.float64())])
+
+
+def _score(n_all: float, n_good: float, size: int):
+    """Answers and documents sorted by slice, answers first -> losses of the documents."""
     scale = n_good / n_all if n_good and n_all else 1.0
-    least = n_all / HOT_KEYS
-    full = _with_counts(_with_counts(pairs, of["word"], "word", least), of["before"], "before", least)
-    return full.select(
-        "before", "word", "n",
-        _loss(F.col("n_good"), F.col("before_good"), F.col("word_good"), float(n_good), size).alias("target_loss"),
-        _loss(F.col("n") * scale, F.col("before_n") * scale, F.col("word_n") * scale, n_all * scale, size).alias("background_loss")), least
+
+    def losses(count, of_word, of_context, total, by):
+        one = (of_word * by + 1.0) / (total + size)
+        return -np.log((count * by + PRIOR * one) / (of_context * by + PRIOR))
+
+    def scored(answers, rows):
+        b = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
+        s = Slice(*column_bytes(b, 1))
+        known = [np.concatenate(x).astype(np.float64) for x in zip(*(unpack(a) for a in answers), strict=True)] if answers else [np.zeros(0)] * 6
+        if len(known[0]) != len(s.words) or len(known[4]) != len(s.pairs):
+            raise RuntimeError("a slice was cut differently when it asked")
+        n = np.bincount(s.row, minlength=b.num_rows)
+        means = []
+        for k, (total, by) in enumerate(((n_all * scale, scale), (n_good, 1.0))):  # columns: n, good
+            loss = losses(known[4 + k][s.pair], known[k][s.word], known[2 + k][s.context], total, by)
+            means.append(np.bincount(s.row, loss, b.num_rows) / np.maximum(n, 1))
+        return pa.record_batch([b.column(0), pa.array(n), pa.array(means[1], mask=n == 0), pa.array(means[0], mask=n == 0)], schema=_SCORES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, answers, rows = None, [], []
+        for b in batches:
+            number, kind = np.asarray(b.column(0)), np.asarray(b.column(1))
+            cuts = np.flatnonzero(np.diff(number)) + 1
+            for at, end in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows], strict=True):
+                if at == end:
+                    continue
+                if number[at] != now:
+                    if rows:
+                        yield scored(answers, rows)
+                    now, answers, rows = number[at], [], []
+                docs = at + int(np.searchsorted(kind[at:end], 1))
+                answers += b.column(3).slice(at, docs - at).to_pylist()
+                if docs < end:
+                    part = b.slice(docs, end - docs)
+                    rows.append(pa.record_batch([part.column(4), part.column(5)], names=["doc_id", "text"]))
+        if rows:
+            yield scored(answers, rows)
+    return run
+
+
+# ---------------------------------------------------------------- operator
 
 
 def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
     """Losses per token of all documents under both models and their difference.
 
     ``docs``: ``doc_id``, ``text``; ``target``: ``doc_id`` of the documents that
-    the target model learns from.  One row per input row: ``doc_id``,
-    ``n_tokens``, ``target_loss``, ``background_loss``, ``score`` (the first less
-    the second; lower is nearer to the target).  A text without words has null
-    losses.  Other columns are ignored.
+    the target model learns from (null ids are never in it).  One row per input
+    row: ``doc_id``, ``n_tokens``, ``target_loss``, ``background_loss``, ``score``
+    (the first less the second; lower is nearer to the target).  A text without
+    words has null losses.  Without target tokens the target model is uniform over
+    the vocabulary.  Other columns are ignored.
     """
     spark = docs.sparkSession
     prepare_python(spark)
-    d = docs.select("doc_id", "text")
-    losses, least = pair_losses(d, target)
-    top = losses.where(F.col("n") >= least).collect()  # at most HOT_KEYS rows
-    hot = spark.sparkContext.broadcast(Hot(
-        *(np.array([r[c] for r in top], np.int64).view(np.uint64) for c in ("before", "word")),
-        np.array([(r["target_loss"], r["background_loss"]) for r in top], float).reshape(-1, 2)))
-    keyed = d.withColumns(doc_key())
-    each = keyed.select("doc_id", K1, K2, "text").mapInArrow(
-        tidy(_doc_rows(hot, 3)), f"doc_id long, {K1} long, {K2} long, n_tokens long, __rare long, __hot_t double, __hot_g double")
-    pair = F.xxhash64("before", "word").alias("pair")
-    rare = keyed.select(K1, K2, "text").mapInArrow(tidy(_rare_rows(hot)), f"{K1} long, {K2} long, before long, word long, n long") \
-        .select(K1, K2, pair, "n")
-    sums = rare.join(losses.where(F.col("n") < least).select(pair, "target_loss", "background_loss"), "pair") \
-        .groupBy(F.col(K1).alias("__a"), F.col(K2).alias("__b")) \
-        .agg(F.sum("n").alias("__n"), *[F.sum(F.col("n") * F.col(f"{x}_loss")).alias(f"__{x}") for x in ("target", "background")])
-    # rows equal in id and text have added up: each gets its part
-    part = F.col("__rare") / F.col("__n")
-    mean = lambda h, x: F.when(F.col("n_tokens") > 0, (F.col(h) + F.coalesce(F.col(x) * part, F.lit(0.0))) / F.col("n_tokens"))
-    return each.join(sums, (F.col(K1) == F.col("__a")) & (F.col(K2) == F.col("__b")), "left") \
-        .select("doc_id", "n_tokens", mean("__hot_t", "__target").alias("target_loss"), mean("__hot_g", "__background").alias("background_loss")) \
-        .withColumn("score", F.col("target_loss") - F.col("background_loss"))
+    ids = bounded_broadcast(target.select(F.col("doc_id").alias("__t")).where("__t is not null").distinct())
+    flagged = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("__t"), "left")
+    rows = stored(flagged.select(F.monotonically_increasing_id().alias("number"), F.col("doc_id").cast("long").alias("doc_id"),
+                                 F.col("__t").isNotNull().alias("good"), "text"), "lm-documents")
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    cores = spark.sparkContext.defaultParallelism
+    fragments = partitions_for(size, FRAGMENT_BYTES, cores)
+    asked = rows.mapInArrow(tidy(_ask(fragments)), "fragment int, slice long, data binary")
+    answers = asked.repartition(fragments, "fragment").sortWithinPartitions("fragment", "slice") \
+        .mapInArrow(tidy(_answer), "fragment int, slice long, data binary, n_words long, n_tokens long, n_good long")
+    answers = stored(answers, "lm-answers")
+    got = answers.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_words", "n_tokens", "n_good")]).first()
+    known = answers.select("slice", F.lit(0).alias("kind"), F.col("fragment").alias("place"), "data",
+                           F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
+    said = rows.mapInArrow(tidy(_tag), "slice long, place int, doc_id long, text string") \
+        .select("slice", F.lit(1).alias("kind"), "place", F.lit(None).cast("binary").alias("data"), "doc_id", "text")
+    met = known.unionByName(said).repartition(partitions_for(size, SLICE_BYTES, cores), "slice").sortWithinPartitions("slice", "kind", "place")
+    scored = met.mapInArrow(tidy(_score(float(got["n_tokens"]), float(got["n_good"]), max(1, got["n_words"]))),
+                            "doc_id long, n_tokens long, target_loss double, background_loss double")
+    return scored.withColumn("score", F.col("target_loss") - F.col("background_loss"))
