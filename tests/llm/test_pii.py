@@ -108,3 +108,24 @@ def test_labels_that_touch_their_identifier(spark):
     assert {t: x for t, x in out.items() if x} == {
         "mail:bob at example dot com x1": ["bob at example dot com"],
         "dial:212 555 0188. Next": ["212 555 0188"], "dial: 212 555 0189, x2": ["212 555 0189"]}
+
+
+def test_candidates_with_much_evidence_are_found(spark):
+    """One number beside k labels, each with eight seeds: found in all k documents, however sure it is."""
+    for k in (1, 2, 6, 8, 12):
+        names = [f"label{chr(97 + i)}:" for i in range(k)]
+        rows = [f"{n} +1 212 555 {a:02d}{i:02d} s{a}x{i}" for a, n in enumerate(names) for i in range(8)]
+        rows += [f"{n} 300 400 5000 t{a}" for a, n in enumerate(names)]
+        df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+        got = {r["doc_id"]: [s["value"] for s in r["extra"]] for r in pii.personal_data(df).select("doc_id", "extra").collect()}
+        assert {i: v for i, v in got.items() if v} == {8 * k + a: ["300 400 5000"] for a in range(k)}, k
+
+
+def test_contexts_of_any_length(spark):
+    """A label longer than any window, and one that a long gap parts from its identifier."""
+    label = "x" * 300 + ":"
+    rows = [f"{label} +1 212 555 01{i:02d} a{i}" for i in range(8)] + [f"fax:{' ' * 400}+1 212 556 01{i:02d} b{i}" for i in range(8)]
+    rows += [f"{label} 212 555 0188 c", f"fax:{' ' * 90}212 556 0189 d", f"{'x' * 299}: 212 557 0190 e"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r["doc_id"]: [s["value"] for s in r["extra"]] for r in pii.personal_data(df).select("doc_id", "extra").collect()}
+    assert {i: v for i, v in got.items() if v} == {16: ["212 555 0188"], 17: ["212 556 0189"]}

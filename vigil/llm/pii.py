@@ -57,8 +57,6 @@ MIN_IDENTIFIERS = 3
 MIN_CONFIDENCE = 0.5
 #: Rise of the known identifiers' mean belief under which a round without a new one is the last.
 SETTLED = 1e-6
-#: Characters next to a match in which its neighbouring words are looked for, and most of a word that count.
-CONTEXT_CHARS = 48
 _WORD, _MARKS = r"[\p{L}\p{M}\p{N}]", r"[^\p{L}\p{M}\p{N}\s]"
 
 SPAN = "struct<kind:string,start:int,end:int,value:string,before:string,after:string>"
@@ -78,8 +76,9 @@ def _matches(text: Column, kind: str, pattern: str, hint: str) -> Column:
         each = F.transform(F.arrays_zip(hits.alias("value"), gaps.alias("gap"), F.slice(gaps, F.lit(2), F.size(hits)).alias("next")),
                            lambda x: x)
         each = F.slice(each, F.lit(1), F.size(hits))
-        before = lambda g: F.lower(F.regexp_extract(F.right(g, F.lit(CONTEXT_CHARS)), rf"({_WORD}*{_MARKS}*)\s*$", 1))
-        after = lambda g: F.lower(F.regexp_extract(F.left(g, F.lit(CONTEXT_CHARS)), rf"^\s*({_MARKS}*{_WORD}*)", 1))
+        # both are sought from the match outwards, so a long gap costs no search
+        after = lambda g: F.regexp_extract(g, rf"^\s*+({_MARKS}*+{_WORD}*+)", 1)
+        before = lambda g: F.lower(F.reverse(after(F.reverse(g))))
         walked = F.aggregate(
             each, F.struct(F.lit(0).alias("at"), empty.alias("out")),
             lambda acc, x: F.struct(
@@ -87,7 +86,7 @@ def _matches(text: Column, kind: str, pattern: str, hint: str) -> Column:
                 F.array_append(acc["out"], F.struct(
                     F.lit(kind).alias("kind"), (acc["at"] + F.length(x["gap"])).alias("start"),
                     (acc["at"] + F.length(x["gap"]) + F.length(x["value"])).alias("end"), x["value"].alias("value"),
-                    before(x["gap"]).alias("before"), after(x["next"]).alias("after"))).alias("out")))
+                    before(x["gap"]).alias("before"), F.lower(after(x["next"])).alias("after"))).alias("out")))
         return walked["out"]
 
     bound = F.transform(F.array(found), lambda hits: F.when(F.size(hits) > 0, places(hits)).otherwise(empty))
@@ -132,11 +131,11 @@ def candidate_spans(text: Column, base: Column) -> Column:
 
 def context_units(text: Column) -> Column:
     """All of a text's (side, word) that the places between its words offer as contexts, in lower case."""
-    def units(side: str, pattern: str, cut) -> Column:
+    def units(side: str, pattern: str) -> Column:
         return F.transform(F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0)),
-                           lambda w: F.struct(F.lit(side).alias("side"), cut(w, F.lit(CONTEXT_CHARS)).alias("word")))
+                           lambda w: F.struct(F.lit(side).alias("side"), w.alias("word")))
 
-    return F.concat(units("before", f"{_WORD}+{_MARKS}*|{_MARKS}+", F.right), units("after", f"{_MARKS}*{_WORD}+|{_MARKS}+", F.left))
+    return F.concat(units("before", f"{_WORD}+{_MARKS}*|{_MARKS}+"), units("after", f"{_MARKS}*{_WORD}+|{_MARKS}+"))
 
 
 def bootstrap(seen: DataFrame, corpus_words: DataFrame, min_confidence: float = MIN_CONFIDENCE,
@@ -163,7 +162,9 @@ def bootstrap(seen: DataFrame, corpus_words: DataFrame, min_confidence: float =
     edge = edge.join(bounded_broadcast(apt), ["side", "word"], "left_semi") \
         .join(bounded_broadcast(counts), ["side", "word"], "left").fillna(0, ["uses"])
     edge = stored(edge, "pattern-graph")
-    known = stored(edge.where("seed").select("kind", "value", F.lit(1.0).alias("belief")).distinct(), "instances")
+    # a seed is marked as such: a candidate's belief may round to 1 too
+    seeds = stored(edge.where("seed").select("kind", "value", F.lit(1.0).alias("belief")).distinct(), "seeds")
+    known = seeds
     size, belief = -1, 0.0
     while True:
         told = edge.join(known, ["kind", "value"], "left").withColumn("belief", F.coalesce("belief", F.lit(0.0)))
@@ -174,14 +175,13 @@ def bootstrap(seen: DataFrame, corpus_words: DataFrame, min_confidence: float =
         doubt = F.exp(F.sum(F.log1p(-F.least("confidence", F.lit(0.999)))))
         beside = edge.where(~F.col("seed")).join(patterns, ["kind", "side", "word"]).groupBy("kind", "value") \
             .agg((1 - doubt).alias("belief")).where(F.col("belief") >= min_confidence)
-        known = stored(known.where("belief = 1.0").unionByName(beside.join(
-            known.where("belief = 1.0").select("kind", "value"), ["kind", "value"], "left_anti")), "instances")
+        known = stored(seeds.unionByName(beside.join(seeds.select("kind", "value"), ["kind", "value"], "left_anti")), "instances")
         now = known.agg(F.count(F.lit(1)).alias("size"), F.sum("belief").alias("belief")).first()
         # beliefs only rise, and what is known only grows
         if now["size"] == size and (now["belief"] or 0.0) - belief <= SETTLED * size:
             break
         size, belief = now["size"], now["belief"] or 0.0
-    return known.where("belief < 1.0").select("kind", "value")
+    return known.join(seeds.select("kind", "value"), ["kind", "value"], "left_anti").select("kind", "value")
 
 
 def personal_data(docs: DataFrame, text: str = "text") -> DataFrame:
