@@ -40,9 +40,9 @@ from vigil.llm.hashes import all_words, mix
 from vigil.plans.sizing import bounded_broadcast
 
 #: Bytes of texts that a task counts or scores together.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 8 << 20
 #: Bytes of texts whose words and pairs one fragment holds.
-FRAGMENT_BYTES = 16 << 20
+FRAGMENT_BYTES = 8 << 20
 #: Weight of the word model in the pair model, in tokens.
 PRIOR = 20.0
 
