@@ -36,6 +36,21 @@ def test_fit_of_long_budgets_is_exact_or_within_one_document():
     assert huge.tolist() == [1]
 
 
+def test_fit_of_few_long_documents_is_exact():
+    """A sum that only the whole knapsack reaches, of documents longer than the program's least window."""
+    assert mixing.fit_lengths(np.array([70_000, 71_000, 100_000]), np.array([1, 1, 1]), 141_000.0).tolist() == [1, 1, 0]
+    assert mixing.fit_lengths(np.array([300_000, 301_000, 400_000, 10]), np.array([1, 1, 1, 1]), 601_000.0).tolist() == [1, 1, 0, 0]
+
+
+def test_long_rests_prefer_no_length():
+    """One document of each of many sizes: about the same share of short and of long ones is taken, near the budget."""
+    sizes = np.arange(1, 6_001) * 7
+    take = mixing.fit_lengths(sizes, np.ones(6_000, np.int64), 0.4 * sizes.sum())
+    assert abs((take * sizes).sum() - 0.4 * sizes.sum()) <= 3.5
+    for part in np.array_split(take, 6):
+        assert 0.3 < part.mean() < 0.5
+
+
 def targets(sizes, weights, share=1.5, cap=2.0):
     """Plain loop: what is above a cap is shared among the rest by weight."""
     budget, full = share * sum(sizes.values()), {s: cap * z for s, z in sizes.items()}

@@ -5,7 +5,9 @@ of it; what is left (less than one pass) is filled by documents taken once
 more.  Which ones is decided on the histogram of exact document sizes: every
 size class gives the same share of its documents, and what that rounding
 leaves over is fitted by a bounded-knapsack dynamic program over the documents
-that remain in each class.  The documents of a class are then drawn by a
+that remain in each class.  A rest too long for the program is first rounded in
+proportion: the fractions of neighbouring classes add up to whole documents, so no
+length is preferred, and the program always decides the end.  The documents of a class are then drawn by a
 seeded hash.  Only the histogram (one row per source and size) is ever grouped
 by source; documents are ranked in hash buckets of bounded size, so a source
 with a third of all rows is spread over many tasks.
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 from vigil.plans.sizing import bounded_broadcast
 from vigil.session import materialize
 
-#: Budgets that the dynamic program resolves exactly; larger rests are first cut down, longest documents first.
+#: The dynamic program decides at least so many words of a rest, and two documents of the longest size.
 WINDOW_WORDS = 1 << 16
 #: Documents ranked together in one hash bucket of a (source, size) class.
 BUCKET_ROWS = 2_000
@@ -60,10 +62,12 @@ def water_fill(sources: DataFrame, share: float = 1.5, cap: float = 2.0) -> Data
 def fit_lengths(sizes: np.ndarray, counts: np.ndarray, budget: float, window: int = WINDOW_WORDS) -> np.ndarray:
     """How many documents of each size to take so that their words come nearest to ``budget``.
 
-    Every class first gives ``floor(count * budget / total)`` documents.  Of
-    the rest, documents are added from the longest size down until at most
-    ``window`` words are open, and a bounded knapsack over the remaining counts
-    finds the reachable sum nearest to what is open (ties: the smaller).
+    Every class first gives ``floor(count * budget / total)`` documents.  While more
+    than ``window`` words (and two of the longest documents) are undecided, the classes'
+    fractions are rounded in proportion: from the longest size down, a class gives one
+    more document when the fractions up to it have added up to one.  A
+    bounded knapsack over the remaining counts then finds the reachable sum nearest to
+    what is open (ties: the smaller); its table has five bytes for each word of twice that.
     """
     take = np.zeros(len(sizes), np.int64)
     total = int((sizes * counts).sum())
@@ -75,24 +79,25 @@ def fit_lengths(sizes: np.ndarray, counts: np.ndarray, budget: float, window: in
     take[use] = np.floor(counts[use] * (budget / total)).astype(np.int64)
     rest = budget - float((take * sizes).sum())
     order = np.argsort(-sizes, kind="stable")
-    for i in order:
-        if rest <= window:
+    keep = max(window, 2 * int(sizes[use].max()))
+    part = np.where(use, counts * (budget / total) - take, 0.0)  # of a document
+    open_words = part * sizes
+    undecided, carry = rest, 0.5
+    for i in order:  # neighbours differ little, so the words given stay within a document of the words due
+        if undecided <= keep:
             break
-        if sizes[i] <= 0:
-            continue
-        k = min(int(counts[i] - take[i]), int(rest // sizes[i]), int(np.ceil((rest - window) / sizes[i])))
-        if k > 0:
-            take[i] += k
-            rest -= k * float(sizes[i])
+        undecided -= open_words[i]
+        carry += part[i]
+        if carry >= 1.0 and counts[i] > take[i]:
+            take[i] += 1
+            carry -= 1.0
+            rest -= float(sizes[i])
+    if rest <= 0:
+        return take
     left = counts - take
     items = [int(i) for i in order if sizes[i] > 0 and left[i] > 0]
     if not items:
         return take
-    smallest = int(min(sizes[i] for i in items))
-    if rest > window:  # only documents longer than the rest are left
-        if abs(rest - smallest) < rest:
-            take[min(items, key=lambda i: sizes[i])] += 1
-        return take
     top = min(int(2 * rest) + 1, int(sum(sizes[i] * left[i] for i in items)))  # beyond this, taking nothing is nearer
     reach = np.zeros(top + 1, bool)
     reach[0] = True
