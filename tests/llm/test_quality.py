@@ -53,3 +53,18 @@ def test_clean_documents_stay(spark):
     judged = quality.quality_rules(docs).join(good, "doc_id").where(~F.col("base_failed"))
     lossy = judged.where(~F.col("kept") | (F.col("lost_share") > 0.05)).select("doc_id", "lost_share", "toxic").collect()
     assert not lossy and judged.count() > 0
+
+
+def test_one_phrase_or_a_few_separators_do_not_fail_a_long_line(spark):
+    clean = " ".join(f"word{i}x" for i in range(400))
+    more = clean.replace("x", "y")
+    lines = {"phrase": clean + " powered by a diesel engine " + more, "separators": clean + " | a | b > c | " + more,
+             "short phrase": "Powered by SomeCMS", "long notice": "Copyright 2020 by the firm. All rights reserved. See our Terms of use and Privacy policy.",
+             "row": "one two | three | four five | six | seven", "sentence": "She asked whether all rights reserved to the crown in that county had ever been sold to anyone at all, "
+             "and nobody in the long hall of the old house by the river could tell her"}
+    df = spark.createDataFrame(list(lines.items()), "name string, text string").withColumn("bad", quality.line_failed(F.col("text")))
+    assert {r["name"]: r["bad"] for r in df.collect()} == {"phrase": False, "separators": False, "short phrase": True, "long notice": True,
+                                                           "row": True, "sentence": False}
+    whole = spark.createDataFrame([(1, lines["phrase"])], "doc_id long, text string")
+    got = quality.quality_rules(whole).first()
+    assert got["kept"] and got["lost_share"] == 0.0 and got["clean_text"] == lines["phrase"]

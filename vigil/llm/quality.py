@@ -1,8 +1,9 @@
 """Line-first quality rules, as DataFrame functions only.
 
-Each line is judged on its own: punctuation (too many symbols), navigation
-(a row of short items between separators, or only menu words) and boilerplate
-(stock phrases).  Failing lines are removed; a document that loses too much of
+Each line is judged on its own and by shares of itself, so a long line fails
+for what it mostly is and not for one phrase in it: punctuation (too many
+symbols), navigation (a row of short items between separators, or only menu
+words) and boilerplate (stock phrases that make up much of the line).  Failing lines are removed; a document that loses too much of
 its text that way is rejected.  Beside it stand document statistics with two
 hard limits (too short, too repetitive).
 """
@@ -12,16 +13,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import let, words
+from vigil.llm.common import WORD, let, words
 
 #: Share of a line's characters other than white space that may be neither letter nor digit, if they are several.
 MAX_SYMBOL_SHARE, MIN_SYMBOLS = 0.3, 3
-#: Separators that make a line a navigation row.
-MIN_SEPARATORS = 4
+#: Separators that make a line a navigation row, if there is one for so many words at least.
+MIN_SEPARATORS, WORDS_PER_SEPARATOR = 4, 6
 NAV_SEPARATOR = r"(?:^|\s)[|»›•·>](?=\s|$)"
 NAV_WORDS = ("home", "menu", "login", "logout", "register", "search", "sitemap", "next", "previous", "share", "contact")
 BOILERPLATE = ("all rights reserved", "cookie policy", "privacy policy", "terms of use", "terms of service",
                "subscribe to our", "sign up for", "click here", "enable javascript", "powered by", "lorem ipsum")
+#: Share of a line's characters other than white space that stock phrases make up in boilerplate.
+MIN_PHRASE_SHARE = 0.2
 #: Share of the text's characters that may go with failing lines.
 MAX_LOST = 0.5
 MIN_WORDS = 50
@@ -34,9 +37,12 @@ def line_failed(line: Column) -> Column:
     solid = F.regexp_replace(line, r"[\x20\x09-\x0D]+", "")
     symbols = F.regexp_count(line, F.lit(r"[^\p{L}\p{M}\p{N}\x20\x09-\x0D]"))
     punctuation = (symbols >= MIN_SYMBOLS) & (symbols > F.lit(MAX_SYMBOL_SHARE) * F.length(solid))
-    navigation = (F.regexp_count(line, F.lit(NAV_SEPARATOR)) >= MIN_SEPARATORS) | line.rlike(
-        rf"(?i)^\W*(?:(?:{'|'.join(NAV_WORDS)})\W*)+$")
-    boilerplate = line.rlike(f"(?i)(?:{'|'.join(BOILERPLATE)})")
+    separators = F.regexp_count(line, F.lit(NAV_SEPARATOR))
+    row = (separators >= MIN_SEPARATORS) & (F.regexp_count(line, F.lit(WORD)) <= WORDS_PER_SEPARATOR * separators)
+    navigation = row | line.rlike(rf"(?i)^\W*(?:(?:{'|'.join(NAV_WORDS)})\W*)+$")
+    phrases = f"(?i)(?:{'|'.join(BOILERPLATE)})"
+    said = F.length(F.regexp_replace(F.array_join(F.regexp_extract_all(line, F.lit(phrases), F.lit(0)), ""), " ", ""))
+    boilerplate = line.rlike(phrases) & (said >= F.lit(MIN_PHRASE_SHARE) * F.length(solid))
     return (F.length(solid) > 0) & (punctuation | navigation | boilerplate)
 
 

@@ -134,8 +134,11 @@ judged as (select doc_id, length(line) as len, length(regexp_replace(line, '[\x2
     len(regexp_extract_all(line, '[^\p{L}\p{M}\p{N}\x20\x09-\x0D]')) >= 3
     and len(regexp_extract_all(line, '[^\p{L}\p{M}\p{N}\x20\x09-\x0D]')) > 0.3 * length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g'))
     or len(list_filter(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), lambda x: x in ('|', '»', '›', '•', '·', '>'))) >= 4
+      and len(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))
+        <= 6 * len(list_filter(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), lambda x: x in ('|', '»', '›', '•', '·', '>')))
     or regexp_matches(line, '(?i)^[^0-9A-Za-z_]*((home|menu|login|logout|register|search|sitemap|next|previous|share|contact)[^0-9A-Za-z_]*)+$')
-    or regexp_matches(line, '(?i)(all rights reserved|cookie policy|privacy policy|terms of use|terms of service|subscribe to our|sign up for|click here|enable javascript|powered by|lorem ipsum)')) as bad
+    or length(replace(array_to_string(regexp_extract_all(line, '(?i)(all rights reserved|cookie policy|privacy policy|terms of use|terms of service|subscribe to our|sign up for|click here|enable javascript|powered by|lorem ipsum)'), ''), ' ', ''))
+      >= greatest(0.2 * length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g')), 1)) as bad
   from lines),
 lost as (select doc_id, coalesce(sum(len) filter (where bad), 0) as gone, count(*) filter (where bad) as n_bad, count(*) as n_lines from judged group by doc_id),
 s as (select base.doc_id, len(w) as n_words, length(array_to_string(w, '')) as word_chars,
