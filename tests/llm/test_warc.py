@@ -83,3 +83,73 @@ def test_minimum_size_and_empty(spark):
     more = spark.createDataFrame([(1, "u", "20200101000000", "x", "d", 9)],
                                  "capture_id long, url string, fetched string, payload string, digest string, bytes long")
     assert warc.archive_and_index(more).count() == 1
+
+
+def foreign(version=b"WARC/1.0", digest=None):
+    """Records of another writer: (bytes of each, payload of each)."""
+    def record(kind, block, *lines):
+        head = [version, b"warc-type: " + kind, b"WARC-Record-ID: <urn:uuid:" + kind + b">", b"WARC-Date: 2021-02-03T04:05:06Z", *lines,
+                b"a line without a colon", b"Content-Length: " + str(len(block)).encode()]
+        return b"\r\n".join(head) + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    page = b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n<p>no length</p>"
+    cased = b"HTTP/1.1 200 OK\r\ncontent-LENGTH: 4\r\n\r\nbody"
+    uri = b"WARC-Target-URI: http://a.example/p"
+    return [record(b"warcinfo", b"software: y\r\n", b"Content-Type: application/warc-fields"),
+            record(b"response", page, uri, b"Content-Type: application/http; msgtype=response"),
+            record(b"resource", b"plain text", uri), record(b"response", cased, uri, b"Content-Type: application/http")], \
+        [b"software: y\r\n", b"<p>no length</p>", b"plain text", b"body"]
+
+
+def entries(content):
+    return list(warc.parse_archive(content, "x"))
+
+
+def test_foreign_records_and_gzip_members():
+    import gzip
+
+    records, payloads = foreign(b"WARC/1.1")
+    want = [base64.b32encode(hashlib.sha1(p).digest()).decode() for p in payloads]
+    plain = b"".join(records)
+    members = [gzip.compress(r) for r in records]
+    for content in (plain, gzip.compress(plain), b"".join(members), gzip.compress(records[0] + records[1]) + b"".join(members[2:])):
+        got = entries(content)
+        assert [e[5] for e in got] == want and [e[6] for e in got] == [len(p) for p in payloads]
+        assert all(e[12] for e in got) and [plain[e[9]:e[9] + e[10]] for e in got] == [r[:-4] for r in records]
+    for e, r in zip(entries(b"".join(members)), records, strict=True):  # each record from its own member
+        assert gzip.decompress(b"".join(members)[e[11]:])[:len(r)] == r
+
+
+def test_truncated_and_damaged_archives():
+    import gzip
+
+    records, _ = foreign()
+    plain, members = b"".join(records), [gzip.compress(r) for r in records]
+    full = entries(plain)
+    for cut in range(0, len(plain), 7):
+        got = entries(plain[:cut])
+        whole = [e for e in full if e[9] + e[10] <= cut]
+        assert got[:len(whole)] == whole and len(got) <= len(whole) + 1 and not any(e[12] for e in got[len(whole):])
+    packed = b"".join(members)
+    for cut in (len(packed) - 5, len(packed) - len(members[3]) // 2, len(packed) - len(members[3])):
+        assert [e[:9] for e in entries(packed[:cut])][:3] == [e[:9] for e in full[:3]]
+    damaged = bytearray(packed)
+    damaged[len(members[0]) + len(members[1]) + 20] ^= 255
+    assert [e[:9] for e in entries(bytes(damaged))][:2] == [e[:9] for e in full[:2]]
+    for bad in (b"not an archive\r\n\r\n", b"WARC/1.0\r\nno length: 1\r\n\r\n", b"text"):
+        try:
+            entries(bad)
+        except ValueError:
+            continue
+        raise AssertionError(bad)
+    assert entries(b"") == []
+
+
+def test_large_ids_keep_their_results(spark, tmp_path):
+    from vigil.llm.queries import QUERIES
+
+    rows = [(i, "http://a.example/x/y", "p") for i in (1, 2**33, 2**50, 2**62, -(2**62), -3)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r["page_id"]: r for r in QUERIES["op3_warc_index"](spark, str(tmp_path)).collect()}
+    assert set(got) == {r[0] for r in rows} and all(len(r["fetched"]) == 14 for r in got.values())
+    assert QUERIES["op10_url_filter"](spark, str(tmp_path)).count() == len(rows)

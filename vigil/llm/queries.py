@@ -20,6 +20,8 @@ ORACLES: dict[str, str] = {}
 
 #: Fetch times that the pages are given: one every 61 seconds from this second on.
 FIRST_FETCH = 1_577_836_800
+#: Page ids are taken modulo this, so that times stay in four-digit years and nothing overflows.
+FETCHES = 4_000_000_000
 
 
 def register(name: str, sql: str | None = None):
@@ -70,7 +72,7 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
 def page_captures(spark: SparkSession, sf: str) -> DataFrame:
     """``pages`` as captures; the fetch time follows from the page id (a null id: the first time)."""
     pages = read(spark, sf, "pages", "page_id", "url", "html")
-    second = F.lit(FIRST_FETCH) + 61 * F.coalesce("page_id", F.lit(0).cast("long"))
+    second = F.lit(FIRST_FETCH) + 61 * F.pmod(F.coalesce("page_id", F.lit(0).cast("long")), F.lit(FETCHES).cast("long"))
     stamp = F.date_format(F.timestamp_seconds(second), "yyyyMMddHHmmss")
     return pages.select(F.col("page_id").alias("capture_id"), "url", stamp.alias("fetched"), F.col("html").alias("payload"))
 
@@ -86,7 +88,7 @@ f as (select hex, min(page_id) as first_id from p group by hex)
 select p.page_id, p.payload_bytes::bigint as payload_bytes, b32.payload_digest,
   case when p.page_id is distinct from f.first_id then 'revisit' else 'response' end as record_type,
   case when p.page_id is distinct from f.first_id then f.first_id end as refers_to,
-  strftime(make_timestamp((1577836800 + 61 * coalesce(p.page_id, 0)) * 1000000), '%Y%m%d%H%M%S') as fetched, true as intact
+  strftime(make_timestamp((1577836800 + 61 * ((coalesce(p.page_id, 0) % 4000000000 + 4000000000) % 4000000000)) * 1000000), '%Y%m%d%H%M%S') as fetched, true as intact
 from p join b32 using (hex) join f using (hex)"""
 
 
@@ -239,6 +241,11 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
 MINUTES = 5_256_000
 
 
+def dated(page_id, step: int):
+    """A minute that follows from a page id (of any size)."""
+    return F.pmod(page_id, F.lit(MINUTES).cast("long")) * step % MINUTES
+
+
 def dated_list(pages: DataFrame) -> DataFrame:
     """A list log made from the pages: every page adds or removes its host, its domain or its first path step."""
     h = urlfilter.host(F.col("url"))
@@ -246,18 +253,18 @@ def dated_list(pages: DataFrame) -> DataFrame:
     domain = F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), F.lit(2)), ".")
     step = F.nullif(F.regexp_extract("url", urlfilter.FIRST_STEP, 1), F.lit(""))
     key = F.when(F.col("page_id") % 4 == 1, domain).when(F.col("page_id") % 4 == 2, F.concat(h, F.lit("/"), step)).otherwise(h)
-    return pages.select(key.alias("key"), (F.col("page_id") * 7919 % MINUTES).alias("at"),
+    return pages.select(key.alias("key"), dated(F.col("page_id"), 7919).alias("at"),
                         F.when(F.col("page_id") % 5 < 3, F.lit("add")).otherwise(F.lit("remove")).alias("action"))
 
 
 OP10_SQL = r"""
-with p as (select page_id, url, page_id * 104729 % 5256000 as fetched,
+with p as (select page_id, url, (page_id % 5256000 + 5256000) % 5256000 * 104729 % 5256000 as fetched,
     nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#@]*@)?([^/?#:]+)', 2)), '') as h,
     nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]+)', 1), '') as step from pages),
 q as (select *, string_split(h, '.') as l from p),
 e as (select key, ts, max(action) as action from (
     select case when page_id % 4 = 1 then array_to_string(l[greatest(len(l) - 1, 1):], '.') when page_id % 4 = 2 then h || '/' || step else h end as key,
-      page_id * 7919 % 5256000 as ts, case when page_id % 5 < 3 then 'add' else 'remove' end as action from q)
+      (page_id % 5256000 + 5256000) % 5256000 * 7919 % 5256000 as ts, case when page_id % 5 < 3 then 'add' else 'remove' end as action from q)
   where key is not null and ts is not null group by key, ts),
 iv as (select * from (select key, ts as valid_from, lead(ts) over (partition by key order by ts) as valid_to, action from e) where action = 'add'),
 k as (select page_id, url, fetched, 0 as rank, h || '/' || step as key from q
@@ -272,7 +279,7 @@ from p left join hit on p.page_id is not distinct from hit.page_id and p.url is
 @register("op10_url_filter", OP10_SQL)
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     pages = read(spark, sf, "pages", "page_id", "url")
-    captures = pages.select(F.col("page_id").alias("capture_id"), "url", (F.col("page_id") * 104729 % MINUTES).alias("fetched"))
+    captures = pages.select(F.col("page_id").alias("capture_id"), "url", dated(F.col("page_id"), 104729).alias("fetched"))
     return urlfilter.evaluate_captures(captures, dated_list(pages)).withColumnRenamed("capture_id", "page_id")
 
 

@@ -7,18 +7,21 @@ The as-of join is a union of both sides, ordered by time within a key, in
 which each capture takes the last interval that began before it: linear in
 both sides, with no pair of a capture and an entry that does not apply.  Keys
 are split by time buckets, with the interval in force carried into each
-bucket, so a host with a third of all captures is spread over many tasks.
+bucket; there are about as many buckets as the root of the rows of the largest
+key, so neither a bucket nor a key's list of buckets grows like the key.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.session import materialize
 
-#: Time buckets that the span of all captures and entries is cut into.
-BUCKETS = 256
+#: Least number of time buckets that the span of all captures and entries is cut into.
+MIN_BUCKETS = 16
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 FIRST_STEP = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]+)"
 
@@ -67,7 +70,7 @@ def list_intervals(entries: DataFrame, low: int, width: int) -> DataFrame:
         "key", F.col("at").alias("valid_from"), F.coalesce("__lead", "__next").alias("valid_to"))
 
 
-def evaluate_captures(captures: DataFrame, entries: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+def evaluate_captures(captures: DataFrame, entries: DataFrame, min_buckets: int = MIN_BUCKETS) -> DataFrame:
     """Every capture with the most specific list entry that was valid when it was fetched.
 
     ``captures``: ``capture_id`` (long), ``url``, ``fetched`` (long time).
@@ -83,15 +86,16 @@ def evaluate_captures(captures: DataFrame, entries: DataFrame, buckets: int = BU
         ent.agg(F.min("at").alias("c"), F.max("at").alias("d"))).first()
     known = [x for x in span if x is not None]
     low, high = (min(known), max(known)) if known else (0, 0)
+    # keys that are not listed at all need no order
+    listed = ent.where("action = 'add'").select("key").distinct()
+    ask = materialize(cap.where(F.col("fetched").isNotNull()).distinct()
+                      .select("*", F.posexplode(candidate_keys(F.col("url"))).alias("rank", "key")).join(listed, "key", "left_semi"))
+    most = ask.select("key").unionByName(ent.select("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    buckets = max(min_buckets, math.isqrt(most) + 1)
     width = max(1, -(-(high - low + 1) // buckets))
 
     iv = materialize(list_intervals(ent, low, width).withColumn("__b", _bucket(F.col("valid_from"), low, width)))
-    ask = cap.where(F.col("fetched").isNotNull()).distinct() \
-        .select("*", F.posexplode(candidate_keys(F.col("url"))).alias("rank", "key")) \
-        .withColumn("__b", _bucket(F.col("fetched"), low, width))
-    # keys that are not listed at all need no order
-    ask = ask.join(iv.select("key").distinct(), "key", "left_semi")
-    ask = materialize(ask)
+    ask = ask.withColumn("__b", _bucket(F.col("fetched"), low, width))
     last = iv.groupBy("key", "__b").agg(F.max(F.struct("valid_from", "valid_to")).alias("iv"))
     places = last.select("key", "__b", "iv").unionByName(
         ask.select("key", "__b").distinct().select("key", "__b", F.lit(None).cast(last.schema["iv"].dataType).alias("iv"))) \

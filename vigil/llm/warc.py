@@ -44,7 +44,7 @@ ARCHIVE_BYTES = 32 << 20
 RANGE_ROWS = 20_000
 
 INDEX_SCHEMA = ("url_key string, fetched string, record_id string, record_type string, refers_to string, "
-                "payload_digest string, payload_bytes long, url string, archive string, offset long, length long, "
+                "payload_digest string, payload_bytes long, url string, archive string, offset long, length long, member long, "
                 "intact boolean, run string, run_pos long")
 
 
@@ -121,37 +121,142 @@ def url_key(url: str | None) -> str:
     return ",".join(reversed(labels)) + ")" + (m.group(2).lower() or "/")
 
 
-def parse_archive(data: bytes, name: str) -> Iterator[tuple]:
-    """Index entries of one archive's bytes, in file order."""
-    at = 0
-    while at < len(data):
-        head_end = data.index(b"\r\n\r\n", at)
-        lines = data[at:head_end].decode("utf-8", "surrogateescape").split(CRLF)
-        if lines[0] != VERSION:
+class Stream:
+    """Bytes of an archive, plain or gzip of any number of members, decompressed as far as they are asked for.
+
+    Bytes before the record at hand are let go, so memory holds one record and not the
+    file.  A member that is cut or damaged ends the stream; what came before it counts.
+    """
+
+    STEP = 1 << 20
+
+    def __init__(self, content: bytes):
+        self.content, self.packed = content, content[:2] == b"\x1f\x8b"
+        self.read, self.buf, self.base = 0, bytearray(), 0
+        self.zip = zlib.decompressobj(31) if self.packed else None
+        #: (place in the stream, place in the file) where members begin.
+        self.members = [(0, 0)]
+
+    def _more(self) -> bool:
+        """Reads on; False at the end."""
+        if self.read >= len(self.content):
+            return False
+        part = self.content[self.read:self.read + self.STEP]
+        self.read += len(part)
+        if not self.packed:
+            self.buf += part
+            return True
+        try:
+            self.buf += self.zip.decompress(part)
+            if self.zip.eof:  # the next member, if there is one, begins in what is left over
+                self.read -= len(self.zip.unused_data)
+                if self.content[self.read:self.read + 2] == b"\x1f\x8b":
+                    self.zip = zlib.decompressobj(31)
+                    self.members.append((self.base + len(self.buf), self.read))
+                else:
+                    self.read = len(self.content)
+        except zlib.error:
+            self.read = len(self.content)
+        return True
+
+    def upto(self, end: int) -> bool:
+        """Whether the stream has ``end`` bytes."""
+        while self.base + len(self.buf) < end:
+            if not self._more():
+                return False
+        return True
+
+    def find(self, what: bytes, at: int) -> int:
+        """Place of the next ``what`` from ``at`` on, -1 if there is none."""
+        begin = at - self.base
+        while True:
+            i = self.buf.find(what, begin)
+            if i >= 0:
+                return self.base + i
+            begin = max(begin, len(self.buf) - len(what) + 1)
+            if not self._more():
+                return -1
+
+    def take(self, a: int, b: int) -> bytes:
+        return bytes(self.buf[a - self.base:b - self.base])
+
+    def drop(self, at: int) -> None:
+        del self.buf[:at - self.base]
+        self.base = at
+        while len(self.members) > 1 and self.members[1][0] <= at:
+            self.members.pop(0)
+
+    def member(self) -> int:
+        """Place in the file of the member that the first byte held lies in."""
+        return self.members[0][1]
+
+
+def _header(block: bytes) -> tuple[str, dict[str, str]]:
+    """First line and fields (names in lower case; the first of a name counts); lines without a colon are passed over."""
+    lines = block.decode("utf-8", "surrogateescape").split(CRLF)
+    fields: dict[str, str] = {}
+    for x in lines[1:]:
+        name, colon, value = x.partition(":")
+        if colon:
+            fields.setdefault(name.strip().lower(), value.strip(" \t"))
+    return lines[0], fields
+
+
+def _whole(x: str | None) -> int | None:
+    return int(x) if x is not None and x.isascii() and x.isdigit() else None
+
+
+def parse_archive(content: bytes, name: str) -> Iterator[tuple]:
+    """Index entries of one archive's bytes, in file order.
+
+    Records of other writers count too: any WARC/1.x version, field names in any case,
+    records that are no HTTP message (their payload is the whole block) or whose HTTP
+    header gives no length (it is the rest of the block), and records without a payload
+    digest (it is computed).  A record that the file ends in is the last entry, not
+    intact, if its header is whole, and is passed over if not.  Bytes that begin no
+    record raise ValueError.
+    """
+    s, at = Stream(content), 0
+    while s.upto(at + 1):
+        s.drop(at)
+        head_end = s.find(b"\r\n\r\n", at)
+        if head_end < 0:
+            if not s.take(at, at + 5).startswith(b"WARC/"[:min(5, s.base + len(s.buf) - at)]):
+                raise ValueError(f"{name}: no record at {at}")
+            return
+        version, f = _header(s.take(at, head_end))
+        length = _whole(f.get("content-length"))
+        if not version.startswith("WARC/1.") or length is None:
             raise ValueError(f"{name}: no record at {at}")
-        f = dict(x.split(": ", 1) for x in lines[1:])
-        body = head_end + 4
-        length = int(f["Content-Length"])
-        http_end = data.index(b"\r\n\r\n", body) + 4
-        said = re.search(rb"Content-Length: (\d+)", data[body:http_end])
-        n_bytes = int(said.group(1))
-        digest = f["WARC-Payload-Digest"].removeprefix("sha1:")
-        intact = f["WARC-Type"] == "revisit" or (
-            http_end + n_bytes == body + length
-            and base64.b32encode(hashlib.sha1(data[http_end:http_end + n_bytes]).digest()).decode() == digest)
-        url = f.get("WARC-Target-URI")
+        body, member = head_end + 4, s.member()
+        complete = s.upto(body + length)
+        block = s.take(body, body + length)
+        http, said = 0, None
+        if f.get("content-type", "").startswith("application/http") or block.startswith(b"HTTP/"):
+            cut = block.find(b"\r\n\r\n")
+            http = cut + 4 if cut >= 0 else len(block)
+            said = _whole(_header(block[:max(cut, 0)])[1].get("content-length"))
+        payload, kind = block[http:], f.get("warc-type", "")
+        made = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+        digest = f.get("warc-payload-digest", f"sha1:{made}").removeprefix("sha1:")
+        n_bytes = said if said is not None else len(payload)
+        intact = complete and (kind == "revisit" or (n_bytes == len(payload) and digest == made))
+        url = f.get("warc-target-uri")
         ident = lambda v: None if v is None else v.removeprefix("<urn:capture:").removesuffix(">")
-        yield (url_key(url), re.sub(r"\D", "", f.get("WARC-Date", "")), ident(f["WARC-Record-ID"]), f["WARC-Type"],
-               ident(f.get("WARC-Refers-To")), digest, n_bytes, url, name, at, body + length - at, intact)
-        at = body + length + 4
+        yield (url_key(url), re.sub(r"\D", "", f.get("warc-date", "")), ident(f.get("warc-record-id")), kind,
+               ident(f.get("warc-refers-to")), digest, n_bytes, url, name, at, body + length - at, member, intact)
+        if not complete:
+            return
+        at = body + length
+        while s.upto(at + 2) and s.take(at, at + 2) == b"\r\n":  # the line ends that close a record
+            at += 2
 
 
 def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Each archive's entries, sorted: one run per archive."""
     for pdf in batches:
         for path, content in zip(pdf["path"], pdf["content"], strict=True):
-            raw = zlib.decompress(content, 31) if content[:2] == b"\x1f\x8b" else content
-            rows = sorted(parse_archive(raw, path.rsplit("/", 1)[-1]), key=entry_order)
+            rows = sorted(parse_archive(content, path.rsplit("/", 1)[-1]), key=entry_order)
             if rows:
                 yield pd.DataFrame([(*r, path, i) for i, r in enumerate(rows)],
                                    columns=[c.split()[0] for c in INDEX_SCHEMA.split(", ")])
@@ -208,7 +313,7 @@ def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         columns = list(pdf.columns)
         for r in pdf.itertuples(index=False, name=None):
-            runs.setdefault(r[12], []).append(r)
+            runs.setdefault(r[13], []).append(r)
     if runs:
         yield pd.DataFrame(list(LoserTree(list(runs.values()), entry_order)), columns=columns)
 
@@ -217,8 +322,11 @@ def read_index(spark: SparkSession, path: str, range_rows: int = RANGE_ROWS) ->
     """Globally ordered index of the archives under ``path``.
 
     Partitions are consecutive key ranges, each sorted by (url_key, fetched,
-    record_id).  ``intact`` tells whether a response's payload has its digest.
-    An empty folder gives an empty index.
+    record_id).  ``offset`` and ``length`` are places in the decompressed archive;
+    ``member`` is the byte of the file at which to begin decompressing: the record's own
+    gzip member in archives compressed record by record, 0 in those (such as this module
+    writes) that are one member.  ``intact`` tells whether a response's payload has its
+    digest.  An empty folder gives an empty index.
     """
     ship_package(spark)
     files = spark.read.format("binaryFile").load(path).select("path", "content")
