@@ -51,3 +51,22 @@ def test_odd_rows_pass_through(spark):
         docs = spark.createDataFrame(out.collect(), out.schema)
         assert stage(spark, docs.limit(0) if name != "mixture" else spark.createDataFrame([], "doc_id long, text string, source string"), SF001).count() == 0
     assert docs.count() >= 1
+
+
+def test_near_duplicates_of_null_and_repeated_ids(spark):
+    """One row of each group stays, whatever its ids; other texts of an id that goes stay; rows without words stay."""
+    words = [f"word{i}" for i in range(100)]
+    copy, near, clean = " ".join(words), " ".join([*words, "more"]), " ".join(f"clean{i}" for i in range(60))
+    other = " ".join(f"other{i}" for i in range(60))
+    rows = [(5, copy), (7, near), (7, clean), (None, near), (None, copy), (None, copy), (None, other), (None, other), (9, clean + " x"), (9, clean + " x"),
+            (None, None), (None, ""), (3, " "), (3, " ")]
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    out = P.near_duplicates(spark, docs, SF001)
+    assert out.columns == docs.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+    # the clean text of id 7 is a near copy of id 9's, which comes first as id 7 names another text before it (by hash) or not
+    assert [x for x in got if x[1] in (copy, near)] == [(5, copy)]
+    assert len([x for x in got if (x[1] or "").startswith("clean")]) == 1
+    assert [x for x in got if x[1] == other] == [(None, other)]
+    assert len([x for x in got if not (x[1] or "").strip()]) == 4
+    assert P.near_duplicates(spark, docs.limit(0), SF001).count() == 0

@@ -9,11 +9,12 @@ them; a score of s means 2 M - E >= 2 s m, and at most E / 2 neighbouring matche
 over one edit apart.)
 
 1. The items' seeds are looked up in all texts, which gives their document frequency.
-2. All but the ``s * m - 2`` most frequent places of an item are its rare seeds (those
-   that occur).  By the bound every copy holds at least one of them, so the frequent
-   ones, turns of phrase, need not be joined, and nothing is lost, however often an
-   item leaked and whoever edited it.
-3. Rare seeds join texts (by digest, so copies count once) to items.
+2. All but about ``s * m - SHARED`` of an item's places, the most frequent, have its
+   rare seeds (those that occur).  By the bound every copy holds at least ``SHARED`` of
+   them, so the frequent ones, turns of phrase, need not be joined, and nothing is
+   lost, however often an item leaked and whoever edited it.
+3. Rare seeds join texts (by digest, so copies count once) to items; a text meets an
+   item if it has rare seeds of ``SHARED`` of its places (all, for short items).
 4. Where a window of such a text has seeds of all kinds enough for the bound, it is
    aligned with the item, word by word.  The local alignment's score, as a share of a
    full match, tells exact, edited and paraphrased copies from chance.
@@ -45,8 +46,10 @@ MIN_SCORE = 0.5
 SHORT_WORDS = 3
 #: Bytes of texts that a task looks at together.
 SLICE_BYTES = 4 << 20
+#: Places of an item whose rare seeds a text must have.
+SHARED = 3
 #: Items that a text meets in one row; more come in further rows.
-ITEMS_PER_ROW = 500
+ITEMS_PER_ROW = 100
 #: Bits of the filter that texts' seeds pass before they are joined: 2^20 words of 64, 8 MB.
 FILTER_WORDS = 1 << 20
 
@@ -259,7 +262,7 @@ def _aligned(min_score: float):
 
 
 def rare_seeds(items: DataFrame, texts: DataFrame, min_score: float) -> DataFrame:
-    """(key, item) of each item's rare seeds: all but so many of its most frequent places that a copy must hold one.
+    """(key, item, place, share) of each item's rare seeds: all but so many of its most frequent places that a copy must hold ``share``.
 
     ``items``: item, words, size; ``texts``: text.  Places whose seeds no text has are left out.
     """
@@ -270,10 +273,11 @@ def rare_seeds(items: DataFrame, texts: DataFrame, min_score: float) -> DataFram
     known = stored(places.join(df, "key"), "seed-frequencies")  # a seed that no text has falls out
     of_place = known.groupBy("item", "place").agg(F.sum("df").alias("df"))
     rank = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("df"), "place"))
-    # a copy holds ``need`` places, so with need - 1 left out it still holds one; zero-frequency places need no room
-    need = F.greatest(F.ceil(F.lit(min_score) * F.col("size") - 1 - 1e-9), F.lit(1))
-    rare = of_place.withColumn("rank", rank).join(items.select("item", need.alias("need")), "item").where("rank >= need")
-    return known.join(rare.select("item", "place"), ["item", "place"]).select("key", "item").distinct()
+    # a copy holds ``need`` places, so with need - share left out it still holds share; places that no text has need no room
+    need = F.greatest(F.ceil(F.lit(min_score) * F.col("size") - 1 - 1e-9), F.lit(1)).cast("int")
+    rare = of_place.withColumn("rank", rank).join(items.select("item", need.alias("need"), F.least(need, F.lit(SHARED)).alias("share")), "item") \
+        .where("rank > need - share")
+    return known.join(rare.select("item", "place", "share"), ["item", "place"]).select("key", "item", "place", "share").distinct()
 
 
 def find_copies(docs: DataFrame, items: DataFrame, text: str, min_score: float) -> DataFrame:
@@ -287,7 +291,8 @@ def find_copies(docs: DataFrame, items: DataFrame, text: str, min_score: float)
     bits = spark.sparkContext.broadcast(_Filter(rare.select("key")))
     # copies of a text have one digest and meet an item once
     held = texts.mapInArrow(tidy(_occurrences(bits)), "digest binary, key long")
-    pairs = held.join(bounded_broadcast(rare), "key").select("digest", "item").distinct()
+    pairs = held.join(bounded_broadcast(rare), "key").groupBy("digest", "item", "share", "place").agg(F.lit(1).alias("one")) \
+        .groupBy("digest", "item", "share").agg(F.count("one").alias("places")).where("places >= share").select("digest", "item")
     met = pairs.join(words.select("item", "words"), "item").join(named.select("item", "item_id"), "item")
     met = met.withColumn("row", F.floor((F.row_number().over(Window.partitionBy("digest").orderBy("item")) - 1) / ITEMS_PER_ROW))
     met = stored(met.groupBy("digest", "row").agg(F.collect_list(F.struct("item_id", "words")).alias("items")), "candidates")
