@@ -129,3 +129,10 @@ def test_contexts_of_any_length(spark):
     df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     got = {r["doc_id"]: [s["value"] for s in r["extra"]] for r in pii.personal_data(df).select("doc_id", "extra").collect()}
     assert {i: v for i, v in got.items() if v} == {16: ["212 555 0188"], 17: ["212 556 0189"]}
+
+
+def test_listed_and_joined_contexts_are_counted_alike(spark):
+    texts = spark.createDataFrame([("Call me: now, call ME; (me) — now",), ("now now",), (None,), ("",)], "t string")
+    apt = spark.createDataFrame([("before", "me:"), ("before", "now"), ("after", "(me"), ("after", "now"), ("after", "never")], "side string, word string")
+    one, two = ({(r["side"], r["word"]): r["uses"] for r in pii.unit_uses(texts, F.col("t"), apt, n).collect()} for n in (100, 1))
+    assert one == two == {("before", "me:"): 1, ("before", "now"): 3, ("after", "(me"): 1, ("after", "now"): 4}

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigil.llm.common import K1, let, stored, with_ordinal
-from vigil.plans.sizing import bounded_broadcast
+from vigil.plans.sizing import bounded_broadcast, collect_bounded
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -55,6 +55,8 @@ CANDIDATE_HINTS = {"email": r"(?i)[\[({ ]at[\])} ]", "ip": r"[\[(](?:\.|dot)[\])
 MIN_IDENTIFIERS = 3
 #: Confidence from which a pattern, or an instance, counts.
 MIN_CONFIDENCE = 0.5
+#: Contexts that are sought in the texts as a list; more are joined.
+MAX_LISTED = 5_000
 #: Rise of the known identifiers' mean belief under which a round without a new one is the last.
 SETTLED = 1e-6
 _WORD, _MARKS = r"[\p{L}\p{M}\p{N}]", r"[^\p{L}\p{M}\p{N}\s]"
@@ -129,22 +131,39 @@ def candidate_spans(text: Column, base: Column) -> Column:
     return F.filter(loose, lambda c: ~F.exists(base, lambda b: (c["start"] < b["end"]) & (b["start"] < c["end"])))
 
 
-def context_units(text: Column) -> Column:
-    """All of a text's (side, word) that the places between its words offer as contexts, in lower case."""
-    def units(side: str, pattern: str) -> Column:
-        return F.transform(F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0)),
-                           lambda w: F.struct(F.lit(side).alias("side"), w.alias("word")))
+#: Context units by side: a word with the marks behind it, or before it, or marks alone.
+UNITS = {"before": f"{_WORD}+{_MARKS}*|{_MARKS}+", "after": f"{_MARKS}*{_WORD}+|{_MARKS}+"}
 
-    return F.concat(units("before", f"{_WORD}+{_MARKS}*|{_MARKS}+"), units("after", f"{_MARKS}*{_WORD}+|{_MARKS}+"))
 
+def unit_uses(texts: DataFrame, text: Column, apt: DataFrame, max_listed: int = MAX_LISTED) -> DataFrame:
+    """(side, word, uses): how often the places between a text's words offer each context of ``apt`` (side, word), in lower case.
 
-def bootstrap(seen: DataFrame, corpus_words: DataFrame, min_confidence: float = MIN_CONFIDENCE,
+    Contexts that can become patterns are few; up to ``max_listed`` of them are sought within a
+    text's array of units, so no other unit becomes a row.  More meet the units in a join.
+    """
+    listed = collect_bounded(apt.select("side", "word"), max_listed)
+    found = lambda side: F.regexp_extract_all(F.lower(text), F.lit(UNITS[side]), F.lit(0))
+    if listed is None:
+        each = lambda side: F.transform(found(side), lambda w: F.struct(F.lit(side).alias("side"), w.alias("word")))
+        rows = texts.select(F.explode(F.concat(each("before"), each("after"))).alias("u")).select("u.*")
+        rows = rows.join(bounded_broadcast(apt), ["side", "word"], "left_semi")
+    else:
+        def wanted(side: str) -> Column:
+            words = [w for s, w in listed if s == side]
+            return F.filter(found(side), lambda w: w.isin(words)) if words else F.array().cast("array<string>")
+
+        pairs = F.map_from_arrays(F.array(F.lit("before"), F.lit("after")), F.array(wanted("before"), wanted("after")))
+        rows = texts.select(F.explode(pairs).alias("side", "words")).select("side", F.explode("words").alias("word"))
+    return rows.groupBy("side", "word").agg(F.count(F.lit(1)).alias("uses"))
+
+
+def bootstrap(seen: DataFrame, uses, min_confidence: float = MIN_CONFIDENCE,
               min_identifiers: int = MIN_IDENTIFIERS) -> DataFrame:
     """(kind, value) of the candidates that their contexts make identifiers.
 
     ``seen``: one row per occurrence: ``kind``, ``value``, ``before``, ``after``
-    (words beside it) and ``seed``.  ``corpus_words``: ``side``, ``word``, one row
-    per context unit of the corpus outside its identifiers.
+    (words beside it) and ``seed``.  ``uses``: a function from contexts (side, word) to
+    how often the corpus, outside its identifiers, has each (side, word, uses).
     """
     edge = seen.select("kind", "value", "seed", F.explode(F.array(
         F.struct(F.lit("before").alias("side"), F.col("before").alias("word")),
@@ -157,8 +176,7 @@ def bootstrap(seen: DataFrame, corpus_words: DataFrame, min_confidence: float =
                                                    F.sum((~F.col("seed")).cast("int")).alias("open")) \
         .where((F.col("seeds") + F.col("open") >= min_identifiers) & (F.col("open") >= 1))
     apt = stored(apt.select("side", "word").distinct(), "pattern-words")
-    counts = stored(corpus_words.join(bounded_broadcast(apt), ["side", "word"], "left_semi").groupBy("side", "word")
-                    .agg(F.count(F.lit(1)).alias("uses")), "pattern-uses")
+    counts = stored(uses(apt), "pattern-uses")
     edge = edge.join(bounded_broadcast(apt), ["side", "word"], "left_semi") \
         .join(bounded_broadcast(counts), ["side", "word"], "left").fillna(0, ["uses"])
     edge = stored(edge, "pattern-graph")
@@ -202,8 +220,8 @@ def personal_data(docs: DataFrame, text: str = "text") -> DataFrame:
     seen = few.select(F.explode("base").alias("s")).select("s.*", F.lit(True).alias("seed")).unionByName(
         loose.select("s.*", F.lit(False).alias("seed")))
     cut = let(base_spans(t), lambda b: replaced(t, F.concat(b, candidate_spans(t, b)), lambda s: F.lit("\n")))
-    corpus = docs.select(F.explode(let(cut, context_units)).alias("u")).select("u.*")
-    found = stored(bootstrap(seen.select("kind", "value", "before", "after", "seed"), corpus), "found")
+    uses = lambda apt: unit_uses(docs.select(cut.alias("cut")), F.col("cut"), apt)
+    found = stored(bootstrap(seen.select("kind", "value", "before", "after", "seed"), uses), "found")
     extra = loose.select(K1, "__ord", "s", F.col("s.kind").alias("kind"), F.col("s.value").alias("value")) \
         .join(found, ["kind", "value"], "left_semi") \
         .groupBy(F.col(K1).alias("__a"), F.col("__ord").alias("__b")).agg(F.sort_array(F.collect_set("s")).alias("extra"))
