@@ -47,3 +47,37 @@ def test_typed_parts_become_ordered_placeholders(spark):
     assert [tuple(a) for a in r["attachments"]] == [(0, "image", "s3://a.png", 1024), (0, "audio", "b.wav", 25), (0, "document", "c.pdf", 1200)]
     assert r["loss_text"] == "look <|image:1|> andtail"
     assert r["n_tokens"] == 2 + 1024 + 1 + 25 + 1200 + 1
+
+
+def test_typed_parts_are_read_back(spark):
+    """Real parts and texts that look like their marks come back as what they were, with references and tokens."""
+    rng = random.Random(4)
+    texts = ["<|image:0|>", "plain", "a <| b |> c", "\\<\\|x", "<", "|>", "line\nend", "<|im_end|>", "<|", "é😀"]
+    rows = []
+    for c in range(60):
+        for t in range(rng.randint(1, 3)):
+            parts = []
+            for _ in range(rng.randint(0, 6)):
+                if rng.random() < 0.5:
+                    parts.append(("text", rng.choice(texts), None, None))
+                else:
+                    k = rng.choice(["image", "audio", "document"])
+                    parts.append((k, None, rng.choice([None, f"s3://{k}|{rng.randint(0, 9)}"]), rng.choice([None, 2])))
+            rows.append((c, t, rng.choice(["user", "assistant"]), parts))
+    df = spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts array<{chat.PART}>")
+    got = {r["conv_id"]: r["parts"] for r in chat.read_parts(chat.format_conversations(df)).collect()}
+
+    def merged(parts):
+        out = []
+        for kind, text, ref, units in parts:
+            if kind == "text" and out and out[-1][0] == "text":
+                out[-1] = ("text", out[-1][1] + text, None, None)
+            elif kind == "text":
+                out.append(("text", text, None, None))
+            else:
+                out.append((kind, None, ref, chat.TOKENS_PER_UNIT[kind] * (units or 1)))
+        return out
+
+    for c in range(60):
+        want = [(r[2], merged(r[3])) for r in rows if r[0] == c]
+        assert [(t["role"], [tuple(p) for p in t["parts"]]) for t in got[c]] == want

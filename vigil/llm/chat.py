@@ -131,3 +131,36 @@ def read_formatted(formatted: DataFrame) -> DataFrame:
     masked = F.transform("loss", lambda m: unescape(F.substring(F.get(F.col("__stretch"), m["turn_no"]),
                                                                 m["start"] + 1, m["length"])))
     return d.withColumns({"turns": F.transform("__stretch", turn), "loss_text": F.array_join(masked, "")}).drop("__stretch")
+
+
+def read_parts(formatted: DataFrame) -> DataFrame:
+    """Adds ``parts``: every turn's content as typed parts again, array of (role, array of (kind, text, ref, tokens)).
+
+    ``<|`` stands in a formatted string only where a mark begins, so the marks of other
+    parts are told apart from a text that looks like one.  A mark's reference and tokens
+    are those of its ``attachments`` entry: the turn's marks and entries agree in order.
+    Texts next to each other come back as one text, empty ones not at all.
+    """
+    kind = "struct<kind:string,text:string,ref:string,tokens:bigint>"
+    stretches = F.filter(F.split("formatted", r"(?=<\|im_start\|>)", -1), lambda s: s != "")
+    foot = len(END) + 1
+
+    def typed(pieces: Column, files: Column) -> Column:
+        is_mark = lambda p: p.startswith("<|")
+        marks = lambda k: F.size(F.filter(F.slice(pieces, F.lit(1), k + 1), is_mark))
+        none = F.lit(None)
+        return F.transform(pieces, lambda p, k: F.when(is_mark(p), F.struct(
+            F.get(files, marks(k) - 1)["kind"].alias("kind"), none.cast("string").alias("text"),
+            F.get(files, marks(k) - 1)["ref"].alias("ref"), F.get(files, marks(k) - 1)["tokens"].alias("tokens")))
+            .otherwise(F.struct(F.lit("text").alias("kind"), unescape(p).alias("text"), none.cast("string").alias("ref"), none.cast("bigint").alias("tokens"))))
+
+    def turn(s: Column, i: Column) -> Column:
+        head = F.instr(s, "\n")
+        content = F.substring(s, head + 1, F.length(s) - head - foot)
+        pieces = F.regexp_extract_all(content, F.lit(r"(?s)<\|[^|]*\|>|(?:[^<]|<(?!\|))+"), F.lit(0))
+        files = F.filter("attachments", lambda a: a["turn_no"] == i)
+        found = F.get(F.transform(F.array(F.struct(pieces.alias("p"), files.alias("f"))), lambda x: typed(x["p"], x["f"])), F.lit(0))
+        return F.struct(unescape_role(F.substring(s, F.lit(len(START) + 1), head - len(START) - 1)).alias("role"),
+                        found.cast(f"array<{kind}>").alias("parts"))
+
+    return formatted.withColumn("parts", F.transform(stretches, turn))
