@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vigil.llm.common import n_words, read, stored
+from vigil.llm.common import WORD, n_words, read, stored
 from vigil.llm.decontam import decontaminate
 from vigil.llm.fragjoin import ngram_jaccard
 from vigil.llm.mixing import mix_sources
@@ -67,7 +67,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows without an id, and further texts of one id, are documents of their own and come
     after all ids; rows equal in id and text are one document.  Rows without words all stay.
     """
-    worded = n_words(F.col("text")) > 0
+    worded = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
     rows = _numbered(docs.where(worded))
     found = ngram_jaccard(rows.select(F.col("__number").alias("doc_id"), "text"), n=SHINGLE_WORDS, percent=PERCENT)
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
