@@ -21,6 +21,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 K1, K2 = "__k1", "__k2"
 NULL_ID = (1 << 63) - 1
+#: Buckets of texts without an id that are numbered apart.
+NULL_BUCKETS = 1_024
 
 
 def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -173,15 +175,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def with_ordinal(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", out: str = "__ord") -> DataFrame:
     """Adds K1 and an ordinal that tells apart the different texts of one ``doc_id`` (0 for an id's only text).
 
-    Rows equal in id and text share both, so (K1, ordinal) names a document.
+    Rows equal in id and text share both, so (K1, ordinal) names a document.  Texts of one
+    id are ordered by hash.  Those without an id, which may be very many, are numbered
+    within ``NULL_BUCKETS`` buckets of hashes, the numbers interleaved, so no task sorts
+    all of them (up to 2^31 texts).
     """
     from pyspark.sql import Window
 
     from vigil.plans.sizing import bounded_broadcast
 
     keyed = docs.withColumns(doc_key(doc_id, text))
+    named = F.col(K1) != NULL_ID
     many = keyed.groupBy(K1, K2).agg(F.count(F.lit(1)).alias("__n")) \
-        .withColumn("__o", F.row_number().over(Window.partitionBy(K1).orderBy(K2)) - 1).where("__o > 0") \
+        .withColumn("__in", F.when(named, 0).otherwise(F.pmod(K2, F.lit(NULL_BUCKETS).cast("long")).cast("int")))
+    place = F.row_number().over(Window.partitionBy(K1, "__in").orderBy(K2)) - 1
+    many = many.withColumn("__o", place * F.when(named, 1).otherwise(NULL_BUCKETS) + F.col("__in")).where("__o > 0") \
         .select(F.col(K1).alias("__a"), F.col(K2).alias("__b"), "__o")
     many = bounded_broadcast(stored(many, "ordinals"))
     return keyed.join(many, (F.col(K1) == F.col("__a")) & (F.col(K2) == F.col("__b")), "left") \
