@@ -136,3 +136,19 @@ def test_listed_and_joined_contexts_are_counted_alike(spark):
     apt = spark.createDataFrame([("before", "me:"), ("before", "now"), ("after", "(me"), ("after", "now"), ("after", "never")], "side string, word string")
     one, two = ({(r["side"], r["word"]): r["uses"] for r in pii.unit_uses(texts, F.col("t"), apt, n).collect()} for n in (100, 1))
     assert one == two == {("before", "me:"): 1, ("before", "now"): 3, ("after", "(me"): 1, ("after", "now"): 4}
+
+
+def test_hints_pass_every_match():
+    """A text that the hint turns down holds no match of the pattern."""
+    import random
+    import re
+
+    rng = random.Random(12)
+    bits = ["bob", "a", "at", "AT", "dot", "Dot", "example", "com", "[", "]", "(", ")", "{", "}", " ", " ", ".", "@", "1", "23", "456", "+", "-", "\n"]
+    for _ in range(40_000):
+        t = "".join(rng.choice(bits) for _ in range(rng.randint(1, 16)))
+        for kind in pii.KINDS:
+            for patterns, hints in ((pii.SEEDS, pii.HINTS), (pii.CANDIDATES, pii.CANDIDATE_HINTS)):
+                if "\\G" not in patterns[kind] and re.search(patterns[kind], t):
+                    assert re.search(hints[kind], t), (kind, t)
+                    assert kind == "email" or re.search("[0-9]", t)

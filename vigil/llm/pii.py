@@ -48,8 +48,10 @@ CANDIDATES = {
 }
 #: A cheap test that a text can hold any match at all.
 HINTS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
-CANDIDATE_HINTS = {"email": r"(?i)[\[({ ]at[\])} ]", "ip": r"[\[(](?:\.|dot)[\])]", "card": r"[0-9][\x20.-]?[0-9][\x20.-]?[0-9]",
-                   "phone": r"[0-9]\)?[\x20.-][0-9]"}
+#: Of a written-out address the middle: the word for the at sign up to the first one for a dot.
+CANDIDATE_HINTS = {
+    "email": r"(?i)(?:[\[({]\x20?at\x20?[\])}]\x20?|\x20at\x20)[A-Za-z0-9-]++(?:\x20?[\[({]\x20?dot\x20?[\])}]|\x20dot\x20|\.)",
+    "ip": r"[\[(](?:\.|dot)[\])]", "card": r"[0-9][\x20.-]?[0-9][\x20.-]?[0-9]", "phone": r"[0-9]\)?[\x20.-][0-9]"}
 
 #: Different identifiers that a pattern must have been seen with.
 MIN_IDENTIFIERS = 3
@@ -117,17 +119,23 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def _by_kind(text: Column, spans) -> Column:
+    """The spans of all kinds as listed; all but mail addresses have digits, so a text without one is searched for those only."""
+    numbers = F.when(text.rlike("[0-9]"), F.concat(*[spans(k) for k in KINDS if k != "email"])).otherwise(F.array().cast(f"array<{SPAN}>"))
+    return F.concat(spans("email"), numbers)
+
+
 def base_spans(text: Column) -> Column:
     """The seeds of a text, kinds as listed, by place within a kind."""
     def seeds(kind: str) -> Column:
         return F.filter(_matches(text, kind, SEEDS[kind], HINTS[kind]), lambda s: _valid(kind, s["value"]))
 
-    return F.concat(*[seeds(k) for k in KINDS])
+    return _by_kind(text, seeds)
 
 
 def candidate_spans(text: Column, base: Column) -> Column:
     """Loose matches that overlap no seed."""
-    loose = F.concat(*[_matches(text, k, CANDIDATES[k], CANDIDATE_HINTS[k]) for k in KINDS])
+    loose = _by_kind(text, lambda k: _matches(text, k, CANDIDATES[k], CANDIDATE_HINTS[k]))
     return F.filter(loose, lambda c: ~F.exists(base, lambda b: (c["start"] < b["end"]) & (b["start"] < c["end"])))
 
 
