@@ -22,13 +22,13 @@ st2 as (select *, sd * pow(cast(n as double), -0.2) as bw from st where n >= 2 a
 st3 as (select *, vmin - 2.0 * bw as lo, ((vmax + 2.0 * bw) - (vmin - 2.0 * bw)) / 199.0 as step from st2),
 vals as (select model, perspective, authority_count as v, count(*) as c from v2 group by all),
 g as (select st3.*, v, c, cast(point as int) as point from vals join st3 using (model, perspective) cross join generate_series(0, 199) t(point))
-select model, perspective, point, round(lo + point * step, 8) as x,
-       round(sum(c * exp(-0.5 * ((lo + point * step - v) / bw) * ((lo + point * step - v) / bw))) * (1.0 / sqrt(2.0 * pi())) / (n * bw), 8) as density
+select model, perspective, point, round(lo + point * step, 9) as x,
+       round(sum(c * exp(-0.5 * ((lo + point * step - v) / bw) * ((lo + point * step - v) / bw))) * (1.0 / sqrt(2.0 * pi())) / (n * bw), 9) as density
 from g group by model, perspective, point, lo, step, n, bw""")
 def q_grouped_kde_rows(spark, sf):
     """Density of a row-level score with many different values, from the moments of boxes."""
     k = grouped_kde_moments(scored_rows(spark, sf), col="authority_count")
-    return k.select("model", "perspective", "point", F.round("x", 8).alias("x"), F.round("density", 8).alias("density"))
+    return k.select("model", "perspective", "point", r9("x"), r9("density"))
 
 
 # ---------------------------------------------------------------- L2/L4, entries of several words
