@@ -88,6 +88,24 @@ def test_settings_nulls_errors_and_empty(spark, tmp_path):
     assert len({key("a", "b", "c"), key("ab", "", "c"), key("a", "", "bc"), key("", "ab", "c"), key(None, "b", "c")}) == 5
 
 
+def test_rows_without_a_job_are_not_dealt_by_their_null_key(spark, tmp_path):
+    rows = [(f"m{i % 3}", f"{tmp_path}|say {i}", None if i < 40 else "no route") for i in range(440)]
+    df = spark.createDataFrame(rows, "model string, prompt string, error string").repartition(4)
+    held = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        out = respond_with_ledger(df, shout, str(tmp_path / "ledger"), error_col="error")
+        at = out.where("error is not null").groupBy(F.spark_partition_id()).count().collect()
+        assert max(r["count"] for r in at) < 200
+        got = [tuple(r) for r in out.select("model", "prompt", "error", "response").collect()]
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert sorted(got, key=str) == sorted(((m, p, e, e or p.split("|")[1].upper()) for m, p, e in rows), key=str)
+
+
 def test_a_rate_is_shared_by_the_tasks(spark, tmp_path):
     df = spark.createDataFrame([("m", f"{tmp_path}|{i}") for i in range(24)], "model string, prompt string")
     at = time.monotonic()

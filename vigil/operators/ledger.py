@@ -126,6 +126,18 @@ def answer_jobs(df: DataFrame, responder: Responder, ledger: str, prompt_col: st
     return n
 
 
+def join_jobs(df: DataFrame, key: Column, known: DataFrame, on: str = "job", asked: Column | None = None) -> DataFrame:
+    """Left join with ``known`` by the job's key, which becomes the column ``on``.
+
+    Rows where ``asked`` is false have no job: they get nulls and stay where they are.
+    A join would deal all their null keys to one task.
+    """
+    if asked is None:
+        return df.withColumn(on, key).join(known, on, "left")
+    met = df.where(asked).withColumn(on, key).join(known, on, "left")
+    return met.unionByName(df.where(~asked), allowMissingColumns=True)
+
+
 def respond_with_ledger(df: DataFrame, responder: Responder, ledger: str, prompt_col: str = "prompt", model_col: str = "model",
                         reasoning: str | Column | None = None, error_col: str | None = None, **kw) -> DataFrame:
     """``map_responder`` through a ledger: adds ``response`` and ``raw_response``; answered jobs are not called again.
@@ -139,8 +151,6 @@ def respond_with_ledger(df: DataFrame, responder: Responder, ledger: str, prompt
     setting = F.lit("") if reasoning is None else F.col(reasoning) if isinstance(reasoning, str) else reasoning
     answers = read_ledger(df.sparkSession, ledger).select(F.col("job").alias("__job"), F.col("response").alias("__r"), F.col("raw_response").alias("__raw"))
     key = job_key(F.col(model_col), setting.cast("string"), F.col(prompt_col))
-    if error_col is not None:
-        key = F.when(F.col(error_col).isNull(), key)
-    out = df.withColumn("__key", key).join(answers, F.col("__key") == F.col("__job"), "left")
+    out = join_jobs(df, key, answers, "__job", None if error_col is None else F.col(error_col).isNull())
     error = F.lit(None).cast("string") if error_col is None else F.col(error_col)
     return out.select(*keep, F.coalesce(error, "__r").alias("response"), F.coalesce(error, "__raw").alias("raw_response"))

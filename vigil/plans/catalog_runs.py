@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from vigil.operators import grid as G
 from vigil.operators import increments as I
-from vigil.operators.ledger import answer_jobs, job_key, read_ledger, respond_with_ledger
+from vigil.operators.ledger import answer_jobs, job_key, join_jobs, read_ledger, respond_with_ledger
 from vigil.plans import oracles as O
 from vigil.plans.catalog import MORAL4, ROUTE_SQL, ROUTES, V1_COLS, _fresh, _scored_v1_sql, _stats_sql, r9, register
 from vigil.plans.study import lexicon_scored_responses
@@ -45,8 +45,8 @@ def q_responder_ledger(spark, sf):
     answer_jobs(asked.where("route_error is null and severity <= 2"), stub_responder, ledger, reasoning=low)
     out = respond_with_ledger(asked, stub_responder, ledger, reasoning=low, error_col="route_error")
     calls = read_ledger(spark, ledger).select("job", "calls")
-    key = F.when(F.col("route_error").isNull(), job_key(F.col("model"), low, F.col("prompt")))
-    return out.withColumn("job", key).join(calls, "job", "left").select("template", "closeness", "severity", "model", "perspective_run", "response", "calls")
+    out = join_jobs(out, job_key(F.col("model"), low, F.col("prompt")), calls, asked=F.col("route_error").isNull())
+    return out.select("template", "closeness", "severity", "model", "perspective_run", "response", "calls")
 
 
 # ---------------------------------------------------------------- S2 + A1-A3 kept up to date
