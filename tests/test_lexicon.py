@@ -170,3 +170,17 @@ def test_hash_filter_loses_no_key(spark):
     df = spark.range(3000).selectExpr("concat('k', id) as k", "id")
     kept = {r["id"] for r in keep_possible(df, "k", hash_bits(keys, "k", 8), 8).collect()}
     assert kept >= set(range(0, 3000, 3)) and len(kept) < 2000
+
+
+@pytest.mark.parametrize("bound", [1_000, 0])
+def test_large_lexicon_shuffles_no_row_per_text_and_token(spark, bound):
+    df = spark.createDataFrame([(i, f"alpha beta w{i % 3} gamma") for i in range(40)], "id long, body string")
+    lex = spark.createDataFrame([("alpha", "a.v", 1), ("gamma", "b.v", 2)], "token string, category string, ordinal long")
+    out = lexicon_scores(df, lex, col="body", stopwords=None, strategy="join", max_broadcast_tokens=bound)
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    lines = out._jdf.queryExecution().explainString(mode).splitlines()
+    moved = [line for at, line in enumerate(lines) if "Input [" in line and " Exchange" in lines[at - 1]]
+    assert moved and not any("__k#" in line and re.search(r"\btoken#", line) for line in moved)
+    # md5 is taken once per text, below the generator
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"md5[^\n]*\n[^\n]*Generate", plan)

@@ -11,10 +11,11 @@ Two plans:
   dimension table) becomes literal hash sets; one pass keeps the matched
   tokens, then small per-category passes count them.  Rows never move.
 * ``join``: rows become (digest, token, count) vectors, which meet the lexicon
-  in the scan (a broadcast when its size is checked small, else a bounded hash
-  filter and a shuffle join of what it leaves), add up per text digest and join
-  back.  The text itself never travels.  Used for lexicons above
-  ``max_inline_tokens``.
+  and add up per text digest; the sums join back.  The text itself never travels.
+  A lexicon checked small is broadcast into the scan.  For a larger one the vectors
+  are packed into blocks, and only the distinct tokens of a block pass a bounded
+  hash filter and a shuffle join; a block's vectors travel once, packed.  Used for
+  lexicons above ``max_inline_tokens``.
 
 Stopword removal is applied to the lexicon, not per row: the ratio
 denominator counts only matched tokens, so dropping stopword tokens before
@@ -23,8 +24,11 @@ matching equals dropping stopword entries from the lexicon.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import Counter
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +41,8 @@ from vigil.session import materialize
 DEFAULT_STOPWORDS = "english"
 #: Categories that a lexicon may bring without being asked for; each makes two columns.
 MAX_CATEGORIES = 2_000
+#: Characters of packed vectors in a block, about: what a task holds of the texts at a time.
+BLOCK_CHARS = 32 << 20
 
 
 def lexicon_map(lexicon: DataFrame, token: str = "token", category: str = "category",
@@ -129,7 +135,7 @@ def lexicon_scores(df: DataFrame, lexicon: DataFrame, col: str = "response",
         if found is None:  # one output column each
             raise ValueError(f"lexicon with more than {MAX_CATEGORIES} categories; name the wanted ones in categories=")
         categories = sorted(r[0] for r in found)
-    categories = list(categories)
+    categories = list(dict.fromkeys(categories))
     foundations = list(foundations) if foundations is not None else foundations_of(categories)
 
     if pairs is not None:
@@ -157,19 +163,12 @@ def lexicon_scores(df: DataFrame, lexicon: DataFrame, col: str = "response",
     # What travels is (digest, token, count) of tokens that may match; a text
     # stays in its scan, unless the caller selects it from the result.
     digest = F.unhex(F.md5(F.coalesce(F.col(col).cast("string"), F.lit("nan")).cast("binary")))
-    vectors = df.select(digest.alias("__k"), F.inline(token_counts(tokenize(F.col(col)))))
-    token_map = materialize(token_map.select("token", "category"))
-    if is_small(token_map, max_broadcast_tokens):
-        vectors, token_map = vectors.join(F.broadcast(token_map), "token"), None
-    else:
-        vectors = keep_possible(vectors, "token", materialize(hash_bits(token_map, "token")))
-    # rows with the same text have the same vector: one of them counts
-    carried = [F.first("category").alias("category")] if token_map is None else []
-    vectors = vectors.groupBy("__k", "token").agg(F.max("n").alias("n"), *carried)
-    hits = vectors if token_map is None else vectors.join(token_map, "token")  # AQE splits a hot token's partition
-    agg = hits.groupBy(F.col("__k").alias("__k2")).agg(*[F.sum(F.when(F.col("category") == c, F.col("n")).otherwise(0)).alias(f"__c{i}")
-                                                        for i, c in enumerate(categories)])
-    j = df.withColumn("__k", digest).join(agg, F.col("__k") == F.col("__k2"), "left")
+    wanted = F.array(*map(F.lit, categories)).cast("array<string>")
+    token_map = materialize(token_map.select("token", (F.array_position(wanted, F.col("category")) - 1).cast("int").alias("__cat"))
+                            .where("__cat >= 0"))
+    sums = _broadcast_sums if is_small(token_map, max_broadcast_tokens) else _block_sums
+    agg = sums(df.select(digest.alias("__k"), tokenize(F.col(col)).alias("__t")), token_map, len(categories))
+    j = df.withColumn("__k", digest).join(agg.withColumnRenamed("__k", "__k2"), F.col("__k") == F.col("__k2"), "left")
     counts = {c: F.coalesce(F.col(f"__c{i}"), F.lit(0).cast("long")) for i, c in enumerate(categories)}
     matched = sum(list(counts.values())[1:], list(counts.values())[0]) if counts else F.lit(0)
     cols = _count_columns(counts, matched, foundations)
@@ -178,6 +177,70 @@ def lexicon_scores(df: DataFrame, lexicon: DataFrame, col: str = "response",
     return j.withColumns(cols).drop("__k", "__k2", *[f"__c{i}" for i in range(len(categories))])
 
 
+def _broadcast_sums(texts: DataFrame, token_map: DataFrame, n: int) -> DataFrame:
+    """(digest, a sum per category) of (digest, tokens) rows; the lexicon is broadcast, so a text's tokens add up in the scan.
+
+    The digest is a column of its own before the vector is exploded, else it is made anew for each
+    token.  The vector is none, else Spark infers a filter on its size and makes it twice.
+    """
+    tokens = texts.select("__k", F.posexplode(token_counts(F.col("__t"))).alias("__pos", "__e")).select("__k", "__pos", "__e.token", "__e.n")
+    hits = tokens.join(F.broadcast(token_map), "token", "left")
+    sums = [F.sum(F.when(F.col("__cat") == i, F.col("n")).otherwise(0)).alias(f"__c{i}") for i in range(n)]
+    # rows with the same text have the same vector: the sums are so many times those of one
+    agg = hits.groupBy("__k").agg(*sums, F.count_if(F.col("__pos") == 0).alias("__copies"))
+    return agg.select("__k", *[F.expr(f"__c{i} div __copies").alias(f"__c{i}") for i in range(n)])
+
+
+def _packing(block_chars: int):
+    @F.pandas_udf("block int, tokens string, counts string")
+    def pack(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        """Distinct tokens and their counts; the number goes up when a task's rows have filled a block."""
+        filled = 0
+        for some in texts:
+            rows = []
+            for t in some:
+                c = Counter(t.split())
+                words = " ".join(c)
+                rows.append((filled // block_chars, words, " ".join(map(str, c.values()))))
+                filled += len(words) + 1
+            yield pd.DataFrame(rows, columns=["block", "tokens", "counts"])
+    return pack
+
+
+def _counting(n: int):
+    def count(rows: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+        """A block's packed vectors by its own part of the lexicon."""
+        cat = dict(zip(words["token"], words["__cat"].tolist(), strict=True))
+        sums = np.zeros((len(rows), n), dtype="int64")
+        for i, (tokens, counts) in enumerate(zip(rows["tokens"], rows["counts"], strict=True)):
+            for t, c in zip(tokens.split(), counts.split(), strict=True):
+                if (at := cat.get(t)) is not None:
+                    sums[i, at] += int(c)
+        out = pd.DataFrame(sums, columns=[f"__c{i}" for i in range(n)])
+        out.insert(0, "__k", rows["__k"].to_numpy())
+        return out
+    return count
+
+
+def _block_sums(texts: DataFrame, token_map: DataFrame, n: int, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """(digest, a sum per category) of (digest, tokens) rows, for a lexicon above the broadcast bound.
+
+    A row per (text, token) would be shuffled to the lexicon and back.  Instead each task
+    cuts its texts into blocks of ``block_chars`` packed characters, written once; the
+    distinct tokens of a block, far fewer, meet the lexicon, and a block's texts their answers.
+    """
+    packed = texts.select("__k", _packing(block_chars)(F.array_join("__t", " ")).alias("__p"))
+    block = F.call_function("shiftleft", F.spark_partition_id().cast("long"), F.lit(32)) + F.col("__p.block")
+    packed = materialize(packed.select("__k", block.alias("__block"), "__p.tokens", "__p.counts").where("tokens != ''"))
+    words = packed.select(F.col("__block").alias("__b"), F.explode(F.split("tokens", " ")).alias("token"))
+    words = keep_possible(words, "token", materialize(hash_bits(token_map, "token"))).distinct()
+    named = words.join(token_map, "token").select("__b", "token", "__cat")
+    schema = ", ".join(["__k binary", *[f"__c{i} long" for i in range(n)]])
+    counted = packed.groupBy("__block").cogroup(named.groupBy("__b")).applyInPandas(_counting(n), schema)
+    # rows with the same text have the same sums: one of them counts
+    return counted.groupBy("__k").agg(*[F.max(f"__c{i}").alias(f"__c{i}") for i in range(n)])
+
+
 def token_category_hits(df: DataFrame, lexicon: DataFrame, col: str, key: str,
                         stopwords=DEFAULT_STOPWORDS, max_broadcast_rows: int = 200_000) -> DataFrame:
     """The probe itself — one row per matched token (key, token, category)."""
