@@ -184,3 +184,28 @@ def test_large_lexicon_shuffles_no_row_per_text_and_token(spark, bound):
     # md5 is taken once per text, below the generator
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert not re.search(r"md5[^\n]*\n[^\n]*Generate", plan)
+
+
+def test_blocks_of_any_size_give_the_same_sums(spark):
+    from vigil.operators.lexicon import _block_sums
+
+    texts = [f"alpha beta w{i % 7} " * (i % 4) + "gamma" * (i % 2) for i in range(60)] * 2
+    rows = [(str(i % 60).encode(), t.split()) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "__k binary, __t array<string>").repartition(3)
+    lex = {"alpha": 0, "w1": 1, "gamma": 1, "never": 0}
+    words = spark.createDataFrame(list(lex.items()), "token string, __cat int")
+    want = {k: tuple(sum(lex.get(w) == c for w in t) for c in (0, 1)) for k, t in rows if t}
+    for chars in (1, 100, 1 << 20):
+        got = _block_sums(df, words, 2, chars).collect()
+        assert len(got) == len(want) and {bytes(r["__k"]): (r["__c0"], r["__c1"]) for r in got} == want
+
+
+def test_large_lexicon_of_other_categories_and_an_empty_one(spark):
+    df = spark.createDataFrame([(1, "aa bb"), (2, None), (2, None)], "id int, text string")
+    schema = "token string, category string, ordinal long"
+    for rows, want in (([("aa", "x", 1), ("bb", None, 2), ("nan", "y", 3)], [(1, 1), (2, 0), (2, 0)]), ([], [(1, 0), (2, 0), (2, 0)])):
+        for bound in (1_000, 0):
+            out = lexicon_scores(df, spark.createDataFrame(rows, schema), col="text", categories=["x", "z", "x"], stopwords=None,
+                                 strategy="join", max_broadcast_tokens=bound, keep_matched=True)
+            assert sorted((r["id"], r["x_count"]) for r in out.collect()) == want
+            assert all(r["z_count"] == 0 and r["matched_count"] == r["x_count"] for r in out.collect())
