@@ -209,3 +209,41 @@ def test_large_lexicon_of_other_categories_and_an_empty_one(spark):
                                  strategy="join", max_broadcast_tokens=bound, keep_matched=True)
             assert sorted((r["id"], r["x_count"]) for r in out.collect()) == want
             assert all(r["z_count"] == 0 and r["matched_count"] == r["x_count"] for r in out.collect())
+
+
+def test_only_vocabularies_meet_the_lexicon(spark, monkeypatch):
+    from vigil.operators import lexicon as L
+    from vigil.plans.bits import keep_possible
+
+    words = ["cod", "dab", "eel", "fin", "gar"]
+    texts = [f"alpha beta alpha {words[i % 5]}" for i in range(90)] + ["", "4 2", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string").repartition(3).sortWithinPartitions("id")
+    lex = spark.createDataFrame([("alpha", "a.v", 1), ("eel", "b.v", 2), ("nan", "b.v", 3)], "token string, category string, ordinal long")
+    met = []
+    monkeypatch.setattr(L, "keep_possible", lambda tokens, key, bits: met.append(tokens) or keep_possible(tokens, key, bits))
+    out = L.lexicon_scores(df, lex, col="text", stopwords=None, strategy="join", max_broadcast_tokens=0)
+    got = {r["id"]: (r["a_v_count"], r["b_v_count"]) for r in out.collect()}
+    assert got == {i: (2, i % 5 == 2) for i in range(90)} | {90: (0, 0), 91: (0, 0), 92: (0, 1)}
+    # a row per distinct token of a block, not one per text and token
+    assert met[0].count() <= 3 * len({"alpha", "beta", "nan", *words})
+
+
+def test_long_texts_among_texts_without_tokens_in_blocks(spark):
+    from vigil.operators.lexicon import _block_sums
+
+    rows = [(b"a", ["x"] * 100_000 + ["y"] * 300), (b"b", []), (b"c", ["never"]), (b"d", []), (b"e", ["y", "z", "y"])]
+    words = spark.createDataFrame([("x", 0), ("y", 1)], "token string, __cat int")
+    for some in (rows, rows[1:2], rows[:0]):
+        df = spark.createDataFrame(some, "__k binary, __t array<string>").coalesce(1)
+        for chars in (1, 20, 150_000, 1 << 25):
+            got = {bytes(r["__k"]): (r["__c0"], r["__c1"]) for r in _block_sums(df, words, 2, chars).collect()}
+            assert got == {k: (t.count("x"), t.count("y")) for k, t in some if t}
+
+
+def test_distinct_tokens_make_no_row_per_occurrence(spark):
+    from vigil.operators.lexicon import distinct_tokens
+
+    df = spark.createDataFrame([("One two, ONE",), (None,), ("",), ("12",), ("Kelvin café two",)], "text string")
+    out = distinct_tokens(df, "text")
+    assert sorted(r["token"] for r in out.collect()) == sorted({"one", "two", "nan", "kelvin", "caf"})
+    assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()

@@ -13,9 +13,9 @@ Two plans:
 * ``join``: rows become (digest, token, count) vectors, which meet the lexicon
   and add up per text digest; the sums join back.  The text itself never travels.
   A lexicon checked small is broadcast into the scan.  For a larger one the vectors
-  are packed into blocks, and only the distinct tokens of a block pass a bounded
-  hash filter and a shuffle join; a block's vectors travel once, packed.  Used for
-  lexicons above ``max_inline_tokens``.
+  are packed into blocks, as places in a block's vocabulary, and only the vocabularies
+  pass a bounded hash filter and a shuffle join; a block's vectors travel once, packed.
+  Used for lexicons above ``max_inline_tokens``.
 
 Stopword removal is applied to the lexicon, not per row: the ratio
 denominator counts only matched tokens, so dropping stopword tokens before
@@ -24,11 +24,14 @@ matching equals dropping stopword entries from the lexicon.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator, Sequence
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +44,7 @@ from vigil.session import materialize
 DEFAULT_STOPWORDS = "english"
 #: Categories that a lexicon may bring without being asked for; each makes two columns.
 MAX_CATEGORIES = 2_000
-#: Characters of packed vectors in a block, about: what a task holds of the texts at a time.
+#: Bytes of tokens in a block, about: what a task holds of the texts at a time.
 BLOCK_CHARS = 32 << 20
 
 
@@ -191,32 +194,77 @@ def _broadcast_sums(texts: DataFrame, token_map: DataFrame, n: int) -> DataFrame
     return agg.select("__k", *[F.expr(f"__c{i} div __copies").alias(f"__c{i}") for i in range(n)])
 
 
+def distinct_tokens(df: DataFrame, col: str) -> DataFrame:
+    """Every distinct token of the texts; those of a batch of texts are told apart before a token becomes a row."""
+    def of_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0).flatten().unique()], ["token"])
+    return df.select(tokenize(F.col(col)).alias("t")).mapInArrow(of_batch, "token string").distinct()
+
+
 def _packing(block_chars: int):
-    @F.pandas_udf("block int, tokens string, counts string")
-    def pack(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        """Distinct tokens and their counts; the number goes up when a task's rows have filled a block."""
-        filled = 0
-        for some in texts:
-            rows = []
-            for t in some:
-                c = Counter(t.split())
-                words = " ".join(c)
-                rows.append((filled // block_chars, words, " ".join(map(str, c.values()))))
-                filled += len(words) + 1
-            yield pd.DataFrame(rows, columns=["block", "tokens", "counts"])
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row per text with its distinct tokens, as places in its block's vocabulary, and their counts; a row per block with the vocabulary."""
+        task, block, filled, held = TaskContext.get().partitionId() << 32, 0, 0, []
+        for b in batches:
+            lists = b.column(1)
+            # a text goes to the block that is being filled where it begins
+            ends = filled + np.cumsum(_text_bytes(lists))
+            at = np.concatenate([[filled], ends[:-1]]) // block_chars
+            for first, last in pairwise([0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)]):
+                if first < last:
+                    if held and at[first] != block:
+                        yield _packed(task + block, held)
+                        held = []
+                    block = int(at[first])
+                    held.append(b.slice(first, last - first))
+            filled = int(ends[-1]) if len(ends) else filled
+        if held:
+            yield _packed(task + block, held)
     return pack
 
 
+def _text_bytes(lists: pa.ListArray) -> np.ndarray:
+    """About what each text takes in a block: its tokens' characters, a place for each of them, and its digest."""
+    n = lists.value_lengths().to_numpy(zero_copy_only=False).astype("int64")
+    chars = np.concatenate([[0], np.cumsum(pc.binary_length(lists.flatten()).to_numpy(zero_copy_only=False), dtype="int64")])
+    ends = np.cumsum(n)
+    return chars[ends] - chars[ends - n] + n + 16
+
+
+def _packed(block: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """The texts of one block as rows, its vocabulary as the last."""
+    batch = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+    lists = batch.column(1)
+    n = lists.value_lengths().to_numpy(zero_copy_only=False).astype("int64")
+    tokens = lists.flatten().dictionary_encode()
+    vocabulary = tokens.dictionary
+    size = max(len(vocabulary), 1)
+    # (text, place) pairs in order, each with its number
+    pairs, counts = np.unique(np.repeat(np.arange(len(n)), n) * size + tokens.indices.to_numpy(), return_counts=True)
+    text, place = np.divmod(pairs, size)
+    ends = np.cumsum(np.bincount(text, minlength=len(n)))[:-1]
+    some = n > 0
+    cut = [[x.tobytes() for x, keep in zip(np.split(v.astype("<i4"), ends), some, strict=True) if keep] for v in (place, counts)]
+    keys = batch.column(0).filter(pa.array(some)).to_pylist()
+    words = pa.ListArray.from_arrays(pa.array([0, len(vocabulary)], pa.int32()), vocabulary.cast(pa.string()))
+    return pa.RecordBatch.from_arrays([
+        pa.array([block] * (len(keys) + 1), pa.int64()), pa.array([*keys, None], pa.binary()),
+        pa.array([*cut[0], None], pa.binary()), pa.array([*cut[1], None], pa.binary()),
+        pa.concat_arrays([pa.nulls(len(keys), words.type), words])],
+        ["__block", "__k", "places", "counts", "vocabulary"])
+
+
 def _counting(n: int):
     def count(rows: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-        """A block's packed vectors by its own part of the lexicon."""
-        cat = dict(zip(words["token"], words["__cat"].tolist(), strict=True))
-        sums = np.zeros((len(rows), n), dtype="int64")
-        for i, (tokens, counts) in enumerate(zip(rows["tokens"], rows["counts"], strict=True)):
-            for t, c in zip(tokens.split(), counts.split(), strict=True):
-                if (at := cat.get(t)) is not None:
-                    sums[i, at] += int(c)
-        out = pd.DataFrame(sums, columns=[f"__c{i}" for i in range(n)])
+        """A block's packed vectors by its own part of the lexicon; places that are not in it count for a category ``n``."""
+        places = np.frombuffer(b"".join(rows["places"]), "<i4")
+        counts = np.frombuffer(b"".join(rows["counts"]), "<i4")
+        cat = np.full(places.max(initial=0) + 1, n)
+        cat[words["__pos"].to_numpy()] = words["__cat"].to_numpy()
+        text = np.repeat(np.arange(len(rows)), rows["places"].map(len).to_numpy(dtype="int64") // 4)
+        sums = np.bincount(text * (n + 1) + cat[places], counts, len(rows) * (n + 1)).astype("int64").reshape(len(rows), n + 1)
+        out = pd.DataFrame(sums[:, :n], columns=[f"__c{i}" for i in range(n)])
         out.insert(0, "__k", rows["__k"].to_numpy())
         return out
     return count
@@ -226,17 +274,17 @@ def _block_sums(texts: DataFrame, token_map: DataFrame, n: int, block_chars: int
     """(digest, a sum per category) of (digest, tokens) rows, for a lexicon above the broadcast bound.
 
     A row per (text, token) would be shuffled to the lexicon and back.  Instead each task
-    cuts its texts into blocks of ``block_chars`` packed characters, written once; the
-    distinct tokens of a block, far fewer, meet the lexicon, and a block's texts their answers.
+    cuts its texts into blocks of about ``block_chars`` and writes them once, their tokens
+    as places in the block's vocabulary.  The vocabularies, far fewer rows, meet the lexicon;
+    a block's texts meet their answers by place, so no token of a text is a row or a string again.
     """
-    packed = texts.select("__k", _packing(block_chars)(F.array_join("__t", " ")).alias("__p"))
-    block = F.call_function("shiftleft", F.spark_partition_id().cast("long"), F.lit(32)) + F.col("__p.block")
-    packed = materialize(packed.select("__k", block.alias("__block"), "__p.tokens", "__p.counts").where("tokens != ''"))
-    words = packed.select(F.col("__block").alias("__b"), F.explode(F.split("tokens", " ")).alias("token"))
-    words = keep_possible(words, "token", materialize(hash_bits(token_map, "token"))).distinct()
-    named = words.join(token_map, "token").select("__b", "token", "__cat")
+    packed = materialize(texts.mapInArrow(_packing(block_chars), "__block long, __k binary, places binary, counts binary, vocabulary array<string>"))
+    words = packed.where("vocabulary is not null").select(F.col("__block").alias("__b"), F.posexplode("vocabulary").alias("__pos", "token"))
+    words = keep_possible(words, "token", materialize(hash_bits(token_map, "token")))
+    named = words.join(token_map, "token").select("__b", "__pos", "__cat")
     schema = ", ".join(["__k binary", *[f"__c{i} long" for i in range(n)]])
-    counted = packed.groupBy("__block").cogroup(named.groupBy("__b")).applyInPandas(_counting(n), schema)
+    vectors = packed.where("vocabulary is null").select("__block", "__k", "places", "counts")
+    counted = vectors.groupBy("__block").cogroup(named.groupBy("__b")).applyInPandas(_counting(n), schema)
     # rows with the same text have the same sums: one of them counts
     return counted.groupBy("__k").agg(*[F.max(f"__c{i}").alias(f"__c{i}") for i in range(n)])
 

@@ -212,8 +212,7 @@ def q_lexicon_counts(spark, sf):
 
 def _word_lexicon(spark, sf):
     """Every distinct token of the documents, with a category by its length: a lexicon that grows with the corpus."""
-    from vigil.functions.text import tokenize
-    words = read_table(spark, sf, "documents", ["text"]).select(F.explode(tokenize("text")).alias("token")).distinct()
+    words = L.distinct_tokens(read_table(spark, sf, "documents", ["text"]), "text")
     cat = F.element_at(F.array(*[F.lit(c) for c in CATS]), F.length("token") % len(CATS) + 1)
     return words.select("token", cat.alias("category"), F.lit(1).alias("ordinal"))
 
